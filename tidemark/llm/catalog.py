@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tidemark.llm.clean import STAND_INS
+from tidemark.llm.fusion import fuse
 from tidemark.llm.groups import connected_groups
 from tidemark.sources.tables import read_table
 
@@ -39,3 +41,57 @@ def p7_found(spark: SparkSession, sf: str) -> DataFrame:
     """The group of every record linked by a MERGE verdict, in any letter case and with or without blanks around it."""
     verdict = F.upper(F.regexp_replace("verdict", r"^\s+|\s+$", ""))
     return connected_groups(read_table(spark, sf, "candidates").where(verdict == "MERGE"), "a_id", "b_id")
+
+
+_STAND_INS = ", ".join("'" + w.replace("'", "''") + "'" for w in STAND_INS)
+
+
+def _usable_sql(c: str) -> str:
+    v = f"lower(trim(regexp_replace({c}, '\\s+', ' ', 'g')))"
+    return f"({c} IS NOT NULL AND {v} <> '' AND {v} NOT IN ({_STAND_INS}) AND NOT regexp_matches(regexp_replace({v}, '[\\s+()/.-]', '', 'g'), '^(0{{6,}}|9{{6,}})$'))"
+
+
+def _date_sql(c: str) -> str:
+    v = f"trim(cast({c} AS VARCHAR))"
+    dmy, ymd = r"^(\d{1,2})[/.\-](\d{1,2})[/.\-](\d{4})$", r"^(\d{4})[/.\-](\d{1,2})[/.\-](\d{1,2})$"
+    part = lambda p, i: f"regexp_extract({v}, '{p}', {i})"
+    return (
+        f"try_cast(CASE WHEN regexp_matches({v}, '{dmy}') THEN {part(dmy, 3)} || '-' || lpad({part(dmy, 2)}, 2, '0') || '-' || lpad({part(dmy, 1)}, 2, '0') "
+        f"WHEN regexp_matches({v}, '{ymd}') THEN {part(ymd, 1)} || '-' || lpad({part(ymd, 2)}, 2, '0') || '-' || lpad({part(ymd, 3)}, 2, '0') END AS DATE)"
+    )
+
+
+def _p3_sql() -> str:
+    fields = {"FULL_NAME": ("true", "true"), "EMAIL": (_usable_sql("email"), _usable_sql("email_addr")), "PHONE": (_usable_sql("phone"), _usable_sql("mobile")),
+              "ADDRESS": (_usable_sql("addr_line"), _usable_sql("street")),
+              "DATE_OF_BIRTH": (f"coalesce(year({_date_sql('date_of_birth')}) > 1910, false)", f"coalesce(year({_date_sql('dob')}) > 1910, false)")}
+    each = " UNION ALL ".join(
+        f"SELECT m.golden_id, '{f}' AS field_name, m.record_id, r.src, r.t, upper(json_extract_string(CASE WHEN json_valid(m.survivorship) THEN m.survivorship END, '$.{f}')) AS said FROM m JOIN r USING (record_id) WHERE r.{f}"
+        for f in fields
+    )
+    cols = lambda i: ", ".join(f"{x[i]} AS {f}" for f, x in fields.items())
+    return f"""
+    WITH x AS (SELECT golden_id, survivorship, trim(unnest(string_split(concat_ws(',', source_a_ref, source_b_ref, merged_a_refs), ','))) AS record_id FROM golden_seed),
+    m AS (SELECT DISTINCT golden_id, survivorship, record_id FROM x WHERE record_id <> ''
+          QUALIFY min(record_id) OVER (PARTITION BY golden_id) <> max(record_id) OVER (PARTITION BY golden_id)),
+    r AS (SELECT DISTINCT cust_id AS record_id, 'A' AS src, created_at AS t, {cols(0)} FROM source_a
+          UNION ALL SELECT DISTINCT client_ref, 'B', last_seen, {cols(1)} FROM source_b),
+    c AS ({each})
+    SELECT golden_id, field_name, record_id FROM c QUALIFY row_number() OVER (PARTITION BY golden_id, field_name
+        ORDER BY coalesce(said = src, false) DESC, coalesce(t < TIMESTAMP '2026-07-01', false) DESC, CASE WHEN t < TIMESTAMP '2026-07-01' THEN t END DESC NULLS LAST, record_id) = 1"""
+
+
+def _fused(spark: SparkSession, sf: str, policy: str) -> DataFrame:
+    return fuse(read_table(spark, sf, "golden_seed"), read_table(spark, sf, "source_a"), read_table(spark, sf, "source_b"), policy)
+
+
+@query("p3_found", _p3_sql())
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    """The record whose value survives, for each golden row of two or more members and each field."""
+    return _fused(spark, sf, "declared").select("golden_id", "field_name", "record_id")
+
+
+@query("p3_fused")
+def p3_fused(spark: SparkSession, sf: str) -> DataFrame:
+    """The value of largest posterior where the declared policy is left aside and the sources' votes decide."""
+    return _fused(spark, sf, "votes")
