@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tidemark.llm.canonical import map_to_reference
 from tidemark.llm.clean import STAND_INS
 from tidemark.llm.fusion import fuse
 from tidemark.llm.groups import connected_groups
@@ -95,3 +96,16 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
 def p3_fused(spark: SparkSession, sf: str) -> DataFrame:
     """The value of largest posterior where the declared policy is left aside and the sources' votes decide."""
     return _fused(spark, sf, "votes")
+
+
+@query("p4_found")
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    """The country meant by every typed value that isn't literally an entry of the reference list, or UNMATCHED."""
+    reference = read_table(spark, sf, "country_ref")
+    typed = (("source_a", "cust_id", "country", "country_name"), ("source_b", "client_ref", "nation", "country_code"))
+    values = None
+    for table, key, column, entry in typed:
+        own = read_table(spark, sf, table).select(F.col(key).alias("record_id"), F.col(column).alias("value")).where("value <> ''")
+        own = own.join(F.broadcast(reference.select(F.col(entry).alias("value"))), "value", "left_anti")
+        values = own if values is None else values.unionByName(own)
+    return map_to_reference(values.select("record_id", "value").distinct(), reference, "country_code", "country_name").select("record_id", F.col("code").alias("country_code")).distinct()
