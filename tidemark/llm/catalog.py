@@ -10,6 +10,7 @@ from tidemark.llm.canonical import map_to_reference
 from tidemark.llm.clean import STAND_INS
 from tidemark.llm.fusion import fuse
 from tidemark.llm.groups import connected_groups
+from tidemark.llm.packing import pack
 from tidemark.sources.tables import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -109,3 +110,10 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
         own = own.join(F.broadcast(reference.select(F.col(entry).alias("value"))), "value", "left_anti")
         values = own if values is None else values.unionByName(own)
     return map_to_reference(values.select("record_id", "value").distinct(), reference, "country_code", "country_name").select("record_id", F.col("code").alias("country_code")).distinct()
+
+
+@query("p8_packed")
+def p8_packed(spark: SparkSession, sf: str) -> DataFrame:
+    """The container and place of every document, for each capacity of pack_sizes."""
+    sizes = {r["pack_id"]: r["capacity_tokens"] for r in read_table(spark, sf, "pack_sizes").collect()}  # the list of capacities
+    return pack(read_table(spark, sf, "documents").select("doc_id", "text"), sizes)
