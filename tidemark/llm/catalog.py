@@ -11,6 +11,7 @@ from tidemark.llm.clean import STAND_INS
 from tidemark.llm.fusion import fuse
 from tidemark.llm.groups import connected_groups
 from tidemark.llm.packing import pack
+from tidemark.llm.spans import expand_pairs, shared_amount, shared_spans
 from tidemark.sources.tables import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -117,3 +118,16 @@ def p8_packed(spark: SparkSession, sf: str) -> DataFrame:
     """The container and place of every document, for each capacity of pack_sizes."""
     sizes = {r["pack_id"]: r["capacity_tokens"] for r in read_table(spark, sf, "pack_sizes").collect()}  # the list of capacities
     return pack(read_table(spark, sf, "documents").select("doc_id", "text"), sizes)
+
+
+@query("p10_found")
+def p10_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Pairs of documents whose texts have a run of at least 400 characters in common."""
+    return expand_pairs(*shared_spans(read_table(spark, sf, "documents").select("doc_id", "text")))
+
+
+@query("p10_shared")
+def p10_shared(spark: SparkSession, sf: str) -> DataFrame:
+    """For each document its class of equal texts, its links and how many of its characters stand elsewhere too."""
+    docs = read_table(spark, sf, "documents").select("doc_id", "text")
+    return shared_amount(docs, *shared_spans(docs))
