@@ -10,6 +10,7 @@ from tidemark.llm.canonical import map_to_reference
 from tidemark.llm.clean import STAND_INS
 from tidemark.llm.fusion import fuse
 from tidemark.llm.groups import connected_groups
+from tidemark.llm.leakage import find_leaks
 from tidemark.llm.packing import pack
 from tidemark.llm.spans import expand_pairs, shared_amount, shared_spans
 from tidemark.sources.tables import read_table
@@ -131,3 +132,9 @@ def p10_shared(spark: SparkSession, sf: str) -> DataFrame:
     """For each document its class of equal texts, its links and how many of its characters stand elsewhere too."""
     docs = read_table(spark, sf, "documents").select("doc_id", "text")
     return shared_amount(docs, *shared_spans(docs))
+
+
+@query("p9_found")
+def p9_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents that hold a passage of eval_items, whole or in part, with the item."""
+    return find_leaks(read_table(spark, sf, "documents"), read_table(spark, sf, "eval_items")).select("doc_id", "item_id")
