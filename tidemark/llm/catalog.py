@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tidemark.llm.address import same_location
 from tidemark.llm.canonical import map_to_reference
 from tidemark.llm.clean import STAND_INS
 from tidemark.llm.fusion import fuse
@@ -138,3 +139,11 @@ def p10_shared(spark: SparkSession, sf: str) -> DataFrame:
 def p9_found(spark: SparkSession, sf: str) -> DataFrame:
     """Documents that hold a passage of eval_items, whole or in part, with the item."""
     return find_leaks(read_table(spark, sf, "documents"), read_table(spark, sf, "eval_items")).select("doc_id", "item_id")
+
+
+@query("p1_found")
+def p1_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Pairs of records, of either source or both, whose addresses denote one location."""
+    a = read_table(spark, sf, "source_a").select(F.col("cust_id").alias("record_id"), F.col("addr_line").alias("line"), F.col("city").alias("town"), F.col("postcode").alias("zip"))
+    b = read_table(spark, sf, "source_b").select(F.col("client_ref").alias("record_id"), F.col("street").alias("line"), "town", "zip")
+    return same_location(a.unionByName(b))
