@@ -38,7 +38,7 @@ KINDS = {
 }
 #: Endings of one-word streets and how they are shortened.
 ENDINGS = {
-    "strasse": ("strasse", "strase", "str"), "weg": ("weg",), "gasse": ("gasse", "gass", "gs"), "allee": ("allee", "alle"), "platz": ("platz", "plz", "pl", "plt"),
+    "strasse": ("strasse", "strase", "str"), "weg": ("weg", "wg"), "gasse": ("gasse", "gass", "gs"), "allee": ("allee", "alle"), "platz": ("platz", "plz", "pl", "plt"),
     "straat": ("straat", "strt", "str"), "laan": ("laan", "ln"), "plein": ("plein", "pln", "pl"), "gracht": ("gracht", "gr", "grt"), "singel": ("singel",), "dijk": ("dijk",),
 }
 _ENDING_WORDS = {w for ws in ENDINGS.values() for w in ws}
@@ -145,7 +145,7 @@ def parse(line: str | None, town: str | None, code: str | None) -> dict | None:
             letter, end = "", m.end(1)
     number = m[1].lstrip("0") or "0"
     s = s[: m.start()] + " , " + s[end:]
-    s = re.sub(r"(?<=[a-z]{3})(w|g|al|wg)\.", lambda x: {"w": "weg", "wg": "weg", "g": "gasse", "al": "allee"}[x[1]], s)
+    s = re.sub(r"(?<=[a-z]{3})(w|g|al|all)\.", lambda x: {"w": "weg", "g": "gasse", "al": "allee", "all": "allee"}[x[1]], s)
     parts = [p for p in (re.findall(r"[a-z]+", x) for x in s.split(",")) if p]
     if not parts:
         return None
