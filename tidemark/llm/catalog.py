@@ -12,6 +12,7 @@ from tidemark.llm.clean import STAND_INS
 from tidemark.llm.fusion import fuse
 from tidemark.llm.groups import connected_groups
 from tidemark.llm.leakage import find_leaks
+from tidemark.llm.matching import match
 from tidemark.llm.packing import pack
 from tidemark.llm.spans import expand_pairs, shared_amount, shared_spans
 from tidemark.sources.tables import read_table
@@ -147,3 +148,20 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
     a = read_table(spark, sf, "source_a").select(F.col("cust_id").alias("record_id"), F.col("addr_line").alias("line"), F.col("city").alias("town"), F.col("postcode").alias("zip"))
     b = read_table(spark, sf, "source_b").select(F.col("client_ref").alias("record_id"), F.col("street").alias("line"), "town", "zip")
     return same_location(a.unionByName(b))
+
+
+def _sources(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return tuple(read_table(spark, sf, t) for t in ("source_a", "source_b", "golden_seed"))
+
+
+@query("p6_found")
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Pairs of a record of source_a and one of source_b that are the same person or firm."""
+    across = match(*_sources(spark, sf)).where("id1 like 'A-%' and id2 like 'B-%'")
+    return across.select(F.col("id1").alias("cust_id"), F.col("id2").alias("client_ref"))
+
+
+@query("p6_matched")
+def p6_matched(spark: SparkSession, sf: str) -> DataFrame:
+    """All pairs of records that are likely one entity, within and across the sources, each with its confidence."""
+    return match(*_sources(spark, sf)).select("id1", "id2", F.round("probability", 4).alias("confidence"))
