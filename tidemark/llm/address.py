@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from tidemark.llm.clean import STAND_INS, usable
-from tidemark.session import scratch
+from tidemark.session import broadcast_small, scratch
 
 #: Words for kinds of street and how they are shortened.
 KINDS = {
@@ -51,6 +51,8 @@ TOWN_PREFIX = re.compile(r"^(ober|unter|nieder|gross|klein|neu|alt|nieuw|oud)(?=
 
 
 def fold(text: str | None) -> str:
+    if text and text.isascii():
+        return " ".join(text.lower().split())
     text = unicodedata.normalize("NFKD", (text or "").replace("º", "o").replace("ª", "a").casefold().replace("ß", "ss"))
     return " ".join("".join(c for c in text if not unicodedata.combining(c)).split())
 
@@ -217,14 +219,19 @@ def leave_out(word: str) -> list[str]:
     return list(dict.fromkeys([word, *(word[:i] + word[i + 1 :] for i in range(len(word)) if len(word) > 3)]))
 
 
+PARSED = ["number", "letter", "unit", "street", "kinds", "town", "zip"]
+
+
+def parse_row(line: str | None, town: str | None, code: str | None) -> tuple[str | None, ...]:
+    """The values of PARSED; nulls for a line without number and street."""
+    p = parse(line, town, code)
+    return (p["number"], p["letter"], p["unit"], " ".join(sorted(p["names"])), ",".join(p["kinds"]), p["town"], p["zip"]) if p else (None,) * len(PARSED)
+
+
 def _parsed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    columns = ["record_id", "number", "letter", "unit", "street", "kinds", "town", "zip"]
     for df in batches:
-        out = []
-        for i, line, town, code in zip(df["record_id"], df["line"], df["town"], df["zip"]):
-            if p := parse(line, town, code):
-                out.append((i, p["number"], p["letter"], p["unit"], " ".join(sorted(p["names"])), ",".join(p["kinds"]), p["town"], p["zip"]))
-        yield pd.DataFrame(out, columns=columns)
+        rows = [parse_row(*x) for x in zip(df["line"], df["town"], df["zip"])]
+        yield pd.concat([df[["record_id"]], pd.DataFrame(rows, columns=PARSED, index=df.index)], axis=1)
 
 
 def _variants(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -245,7 +252,7 @@ def _misspelt(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def canonical_names(spellings: DataFrame, area) -> DataFrame:
-    """spellings(block, name, n) -> (block, name, canon): the spelling that each name of a block is taken for.
+    """spellings(block, name, n) -> (block, name, canon) of the names of a block that are taken for another spelling.
 
     A name leads to a commoner one that it likely misspells (fewest edits, then the commonest); two steps are followed.
     """
@@ -259,29 +266,32 @@ def canonical_names(spellings: DataFrame, area) -> DataFrame:
     best = area.table(likely.groupBy("block", "name").agg(F.min_by("other", F.struct("e", -F.col("other_n"), -F.col("other_all_n"), "other")).alias("canon")), "canon")
     onward = best.select("block", F.col("name").alias("canon"), F.col("canon").alias("further"))
     best = best.join(onward, ["block", "canon"], "left").select("block", "name", F.coalesce("further", "canon").alias("canon"))
-    return known.select("block", "name").join(best, ["block", "name"], "left").select("block", "name", F.coalesce("canon", "name").alias("canon"))
+    return area.table(best, "canon")
 
 
-def locate(records: DataFrame) -> DataFrame:
-    """records(record_id, line, town, zip) -> (record_id, block, street, number, letter, unit, kinds) of usable lines."""
-    area = scratch(records.sparkSession)
-    shape = "record_id string, number string, letter string, unit string, street string, kinds string, town string, zip string"
-    rows = records.where(usable(F.col("line"))).select("record_id", "line", "town", "zip").distinct()
-    parsed = area.table(rows.mapInPandas(_parsed, shape), "parsed")
-    towns = canonical_names(parsed.where("town <> ''").groupBy(F.lit("").alias("block"), F.col("town").alias("name")).agg(F.count(F.lit(1)).alias("n")), area)
-    towns = area.table(towns.select(F.col("name").alias("town"), F.col("canon").alias("place")), "towns")
-    coded = parsed.where("zip <> ''")
-    streets = canonical_names(coded.groupBy(F.col("zip").alias("block"), F.col("street").alias("name")).agg(F.count(F.lit(1)).alias("n")), area)
-    streets = area.table(streets.select(F.col("block").alias("zip"), F.col("name").alias("street"), F.col("canon")), "streets")
-    coded = coded.join(streets, ["zip", "street"]).join(towns, "town", "left").withColumn("block", F.col("zip"))
-    columns = ["record_id", "block", F.col("canon").alias("street"), "number", "letter", "unit", "kinds"]
-
-    # records without postcode: the block of the street of that name in their town
-    bare = area.table(parsed.where("zip = ''").join(towns, "town", "left").withColumn("place", F.coalesce("place", F.lit("?"))), "bare")
-    where = coded.where("place is not null").groupBy(F.col("place").alias("block"), F.col("canon").alias("name"), "zip").agg(F.count(F.lit(1)).alias("n"))
-    where = where.groupBy("block", "name").agg(F.max_by("zip", F.struct("n", "zip")).alias("zip"), F.sum("n").alias("n"))
-    keyed = where.select("block", "name", "zip", "n").mapInPandas(_variants, "block string, name string, zip string, n long, key string").select("block", "key", F.col("name").alias("other"), "zip", "n")
-    asked = bare.select(F.col("place").alias("block"), F.col("street").alias("name")).distinct().mapInPandas(_variants, "block string, name string, key string")
+def resolve(parsed: DataFrame, keep: list[str]) -> DataFrame:
+    """parsed(*keep, *PARSED), a written table, with the block and the canonical street of every row that has a street.
+
+    Returns keep, block, street, number, letter, unit and kinds; rows without a street have nulls there.
+    """
+    area = scratch(parsed.sparkSession)
+    count = F.count(F.lit(1)).alias("n")
+    there = parsed.where("street is not null")
+    towns = canonical_names(there.where("town <> ''").groupBy(F.lit("").alias("block"), F.col("town").alias("name")).agg(count), area)
+    towns = broadcast_small(towns.select(F.col("name").alias("town"), F.col("canon").alias("true_town")))
+    streets = canonical_names(there.where("zip <> ''").groupBy(F.col("zip").alias("block"), F.col("street").alias("name")).agg(count), area)
+    streets = broadcast_small(streets.select(F.col("block").alias("zip"), F.col("name").alias("street"), F.col("canon").alias("true_street")))
+    known = parsed.join(streets, ["zip", "street"], "left").join(towns, "town", "left")
+    known = known.select(*keep, "number", "letter", "unit", "kinds", "zip", F.nullif(F.coalesce("true_town", "town"), F.lit("")).alias("place"), F.coalesce("true_street", "street").alias("street"))
+
+    # rows without postcode: the block of the street of that name in their town
+    bare = known.where("street is not null and zip = ''")
+    where = known.where("zip <> '' and place is not null").groupBy("place", "street", "zip").agg(count)
+    where = where.groupBy(F.col("place").alias("block"), F.col("street").alias("name")).agg(F.max_by("zip", F.struct("n", "zip")).alias("zip"), F.sum("n").alias("n"))
+    asked = bare.select(F.coalesce("place", F.lit("?")).alias("block"), F.col("street").alias("name")).distinct()
+    wanted = broadcast_small(area.table(asked.select("block").distinct(), "places"))
+    keyed = where.join(wanted, "block", "left_semi").mapInPandas(_variants, "block string, name string, zip string, n long, key string").select("block", "key", F.col("name").alias("other"), "zip", "n")
+    asked = asked.mapInPandas(_variants, "block string, name string, key string")
 
     def close(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in batches:
@@ -290,16 +300,24 @@ def locate(records: DataFrame) -> DataFrame:
             yield df[ok].assign(e=e[ok])[["block", "name", "other", "zip", "n", "e"]]
 
     found = asked.join(keyed, ["block", "key"]).drop("key").distinct().select("block", "name", "other", "zip", "n").mapInPandas(close, "block string, name string, other string, zip string, n long, e long")
-    found = found.groupBy("block", "name").agg(F.min_by(F.struct("zip", "other"), F.struct("e", -F.col("n"), "other")).alias("f")).select(F.col("block").alias("place"), F.col("name").alias("street"), "f")
-    placed = bare.join(found, ["place", "street"], "left").select(
-        "record_id", F.coalesce("f.zip", F.concat(F.lit("t:"), "place")).alias("block"), F.coalesce("f.other", "street").alias("street"), "number", "letter", "unit", "kinds"
-    )
-    return area.table(coded.select(*columns).unionByName(placed).distinct(), "located")
+    found = found.groupBy("block", "name").agg(F.min_by(F.struct("zip", "other"), F.struct("e", -F.col("n"), "other")).alias("f"))
+    found = broadcast_small(area.table(found.select(F.col("block").alias("place"), F.col("name").alias("street"), "f", F.lit("").alias("zip")), "found"))
+    out = known.withColumn("place", F.coalesce("place", F.lit("?"))).join(found, ["place", "street", "zip"], "left")
+    block = F.when(F.col("zip") != "", F.col("zip")).otherwise(F.coalesce("f.zip", F.concat(F.lit("t:"), "place")))
+    return out.select(*keep, F.when(F.col("street").isNotNull(), block).alias("block"), F.coalesce("f.other", "street").alias("street"), "number", "letter", "unit", "kinds")
+
+
+def locate(records: DataFrame) -> DataFrame:
+    """records(record_id, line, town, zip) -> (record_id, block, street, number, letter, unit, kinds) of usable lines."""
+    area = scratch(records.sparkSession)
+    rows = records.where(usable(F.col("line"))).select("record_id", "line", "town", "zip")
+    parsed = area.table(rows.mapInPandas(_parsed, "record_id string, " + ", ".join(f"{c} string" for c in PARSED)), "parsed")
+    return resolve(parsed, ["record_id"]).where("block is not null")
 
 
 def same_location(records: DataFrame) -> DataFrame:
     """(record_id_1, record_id_2) of all records of one location."""
-    here = locate(records)
+    here = scratch(records.sparkSession).table(locate(records), "located")
     key = ["block", "street", "number", "letter", "unit"]
     x = here.select(*key, F.col("record_id").alias("record_id_1"), F.col("kinds").alias("k1"))
     y = here.select(*key, F.col("record_id").alias("record_id_2"), F.col("kinds").alias("k2"))

@@ -18,9 +18,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from tidemark.llm.address import edits, locate
+from tidemark.llm.address import PARSED, edits, parse_row, resolve
 from tidemark.llm.clean import date_of, digits10, usable
-from tidemark.session import scratch
+from tidemark.session import broadcast_small, scratch
 
 #: Words kept in the lexicon, the commonest first; names of other words are split by place alone.
 MAX_LEXICON = 50_000
@@ -48,6 +48,8 @@ _SHORT |= {(b, a) for a, b in _SHORT}
 
 
 def fold(text: str | None) -> str:
+    if text and text.isascii():
+        return text.lower()
     text = unicodedata.normalize("NFKD", (text or "").casefold())
     return "".join(c for c in text if not unicodedata.combining(c))
 
@@ -186,76 +188,98 @@ def given_from_mail(local: str | None, initial: str, rest: str, words_of: dict[s
     return ""
 
 
-FIELDS = "firm given initial rest local email phone dob place town".split()
-SHAPE = "record_id string, src string, name string, firm boolean, given string, initial string, rest string, local string, email string, phone string, dob string, place string, town string"
+#: What a profile holds: names as text; contact values, place and locality as 64-bit hashes; the date as yyyymmdd.
+FIELDS = "firm given initial rest local email phone dob place town nm".split()
+
+
+def _raw(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Both sources in one shape."""
+    blank = lambda c: F.expr(f"nullif({c}, '')")
+    left = a.select(F.col("cust_id").alias("record_id"), F.col("full_name").alias("name"), "email", "phone", F.col("date_of_birth").cast("string").alias("born"), F.col("addr_line").alias("line"), F.col("city").alias("town"), F.col("postcode").alias("zip"))
+    right = b.select(F.col("client_ref").alias("record_id"), F.concat_ws(" ", blank("first_name"), blank("last_name")).alias("name"), F.col("email_addr").alias("email"), F.col("mobile").alias("phone"), F.col("dob").alias("born"), F.col("street").alias("line"), "town", "zip")
+    return left.unionByName(right).where("record_id is not null").withColumn("name", F.coalesce("name", F.lit("")))
 
 
 def profiles(a: DataFrame, b: DataFrame) -> DataFrame:
-    """One row a record: its cleaned attributes, null where missing or held by too many records to identify anyone."""
+    """(record_id, *FIELDS): the cleaned attributes of every record, null where missing; a written table.
+
+    Each record is parsed once, where it lies.  Rows delivered twice stay twice; pairs of records are made distinct.
+    """
     spark = a.sparkSession
     area = scratch(spark)
-    blank = lambda c: F.expr(f"nullif({c}, '')")
-    left = a.select(F.col("cust_id").alias("record_id"), F.lit("A").alias("src"), F.col("full_name").alias("name"), "email", F.col("phone"), F.col("date_of_birth").cast("string").alias("born"), F.col("addr_line").alias("line"), F.col("city").alias("town"), F.col("postcode").alias("zip"))
-    right = b.select(F.col("client_ref").alias("record_id"), F.lit("B").alias("src"), F.concat_ws(" ", blank("first_name"), blank("last_name")).alias("name"), F.col("email_addr").alias("email"), F.col("mobile").alias("phone"), F.col("dob").alias("born"), F.col("street").alias("line"), "town", "zip")
-    everyone = area.table(left.unionByName(right).where("record_id is not null").dropDuplicates(["record_id"]), "everyone")
-    words_of = spark.sparkContext.broadcast(lexicon(everyone.where(usable(F.col("name")))))
+    everyone = _raw(a, b)
+    words_of = spark.sparkContext.broadcast(lexicon(everyone))
+    mail = F.regexp_replace(F.regexp_replace(F.lower("email"), r"\s", ""), "^mailto:", "")
+    mail = F.when(usable(F.col("email")) & mail.rlike(r"^[^@]+@[^@]+\.[a-z]+$") & ~mail.rlike(r"^(none|unknown|no|x)@"), mail)
+    day = date_of(F.col("born"))
+    born = F.when(F.year(day) > 1910, (F.year(day) * 10000 + F.month(day) * 100 + F.dayofmonth(day)).cast("int"))
+    line = F.when(usable(F.col("line")), F.col("line"))
+    rows = everyone.select("record_id", "name", mail.alias("email"), digits10(F.col("phone")).cast("long").alias("phone"), born.alias("dob"), line.alias("line"), "town", "zip")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = words_of.value
         for df in batches:
-            parts = []
-            for name, mail in zip(df["name"], df["email"]):
+            out = []
+            for i, name, mail, line, town, code in zip(df["record_id"], df["name"], df["email"], df["line"], df["town"], df["zip"]):
                 firm, given, initial, rest = split_name(name, known)
                 if not firm and not given and (spelt := given_from_mail(mail and mail.split("@")[0], initial, rest, known)):
                     given, initial = spelt, initial or spelt[0]
-                parts.append((firm, given, initial, rest))
-            for k, c in enumerate(("firm", "given", "initial", "rest")):
-                df[c] = [p[k] for p in parts]
-            yield df
+                out.append((i, firm, given, initial, rest, *parse_row(line, town, code)))
+            got = pd.DataFrame(out, columns=["record_id", "firm", "given", "initial", "rest", *PARSED], index=df.index)
+            yield pd.concat([got, df[["name", "email", "phone", "dob"]]], axis=1)
+
+    shape = "record_id string, firm boolean, given string, initial string, rest string, " + ", ".join(f"{c} string" for c in PARSED) + ", name string, email string, phone double, dob double"
+    local = F.substring_index("email", "@", 1)
+    own = ["record_id", "firm", "given", "initial", "rest", "local", "email", "phone", "dob", "nm"]
+    done = rows.mapInPandas(run, shape).select(
+        "record_id", "firm", "given", "initial", "rest", F.when(F.length(local) > 5, F.xxhash64(local)).alias("local"), F.when(F.col("email").isNotNull(), F.xxhash64("email")).alias("email"),
+        F.when(~F.isnan("phone"), F.col("phone").cast("long")).alias("phone"), F.when(~F.isnan("dob"), F.col("dob").cast("int")).alias("dob"), F.xxhash64("name").alias("nm"), *PARSED,
+    )
+    parsed = area.table(done, "parsed")
+    full = resolve(parsed, own)
+    place = F.when(F.col("block").isNotNull(), F.xxhash64("block", "street", "number", "letter", "unit"))
+    full = full.select(*own, place.alias("place"), F.when(F.col("block").isNotNull(), F.xxhash64("block")).alias("town"))
+    values = full.select(F.explode(F.array("email", "local", "phone")).alias("v")).where("v is not null")
+    crowd = area.table(values.groupBy("v").count().where(F.col("count") > MAX_HOLDERS).select("v"), "crowd")
+    for c in ("email", "local", "phone"):  # values that many hold identify nobody
+        full = full.join(broadcast_small(crowd.select(F.col("v").alias(c), F.lit(True).alias(f"{c}_crowd"))), c, "left")
+        full = full.withColumn(c, F.when(F.col(f"{c}_crowd").isNull(), F.col(c)))
+    people = area.table(full.select("record_id", *FIELDS), "profiles")
+    area.drop(parsed)
+    area.sweep()
+    return people
+
+
+def _born_like(x: int, y: int) -> str:
+    """E equal, S day and month exchanged, T one digit typed otherwise, X different."""
+    if x == y:
+        return "E"
+    a, b = str(x), str(y)
+    if a[:4] == b[:4] and a[4:6] == b[6:] and a[6:] == b[4:6]:
+        return "S"
+    return "T" if sum(p != q for p, q in zip(a, b)) == 1 else "X"
 
-    mail = F.regexp_replace(F.regexp_replace(F.lower("email"), r"\s", ""), "^mailto:", "")
-    mail = F.when(usable(F.col("email")) & mail.rlike(r"^[^@]+@[^@]+\.[a-z]+$") & ~mail.rlike(r"^(none|unknown|no|x)@"), mail)
-    day = F.when(F.year(date_of(F.col("born"))) > 1910, date_of(F.col("born")))
-    born = F.date_format(day, "yyyy-MM-dd")
-    rows = everyone.select("record_id", "src", F.coalesce("name", F.lit("")).alias("name"), mail.alias("email"), digits10(F.col("phone")).alias("phone"), born.alias("dob"))
-    named = rows.mapInPandas(run, "record_id string, src string, name string, email string, phone string, dob string, firm boolean, given string, initial string, rest string")
-    here = locate(everyone).select("record_id", F.concat_ws("|", "block", "street", "number", "letter", "unit").alias("place"), F.col("block").alias("town"))
-    full = area.table(named.join(here, "record_id", "left").withColumn("local", F.substring_index("email", "@", 1)), "profiles")
-    for c in ("email", "local", "phone"):
-        crowd = full.where(F.col(c).isNotNull()).groupBy(c).count().where(F.col("count") > MAX_HOLDERS).select(c, F.lit(True).alias("crowd"))
-        full = full.join(crowd, c, "left").withColumn(c, F.when(F.col("crowd").isNull(), F.col(c))).drop("crowd")
-    return area.table(full.select("record_id", "src", "name", *FIELDS), "profiles")
-
-
-def compare(df: pd.DataFrame) -> pd.DataFrame:
-    """Codes of how the two records (columns with 1 and 2) agree on contact, birth, place and name."""
-    out = {k: [] for k in ("e", "p", "d", "l", "g", "s", "f")}
-    cols = [df[f"{c}{i}"].tolist() for i in (1, 2) for c in FIELDS]
-    for row in zip(*cols):
-        f1, g1, i1, s1, lo1, em1, ph1, do1, pl1, to1, f2, g2, i2, s2, lo2, em2, ph2, do2, pl2, to2 = row
-        out["e"].append("M" if not em1 or not em2 else "E" if em1 == em2 else "L" if lo1 == lo2 and len(lo1) > 5 else "X")
-        out["p"].append("M" if not ph1 or not ph2 else "E" if ph1 == ph2 else "X")
-        out["d"].append("M" if not do1 or not do2 else "E" if do1 == do2 else "S" if do1[:4] == do2[:4] and do1[5:7] == do2[8:] and do1[8:] == do2[5:7] else "T" if sum(x != y for x, y in zip(do1, do2)) == 1 else "X")
-        out["l"].append("M" if not pl1 or not pl2 else "E" if pl1 == pl2 else "T" if to1 == to2 else "X")
+
+def name_codes(df: pd.DataFrame) -> tuple[list[str], list[str], list[str]]:
+    """How given names (g) and surnames or firms' words (s) agree, and whether persons or firms are compared (f)."""
+    gs, ss, fs = [], [], []
+    cols = [df[f"{c}{i}"].tolist() for i in (1, 2) for c in ("firm", "given", "initial", "rest")]
+    for f1, g1, i1, s1, f2, g2, i2, s2 in zip(*cols):
         if f1 and f2:
-            out["f"].append("F")
-            out["g"].append("M")
-            out["s"].append(firm_like(s1, s2))
-            continue
-        out["f"].append("P" if f1 == f2 else "B")
-        if f1 != f2:  # a firm whose legal form is missing, or a person's own firm
-            k = firm_like(" ".join(x for x in (g1, s1) if x), " ".join(x for x in (g2, s2) if x))
-            out["g"].append("M" if k in "ET" else "D")
-            out["s"].append(k)
-            continue
-        g, s = given_like(g1, i1, g2, i2), surname_like(s1, s2)
-        if (g in "DM" or s in "DM") and g1 and g2 and s1 and s2:  # given name and surname taken for each other
-            g_, s_ = alike(g1, s2), alike(s1, g2)
-            if g_ in "ETN" and s_ in "ETN":
-                g, s = g_, "T" if s_ == "N" else s_
-        out["g"].append(g)
-        out["s"].append(s)
-    return pd.DataFrame(out, index=df.index)
+            g, s = "M", firm_like(s1, s2)
+        elif f1 != f2:  # a firm whose legal form is missing, or a person's own firm
+            s = firm_like(" ".join(x for x in (g1, s1) if x), " ".join(x for x in (g2, s2) if x))
+            g = "M" if s in "ET" else "D"
+        else:
+            g, s = given_like(g1, i1, g2, i2), surname_like(s1, s2)
+            if (g in "DM" or s in "DM") and g1 and g2 and s1 and s2:  # given name and surname taken for each other
+                g_, s_ = alike(g1, s2), alike(s1, g2)
+                if g_ in "ETN" and s_ in "ETN":
+                    g, s = g_, "T" if s_ == "N" else s_
+        gs.append(g)
+        ss.append(s)
+        fs.append("F" if f1 and f2 else "B" if f1 != f2 else "P")
+    return gs, ss, fs
 
 
 #: Prior weights, in log-odds, towards which the fit is drawn.
@@ -301,20 +325,26 @@ def score(codes: pd.DataFrame, weights: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(weights[design(codes)].sum(axis=1), -30, 30)))
 
 
-def attach(pairs: DataFrame, people: DataFrame) -> DataFrame:
-    """pairs(id1, id2) with both records' attributes."""
-    side = lambda i: people.select(F.col("record_id").alias(f"id{i}"), *[F.col(c).alias(f"{c}{i}") for c in ("src", "name", *FIELDS)])
-    return pairs.join(side(1), "id1").join(side(2), "id2")
-
-
-def codes_of(pairs: DataFrame) -> DataFrame:
-    """The comparison codes of attached pairs."""
+def codes_of(pairs: DataFrame, people: DataFrame) -> DataFrame:
+    """(id1, id2, codes, differ) of pairs(id1, id2): contact, birth and place compared in Spark, names in batches."""
+    side = lambda i: people.select(F.col("record_id").alias(f"id{i}"), *[F.col(c).alias(f"{c}{i}") for c in FIELDS])
+    both = pairs.join(side(1), "id1").join(side(2), "id2")
+    missing = lambda c: F.col(f"{c}1").isNull() | F.col(f"{c}2").isNull()
+    same = lambda c: F.col(f"{c}1") == F.col(f"{c}2")
+    e = F.when(missing("email"), "M").when(same("email"), "E").when(same("local"), "L").otherwise("X")
+    p = F.when(missing("phone"), "M").when(same("phone"), "E").otherwise("X")
+    place = F.when(missing("place"), "M").when(same("place"), "E").when(same("town"), "T").otherwise("X")
+    names = [f"{c}{i}" for i in (1, 2) for c in ("firm", "given", "initial", "rest")]
+    ready = both.select("id1", "id2", e.alias("e"), p.alias("p"), place.alias("l"), F.coalesce("dob1", F.lit(0)).alias("dob1"), F.coalesce("dob2", F.lit(0)).alias("dob2"), *names, (F.col("nm1") != F.col("nm2")).alias("differ"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in batches:
-            yield pd.concat([df[["id1", "id2"]], compare(df), (df["name1"] != df["name2"]).rename("differ")], axis=1)
+            df["d"] = [_born_like(x, y) if x and y else "M" for x, y in zip(df["dob1"].tolist(), df["dob2"].tolist())]
+            df["g"], df["s"], df["f"] = name_codes(df)
+            yield df[["id1", "id2", "e", "p", "d", "l", "g", "s", "f", "differ"]]
 
-    return pairs.mapInPandas(run, "id1 string, id2 string, e string, p string, d string, l string, g string, s string, f string, differ boolean")
+    shape = "id1 string, id2 string, e string, p string, d string, l string, g string, s string, f string, differ boolean"
+    return ready.mapInPandas(run, shape)
 
 
 def joined_before(golden: DataFrame) -> DataFrame:
