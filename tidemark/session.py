@@ -8,10 +8,11 @@ is a folder of our own used.
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 _OPEN: dict[str, "Scratch"] = {}
 
@@ -65,6 +66,11 @@ class Scratch:
             if path := getattr(df, "_tidemark_path", None):
                 _delete(self.spark, path)
 
+    def sweep(self) -> None:
+        """Let Spark's cleaner remove shuffle files that only finished steps have read."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def close(self) -> None:
         _delete(self.spark, self.root)
 
@@ -75,6 +81,11 @@ def _delete(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def broadcast_small(df: DataFrame, rows: int = 200_000) -> DataFrame:
+    """A written table with a broadcast hint where its counted size allows it, unchanged (a shuffle join) beyond that."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def scratch(spark: SparkSession) -> Scratch:
     """The scratch area of this application."""
     key = spark.sparkContext.applicationId
