@@ -13,6 +13,7 @@ from tidemark.llm.fusion import fuse
 from tidemark.llm.groups import connected_groups
 from tidemark.llm.leakage import find_leaks
 from tidemark.llm.matching import match
+from tidemark.llm.names import link_names
 from tidemark.llm.packing import pack
 from tidemark.llm.spans import expand_pairs, shared_amount, shared_spans
 from tidemark.sources.tables import read_table
@@ -165,3 +166,9 @@ def p6_found(spark: SparkSession, sf: str) -> DataFrame:
 def p6_matched(spark: SparkSession, sf: str) -> DataFrame:
     """All pairs of records that are likely one entity, within and across the sources, each with its confidence."""
     return match(*_sources(spark, sf)).select("id1", "id2", F.round("probability", 4).alias("confidence"))
+
+
+@query("p2_found")
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Pairs of records of one person or firm whose names differ in at least one character."""
+    return link_names(*_sources(spark, sf)).select(F.col("id1").alias("record_id_1"), F.col("id2").alias("record_id_2"))
