@@ -44,7 +44,15 @@ ENDINGS = {
 _ENDING_WORDS = {w for ws in ENDINGS.values() for w in ws}
 _UNIT = r"(?:flat|flt|fl|apartments?|apartamento|apart|apt|appartement|app|unit|suite|ste|wohnung|whg|wng|piso|puerta|pta|bus|kamer|room|rm|door|dpto)"
 _NUMBER_WORD = r"(?:nummer|numero|number|num|nro|nr|no|n[o°])"
-_UK, _NL = r"\b([a-z]{1,2}\d{1,2}[a-z]?)\s*(\d[a-z]{2})\b", r"\b(\d{4})\s*([a-z]{2})\b"
+_UK = re.compile(r"\b([a-z]{1,2}\d{1,2}[a-z]?)\s*(\d[a-z]{2})\b")
+_NL = re.compile(r",?\s+(?:nl-?)?(\d{4})\s*([a-z]{2})\s*$")
+_FIVE = re.compile(r"[\s,]+(\d{5})(?:-\d{4})?\s*$")
+_UNIT_AT = re.compile(rf"(?:\b{_UNIT}\b\.?|#)\s*(?:{_NUMBER_WORD}\b\.?\s*)?(\d+\s?[a-z]?)\b")
+_BEFORE_NUMBER = re.compile(rf"\b{_NUMBER_WORD}\b\.?\s*(?=\d)|#(?=\d)")
+_HOUSE = re.compile(r"(?<![\w])(\d+)(?:[\s-]?([a-z])(?![a-z]))?")
+_DOTTED = re.compile(r"(?<=[a-z]{3})(w|g|al|all)\.")
+_DOTTED_FULL = {"w": "weg", "g": "gasse", "al": "allee", "all": "allee"}
+_LETTERS = re.compile(r"[a-z]+")
 #: Points of the compass, and words that towns are written together with.
 COMPASS = {"n": "north", "s": "south", "e": "east", "w": "west", "north": "north", "south": "south", "east": "east", "west": "west"}
 TOWN_PREFIX = re.compile(r"^(ober|unter|nieder|gross|klein|neu|alt|nieuw|oud)(?=[a-z]{5})")
@@ -57,13 +65,13 @@ def fold(text: str | None) -> str:
     return " ".join("".join(c for c in text if not unicodedata.combining(c)).split())
 
 
-@lru_cache(200_000)
+@lru_cache(300_000)
 def near(a: str, b: str) -> float:
     """Likeness of two words, 1 for equal ones: one minus the share of Damerau-Levenshtein edits."""
     if a == b:
         return 1.0
     n, m = len(a), len(b)
-    if not n or not m or abs(n - m) > 3:
+    if not n or not m or abs(n - m) > 3 or len(set(a) ^ set(b)) > 8:
         return 0.0
     before, row = None, list(range(m + 1))
     for i in range(1, n + 1):
@@ -123,22 +131,22 @@ def parse(line: str | None, town: str | None, code: str | None) -> dict | None:
         return None
     town, code = ("" if fold(town) in STAND_INS else town), ("" if fold(code) in STAND_INS else code)
     z, t = zip_key(code), town_key(town)
-    if m := re.search(_UK, s):
+    if m := _UK.search(s):
         z, s = z or m[1] + m[2], s[: m.start()] + " , " + s[m.end() :]
-    elif (m := re.search(r",?\s+(?:nl-?)?(\d{4})\s*([a-z]{2})\s*$", s)) and re.search(r"\d", s[: m.start()]) and len(re.findall(r"\d+", s)) > 1:
+    elif (m := _NL.search(s)) and re.search(r"\d", s[: m.start()]) and len(re.findall(r"\d+", s)) > 1:
         z, s = z or m[1] + m[2], s[: m.start()]
-    elif (m := re.search(r"[\s,]+(\d{5})(?:-\d{4})?\s*$", s)) and re.search(r"\d", s[: m.start()]):
+    elif (m := _FIVE.search(s)) and re.search(r"\d", s[: m.start()]):
         z, s = z or m[1], s[: m.start()]
     unit = ""
-    if m := re.search(rf"(?:\b{_UNIT}\b\.?|#)\s*(?:{_NUMBER_WORD}\b\.?\s*)?(\d+\s?[a-z]?)\b(?!\s*[a-z]{{2}}\b(?<=zz))", s):
+    if m := _UNIT_AT.search(s):
         unit = re.match(r"\d+", m[1])[0]
         rest = m[1][len(unit) :].strip()
         if rest and m[1][len(unit)] != " ":
             unit += rest
             rest = ""
         s = f"{s[: m.start()]} , {rest} {s[m.end() :]}"
-    s = re.sub(rf"\b{_NUMBER_WORD}\b\.?\s*(?=\d)|#(?=\d)", " ", s)
-    m = re.search(r"(?<![\w])(\d+)(?:[\s-]?([a-z])(?![a-z]))?", s)
+    s = _BEFORE_NUMBER.sub(" ", s)
+    m = _HOUSE.search(s)
     if not m:
         return None
     letter, end = m[2] or "", m.end()
@@ -147,8 +155,9 @@ def parse(line: str | None, town: str | None, code: str | None) -> dict | None:
             letter, end = "", m.end(1)
     number = m[1].lstrip("0") or "0"
     s = s[: m.start()] + " , " + s[end:]
-    s = re.sub(r"(?<=[a-z]{3})(w|g|al|all)\.", lambda x: {"w": "weg", "g": "gasse", "al": "allee", "all": "allee"}[x[1]], s)
-    parts = [p for p in (re.findall(r"[a-z]+", x) for x in s.split(",")) if p]
+    if "." in s:
+        s = _DOTTED.sub(lambda x: _DOTTED_FULL[x[1]], s)
+    parts = [p for p in (_LETTERS.findall(x) for x in s.split(",")) if p]
     if not parts:
         return None
     # a part that is the town, or stands after the street
@@ -163,7 +172,7 @@ def parse(line: str | None, town: str | None, code: str | None) -> dict | None:
             t = town_key(" ".join(keep.pop()))
         parts = keep or parts
     words = [w for p in parts for w in p]
-    if t:  # the town at the end without a comma
+    if t and len(words) > 1 and not kinds_of(words[-1]):  # the town at the end without a comma
         for k in (1, 2, 3):
             if len(words) > k and near(town_key(" ".join(words[-k:])), t) >= 0.8:
                 words = words[:-k]

@@ -19,7 +19,6 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from tidemark.llm.address import PARSED, edits, parse_row, resolve
-from tidemark.llm.clean import date_of, digits10, usable
 from tidemark.session import broadcast_small, scratch
 
 #: Words kept in the lexicon, the commonest first; names of other words are split by place alone.
@@ -44,6 +43,11 @@ NICKNAMES = {
 }
 _SHORT = {(full, s) for full, shorts in NICKNAMES.items() for s in shorts.split()}
 _SHORTS = {full: set(shorts.split()) for full, shorts in NICKNAMES.items()}
+#: short form -> the full names it may stand for
+_FULL: dict[str, list[str]] = {}
+for _full, _shorts in _SHORTS.items():
+    for _s in _shorts:
+        _FULL.setdefault(_s, []).append(_full)
 _SHORT |= {(b, a) for a, b in _SHORT}
 
 
@@ -108,8 +112,11 @@ def split_name(name: str | None, words_of: dict[str, tuple[float, float]]) -> tu
     return False, order[at], order[at][0], " ".join(w for i, w in enumerate(order) if i != at).replace("-", " ")
 
 
-def _typed(word: str, full: str) -> bool:
-    return len(word) >= 5 and edits(word, full) <= 2
+def typed_alike(a: str, b: str, k: int) -> bool:
+    """Whether two words are within k typing errors; lengths and letters rule most pairs out at once."""
+    if abs(len(a) - len(b)) > k or len(set(a) ^ set(b)) > 2 * k:
+        return False
+    return edits(a, b) <= k
 
 
 @lru_cache(500_000)
@@ -118,14 +125,16 @@ def alike(a: str, b: str) -> str:
     if a == b:
         return "E"
     n = min(len(a), len(b))
-    if n >= 3 and edits(a, b) <= (1 if n < 6 else 2):
+    if n >= 3 and typed_alike(a, b, 1 if n < 6 else 2):
         return "T"
     if (a, b) in _SHORT or (n >= 3 and (a.startswith(b) or b.startswith(a))):
         return "N"
-    if any((a in shorts and b in shorts) or (b in shorts and _typed(a, full)) or (a in shorts and _typed(b, full)) for full, shorts in _SHORTS.items()):
-        return "N"
+    for short, other in ((a, b), (b, a)):
+        for full in _FULL.get(short, ()):
+            if other in _SHORTS[full] or (len(other) >= 5 and typed_alike(other, full, 2)):
+                return "N"
     x, y = re.sub("(?<=[aou])e", "", a), re.sub("(?<=[aou])e", "", b)  # an umlaut written with e
-    if (x, y) != (a, b) and (x == y or edits(x, y) <= (1 if n < 6 else 2)):
+    if (x, y) != (a, b) and (x == y or typed_alike(x, y, 1 if n < 6 else 2)):
         return "T"
     x, y = (a, b) if len(a) < len(b) else (b, a)
     if len(x) >= 4 and x[-2:] in ("ie", "my", "ny", "ey") or x.endswith("y"):
@@ -200,6 +209,44 @@ def _raw(a: DataFrame, b: DataFrame) -> DataFrame:
     return left.unionByName(right).where("record_id is not null").withColumn("name", F.coalesce("name", F.lit("")))
 
 
+_MAIL = re.compile(r"[^@\s]+@[^@\s]+\.[a-z]+")
+_NOBODY = re.compile(r"(?:none|unknown|no|x)@")
+_EXTENSION = re.compile(r"\s*(?:ext|x|extension)\.?\s*\d*\s*$")
+_DMY, _YMD = re.compile(r"\s*(\d{1,2})[/.\-](\d{1,2})[/.\-](\d{4})\s*"), re.compile(r"\s*(\d{4})[/.\-](\d{1,2})[/.\-](\d{1,2})\s*")
+
+
+def clean_mail(mail: str | None) -> str | None:
+    """An e-mail address in lower case without blanks; None for what is none."""
+    if not mail or "@" not in mail:
+        return None
+    mail = "".join(mail.lower().split()).removeprefix("mailto:")
+    return mail if _MAIL.fullmatch(mail) and not _NOBODY.match(mail) else None
+
+
+def clean_phone(phone: str | None) -> int | None:
+    """The last ten digits of a number of seven or more without its extension; None for numbers of one digit."""
+    if not phone:
+        return None
+    digits = "".join(c for c in _EXTENSION.sub("", phone.lower()) if c.isdigit())
+    return int(digits[-10:]) if len(digits) >= 7 and len(set(digits)) > 1 else None
+
+
+def clean_day(text: str | None) -> int | None:
+    """A date typed day/month/year or year-month-day as yyyymmdd; None for days that don't exist or lie before 1911."""
+    if not text:
+        return None
+    if m := _DMY.fullmatch(text):
+        d, mo, y = int(m[1]), int(m[2]), int(m[3])
+    elif m := _YMD.fullmatch(text):
+        y, mo, d = int(m[1]), int(m[2]), int(m[3])
+    else:
+        return None
+    if not (1910 < y < 2100 and 1 <= mo <= 12 and 1 <= d <= 31):
+        return None
+    last = 31 if mo in (1, 3, 5, 7, 8, 10, 12) else 30 if mo != 2 else 29 if y % 4 == 0 and (y % 100 != 0 or y % 400 == 0) else 28
+    return y * 10000 + mo * 100 + d if d <= last else None
+
+
 def profiles(a: DataFrame, b: DataFrame) -> DataFrame:
     """(record_id, *FIELDS): the cleaned attributes of every record, null where missing; a written table.
 
@@ -209,31 +256,27 @@ def profiles(a: DataFrame, b: DataFrame) -> DataFrame:
     area = scratch(spark)
     everyone = _raw(a, b)
     words_of = spark.sparkContext.broadcast(lexicon(everyone))
-    mail = F.regexp_replace(F.regexp_replace(F.lower("email"), r"\s", ""), "^mailto:", "")
-    mail = F.when(usable(F.col("email")) & mail.rlike(r"^[^@]+@[^@]+\.[a-z]+$") & ~mail.rlike(r"^(none|unknown|no|x)@"), mail)
-    day = date_of(F.col("born"))
-    born = F.when(F.year(day) > 1910, (F.year(day) * 10000 + F.month(day) * 100 + F.dayofmonth(day)).cast("int"))
-    line = F.when(usable(F.col("line")), F.col("line"))
-    rows = everyone.select("record_id", "name", mail.alias("email"), digits10(F.col("phone")).cast("long").alias("phone"), born.alias("dob"), line.alias("line"), "town", "zip")
+    rows = everyone.select("record_id", "name", "email", "phone", "born", "line", "town", "zip")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = words_of.value
         for df in batches:
             out = []
-            for i, name, mail, line, town, code in zip(df["record_id"], df["name"], df["email"], df["line"], df["town"], df["zip"]):
+            for i, name, mail, phone, day, line, town, code in zip(*(df[c].tolist() for c in ("record_id", "name", "email", "phone", "born", "line", "town", "zip"))):
                 firm, given, initial, rest = split_name(name, known)
+                mail = clean_mail(mail)
                 if not firm and not given and (spelt := given_from_mail(mail and mail.split("@")[0], initial, rest, known)):
                     given, initial = spelt, initial or spelt[0]
-                out.append((i, firm, given, initial, rest, *parse_row(line, town, code)))
-            got = pd.DataFrame(out, columns=["record_id", "firm", "given", "initial", "rest", *PARSED], index=df.index)
-            yield pd.concat([got, df[["name", "email", "phone", "dob"]]], axis=1)
+                out.append((i, firm, given, initial, rest, *parse_row(line, town, code), name, mail, clean_phone(phone), clean_day(day)))
+            got = pd.DataFrame(out, columns=["record_id", "firm", "given", "initial", "rest", *PARSED, "name", "email", "phone", "dob"])
+            yield got.astype({"phone": "Int64", "dob": "Int32"})
 
-    shape = "record_id string, firm boolean, given string, initial string, rest string, " + ", ".join(f"{c} string" for c in PARSED) + ", name string, email string, phone double, dob double"
+    shape = "record_id string, firm boolean, given string, initial string, rest string, " + ", ".join(f"{c} string" for c in PARSED) + ", name string, email string, phone long, dob int"
     local = F.substring_index("email", "@", 1)
     own = ["record_id", "firm", "given", "initial", "rest", "local", "email", "phone", "dob", "nm"]
     done = rows.mapInPandas(run, shape).select(
         "record_id", "firm", "given", "initial", "rest", F.when(F.length(local) > 5, F.xxhash64(local)).alias("local"), F.when(F.col("email").isNotNull(), F.xxhash64("email")).alias("email"),
-        F.when(~F.isnan("phone"), F.col("phone").cast("long")).alias("phone"), F.when(~F.isnan("dob"), F.col("dob").cast("int")).alias("dob"), F.xxhash64("name").alias("nm"), *PARSED,
+        "phone", "dob", F.xxhash64("name").alias("nm"), *PARSED,
     )
     parsed = area.table(done, "parsed")
     full = resolve(parsed, own)
