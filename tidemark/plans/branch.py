@@ -230,9 +230,9 @@ class Engine:
     def unmerge(self, merge_id: int) -> dict:
         """Undo the newest applied change-set of a table exactly."""
         m = self.merges[merge_id - 1]
-        if m["status"] != "MERGED" or m["unmerged_at"]:
+        if m["status"] != "MERGED" or m["unmerged_at"] is not None:
             raise StoreError("MERGE_NOT_PENDING", m["status"])
-        later = [x for x in self.merges if x["table"] == m["table"] and x["status"] == "MERGED" and not x["unmerged_at"] and x["resolved_at"] > m["resolved_at"]]
+        later = [x for x in self.merges if x["table"] == m["table"] and x["status"] == "MERGED" and x["unmerged_at"] is None and x["resolved_at"] > m["resolved_at"]]
         if later:
             raise StoreError("UNMERGE_SUPERSEDED", ",".join(str(x["merge_id"]) for x in later))
         with self.store.lock("apply"):
