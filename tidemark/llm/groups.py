@@ -51,7 +51,7 @@ def _removable(edges: DataFrame, turn: int) -> DataFrame:
 
 def _core_labels(edges: DataFrame, area) -> DataFrame:
     """(v, label) of the vertices of a graph by alternating large-star and small-star."""
-    before = None
+    given, before = edges, None
     while True:
         near = _adjacency(edges)
         least = near.groupBy("v").agg(F.least(F.min("u"), F.col("v")).alias("m"))
@@ -62,7 +62,7 @@ def _core_labels(edges: DataFrame, area) -> DataFrame:
         small = low.join(least, "v").select(F.inline(F.array(F.struct(*_ordered(F.col("u"), F.col("m"))), F.struct(*_ordered(F.col("v"), F.col("m")))))).where("a <> b").distinct()
         small = area.table(small, "small")
         now = tuple(small.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-        area.drop(edges, large)
+        area.drop(large, *([] if edges is given else [edges]))
         edges = small
         if now == before:
             break

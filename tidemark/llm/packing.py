@@ -4,7 +4,8 @@ Texts of equal length are interchangeable, so packing needs only the histogram o
 whatever the number of documents.  The driver packs the histogram: items belong to tiers (longer than half the
 capacity, than a quarter, ...); each container is opened by an item of the longest tier left, and its gap is filled from
 that tier and the shorter ones, longest fit first, with a two-item look-ahead that prefers an exact fill.  A pattern of
-lengths is repeated as long as the histogram allows, so the plan has at most as many patterns as there are lengths.
+lengths is repeated as long as the histogram allows, which at least halves what is left of one of its lengths, so the plan
+has at most log2(documents) patterns for each length.
 
 Documents find their place by rank: a document is numbered within its length by salted, pre-aggregated counts, and the
 plan maps ranges of these numbers to containers.  A length, source or group may hold any share of the documents.

@@ -3,8 +3,8 @@
 Texts are parsed in rounds.  A round first names every run of one symbol, then every pair of a left and a right symbol,
 where a hash of the symbol itself says which side it is on.  Names are hashes of what they stand for, so they are global
 without any exchange: equal substrings get equal symbols except near their ends, in every record and on every machine.
-Symbols stop growing at MAX_SYMBOL characters (also a property of the symbol alone), so an equal stretch of ``least``
-characters always keeps a row of common interior symbols.  Runs that are longer become one symbol of their own.
+Symbols stop growing at SYMBOL_SHARE of the least span (also a property of the symbol alone), so an equal stretch of
+``least`` characters keeps a row of common interior symbols.  Runs that are longer become one symbol of their own.
 
 Rows of GRAM symbols, thinned to the least of every WINDOW neighbours, are the high-level symbols that reveal repeats.
 Spark counts them over all records; those in two or more records lead to pairs, whose texts are then compared along the
@@ -26,7 +26,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from tidemark.session import scratch
 
-MAX_SYMBOL, ROUNDS, GRAM, WINDOW, HOT, CHUNK = 32, 16, 5, 4, 256, 1_000_000
+#: A symbol holds at most this share of the least span.
+SYMBOL_SHARE = 0.08
+ROUNDS, GRAM, WINDOW, HOT, CHUNK = 16, 5, 4, 256, 1_000_000
 #: Copies are left out by a broadcast list up to this many ids (8 bytes each), by a shuffle beyond it.
 MAX_BROADCAST_IDS = 500_000
 _A, _B, _C = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
@@ -42,7 +44,7 @@ def code_points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
 
 
-def recompress(texts: list[np.ndarray], max_symbol: int = MAX_SYMBOL, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def recompress(texts: list[np.ndarray], max_symbol: int, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(symbol, length, text number, start) of the parse of several texts."""
     sizes = np.array([len(t) for t in texts], dtype=np.int64)
     owner = np.repeat(np.arange(len(texts), dtype=np.int32), sizes)
@@ -84,7 +86,7 @@ def recompress(texts: list[np.ndarray], max_symbol: int = MAX_SYMBOL, rounds: in
 
 def symbol_rows(texts: list[np.ndarray], least: int, gram: int = GRAM, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(name, text number, start, end) of the thinned rows of ``gram`` symbols, and of runs of ``least`` and more."""
-    symbol, length, owner, start = recompress(texts)
+    symbol, length, owner, start = recompress(texts, max(2, int(least * SYMBOL_SHARE)))
     runs = np.flatnonzero(length >= least)
     extra = (_mix(symbol[runs] ^ _A), owner[runs], start[runs], start[runs] + length[runs])
     n = len(symbol) - gram + 1
