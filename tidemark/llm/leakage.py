@@ -164,14 +164,15 @@ def find_leaks(docs: DataFrame, items: DataFrame, share: float = 0.5, edits: flo
         hits = area.table(scan, "candidates")
         spread = hits.select("doc_id", F.explode("seeds").alias("seed")).groupBy("seed").agg(F.count(F.lit(1)).alias("df"))
         common = spread.where(F.col("df") > max(COMMON_LEAST, COMMON * total)).select("seed")
-        commonplace = common.agg(F.collect_list("seed").alias("all"))  # at most as many as the part has seeds
-        rare = hits.crossJoin(F.broadcast(commonplace)).where(F.size(F.array_except("seeds", "all")) > 0)
+        usual = spark.sparkContext.broadcast(frozenset(r["seed"] for r in common.collect()))  # at most as many as the part has seeds
 
-        def run(batches: Iterator[pd.DataFrame], shipped=shipped) -> Iterator[pd.DataFrame]:
-            seeds = shipped.value
+        def run(batches: Iterator[pd.DataFrame], shipped=shipped, usual=usual) -> Iterator[pd.DataFrame]:
+            seeds, common = shipped.value, usual.value
             for df in batches:
                 out = []
-                for d, i, row in zip(df["doc_id"], df["item"], df["row"]):
+                for d, i, own, row in zip(df["doc_id"], df["item"], df["seeds"], df["row"]):
+                    if common.issuperset(own.tolist()):
+                        continue
                     passage = seeds.passages[i]
                     matched, changed = align(passage, np.asarray(row, dtype=np.int64))
                     stretch = matched + changed
@@ -179,6 +180,6 @@ def find_leaks(docs: DataFrame, items: DataFrame, share: float = 0.5, edits: flo
                         out += [(d, same, matched, changed, len(passage)) for same in seeds.first[i]]
                 yield pd.DataFrame(out, columns=["doc_id", "item_id", "matched", "n_edits", "n_words"])
 
-        hit = rare.select("doc_id", "item", "row").mapInPandas(run, "doc_id long, item_id long, matched int, n_edits int, n_words int")
+        hit = hits.mapInPandas(run, "doc_id long, item_id long, matched int, n_edits int, n_words int")
         found = hit if found is None else found.unionByName(hit)
     return found.groupBy("doc_id", "item_id").agg(F.max(F.struct("matched", "n_edits", "n_words")).alias("m")).select("doc_id", "item_id", "m.*")
