@@ -16,7 +16,8 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F, types as T
+import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F
 
 from tidemark.llm.address import PARSED, edits, parse_row, resolve
 from tidemark.session import broadcast_small, scratch
@@ -247,34 +248,56 @@ def clean_day(text: str | None) -> int | None:
     return y * 10000 + mo * 100 + d if d <= last else None
 
 
-def profiles(a: DataFrame, b: DataFrame) -> DataFrame:
-    """(record_id, *FIELDS): the cleaned attributes of every record, null where missing; a written table.
+def contexts(people: DataFrame, extra: list[str]) -> DataFrame:
+    """(record_id, *extra, context, kind) for each contact value, place and date of birth of a record.
 
-    Each record is parsed once, where it lies.  Rows delivered twice stay twice; pairs of records are made distinct.
+    A context is a hash of kind and value; one made by chance only makes candidates that the comparison turns down.  A
+    date with day and month exchanged has the same context.
+    """
+    day, month = F.col("dob") % 100, F.floor(F.col("dob") / 100) % 100
+    flip = F.floor(F.col("dob") / 10000) * 10000 + F.least(day, month) * 100 + F.greatest(day, month)
+    values = (("e", F.col("local")), ("p", F.col("phone")), ("l", F.col("place")), ("d", flip))
+    kinds = [F.when(v.isNotNull(), F.struct(F.xxhash64(F.lit(k), v).alias("context"), F.lit(k).alias("kind"))) for k, v in values]
+    return people.select("record_id", *extra, F.inline(F.array_compact(F.array(*kinds))))
+
+
+def arrow(columns: dict[str, list], shape: str) -> pa.RecordBatch:
+    """A batch of lists, typed as a DDL string says."""
+    kinds = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_()}
+    types = dict(x.split() for x in shape.split(", "))
+    return pa.RecordBatch.from_arrays([pa.array(columns[n], kinds[t]) for n, t in types.items()], names=list(types))
+
+
+def profiles(a: DataFrame, b: DataFrame, least: int = 30) -> tuple[DataFrame, DataFrame]:
+    """(people, crowded), two written tables.
+
+    people(record_id, *FIELDS) are the cleaned attributes of every record, null where missing.  Each record is parsed
+    once, where it lies; rows delivered twice stay twice, pairs of records are made distinct.  crowded(context, kind, n)
+    are the contexts of more than ``least`` records.
     """
     spark = a.sparkSession
     area = scratch(spark)
     everyone = _raw(a, b)
     words_of = spark.sparkContext.broadcast(lexicon(everyone))
-    rows = everyone.select("record_id", "name", "email", "phone", "born", "line", "town", "zip")
+    shape = "record_id string, firm boolean, given string, initial string, rest string, " + ", ".join(f"{c} string" for c in PARSED) + ", name string, email string, phone long, dob int"
+    taken = ("record_id", "name", "email", "phone", "born", "line", "town", "zip")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = words_of.value
-        for df in batches:
+        names = [x.split()[0] for x in shape.split(", ")]
+        for batch in batches:
             out = []
-            for i, name, mail, phone, day, line, town, code in zip(*(df[c].tolist() for c in ("record_id", "name", "email", "phone", "born", "line", "town", "zip"))):
+            for i, name, mail, phone, day, line, town, code in zip(*(batch.column(c).to_pylist() for c in taken)):
                 firm, given, initial, rest = split_name(name, known)
                 mail = clean_mail(mail)
                 if not firm and not given and (spelt := given_from_mail(mail and mail.split("@")[0], initial, rest, known)):
                     given, initial = spelt, initial or spelt[0]
                 out.append((i, firm, given, initial, rest, *parse_row(line, town, code), name, mail, clean_phone(phone), clean_day(day)))
-            got = pd.DataFrame(out, columns=["record_id", "firm", "given", "initial", "rest", *PARSED, "name", "email", "phone", "dob"])
-            yield got.astype({"phone": "Int64", "dob": "Int32"})
+            yield arrow(dict(zip(names, map(list, zip(*out)) if out else [[] for _ in names])), shape)
 
-    shape = "record_id string, firm boolean, given string, initial string, rest string, " + ", ".join(f"{c} string" for c in PARSED) + ", name string, email string, phone long, dob int"
     local = F.substring_index("email", "@", 1)
     own = ["record_id", "firm", "given", "initial", "rest", "local", "email", "phone", "dob", "nm"]
-    done = rows.mapInPandas(run, shape).select(
+    done = everyone.select(*taken).mapInArrow(run, shape).select(
         "record_id", "firm", "given", "initial", "rest", F.when(F.length(local) > 5, F.xxhash64(local)).alias("local"), F.when(F.col("email").isNotNull(), F.xxhash64("email")).alias("email"),
         "phone", "dob", F.xxhash64("name").alias("nm"), *PARSED,
     )
@@ -282,15 +305,15 @@ def profiles(a: DataFrame, b: DataFrame) -> DataFrame:
     full = resolve(parsed, own)
     place = F.when(F.col("block").isNotNull(), F.xxhash64("block", "street", "number", "letter", "unit"))
     full = full.select(*own, place.alias("place"), F.when(F.col("block").isNotNull(), F.xxhash64("block")).alias("town"))
-    values = full.select(F.explode(F.array("email", "local", "phone")).alias("v")).where("v is not null")
-    crowd = area.table(values.groupBy("v").count().where(F.col("count") > MAX_HOLDERS).select("v"), "crowd")
-    for c in ("email", "local", "phone"):  # values that many hold identify nobody
-        full = full.join(broadcast_small(crowd.select(F.col("v").alias(c), F.lit(True).alias(f"{c}_crowd"))), c, "left")
-        full = full.withColumn(c, F.when(F.col(f"{c}_crowd").isNull(), F.col(c)))
+    crowded = area.table(contexts(full, []).groupBy("context", "kind").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > least), "crowded")
+    for c, k in (("local", "e"), ("phone", "p")):  # values that many hold identify nobody
+        crowd = broadcast_small(crowded.where((F.col("kind") == k) & (F.col("n") > MAX_HOLDERS)).select(F.col("context").alias("__c"), F.lit(True).alias(f"{c}_crowd")))
+        full = full.withColumn("__c", F.xxhash64(F.lit(k), c)).join(crowd, "__c", "left").drop("__c").withColumn(c, F.when(F.col(f"{c}_crowd").isNull(), F.col(c)))
+    full = full.withColumn("email", F.when(F.col("local_crowd").isNull(), F.col("email")))
     people = area.table(full.select("record_id", *FIELDS), "profiles")
     area.drop(parsed)
     area.sweep()
-    return people
+    return people, crowded
 
 
 def _born_like(x: int, y: int) -> str:
@@ -303,10 +326,9 @@ def _born_like(x: int, y: int) -> str:
     return "T" if sum(p != q for p, q in zip(a, b)) == 1 else "X"
 
 
-def name_codes(df: pd.DataFrame) -> tuple[list[str], list[str], list[str]]:
+def name_codes(cols: list[list]) -> tuple[list[str], list[str], list[str]]:
     """How given names (g) and surnames or firms' words (s) agree, and whether persons or firms are compared (f)."""
     gs, ss, fs = [], [], []
-    cols = [df[f"{c}{i}"].tolist() for i in (1, 2) for c in ("firm", "given", "initial", "rest")]
     for f1, g1, i1, s1, f2, g2, i2, s2 in zip(*cols):
         if f1 and f2:
             g, s = "M", firm_like(s1, s2)
@@ -330,7 +352,7 @@ PRIOR = {
     "bias": -6.0, "eE": 7.0, "eL": 6.0, "eX": -1.0, "pE": 5.0, "pX": -1.2, "dE": 5.5, "dS": 4.5, "dT": 1.0, "dX": -6.0, "lE": 3.0, "lT": 0.0, "lX": -0.3,
     "gE": 2.5, "gT": 2.0, "gN": 2.0, "gI": 1.0, "gD": -6.0, "sE": 1.5, "sT": 1.2, "sC": 1.0, "sD": -3.0, "fB": -1.0, "fF": 1.0,
 }
-CODES = {"e": "ELMX", "p": "EMX", "d": "ESTMX", "l": "EMTX", "g": "ETNIMD", "s": "ETCMD", "f": "PFB"}
+CODES = {"e": "ELMX", "p": "EMX", "l": "EMTX", "d": "ESTMX", "g": "ETNIMD", "s": "ETCMD", "f": "PFB"}
 CROSS = (("e", "d"), ("e", "p"), ("p", "d"), ("l", "d"), ("e", "g"), ("p", "g"), ("l", "g"), ("d", "g"), ("g", "s"), ("d", "s"), ("f", "s"), ("e", "l"), ("p", "l"))
 FEATURES = ["bias", *(a + x for a in CODES for x in CODES[a]), *(a + x + b + y for a, b in CROSS for x in CODES[a] for y in CODES[b])]
 _AT = {f: i for i, f in enumerate(FEATURES)}
@@ -369,7 +391,10 @@ def score(codes: pd.DataFrame, weights: np.ndarray) -> np.ndarray:
 
 
 def codes_of(pairs: DataFrame, people: DataFrame) -> DataFrame:
-    """(id1, id2, codes, differ) of pairs(id1, id2): contact, birth and place compared in Spark, names in batches."""
+    """(id1, id2, code, differ) of pairs(id1, id2): contact and place compared in Spark, birth and names in batches.
+
+    ``code`` has a letter for each entry of CODES, in its order.
+    """
     side = lambda i: people.select(F.col("record_id").alias(f"id{i}"), *[F.col(c).alias(f"{c}{i}") for c in FIELDS])
     both = pairs.join(side(1), "id1").join(side(2), "id2")
     missing = lambda c: F.col(f"{c}1").isNull() | F.col(f"{c}2").isNull()
@@ -378,16 +403,18 @@ def codes_of(pairs: DataFrame, people: DataFrame) -> DataFrame:
     p = F.when(missing("phone"), "M").when(same("phone"), "E").otherwise("X")
     place = F.when(missing("place"), "M").when(same("place"), "E").when(same("town"), "T").otherwise("X")
     names = [f"{c}{i}" for i in (1, 2) for c in ("firm", "given", "initial", "rest")]
-    ready = both.select("id1", "id2", e.alias("e"), p.alias("p"), place.alias("l"), F.coalesce("dob1", F.lit(0)).alias("dob1"), F.coalesce("dob2", F.lit(0)).alias("dob2"), *names, (F.col("nm1") != F.col("nm2")).alias("differ"))
+    ready = both.select("id1", "id2", F.concat(e, p, place).alias("epl"), F.coalesce("dob1", F.lit(0)).alias("dob1"), F.coalesce("dob2", F.lit(0)).alias("dob2"), *names, (F.col("nm1") != F.col("nm2")).alias("differ"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for df in batches:
-            df["d"] = [_born_like(x, y) if x and y else "M" for x, y in zip(df["dob1"].tolist(), df["dob2"].tolist())]
-            df["g"], df["s"], df["f"] = name_codes(df)
-            yield df[["id1", "id2", "e", "p", "d", "l", "g", "s", "f", "differ"]]
+    shape = "id1 string, id2 string, code string, differ boolean"
 
-    shape = "id1 string, id2 string, e string, p string, d string, l string, g string, s string, f string, differ boolean"
-    return ready.mapInPandas(run, shape)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = {c: batch.column(c).to_pylist() for c in ("id1", "id2", "epl", "differ", "dob1", "dob2", *names)}
+            d = [_born_like(x, y) if x and y else "M" for x, y in zip(got["dob1"], got["dob2"])]
+            got["code"] = ["".join(x) for x in zip(got["epl"], d, *name_codes([got[n] for n in names]))]
+            yield arrow(got, shape)
+
+    return ready.mapInArrow(run, shape)
 
 
 def joined_before(golden: DataFrame) -> DataFrame:
@@ -398,27 +425,25 @@ def joined_before(golden: DataFrame) -> DataFrame:
     return one.withColumnRenamed("id", "id1").join(one.withColumnRenamed("id", "id2"), "golden_id").where("id1 < id2").select("id1", "id2").distinct()
 
 
-def learn(codes: DataFrame, labels: DataFrame, across: bool = True) -> tuple[np.ndarray, float]:
-    """Fit on all candidates: equal codes are counted together first, so the driver gets the table of codes only.
+def learn(codes: DataFrame, labels: DataFrame) -> DataFrame:
+    """(code, probability) of every code among the candidates: the calibrated chance that such a pair is one entity.
 
-    With ``across`` only pairs of the two sources train it, as an earlier process joined records of B only through A.
+    Equal codes are counted together, so the driver gets at most as many rows as there are codes, some 20,000, and the
+    answer is small enough to broadcast.  Pairs of the two sources train the model, as an earlier process joined records
+    of B only through A.
     """
-    keys = list(CODES)
-    codes = codes.where("substring(id1, 1, 1) <> substring(id2, 1, 1)") if across else codes
+    across = F.substring("id1", 1, 1) != F.substring("id2", 1, 1)
     marked = codes.join(labels.withColumn("y", F.lit(1)), ["id1", "id2"], "left")
-    table = marked.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.count("y").alias("y")).toPandas()  # at most the product of the codes
-    if not len(table):
-        return np.array([PRIOR.get(f, 0.0) for f in FEATURES]), 0.15
-    both = pd.concat([table.assign(label=1.0, w=table["y"]), table.assign(label=0.0, w=table["n"] - table["y"])])
+    table = marked.groupBy("code").agg(F.count(F.lit(1)).alias("all_n"), F.count(F.when(across, 1)).alias("n"), F.count(F.when(across, F.col("y"))).alias("y")).toPandas()
+    split = pd.DataFrame([list(c) for c in table["code"]], columns=list(CODES)) if len(table) else pd.DataFrame(columns=list(CODES))
+    both = pd.concat([split.assign(label=1.0, w=table["y"]), split.assign(label=0.0, w=table["n"] - table["y"])])
     both = both[both["w"] > 0]
-    return fit(both[keys].reset_index(drop=True), both["label"].to_numpy(), both["w"].to_numpy(dtype=float))
-
-
-def scored(codes: DataFrame, weights: np.ndarray) -> DataFrame:
-    """codes with the calibrated probability of a true pair."""
+    weights = fit(both[list(CODES)].reset_index(drop=True), both["label"].to_numpy(), both["w"].to_numpy(dtype=float))[0] if len(both) else np.array([PRIOR.get(f, 0.0) for f in FEATURES])
+    rows = list(zip(table["code"].tolist(), score(split, weights).tolist())) if len(table) else []
+    return codes.sparkSession.createDataFrame(rows, "code string, probability double")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for df in batches:
-            yield df.assign(probability=score(df, weights))
 
-    return codes.mapInPandas(run, T.StructType([*codes.schema.fields, T.StructField("probability", T.DoubleType())]))
+def scored(codes: DataFrame, chances: DataFrame, threshold: float) -> DataFrame:
+    """(id1, id2, differ, probability) of candidates of at least this probability, each pair once."""
+    likely = F.broadcast(chances.where(F.col("probability") >= threshold))
+    return codes.join(likely, "code").select("id1", "id2", "differ", "probability").dropDuplicates(["id1", "id2"])
