@@ -5,8 +5,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions.hashing import Fingerprint, fingerprint, hashed
-from tidemark.operators import browse, diff, gate, linkage
+from tidemark.operators import browse, diff, gate, linkage, review
 from tidemark.operators.checksum_diff import checksum_diff
+from tidemark.plans import playbook
 from tidemark.plans.branch import Engine
 from tidemark.plans.retarget import BranchState, retarget
 from tidemark.sources import delimited, synthetic
@@ -348,3 +349,60 @@ def test_contract_of_events(spark):
     bad = spark.createDataFrame([("nope", "1", "r", None, "{}"), ("run.ended", "1", "r", None, "{}"), ("run.ended", "1", "r", None, "x"), ("run.ended", "1", "r", None, '{"status":"OK"}')], ev.ENVELOPE)
     assert [r["problem"] for r in ev.validated(bad).collect()] == ["unknown type nope", "missing status", "payload is no object", None]
     assert len(ev.json_schema()["oneOf"]) == 32
+
+
+# mappings, blocking statements, plans, review
+
+
+@pytest.mark.parametrize("text", ["", "(SELECT max(ID) FROM T)", "MOBILE FROM X", "upper(a), b", "T.a", "sleep(1)", "count(*) OVER ()", "a; b", "no_such_column"])
+def test_hostile_mappings_are_refused(spark, text):
+    with pytest.raises(StoreError, match="BAD_MAPPING"):
+        playbook.check_expression(spark, text, spark.createDataFrame([("x", "y")], "a string, b string"))
+
+
+def test_mapping_needs_all_fields(spark):
+    b = spark.createDataFrame([("x",)], "a string")
+    whole = {f: "upper(trim(a))" for f in playbook.REQUIRED}
+    playbook.check_mapping(spark, whole, b)
+    assert playbook.mapped(b, {"EMAIL": "CASE WHEN a IN ('x') THEN concat(a, 'z') END"}).first()["B_EMAIL"] == "xz"
+    for bad in ({k: v for k, v in whole.items() if k != "EMAIL"}, whole | {"SALARY": "a"}):
+        with pytest.raises(StoreError, match="BAD_MAPPING"):
+            playbook.check_mapping(spark, bad, b)
+
+
+def test_blocking_statements(spark):
+    spark.createDataFrame([("A1", "x"), ("A2", "y"), (None, "x")], "CUST_ID string, E string").createOrReplaceTempView("SOURCE_A__CUSTOMERS")
+    spark.createDataFrame([("B1", "x"), ("B1", "x")], "REF string, E string").createOrReplaceTempView("SOURCE_B__CLIENTS")
+    ok = "SELECT a.CUST_ID AS A_ID, b.REF AS B_ID FROM SOURCE_A.CUSTOMERS a JOIN SOURCE_B.CLIENTS b ON a.E = b.E"
+    assert rows(playbook.stage_candidates(spark, ok, "R")) == [("A1", "B1", "R")]
+    for bad in ("DELETE FROM SOURCE_A.CUSTOMERS", "SELECT ID AS A_ID, ID AS B_ID FROM GOLDEN.CUSTOMERS", "SELECT CUST_ID AS A_ID FROM SOURCE_A.CUSTOMERS"):
+        with pytest.raises(StoreError):
+            playbook.stage_candidates(spark, bad, "R")
+
+
+def test_recorded_plan_is_replayed(engine):
+    plan = ['{"op": "open_branch", "branch": "one"}', '{"op": "run_in_branch", "branch": "one", "sql": "UPDATE GOLDEN.CUSTOMERS SET GRP = 7 WHERE ID = \'G0003\'"}', '{"op": "run_in_branch", "branch": "one", "sql": "COMMIT"}', '{"op": "request_merge", "branch": "one", "confidence": 0.9}']
+    out = playbook.replay(engine, plan)
+    assert [x.get("status") for x in out] == [None, "OK", "BLOCKED", "MERGED"] and out[-1]["applied"] == 1
+    assert playbook.self_check(0.9, 5, 5) == 0.9 and playbook.self_check(0.9, 5, 4) == 0.7 and playbook.self_check(0.4, 1, 2) == 0.3
+
+
+def test_matching_with_and_without_adjudicator(spark):
+    raw = "id string, full_name string, email string, phone string, addr_line string, city string, postcode string, dob date"
+    a = linkage.normalise(spark.createDataFrame([("A1", "John Smith", None, "020 1234567", "1 High St", "Ely", "E1", None)], raw))
+    b = linkage.normalise(spark.createDataFrame([("B1", "John Smith Jr", None, "020 1234567", "1 High St", "Ely", "E1", None)], raw))
+    staged = [linkage.standard_rules(a, b)["PHONE7"]]
+    assert [r["verdict"] for r in playbook.run_matching(a, b, staged).collect()] == ["REJECT"]
+    yes = playbook.run_matching(a, b, staged, lambda split: split.select("a_id", "b_id", F.lit("SAME_PERSON").alias("decision")))
+    assert [(r["verdict"], r["match_class"]) for r in playbook.clone_matching(yes, "run2").collect()] == [("MERGE", "PHONE_ADDRESS")]
+
+
+def test_review_of_cards_and_precedents(spark):
+    cards = spark.createDataFrame([("1", "CHANGED", None, 2, True, 0.9), ("2", "DELETED", None, 2, True, 0.8), ("3", "CHANGED", "SPLIT", 2, False, 0.7), ("4", "CHANGED", None, 5, True, 0.6)], "key_value string, class string, panel_result string, component_size int, approved boolean, score_total double")
+    assert [r["key_value"] for r in review.review_order(cards).collect()] == ["3", "4", "2", "1"]
+    assert [r["key_value"] for r in review.filter_cards(cards, show="review").collect()] == ["3"]
+    assert [r["key_value"] for r in review.filter_cards(cards, "delet", sort="score_desc").collect()] == ["2"]
+    log = spark.createDataFrame([(1, "RECORD", "c", "v", None, 1), (1, "CITE", None, None, None, 2), (1, "NOTE", None, None, "n", 3), (2, "RECORD", "d", "w", None, 4), (2, "DELETE", None, None, None, 5)], "precedent_id int, action string, context string, verdict string, note string, at int")
+    assert [tuple(r) for r in review.standing_precedents(log).select("precedent_id", "context", "note", "times_cited").collect()] == [(1, "c", "n", 1)]
+    pairs = spark.createDataFrame([("k", "d")], "keep_golden_id string, drop_golden_id string")
+    assert rows(review.closed_keys(spark.createDataFrame([("d",), ("x",)], "key_value string"), pairs)) == [("d",), ("k",), ("x",)]

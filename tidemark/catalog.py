@@ -9,9 +9,9 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark.functions.hashing import fingerprint_sums, hashed, row_hash
-from tidemark.operators import browse, diff, gate, linkage, merge
+from tidemark.operators import browse, diff, gate, linkage, merge, review
 from tidemark.operators.checksum_diff import checksum_diff
-from tidemark.plans import dml
+from tidemark.plans import dml, playbook
 from tidemark.sources import delimited, synthetic
 from tidemark.sources.tables import read_table
 from tidemark.streaming import events as ev
@@ -633,3 +633,63 @@ def synthetic_systems(spark, sf):
     """Rows of two synthetic systems and of their known answer."""
     named = zip(("a", "b", "truth"), synthetic.customers(spark, 20000))
     return reduce(DataFrame.unionByName, [df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(n).alias("what"), "n") for n, df in named])
+
+
+# ---- review, plans, the state of the system
+
+
+@query("system_snapshot", " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS n_rows FROM {t}" for t in ("branch_customers", "candidates", "customer", "diff_rows", "events", "golden_seed", "lineitem", "orders", "source_a", "source_b")))
+def system_snapshot(spark, sf):
+    """Rows of every table, in one job."""
+    names = ("branch_customers", "candidates", "customer", "diff_rows", "events", "golden_seed", "lineitem", "orders", "source_a", "source_b")
+    return review.snapshot({t: read_table(spark, sf, t) for t in names}).select("table_name", "n_rows")
+
+
+@query("review_order", """WITH c AS (SELECT pair_id, panel_result, coalesce(upper(trim(verdict)) = 'MERGE', false) AS approved, a_id FROM candidates), n AS (SELECT a_id, count(*) AS k FROM candidates WHERE a_id IS NOT NULL GROUP BY 1)
+    SELECT cast(pair_id AS VARCHAR) AS key_value, CASE WHEN panel_result = 'SPLIT' THEN 0 WHEN coalesce(k, 0) > 2 THEN 1 WHEN NOT approved THEN 3 ELSE 4 END AS review_rank FROM c LEFT JOIN n USING (a_id)""")
+def review_order(spark, sf):
+    """Candidates in the order in which people should look at them."""
+    c = read_table(spark, sf, "candidates")
+    size = c.where("a_id is not null").groupBy("a_id").agg(F.count(F.lit(1)).alias("component_size"))
+    approved = F.coalesce(F.upper(F.trim("verdict")) == "MERGE", F.lit(False))
+    cards = c.join(size, "a_id", "left").select(F.col("pair_id").cast("string").alias("key_value"), F.lit("CHANGED").alias("class"), "panel_result", F.coalesce("component_size", F.lit(0)).alias("component_size"), approved.alias("approved"))
+    return review.review_order(cards).select("key_value", "review_rank")
+
+
+@query("dedup_pair_closure", f"WITH {_LINK_SQL}, d AS (SELECT 'G-' || a_id AS k, 'G-' || b_id AS x FROM ({_RULES_SQL['SELF_EMAIL']})), s AS (SELECT DISTINCT key_value AS v FROM diff_rows WHERE default_reason = 'HUMAN' AND key_value IS NOT NULL) SELECT DISTINCT v AS key_value FROM (SELECT v FROM s UNION ALL SELECT x FROM d JOIN s ON v = k UNION ALL SELECT k FROM d JOIN s ON v = x)")
+def dedup_pair_closure(spark, sf):
+    """Deciding on one row of a kept and dropped pair decides on both."""
+    pairs = publish_dedup(spark, sf)
+    decided = read_table(spark, sf, "diff_rows").where("default_reason = 'HUMAN' and key_value is not null")
+    return review.closed_keys(decided, pairs)
+
+
+@query("precedents_standing", """WITH l AS (SELECT user_id AS precedent_id, CASE event_type WHEN (SELECT min(event_type) FROM events) THEN 'RECORD' WHEN (SELECT max(event_type) FROM events) THEN 'DELETE' ELSE 'CITE' END AS action, event_id AS said_at FROM events),
+    w AS (SELECT *, row_number() OVER (PARTITION BY precedent_id ORDER BY said_at DESC) AS n FROM l WHERE action <> 'CITE')
+    SELECT precedent_id, (SELECT count(*) FROM l c WHERE c.precedent_id = w.precedent_id AND c.action = 'CITE') AS times_cited FROM w WHERE n = 1 AND action <> 'DELETE' AND precedent_id IN (SELECT precedent_id FROM l WHERE action = 'RECORD')""")
+def precedents_standing(spark, sf):
+    """A log of recorded, cited and deleted precedents, folded; the event types stand for the actions."""
+    e = read_table(spark, sf, "events")
+    ends = e.agg(F.min("event_type").alias("lo"), F.max("event_type").alias("hi"))
+    action = F.when(F.col("event_type") == F.col("lo"), "RECORD").when(F.col("event_type") == F.col("hi"), "DELETE").otherwise("CITE")
+    log = e.join(F.broadcast(ends)).select(F.col("user_id").alias("precedent_id"), action.alias("action"), F.col("props").alias("context"), F.lit("SAME_PERSON").alias("verdict"), F.lit("").alias("note"), F.col("event_id").alias("at"))
+    return review.standing_precedents(log).select("precedent_id", "times_cited")
+
+
+@query("allowed_rows", """WITH f AS (SELECT o_custkey, (o_custkey % 11) / 10.0 AS confidence, count(*) FILTER (o_orderstatus = 'F') AS changed FROM orders GROUP BY o_custkey)
+    SELECT o_custkey, round(cast(CASE WHEN (1 - confidence) * (CASE WHEN changed > 0 THEN 0.7 ELSE 0 END) > 0 THEN least(30000.0, 200 / ((1 - confidence) * 0.7)) ELSE 30000.0 END AS DOUBLE), 4) AS allowed FROM f""")
+def allowed_rows(spark, sf):
+    """How many rows each change-set might hold at its confidence."""
+    f = read_table(spark, sf, "orders").groupBy("o_custkey").agg(F.count(F.when(F.col("o_orderstatus") == "F", 1)).alias("changed"))
+    f = f.withColumns({"added": F.lit(0), "deleted": F.lit(0), "confidence": (F.col("o_custkey") % 11).cast("double") / 10.0})
+    return f.select("o_custkey", F.round(gate.allowed_rows(gate.TIERS[2]), 4).alias("allowed"))
+
+
+@query("mapping_projection", "SELECT client_ref, upper(trim(last_name)) AS B_FULL_NAME, lower(trim(email_addr)) AS B_EMAIL, coalesce(zip, '') AS B_POSTCODE FROM source_b")
+def mapping_projection(spark, sf):
+    """Declared expressions, checked and applied."""
+    b = read_table(spark, sf, "source_b")
+    m = {"FULL_NAME": "upper(trim(last_name))", "EMAIL": "lower(trim(email_addr))", "POSTCODE": "coalesce(zip, '')"}
+    for e in m.values():
+        playbook.check_expression(spark, e, b)
+    return playbook.mapped(b, m).select("client_ref", *[f"B_{f}" for f in m])
