@@ -201,9 +201,9 @@ def test_merge_statement_and_ambiguous_source(engine):
     [
         ("MULTI_STATEMENT", "SELECT 1; DROP TABLE GOLDEN.CUSTOMERS"), ("PRIVILEGE", "GRANT SELECT ON GOLDEN.CUSTOMERS TO PUBLIC"), ("TRANSACTION", "COMMIT"), ("SESSION", "SET x = 1"), ("SESSION", "USE golden"),
         ("DDL", "ALTER TABLE GOLDEN.CUSTOMERS ADD COLUMN x int"), ("DDL", "CREATE VIEW GOLDEN.V AS SELECT 1"), ("UNSUPPORTED_STATEMENT", "EXPLAIN SELECT 1"), ("UNKNOWN_SCHEMA", "SELECT * FROM OTHER.T"),
-        ("FORBIDDEN_SCHEMA", "SELECT * FROM DRYDOCK.MERGES"), ("UNQUALIFIED_REFERENCE", "SELECT * FROM CUSTOMERS"), ("RESERVED_NAME", "SELECT * FROM GOLDEN.CUSTOMERS__ARCH_1"), ("DDL_ON_PRODUCTION", "DROP TABLE GOLDEN.CUSTOMERS"),
+        ("FORBIDDEN_SCHEMA", "SELECT * FROM CONTROL.MERGES"), ("UNQUALIFIED_REFERENCE", "SELECT * FROM CUSTOMERS"), ("RESERVED_NAME", "SELECT * FROM GOLDEN.CUSTOMERS__ARCH_1"), ("DDL_ON_PRODUCTION", "DROP TABLE GOLDEN.CUSTOMERS"),
         ("WRITE_TO_READONLY", "DELETE FROM SOURCE_A.CUSTOMERS"), ("OTHER_BRANCH", "SELECT * FROM BR_00000000.T"), ("PARSE_ERROR", "SELEKT 1"), ("FORBIDDEN_SCHEMA", "SELECT * FROM GOLDEN.CUSTOMERS c, SYS.USERS u"),
-        ("FORBIDDEN_SCHEMA", "SELECT (SELECT max(x) FROM DRYDOCK.T) FROM GOLDEN.CUSTOMERS"), ("DYNAMIC_TABLE", "SELECT * FROM range(10)"),
+        ("FORBIDDEN_SCHEMA", "SELECT (SELECT max(x) FROM CONTROL.T) FROM GOLDEN.CUSTOMERS"), ("DYNAMIC_TABLE", "SELECT * FROM range(10)"),
     ],
 )
 def test_refused_statements(spark, code, sql):
