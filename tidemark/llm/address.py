@@ -65,7 +65,7 @@ def fold(text: str | None) -> str:
     return " ".join("".join(c for c in text if not unicodedata.combining(c)).split())
 
 
-@lru_cache(300_000)
+@lru_cache(50_000)
 def near(a: str, b: str) -> float:
     """Likeness of two words, 1 for equal ones: one minus the share of Damerau-Levenshtein edits."""
     if a == b:
@@ -105,13 +105,13 @@ def zip_key(text: str | None) -> str:
     return "0" + z if re.fullmatch(r"\d{4}", z) else z
 
 
-@lru_cache(100_000)
+@lru_cache(20_000)
 def kinds_of(word: str) -> frozenset[str]:
     """The kinds of street that a word may stand for."""
     return frozenset(k for k, short in KINDS.items() if word == k or word in short.split()) | frozenset(k for k, ws in ENDINGS.items() if word in ws)
 
 
-@lru_cache(100_000)
+@lru_cache(20_000)
 def split_ending(word: str) -> tuple[str, frozenset[str]]:
     """Stem and kinds of a one-word street."""
     for size in range(min(7, len(word) - 3), 0, -1):

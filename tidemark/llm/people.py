@@ -120,7 +120,7 @@ def typed_alike(a: str, b: str, k: int) -> bool:
     return edits(a, b) <= k
 
 
-@lru_cache(500_000)
+@lru_cache(100_000)
 def alike(a: str, b: str) -> str:
     """E equal, T within the typing errors of the length, N a short form of the other, D different."""
     if a == b:
