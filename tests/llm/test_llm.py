@@ -371,6 +371,17 @@ def test_entities_are_matched(spark):
     assert match(a.limit(0), b.limit(0), g.limit(0)).count() == 0
 
 
+def test_a_default_held_by_a_third_of_the_rows_links_nobody(spark):
+    a, b, g, truth = population(spark)
+    crowd = [(f"B-C{i:03d}", "Ann", "Ashdown", "all@mail.example", "0555 010 0200", "1 Default Road", "Ely", "EL1 1AA", "GB", "01/01/1985", None) for i in range(130)]
+    more = b.unionByName(spark.createDataFrame(crowd, B_COLS).withColumn("id1", F.lit("q")).withColumn("context", F.lit(1)))
+    p, crowded = people.profiles(a, more)
+    held = p.where(F.col("record_id").startswith("B-C")).select("local", "email", "phone", "place", "dob").distinct().collect()
+    assert [tuple(r) for r in held] == [(None,) * 5] and crowded.where("n >= 130").count() == 4
+    got = {(r["id1"], r["id2"]) for r in match(a, more, g).collect()}
+    assert len(got & truth) >= 0.97 * len(truth) and not [x for x in got if "B-C" in x[1]]
+
+
 def test_name_variants_are_linked(spark):
     a, b, g, truth = population(spark)
     name = {r["cust_id"]: r["full_name"] for r in a.collect()} | {r["client_ref"]: " ".join(x for x in (r["first_name"], r["last_name"]) if x) for r in b.collect()}

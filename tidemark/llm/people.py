@@ -17,7 +17,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.llm.address import PARSED, edits, parse_row, resolve
 from tidemark.session import broadcast_small, scratch
@@ -26,6 +26,8 @@ from tidemark.session import broadcast_small, scratch
 MAX_LEXICON = 50_000
 #: A contact value or place that more records hold identifies nobody by itself.
 MAX_HOLDERS = 60
+#: So many days people are born on; a date held by COMMON_DAY times its share of the records is a default, not a birthday.
+DAYS, COMMON_DAY = 36_500, 40
 #: Titles, generations, legal forms, words of a firm's desk.
 TITLES = frozenset("mr mrs ms miss dr prof sir dame herr frau sr sra srta dhr mevr mw jr snr jnr ii iii iv dipl ing".split())
 LEGAL = frozenset("ltd limited plc gmbh bv sl llc inc co corp company kg ag nv sa incorporated".split())
@@ -248,16 +250,19 @@ def clean_day(text: str | None) -> int | None:
     return y * 10000 + mo * 100 + d if d <= last else None
 
 
+def _values() -> dict[str, Column]:
+    """kind -> the value that makes a context: contact values, the place, the date without regard to day and month exchanged."""
+    day, month = F.col("dob") % 100, F.floor(F.col("dob") / 100) % 100
+    flip = F.floor(F.col("dob") / 10000) * 10000 + F.least(day, month) * 100 + F.greatest(day, month)
+    return {"e": F.col("local"), "p": F.col("phone"), "l": F.col("place"), "d": flip}
+
+
 def contexts(people: DataFrame, extra: list[str]) -> DataFrame:
     """(record_id, *extra, context, kind) for each contact value, place and date of birth of a record.
 
-    A context is a hash of kind and value; one made by chance only makes candidates that the comparison turns down.  A
-    date with day and month exchanged has the same context.
+    A context is a hash of kind and value; one made by chance only makes candidates that the comparison turns down.
     """
-    day, month = F.col("dob") % 100, F.floor(F.col("dob") / 100) % 100
-    flip = F.floor(F.col("dob") / 10000) * 10000 + F.least(day, month) * 100 + F.greatest(day, month)
-    values = (("e", F.col("local")), ("p", F.col("phone")), ("l", F.col("place")), ("d", flip))
-    kinds = [F.when(v.isNotNull(), F.struct(F.xxhash64(F.lit(k), v).alias("context"), F.lit(k).alias("kind"))) for k, v in values]
+    kinds = [F.when(v.isNotNull(), F.struct(F.xxhash64(F.lit(k), v).alias("context"), F.lit(k).alias("kind"))) for k, v in _values().items()]
     return people.select("record_id", *extra, F.inline(F.array_compact(F.array(*kinds))))
 
 
@@ -298,7 +303,7 @@ def profiles(a: DataFrame, b: DataFrame, least: int = 30) -> tuple[DataFrame, Da
     local = F.substring_index("email", "@", 1)
     own = ["record_id", "firm", "given", "initial", "rest", "local", "email", "phone", "dob", "nm"]
     done = everyone.select(*taken).mapInArrow(run, shape).select(
-        "record_id", "firm", "given", "initial", "rest", F.when(F.length(local) > 5, F.xxhash64(local)).alias("local"), F.when(F.col("email").isNotNull(), F.xxhash64("email")).alias("email"),
+        "record_id", "firm", "given", "initial", "rest", F.when(F.col("email").isNotNull(), F.xxhash64(F.when(F.length(local) > 5, local).otherwise(F.col("email")))).alias("local"), F.when(F.col("email").isNotNull(), F.xxhash64("email")).alias("email"),
         "phone", "dob", F.xxhash64("name").alias("nm"), *PARSED,
     )
     parsed = area.table(done, "parsed")
@@ -306,9 +311,11 @@ def profiles(a: DataFrame, b: DataFrame, least: int = 30) -> tuple[DataFrame, Da
     place = F.when(F.col("block").isNotNull(), F.xxhash64("block", "street", "number", "letter", "unit"))
     full = full.select(*own, place.alias("place"), F.when(F.col("block").isNotNull(), F.xxhash64("block")).alias("town"))
     crowded = area.table(contexts(full, []).groupBy("context", "kind").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > least), "crowded")
-    for c, k in (("local", "e"), ("phone", "p")):  # values that many hold identify nobody
-        crowd = broadcast_small(crowded.where((F.col("kind") == k) & (F.col("n") > MAX_HOLDERS)).select(F.col("context").alias("__c"), F.lit(True).alias(f"{c}_crowd")))
-        full = full.withColumn("__c", F.xxhash64(F.lit(k), c)).join(crowd, "__c", "left").drop("__c").withColumn(c, F.when(F.col(f"{c}_crowd").isNull(), F.col(c)))
+    born = parsed.where("dob is not null").count()
+    limits = {"e": MAX_HOLDERS, "p": MAX_HOLDERS, "l": MAX_HOLDERS, "d": max(MAX_HOLDERS, COMMON_DAY * born // DAYS)}
+    for c, k in (("local", "e"), ("phone", "p"), ("place", "l"), ("dob", "d")):  # values that very many hold identify nobody
+        crowd = broadcast_small(crowded.where((F.col("kind") == k) & (F.col("n") > limits[k])).select(F.col("context").alias("__c"), F.lit(True).alias(f"{c}_crowd")))
+        full = full.withColumn("__c", F.xxhash64(F.lit(k), _values()[k])).join(crowd, "__c", "left").drop("__c").withColumn(c, F.when(F.col(f"{c}_crowd").isNull(), F.col(c)))
     full = full.withColumn("email", F.when(F.col("local_crowd").isNull(), F.col("email")))
     people = area.table(full.select("record_id", *FIELDS), "profiles")
     area.drop(parsed)
