@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import address, canonical, clean, fusion, leakage, names, packing, people, spans
+from tidemark.llm import address, canonical, clean, fusion, leakage, matching, names, packing, people, spans
 from tidemark.llm.address import parse_row, same_location
 from tidemark.llm.groups import connected_groups
 from tidemark.llm.leakage import align, find_leaks, words
@@ -382,6 +382,33 @@ def test_a_default_held_by_a_third_of_the_rows_links_nobody(spark):
     assert len(got & truth) >= 0.97 * len(truth) and not [x for x in got if "B-C" in x[1]]
 
 
+def test_busy_values_still_make_pairs(spark):
+    a, b, g, truth = population(spark)
+    fill = lambda df: df.withColumn("id1", F.lit("q")).withColumn("context", F.lit(1))
+    firms = [(f"A-F{i:03d}", f"Accounts Firm{i:03d} Ltd", f"accounts@firm{i:03d}.example", *[None] * 7) for i in range(80)]
+    same = [(f"B-F{i:03d}", f"Firm{i:03d}", "Limited", f"accounts@firm{i:03d}.example", *[None] * 7) for i in range(80)]
+    one = [(f"A-M{i:03d}", "Zoe Quarrington", "zoe.q@mail.example", "0207999001", *[None] * 6) for i in range(45)]
+    two = [(f"B-M{i:03d}", "Zoe", "Quarington", "zoe.q@mail.example", "0207999001", *[None] * 6) for i in range(45)]
+    more_a, more_b = a.unionByName(fill(spark.createDataFrame(firms + one, A_COLS))), b.unionByName(fill(spark.createDataFrame(same + two, B_COLS)))
+    seen = g.unionByName(fill(spark.createDataFrame([(f"G-M{i}", *[None] * 8, f"A-M{i:03d}", f"B-M{i:03d}", ",".join(f"A-M{j:03d}" for j in range(45) if j != i), None, None) for i in range(45)], G_COLS)))
+    p, crowded = people.profiles(more_a, more_b)
+    held = {r["record_id"][:3]: r for r in p.collect()}
+    assert held["A-F"]["email"] is not None and held["A-F"]["local"] is None  # the whole address is judged apart
+    assert held["A-M"]["email"] is None and held["A-M"]["few"] == "emp"
+    pairs = {tuple(r) for r in matching.candidate_pairs(p, crowded).collect()}
+    assert all((f"A-F{i:03d}", f"B-F{i:03d}") in pairs for i in range(80)) and sum(x[:3] + y[:3] == "A-MB-M" for x, y in pairs) == 45 * 45
+    assert sum(x[:3] + y[:3] == "A-MB-M" for x, y in map(tuple, variant_pairs(p, crowded).collect())) == 45 * 45
+    got = {(r["id1"], r["id2"]) for r in match(more_a, more_b, seen).collect()}
+    assert sum(x[:3] + y[:3] == "A-MB-M" for x, y in got) == 45 * 45 and len(got & truth) >= 0.97 * len(truth)
+
+
+def test_repeated_rows_make_no_value_busy(spark):
+    a, b, g, truth = population(spark)
+    again = a.where("cust_id = 'A-001'").withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(100)))).drop("k")
+    p, _ = people.profiles(a.unionByName(again), b)
+    assert p.where("record_id = 'A-001' and email is not null and phone is not null and place is not null and dob is not null").count() >= 100
+
+
 def test_name_variants_are_linked(spark):
     a, b, g, truth = population(spark)
     name = {r["cust_id"]: r["full_name"] for r in a.collect()} | {r["client_ref"]: " ".join(x for x in (r["first_name"], r["last_name"]) if x) for r in b.collect()}

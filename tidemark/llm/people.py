@@ -24,7 +24,7 @@ from tidemark.session import broadcast_small, scratch
 
 #: Words kept in the lexicon, the commonest first; names of other words are split by place alone.
 MAX_LEXICON = 50_000
-#: A contact value or place that more records hold identifies nobody by itself.
+#: A contact value or place that more records hold is busy: it says less than others, how much is learnt.
 MAX_HOLDERS = 60
 #: So many days people are born on; a date held by COMMON_DAY times its share of the records is a default, not a birthday.
 DAYS, COMMON_DAY = 36_500, 40
@@ -201,7 +201,9 @@ def given_from_mail(local: str | None, initial: str, rest: str, words_of: dict[s
 
 
 #: What a profile holds: names as text; contact values, place and locality as 64-bit hashes; the date as yyyymmdd.
-FIELDS = "firm given initial rest local email phone dob place town nm".split()
+#: A busy value stands in the column ending in _b; ``few`` has the kinds of the busy values that few names hold.
+BUSY = "local_b email_b phone_b place_b dob_b few".split()
+FIELDS = "firm given initial rest local email phone dob place town nm".split() + BUSY
 
 
 def _raw(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -250,19 +252,38 @@ def clean_day(text: str | None) -> int | None:
     return y * 10000 + mo * 100 + d if d <= last else None
 
 
-def _values() -> dict[str, Column]:
-    """kind -> the value that makes a context: contact values, the place, the date without regard to day and month exchanged."""
-    day, month = F.col("dob") % 100, F.floor(F.col("dob") / 100) % 100
-    flip = F.floor(F.col("dob") / 10000) * 10000 + F.least(day, month) * 100 + F.greatest(day, month)
-    return {"e": F.col("local"), "p": F.col("phone"), "l": F.col("place"), "d": flip}
+def _flip(dob: str) -> Column:
+    """A date without regard to day and month exchanged."""
+    day, month = F.col(dob) % 100, F.floor(F.col(dob) / 100) % 100
+    return F.floor(F.col(dob) / 10000) * 10000 + F.least(day, month) * 100 + F.greatest(day, month)
+
+
+#: kind -> the column of the value: part before the @, contact values, the place, the date of birth.
+KINDS = {"e": "local", "m": "email", "p": "phone", "l": "place", "d": "dob"}
+
+
+def _value(kind: str, column: str) -> Column:
+    return F.xxhash64(F.lit(kind), _flip(column) if kind == "d" else F.col(column))
 
 
 def contexts(people: DataFrame, extra: list[str]) -> DataFrame:
     """(record_id, *extra, context, kind) for each contact value, place and date of birth of a record.
 
-    A context is a hash of kind and value; one made by chance only makes candidates that the comparison turns down.
+    A context is a hash of kind and value; one made by chance only makes candidates that the comparison turns down.  A
+    busy value that many names hold makes a context with the initial (kind in capitals), any other one by itself.  A
+    whole e-mail address makes one where its part before the @ is busy.
     """
-    kinds = [F.when(v.isNotNull(), F.struct(F.xxhash64(F.lit(k), v).alias("context"), F.lit(k).alias("kind"))) for k, v in _values().items()]
+    kinds = []
+    for k, c in KINDS.items():
+        own = F.struct(_value(k, c).alias("context"), F.lit(k).alias("kind"))
+        busy = F.struct(_value(k, f"{c}_b").alias("context"), F.lit(k).alias("kind"))
+        many = F.struct(F.xxhash64(_value(k, f"{c}_b"), F.coalesce("initial", F.lit(""))).alias("context"), F.lit(k.upper()).alias("kind"))
+        held = F.when(F.col("few").contains(k), busy).otherwise(many)
+        if k == "m":
+            apart = F.col("local_b").isNotNull() & (F.coalesce("email", "email_b") != F.col("local_b"))
+            kinds.append(F.when(apart & F.col("email").isNotNull(), own).when(apart & F.col("email_b").isNotNull(), held))
+        else:
+            kinds.append(F.when(F.col(c).isNotNull(), own).when(F.col(f"{c}_b").isNotNull(), held))
     return people.select("record_id", *extra, F.inline(F.array_compact(F.array(*kinds))))
 
 
@@ -278,7 +299,7 @@ def profiles(a: DataFrame, b: DataFrame, least: int = 30) -> tuple[DataFrame, Da
 
     people(record_id, *FIELDS) are the cleaned attributes of every record, null where missing.  Each record is parsed
     once, where it lies; rows delivered twice stay twice, pairs of records are made distinct.  crowded(context, kind, n)
-    are the contexts of more than ``least`` records.
+    are the contexts of more than ``least`` rows.  A value is busy where more distinct records than its limit hold it.
     """
     spark = a.sparkSession
     area = scratch(spark)
@@ -310,14 +331,28 @@ def profiles(a: DataFrame, b: DataFrame, least: int = 30) -> tuple[DataFrame, Da
     full = resolve(parsed, own)
     place = F.when(F.col("block").isNotNull(), F.xxhash64("block", "street", "number", "letter", "unit"))
     full = full.select(*own, place.alias("place"), F.when(F.col("block").isNotNull(), F.xxhash64("block")).alias("town"))
+    for c in BUSY:
+        full = full.withColumn(c, F.lit("") if c == "few" else F.lit(None).cast(full.schema[c[:-2]].dataType))
     crowded = area.table(contexts(full, []).groupBy("context", "kind").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > least), "crowded")
     born = parsed.where("dob is not null").count()
-    limits = {"e": MAX_HOLDERS, "p": MAX_HOLDERS, "l": MAX_HOLDERS, "d": max(MAX_HOLDERS, COMMON_DAY * born // DAYS)}
-    for c, k in (("local", "e"), ("phone", "p"), ("place", "l"), ("dob", "d")):  # values that very many hold identify nobody
-        crowd = broadcast_small(crowded.where((F.col("kind") == k) & (F.col("n") > limits[k])).select(F.col("context").alias("__c"), F.lit(True).alias(f"{c}_crowd")))
-        full = full.withColumn("__c", F.xxhash64(F.lit(k), _values()[k])).join(crowd, "__c", "left").drop("__c").withColumn(c, F.when(F.col(f"{c}_crowd").isNull(), F.col(c)))
-    full = full.withColumn("email", F.when(F.col("local_crowd").isNull(), F.col("email")))
+    for k, c in KINDS.items():
+        if k == "m":  # the whole address counts by itself where its part before the @ is busy
+            wide = full.where("local_b is not null and email is not null").select("record_id", "initial", "rest", _value(k, c).alias("__c"))
+        else:
+            limit = max(MAX_HOLDERS, COMMON_DAY * born // DAYS) if k == "d" else MAX_HOLDERS
+            most = broadcast_small(crowded.where((F.col("kind") == k) & (F.col("n") > limit)).select(F.col("context").alias("__c")))
+            wide = full.where(F.col(c).isNotNull()).select("record_id", "initial", "rest", _value(k, c).alias("__c")).join(most, "__c")
+        limit = MAX_HOLDERS if k == "m" else limit
+        held = wide.groupBy("__c").agg(F.count_distinct("record_id").alias("__n"), F.count_distinct(F.xxhash64("initial", "rest")).alias("__names"))
+        held = area.table(held.where(F.col("__n") > limit).select("__c", (F.col("__names") <= MAX_HOLDERS).alias("__few")), "busy")
+        full = full.withColumn("__c", _value(k, c)).join(broadcast_small(held), "__c", "left").drop("__c")
+        full = full.withColumn(f"{c}_b", F.when(F.col("__few").isNotNull(), F.col(c))).withColumn(c, F.when(F.col("__few").isNull(), F.col(c)))
+        full = full.withColumn("few", F.concat("few", F.when(F.col("__few"), k).otherwise(""))).drop("__few")
     people = area.table(full.select("record_id", *FIELDS), "profiles")
+    # busy values that many names hold make contexts by initial, which are counted as such
+    many = contexts(people.where(" or ".join(f"{c}_b is not null" for c in KINDS.values())), []).where("kind = upper(kind) or kind = 'm'")
+    more = many.groupBy("context", "kind").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > least)
+    crowded = area.table(crowded.unionByName(more), "crowded")
     area.drop(parsed)
     area.sweep()
     return people, crowded
@@ -359,7 +394,8 @@ PRIOR = {
     "bias": -6.0, "eE": 7.0, "eL": 6.0, "eX": -1.0, "pE": 5.0, "pX": -1.2, "dE": 5.5, "dS": 4.5, "dT": 1.0, "dX": -6.0, "lE": 3.0, "lT": 0.0, "lX": -0.3,
     "gE": 2.5, "gT": 2.0, "gN": 2.0, "gI": 1.0, "gD": -6.0, "sE": 1.5, "sT": 1.2, "sC": 1.0, "sD": -3.0, "fB": -1.0, "fF": 1.0,
 }
-CODES = {"e": "ELMX", "p": "EMX", "l": "EMTX", "d": "ESTMX", "g": "ETNIMD", "s": "ETCMD", "f": "PFB"}
+#: H equal on a busy value of few names, B on one of many: without prior weight, what they say is learnt.
+CODES = {"e": "ELMXHB", "p": "EMXHB", "l": "EMTXHB", "d": "ESTMXHB", "g": "ETNIMD", "s": "ETCMD", "f": "PFB"}
 CROSS = (("e", "d"), ("e", "p"), ("p", "d"), ("l", "d"), ("e", "g"), ("p", "g"), ("l", "g"), ("d", "g"), ("g", "s"), ("d", "s"), ("f", "s"), ("e", "l"), ("p", "l"))
 FEATURES = ["bias", *(a + x for a in CODES for x in CODES[a]), *(a + x + b + y for a, b in CROSS for x in CODES[a] for y in CODES[b])]
 _AT = {f: i for i, f in enumerate(FEATURES)}
@@ -406,18 +442,21 @@ def codes_of(pairs: DataFrame, people: DataFrame) -> DataFrame:
     both = pairs.join(side(1), "id1").join(side(2), "id2")
     missing = lambda c: F.col(f"{c}1").isNull() | F.col(f"{c}2").isNull()
     same = lambda c: F.col(f"{c}1") == F.col(f"{c}2")
-    e = F.when(missing("email"), "M").when(same("email"), "E").when(same("local"), "L").otherwise("X")
-    p = F.when(missing("phone"), "M").when(same("phone"), "E").otherwise("X")
-    place = F.when(missing("place"), "M").when(same("place"), "E").when(same("town"), "T").otherwise("X")
+    held = lambda c, k: F.when(same(f"{c}_b"), F.when(F.col("few1").contains(k), "H").otherwise("B"))
+    either = lambda c, k, known: F.coalesce(held(c, k), F.when(missing(c), "M").otherwise(known))
+    e = either("email", "m", F.when(same("email"), "E").when(same("local"), "L").otherwise("X"))
+    p = either("phone", "p", F.when(same("phone"), "E").otherwise("X"))
+    place = either("place", "l", F.when(same("place"), "E").when(same("town"), "T").otherwise("X"))
+    d = F.coalesce(held("dob", "d"), F.lit(""))
     names = [f"{c}{i}" for i in (1, 2) for c in ("firm", "given", "initial", "rest")]
-    ready = both.select("id1", "id2", F.concat(e, p, place).alias("epl"), F.coalesce("dob1", F.lit(0)).alias("dob1"), F.coalesce("dob2", F.lit(0)).alias("dob2"), *names, (F.col("nm1") != F.col("nm2")).alias("differ"))
+    ready = both.select("id1", "id2", F.concat(e, p, place, d).alias("epl"), F.coalesce("dob1", F.lit(0)).alias("dob1"), F.coalesce("dob2", F.lit(0)).alias("dob2"), *names, (F.col("nm1") != F.col("nm2")).alias("differ"))
 
     shape = "id1 string, id2 string, code string, differ boolean"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             got = {c: batch.column(c).to_pylist() for c in ("id1", "id2", "epl", "differ", "dob1", "dob2", *names)}
-            d = [_born_like(x, y) if x and y else "M" for x, y in zip(got["dob1"], got["dob2"])]
+            d = ["" if len(z) > 3 else _born_like(x, y) if x and y else "M" for x, y, z in zip(got["dob1"], got["dob2"], got["epl"])]
             got["code"] = ["".join(x) for x in zip(got["epl"], d, *name_codes([got[n] for n in names]))]
             yield arrow(got, shape)
 
