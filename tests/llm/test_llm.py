@@ -134,6 +134,12 @@ def test_leaks_found_and_not_found(spark):
     assert sorted(got) == [(1, 1), (2, 1), (3, 1), (4, 1), (8, 1), (10, 2), (11, 2), (12, 1), (12, 2)]
 
 
+def test_a_passage_in_most_documents_is_found_in_all(spark):
+    docs = [(i, f"Text {i} says. {PASSAGES[0][1]}") for i in range(1100)]
+    got = find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(PASSAGES, "item_id long, passage string"))
+    assert {tuple(r)[:2] for r in got.collect()} == {(i, 1) for i in range(1100)}
+
+
 def brute_align(p, t, cost=2):
     """Best score by full tables, the free insertion tried at every cell."""
     n, m = len(p), len(t)

@@ -1,10 +1,9 @@
 """Evaluation texts leaking into training text: rare n-gram seeds, then Smith-Waterman alignment.
 
 Every passage gives word n-grams.  Those that stand in one passage only are its seeds; a record that holds a seed is a
-candidate for the passage, with the words around its seeds.  Spark counts in how many records each seed stands; a
-candidate all of whose seeds are commonplace (in more than COMMON of the records and more than COMMON_LEAST records) is
-no evidence and is left out.  The rest is aligned word by word: matches gain, altered, dropped and added words cost, and
-one insertion of other text of any length is free.  A pair counts when the aligned stretch covers the wanted share of
+candidate for the passage, with the words around its seeds.  Every candidate is aligned word by word, however many
+records hold its seeds; equal windows of a batch are aligned once.  Matches gain, altered, dropped and added words cost,
+and one insertion of other text of any length is free.  A pair counts when the aligned stretch covers the wanted share of
 the passage with few enough edits.
 
 Words are compared without letter case, accents, punctuation and layout; words that a line end divides are joined.
@@ -31,7 +30,6 @@ from pyspark.sql import DataFrame, functions as F
 from tidemark.session import scratch
 
 GRAM, PART = 3, 20_000
-COMMON, COMMON_LEAST = 0.02, 1000
 _DIVIDED = re.compile(r"(?<=[^\W\d_])[-­‐]\s*\n[\s#>|*/]*(?=[^\W\d_])")
 _WORD = re.compile(r"[^\W_]+")
 _MARKS = re.compile(r"[̀-ͯ­​-‍﻿]+")
@@ -139,8 +137,8 @@ def _candidates(seeds_of):
                     own = owner == i
                     size = 2 * len(seeds.passages[i])
                     lo, hi = max(0, int(place[own].min()) - size), int(place[own].max()) + size
-                    out.append((d, int(i), np.unique(seed[own]).tolist(), row[lo:hi].astype(np.int32).tolist()))
-            yield pd.DataFrame(out, columns=["doc_id", "item", "seeds", "row"])
+                    out.append((d, int(i), row[lo:hi].astype(np.int32).tolist()))
+            yield pd.DataFrame(out, columns=["doc_id", "item", "row"])
 
     return run
 
@@ -153,28 +151,24 @@ def find_leaks(docs: DataFrame, items: DataFrame, share: float = 0.5, edits: flo
     """
     spark = docs.sparkSession
     area = scratch(spark)
-    total = docs.count()
     parts = max(1, -(-items.count() // PART))
     found = None
     for part in range(parts):
         own = items.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == part) if parts > 1 else items
         rows = [(r["item_id"], r["passage"]) for r in own.select("item_id", "passage").distinct().collect()]  # at most some PART items
         shipped = spark.sparkContext.broadcast(Seeds(rows))
-        scan = docs.select("doc_id", "text").where("text <> ''").mapInPandas(_candidates(lambda s=shipped: s.value), "doc_id long, item long, seeds array<int>, row array<int>")
+        scan = docs.select("doc_id", "text").where("text <> ''").mapInPandas(_candidates(lambda s=shipped: s.value), "doc_id long, item long, row array<int>")
         hits = area.table(scan, "candidates")
-        spread = hits.select("doc_id", F.explode("seeds").alias("seed")).groupBy("seed").agg(F.count(F.lit(1)).alias("df"))
-        common = spread.where(F.col("df") > max(COMMON_LEAST, COMMON * total)).select("seed")
-        usual = spark.sparkContext.broadcast(frozenset(r["seed"] for r in common.collect()))  # at most as many as the part has seeds
 
-        def run(batches: Iterator[pd.DataFrame], shipped=shipped, usual=usual) -> Iterator[pd.DataFrame]:
-            seeds, common = shipped.value, usual.value
+        def run(batches: Iterator[pd.DataFrame], shipped=shipped) -> Iterator[pd.DataFrame]:
+            seeds: Seeds = shipped.value
             for df in batches:
-                out = []
-                for d, i, own, row in zip(df["doc_id"], df["item"], df["seeds"], df["row"]):
-                    if common.issuperset(own.tolist()):
-                        continue
-                    passage = seeds.passages[i]
-                    matched, changed = align(passage, np.asarray(row, dtype=np.int64))
+                out, done = [], {}
+                for d, i, row in zip(df["doc_id"], df["item"], df["row"]):
+                    passage, row = seeds.passages[i], np.asarray(row, dtype=np.int64)
+                    if (key := (i, row.tobytes())) not in done:
+                        done[key] = align(passage, row)
+                    matched, changed = done[key]
                     stretch = matched + changed
                     if stretch >= share * len(passage) - slack and changed <= edits * stretch + 2:
                         out += [(d, same, matched, changed, len(passage)) for same in seeds.first[i]]
