@@ -408,6 +408,17 @@ def test_busy_values_still_make_pairs(spark):
     assert sum(x[:3] + y[:3] == "A-MB-M" for x, y in got) == 45 * 45 and len(got & truth) >= 0.97 * len(truth)
 
 
+def test_records_of_one_date_meet(spark):
+    shape = "record_id string, firm boolean, given string, initial string, rest string, local long, email long, phone long, dob int, place long, town long, nm long, local_b long, email_b long, phone_b long, place_b long, dob_b int, few string"
+    row = lambda i, g, s, day, n: (i, False, g, g[0], s, None, None, None, day, None, None, n, *[None] * 5, "")
+    rows = [row("A-1", "abigail", "margate", 19800102, 1), row("B-1", "abigail", "mragate", 19800102, 2), row("A-2", "zoe", "lee", 19800102, 3), row("B-2", "zoe", "quarrington", 19810304, 4), row("A-3", "zoe", "ashdown", 19810304, 5)]
+    rows += [row(f"B-9{i}", "bert", "ivory", 19810304, 9) for i in range(40)]
+    p = spark.createDataFrame(rows, shape)
+    crowded = people.contexts(p, []).groupBy("context", "kind").agg(F.count(F.lit(1)).alias("n")).where("n > 30")
+    got = {tuple(r) for r in matching.candidate_pairs(p, crowded).collect()}
+    assert {("A-1", "B-1"), ("A-1", "A-2"), ("A-2", "B-1"), ("A-3", "B-2")} <= got and ("A-1", "A-3") not in got
+
+
 def test_repeated_rows_make_no_value_busy(spark):
     a, b, g, truth = population(spark)
     again = a.where("cust_id = 'A-001'").withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(100)))).drop("k")
