@@ -325,6 +325,29 @@ def test_banded_distance_and_pigeonhole_lookups():
     assert met > 50 and lost == 0
 
 
+def test_exchanged_neighbours_are_met_in_blocks_of_any_size():
+    rnd = random.Random(4)
+    word = lambda: "".join(rnd.choice("abcd") for _ in range(rnd.randrange(3, 9)))
+    met = 0
+    for _ in range(6000):
+        a, n = word(), rnd.randrange(1, 3)
+        b = a
+        for _ in range(n):
+            p = rnd.randrange(1, len(b))
+            b = b[: p - 1] + b[p] + b[p - 1] + b[p + 1 :] if rnd.random() < 0.7 else b[: p - 1] + rnd.choice(["", "x", b[p - 1] + "x"]) + b[p:]
+            if len(b) < 3:
+                break
+        short, long = sorted((a, b), key=len)
+        if len(short) >= 3 and names.similar(a, b):
+            met += 1
+            assert {(s, i, t) for s, i, _, t in segments(short)} & set(lookups(long)), (a, b)
+    assert met > 2000
+    row = lambda i, w: names.MARK.join((i, w, i))
+    others = [row(f"r{i}", w) for i, w in enumerate(("quarrington", "ivory", "lovelace", "dunmore"))]
+    small, large = ([tuple(sorted(x)) for x in names._join_block([row("a", "smith"), row("b", "simth"), *o])] for o in ([], others))
+    assert small == large == [("a", "b")]
+
+
 def brute_plain(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
