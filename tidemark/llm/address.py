@@ -53,6 +53,7 @@ _HOUSE = re.compile(r"(?<![\w])(\d+)(?:[\s-]?([a-z])(?![a-z]))?")
 _DOTTED = re.compile(r"(?<=[a-z]{3})(w|g|al|all)\.")
 _DOTTED_FULL = {"w": "weg", "g": "gasse", "al": "allee", "all": "allee"}
 _LETTERS = re.compile(r"[a-z]+")
+_NO_VALUE = frozenset(STAND_INS)
 #: Points of the compass, and words that towns are written together with.
 COMPASS = {"n": "north", "s": "south", "e": "east", "w": "west", "north": "north", "south": "south", "east": "east", "west": "west"}
 TOWN_PREFIX = re.compile(r"^(ober|unter|nieder|gross|klein|neu|alt|nieuw|oud)(?=[a-z]{5})")
@@ -87,18 +88,21 @@ def edits(a: str, b: str) -> int:
     return round((1 - near(a, b)) * max(len(a), len(b), 1))
 
 
+@lru_cache(20_000)
 def town_key(text: str | None) -> str:
     """A town without blanks; of a word before its name, which is often written short, only the first letter."""
-    words = re.findall(r"[a-z]+", fold(text))
+    text = fold(text)
+    words = _LETTERS.findall(text) if text not in _NO_VALUE else []
     if len(words) == 1:
         return TOWN_PREFIX.sub(lambda m: m[1][0], words[0])
     return words[0][0] + "".join(words[1:]) if words else ""
 
 
+@lru_cache(20_000)
 def zip_key(text: str | None) -> str:
     """A postcode without blanks, country prefix, extension and with its leading nought."""
-    z = re.sub(r"[^a-z0-9-]", "", fold(text))
-    z = re.sub(r"^(?:nl|de?|es?|us)-", "", z)
+    text = fold(text)
+    z = re.sub(r"^(?:nl|de?|es?|us)-", "", re.sub(r"[^a-z0-9-]", "", text)) if text not in _NO_VALUE else ""
     if re.fullmatch(r"\d{5}-?\d{4}", z):
         z = z[:5]
     z = z.replace("-", "")
@@ -127,9 +131,8 @@ def split_ending(word: str) -> tuple[str, frozenset[str]]:
 def parse(line: str | None, town: str | None, code: str | None) -> dict | None:
     """number, letter, unit, street words, kinds, compass, town, zip of an address; None without number and street."""
     s = fold(line)
-    if not s or s in STAND_INS:
+    if not s or s in _NO_VALUE:
         return None
-    town, code = ("" if fold(town) in STAND_INS else town), ("" if fold(code) in STAND_INS else code)
     z, t = zip_key(code), town_key(town)
     if m := _UK.search(s):
         z, s = z or m[1] + m[2], s[: m.start()] + " , " + s[m.end() :]
@@ -279,25 +282,26 @@ def canonical_names(spellings: DataFrame, area) -> DataFrame:
 
 
 def resolve(parsed: DataFrame, keep: list[str]) -> DataFrame:
-    """parsed(*keep, *PARSED), a written table, with the block and the canonical street of every row that has a street.
+    """parsed(*keep, street, town, zip), a written table, with the block and the canonical street of every row that has a
+    street.
 
-    Returns keep, block, street, number, letter, unit and kinds; rows without a street have nulls there.
+    Returns keep, block and street; rows without a street have nulls there.  All spellings are brought together on the
+    counted distinct streets of towns and postcodes; the rows themselves only look their misspelt values up.
     """
     area = scratch(parsed.sparkSession)
-    count = F.count(F.lit(1)).alias("n")
-    there = parsed.where("street is not null")
+    count = F.sum("n").alias("n")
+    there = area.table(parsed.where("street is not null").groupBy("zip", "town", "street").agg(F.count(F.lit(1)).alias("n")), "streets")
     towns = canonical_names(there.where("town <> ''").groupBy(F.lit("").alias("block"), F.col("town").alias("name")).agg(count), area)
     towns = broadcast_small(towns.select(F.col("name").alias("town"), F.col("canon").alias("true_town")))
     streets = canonical_names(there.where("zip <> ''").groupBy(F.col("zip").alias("block"), F.col("street").alias("name")).agg(count), area)
     streets = broadcast_small(streets.select(F.col("block").alias("zip"), F.col("name").alias("street"), F.col("canon").alias("true_street")))
-    known = parsed.join(streets, ["zip", "street"], "left").join(towns, "town", "left")
-    known = known.select(*keep, "number", "letter", "unit", "kinds", "zip", F.nullif(F.coalesce("true_town", "town"), F.lit("")).alias("place"), F.coalesce("true_street", "street").alias("street"))
+    place = F.nullif(F.coalesce("true_town", "town"), F.lit("")).alias("place")
+    known = there.join(streets, ["zip", "street"], "left").join(towns, "town", "left").select("zip", place, F.coalesce("true_street", "street").alias("street"), "n")
 
     # rows without postcode: the block of the street of that name in their town
-    bare = known.where("street is not null and zip = ''")
     where = known.where("zip <> '' and place is not null").groupBy("place", "street", "zip").agg(count)
     where = where.groupBy(F.col("place").alias("block"), F.col("street").alias("name")).agg(F.max_by("zip", F.struct("n", "zip")).alias("zip"), F.sum("n").alias("n"))
-    asked = bare.select(F.coalesce("place", F.lit("?")).alias("block"), F.col("street").alias("name")).distinct()
+    asked = known.where("zip = ''").select(F.coalesce("place", F.lit("?")).alias("block"), F.col("street").alias("name")).distinct()
     wanted = broadcast_small(area.table(asked.select("block").distinct(), "places"))
     keyed = where.join(wanted, "block", "left_semi").mapInPandas(_variants, "block string, name string, zip string, n long, key string").select("block", "key", F.col("name").alias("other"), "zip", "n")
     asked = asked.mapInPandas(_variants, "block string, name string, key string")
@@ -311,17 +315,18 @@ def resolve(parsed: DataFrame, keep: list[str]) -> DataFrame:
     found = asked.join(keyed, ["block", "key"]).drop("key").distinct().select("block", "name", "other", "zip", "n").mapInPandas(close, "block string, name string, other string, zip string, n long, e long")
     found = found.groupBy("block", "name").agg(F.min_by(F.struct("zip", "other"), F.struct("e", -F.col("n"), "other")).alias("f"))
     found = broadcast_small(area.table(found.select(F.col("block").alias("place"), F.col("name").alias("street"), "f", F.lit("").alias("zip")), "found"))
-    out = known.withColumn("place", F.coalesce("place", F.lit("?"))).join(found, ["place", "street", "zip"], "left")
+    rows = parsed.join(streets, ["zip", "street"], "left").join(towns, "town", "left").select(*keep, "zip", F.coalesce(place, F.lit("?")).alias("place"), F.coalesce("true_street", "street").alias("street"))
+    out = rows.join(found, ["place", "street", "zip"], "left")
     block = F.when(F.col("zip") != "", F.col("zip")).otherwise(F.coalesce("f.zip", F.concat(F.lit("t:"), "place")))
-    return out.select(*keep, F.when(F.col("street").isNotNull(), block).alias("block"), F.coalesce("f.other", "street").alias("street"), "number", "letter", "unit", "kinds")
+    return out.select(*keep, F.when(F.col("street").isNotNull(), block).alias("block"), F.coalesce("f.other", "street").alias("street"))
 
 
 def locate(records: DataFrame) -> DataFrame:
-    """records(record_id, line, town, zip) -> (record_id, block, street, number, letter, unit, kinds) of usable lines."""
+    """records(record_id, line, town, zip) -> (record_id, number, letter, unit, kinds, block, street) of usable lines."""
     area = scratch(records.sparkSession)
     rows = records.where(usable(F.col("line"))).select("record_id", "line", "town", "zip")
     parsed = area.table(rows.mapInPandas(_parsed, "record_id string, " + ", ".join(f"{c} string" for c in PARSED)), "parsed")
-    return resolve(parsed, ["record_id"]).where("block is not null")
+    return resolve(parsed, ["record_id", "number", "letter", "unit", "kinds"]).where("block is not null")
 
 
 def same_location(records: DataFrame) -> DataFrame:

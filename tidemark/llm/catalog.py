@@ -158,7 +158,7 @@ def _sources(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFr
 @query("p6_found")
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     """Pairs of a record of source_a and one of source_b that are the same person or firm."""
-    across = match(*_sources(spark, sf)).where("id1 like 'A-%' and id2 like 'B-%'")
+    across = match(*_sources(spark, sf), across=True)
     return across.select(F.col("id1").alias("cust_id"), F.col("id2").alias("client_ref"))
 
 

@@ -19,11 +19,11 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidemark.llm.address import PARSED, edits, parse_row, resolve
+from tidemark.llm.address import edits, parse_row, resolve
 from tidemark.session import broadcast_small, scratch
 
-#: Words kept in the lexicon, the commonest first; names of other words are split by place alone.
-MAX_LEXICON = 50_000
+#: The lexicon holds words that fill at least one in so many places of all names, so no more words than that.
+LEXICON_PLACES = 250_000
 #: A contact value or place that more records hold is busy: it says less than others, how much is learnt.
 MAX_HOLDERS = 60
 #: So many days people are born on; a date held by COMMON_DAY times its share of the records is a default, not a birthday.
@@ -52,6 +52,9 @@ for _full, _shorts in _SHORTS.items():
     for _s in _shorts:
         _FULL.setdefault(_s, []).append(_full)
 _SHORT |= {(b, a) for a, b in _SHORT}
+_UMLAUT = re.compile("(?<=[aou])e")
+_DOTTED = re.compile(r"\b([a-z])\.\s?([a-z])\.(?=\W|$)")
+_WORDS = re.compile(r"[^\W\d_]+(?:['-][^\W\d_]+)*")
 
 
 def fold(text: str | None) -> str:
@@ -63,8 +66,8 @@ def fold(text: str | None) -> str:
 
 def name_words(name: str | None) -> list[str]:
     """The words of a name, folded; dotted legal forms and initials written together apart."""
-    text = re.sub(r"\b([a-z])\.\s?([a-z])\.(?=\W|$)", r"\1\2", fold(name))
-    return re.findall(r"[^\W\d_]+(?:['-][^\W\d_]+)*", text)
+    text = fold(name)
+    return _WORDS.findall(_DOTTED.sub(r"\1\2", text) if "." in text else text)
 
 
 def _count_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -81,14 +84,17 @@ def _count_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     first[long[-1 if reverse else 0]] += 1
                     last[long[0 if reverse else -1]] += 1
         words = list(first.keys() | last.keys() | firm.keys())
-        yield pd.DataFrame({"word": words, "f": [first[w] for w in words], "l": [last[w] for w in words], "c": [firm[w] for w in words]})
+        yield pd.DataFrame({"word": pd.Series(words, dtype=str), **{n: pd.Series([c[w] for w in words], dtype="int64") for n, c in (("f", first), ("l", last), ("c", firm))}})
 
 
 def lexicon(records: DataFrame) -> dict[str, tuple[float, float]]:
-    """word -> (share of places where it stands as a given name, share of places in firms' names), of the commonest words."""
+    """word -> (share of places where it stands as a given name, share of places in firms' names), of words that stand in
+    at least three places and one in LEXICON_PLACES; names of rarer words are split by place alone."""
     counts = records.select("name").mapInPandas(_count_words, "word string, f long, l long, c long").groupBy("word").agg(F.sum("f").alias("f"), F.sum("l").alias("l"), F.sum("c").alias("c"))
     total = F.col("f") + F.col("l") + F.col("c")
-    rows = counts.where(total >= 3).orderBy(total.desc(), "word").limit(MAX_LEXICON).collect()
+    counts = scratch(records.sparkSession).table(counts.withColumn("places", total), "words")
+    places = counts.agg(F.sum("places")).first()[0] or 0
+    rows = counts.where(F.col("places") >= max(3, -(-places // LEXICON_PLACES))).collect()  # at most LEXICON_PLACES rows
     return {r["word"]: ((r["f"] + 0.5) / (r["f"] + r["l"] + 1.0), r["c"] / (r["f"] + r["l"] + r["c"])) for r in rows}
 
 
@@ -101,7 +107,8 @@ def split_name(name: str | None, words_of: dict[str, tuple[float, float]]) -> tu
     trade = [words_of[w][1] for w in core if w in words_of]
     if legal or desk or (len(core) > 1 and sum(x > 0.6 for x in trade) * 2 >= len(core)):
         return True, "", "", " ".join(core or words).replace("-", " ")
-    long, short = [w for w in words if len(w) > 1], [w for w in words if len(w) == 1]
+    long = [w for w in words if len(w) > 1]
+    short = [w for w in words if len(w) == 1] if len(long) < len(words) else []
     if not long:
         return False, "", short[0] if short else "", ""
     given = lambda w: words_of.get(w, (0.5, 0))[0]
@@ -115,30 +122,47 @@ def split_name(name: str | None, words_of: dict[str, tuple[float, float]]) -> tu
     return False, order[at], order[at][0], " ".join(w for i, w in enumerate(order) if i != at).replace("-", " ")
 
 
+@lru_cache(100_000)
+def _letters(word: str) -> int:
+    """The letters of a word as bits."""
+    bits = 0
+    for c in word:
+        bits |= 1 << (ord(c) & 63)
+    return bits
+
+
 def typed_alike(a: str, b: str, k: int) -> bool:
     """Whether two words are within k typing errors; lengths and letters rule most pairs out at once."""
-    if abs(len(a) - len(b)) > k or len(set(a) ^ set(b)) > 2 * k:
+    if abs(len(a) - len(b)) > k or (_letters(a) ^ _letters(b)).bit_count() > 2 * k:
         return False
     return edits(a, b) <= k
 
 
-@lru_cache(100_000)
 def alike(a: str, b: str) -> str:
     """E equal, T within the typing errors of the length, N a short form of the other, D different."""
     if a == b:
         return "E"
+    # other first letters and many letters that only one has: neither typing errors nor a short form, but for listed ones
+    if a[:1] != b[:1] and (_letters(a) ^ _letters(b)).bit_count() > 5 and a not in _FULL and b not in _FULL:
+        return "D"
+    return _alike(a, b)
+
+
+@lru_cache(100_000)
+def _alike(a: str, b: str) -> str:
     n = min(len(a), len(b))
     if n >= 3 and typed_alike(a, b, 1 if n < 6 else 2):
         return "T"
-    if (a, b) in _SHORT or (n >= 3 and (a.startswith(b) or b.startswith(a))):
+    if (n >= 3 and (a.startswith(b) or b.startswith(a))) or (a, b) in _SHORT:
         return "N"
     for short, other in ((a, b), (b, a)):
         for full in _FULL.get(short, ()):
             if other in _SHORTS[full] or (len(other) >= 5 and typed_alike(other, full, 2)):
                 return "N"
-    x, y = re.sub("(?<=[aou])e", "", a), re.sub("(?<=[aou])e", "", b)  # an umlaut written with e
-    if (x, y) != (a, b) and (x == y or typed_alike(x, y, 1 if n < 6 else 2)):
-        return "T"
+    if _UMLAUT.search(a) or _UMLAUT.search(b):  # an umlaut written with e
+        x, y = _UMLAUT.sub("", a), _UMLAUT.sub("", b)
+        if (x, y) != (a, b) and (x == y or typed_alike(x, y, 1 if n < 6 else 2)):
+            return "T"
     x, y = (a, b) if len(a) < len(b) else (b, a)
     if len(x) >= 4 and x[-2:] in ("ie", "my", "ny", "ey") or x.endswith("y"):
         stem = x.rstrip("iey")
@@ -200,22 +224,17 @@ def given_from_mail(local: str | None, initial: str, rest: str, words_of: dict[s
     return ""
 
 
-#: What a profile holds: names as text; contact values, place and locality as 64-bit hashes; the date as yyyymmdd.
-#: A busy value stands in the column ending in _b; ``few`` has the kinds of the busy values that few names hold.
-BUSY = "local_b email_b phone_b place_b dob_b few".split()
-FIELDS = "firm given initial rest local email phone dob place town nm".split() + BUSY
-
-
 def _raw(a: DataFrame, b: DataFrame) -> DataFrame:
     """Both sources in one shape."""
     blank = lambda c: F.expr(f"nullif({c}, '')")
-    left = a.select(F.col("cust_id").alias("record_id"), F.col("full_name").alias("name"), "email", "phone", F.col("date_of_birth").cast("string").alias("born"), F.col("addr_line").alias("line"), F.col("city").alias("town"), F.col("postcode").alias("zip"))
-    right = b.select(F.col("client_ref").alias("record_id"), F.concat_ws(" ", blank("first_name"), blank("last_name")).alias("name"), F.col("email_addr").alias("email"), F.col("mobile").alias("phone"), F.col("dob").alias("born"), F.col("street").alias("line"), "town", "zip")
+    left = a.select(F.col("cust_id").alias("record_id"), F.lit(True).alias("a"), F.col("full_name").alias("name"), "email", "phone", F.col("date_of_birth").cast("string").alias("born"), F.col("addr_line").alias("line"), F.col("city").alias("town"), F.col("postcode").alias("zip"))
+    right = b.select(F.col("client_ref").alias("record_id"), F.lit(False).alias("a"), F.concat_ws(" ", blank("first_name"), blank("last_name")).alias("name"), F.col("email_addr").alias("email"), F.col("mobile").alias("phone"), F.col("dob").alias("born"), F.col("street").alias("line"), "town", "zip")
     return left.unionByName(right).where("record_id is not null").withColumn("name", F.coalesce("name", F.lit("")))
 
 
 _MAIL = re.compile(r"[^@\s]+@[^@\s]+\.[a-z]+")
 _NOBODY = re.compile(r"(?:none|unknown|no|x)@")
+_NO_DIGIT = re.compile(r"[^0-9]+")
 _EXTENSION = re.compile(r"\s*(?:ext|x|extension)\.?\s*\d*\s*$")
 _DMY, _YMD = re.compile(r"\s*(\d{1,2})[/.\-](\d{1,2})[/.\-](\d{4})\s*"), re.compile(r"\s*(\d{4})[/.\-](\d{1,2})[/.\-](\d{1,2})\s*")
 
@@ -232,7 +251,8 @@ def clean_phone(phone: str | None) -> int | None:
     """The last ten digits of a number of seven or more without its extension; None for numbers of one digit."""
     if not phone:
         return None
-    digits = "".join(c for c in _EXTENSION.sub("", phone.lower()) if c.isdigit())
+    phone = phone.lower()
+    digits = _NO_DIGIT.sub("", _EXTENSION.sub("", phone) if "x" in phone else phone)
     return int(digits[-10:]) if len(digits) >= 7 and len(set(digits)) > 1 else None
 
 
@@ -258,33 +278,22 @@ def _flip(dob: str) -> Column:
     return F.floor(F.col(dob) / 10000) * 10000 + F.least(day, month) * 100 + F.greatest(day, month)
 
 
-#: kind -> the column of the value: part before the @, contact values, the place, the date of birth.
+#: Kinds of contexts in the order in which a pair of records is met: part before the @, whole address, phone, place, date.
 KINDS = {"e": "local", "m": "email", "p": "phone", "l": "place", "d": "dob"}
+NAME = "\x1f"
+#: What a profile holds: firm or person, given name, initial and surnames or words as one text; values as 64-bit hashes.
+PROFILE = "record_id string, a boolean, who string, nm long, local long, email long, phone long, dob int, place long, town int"
 
 
-def _value(kind: str, column: str) -> Column:
-    return F.xxhash64(F.lit(kind), _flip(column) if kind == "d" else F.col(column))
+def context(kind: str) -> Column:
+    """The context of a profile's value: the value's bits and the number of its kind; null where the value is missing."""
+    value = F.when(F.col("email") != F.col("local"), F.col("email")) if kind == "m" else -_flip("dob") if kind == "d" else F.col(KINDS[kind])
+    return F.shiftleft(value.cast("long"), 3).bitwiseOR(F.lit(list(KINDS).index(kind)).cast("long"))
 
 
-def contexts(people: DataFrame, extra: list[str]) -> DataFrame:
-    """(record_id, *extra, context, kind) for each contact value, place and date of birth of a record.
-
-    A context is a hash of kind and value; one made by chance only makes candidates that the comparison turns down.  A
-    busy value that many names hold makes a context with the initial (kind in capitals), any other one by itself.  A
-    whole e-mail address makes one where its part before the @ is busy.
-    """
-    kinds = []
-    for k, c in KINDS.items():
-        own = F.struct(_value(k, c).alias("context"), F.lit(k).alias("kind"))
-        busy = F.struct(_value(k, f"{c}_b").alias("context"), F.lit(k).alias("kind"))
-        many = F.struct(F.xxhash64(_value(k, f"{c}_b"), F.coalesce("initial", F.lit(""))).alias("context"), F.lit(k.upper()).alias("kind"))
-        held = F.when(F.col("few").contains(k), busy).otherwise(many)
-        if k == "m":
-            apart = F.col("local_b").isNotNull() & (F.coalesce("email", "email_b") != F.col("local_b"))
-            kinds.append(F.when(apart & F.col("email").isNotNull(), own).when(apart & F.col("email_b").isNotNull(), held))
-        else:
-            kinds.append(F.when(F.col(c).isNotNull(), own).when(F.col(f"{c}_b").isNotNull(), held))
-    return people.select("record_id", *extra, F.inline(F.array_compact(F.array(*kinds))))
+def by_initial(own: Column) -> Column:
+    """The context of a value that many names hold, divided by the initial."""
+    return F.shiftleft(F.xxhash64(own, F.split("who", NAME)[2]), 3).bitwiseOR(own.bitwiseAND(F.lit(7).cast("long")))
 
 
 def arrow(columns: dict[str, list], shape: str) -> pa.RecordBatch:
@@ -294,70 +303,103 @@ def arrow(columns: dict[str, list], shape: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[n], kinds[t]) for n, t in types.items()], names=list(types))
 
 
-def profiles(a: DataFrame, b: DataFrame, least: int = 30) -> tuple[DataFrame, DataFrame]:
-    """(people, crowded), two written tables.
+def profiles(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(*PROFILE), a written table: the cleaned attributes of every record, null where missing.
 
-    people(record_id, *FIELDS) are the cleaned attributes of every record, null where missing.  Each record is parsed
-    once, where it lies; rows delivered twice stay twice, pairs of records are made distinct.  crowded(context, kind, n)
-    are the contexts of more than ``least`` rows.  A value is busy where more distinct records than its limit hold it.
+    Each record is parsed once, where it lies; rows delivered twice stay twice, pairs of records are made distinct.
     """
     spark = a.sparkSession
     area = scratch(spark)
     everyone = _raw(a, b)
     words_of = spark.sparkContext.broadcast(lexicon(everyone))
-    shape = "record_id string, firm boolean, given string, initial string, rest string, " + ", ".join(f"{c} string" for c in PARSED) + ", name string, email string, phone long, dob int"
-    taken = ("record_id", "name", "email", "phone", "born", "line", "town", "zip")
+    shape = "record_id string, a boolean, who string, nm long, mail string, phone long, dob int, house string, street string, town string, zip string"
+    names = [x.split()[0] for x in shape.split(", ")]
+    taken = ("name", "email", "phone", "born", "line", "town", "zip")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = words_of.value
-        names = [x.split()[0] for x in shape.split(", ")]
         for batch in batches:
-            out = []
-            for i, name, mail, phone, day, line, town, code in zip(*(batch.column(c).to_pylist() for c in taken)):
+            who, mails, phones, days, houses, streets, towns, codes = out = [[] for _ in range(8)]
+            for name, mail, phone, day, line, town, code in zip(*(batch.column(c).to_pylist() for c in taken)):
                 firm, given, initial, rest = split_name(name, known)
                 mail = clean_mail(mail)
-                if not firm and not given and (spelt := given_from_mail(mail and mail.split("@")[0], initial, rest, known)):
+                if mail and not firm and not given and (spelt := given_from_mail(mail.partition("@")[0], initial, rest, known)):
                     given, initial = spelt, initial or spelt[0]
-                out.append((i, firm, given, initial, rest, *parse_row(line, town, code), name, mail, clean_phone(phone), clean_day(day)))
-            yield arrow(dict(zip(names, map(list, zip(*out)) if out else [[] for _ in names])), shape)
-
-    local = F.substring_index("email", "@", 1)
-    own = ["record_id", "firm", "given", "initial", "rest", "local", "email", "phone", "dob", "nm"]
-    done = everyone.select(*taken).mapInArrow(run, shape).select(
-        "record_id", "firm", "given", "initial", "rest", F.when(F.col("email").isNotNull(), F.xxhash64(F.when(F.length(local) > 5, local).otherwise(F.col("email")))).alias("local"), F.when(F.col("email").isNotNull(), F.xxhash64("email")).alias("email"),
-        "phone", "dob", F.xxhash64("name").alias("nm"), *PARSED,
+                who.append(NAME.join(("F" if firm else "P", given, initial, rest)))
+                mails.append(mail)
+                phones.append(clean_phone(phone))
+                days.append(clean_day(day))
+                number, letter, unit, street, _, town, code = parse_row(line, town, code)
+                houses.append(number and f"{number}|{letter}|{unit}")
+                streets.append(street)
+                towns.append(town)
+                codes.append(code)
+            kinds = (pa.string(), pa.string(), pa.int64(), pa.int32(), *[pa.string()] * 4)
+            cols = [pa.array(x, k) for x, k in zip(out, kinds)]
+            yield pa.RecordBatch.from_arrays([batch.column("record_id"), batch.column("a"), cols[0], batch.column("nm"), *cols[1:]], names=names)
+
+    local = F.substring_index("mail", "@", 1)
+    done = everyone.select("record_id", "a", F.xxhash64("name").alias("nm"), *taken).mapInArrow(run, shape).withColumns(
+        {"email": F.when(F.col("mail").isNotNull(), F.xxhash64("mail")), "local": F.when(F.col("mail").isNotNull(), F.xxhash64(F.when(F.length(local) > 5, local).otherwise(F.col("mail"))))}
     )
-    parsed = area.table(done, "parsed")
-    full = resolve(parsed, own)
-    place = F.when(F.col("block").isNotNull(), F.xxhash64("block", "street", "number", "letter", "unit"))
-    full = full.select(*own, place.alias("place"), F.when(F.col("block").isNotNull(), F.xxhash64("block")).alias("town"))
-    for c in BUSY:
-        full = full.withColumn(c, F.lit("") if c == "few" else F.lit(None).cast(full.schema[c[:-2]].dataType))
-    crowded = area.table(contexts(full, []).groupBy("context", "kind").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > least), "crowded")
-    born = parsed.where("dob is not null").count()
-    for k, c in KINDS.items():
-        if k == "m":  # the whole address counts by itself where its part before the @ is busy
-            wide = full.where("local_b is not null and email is not null").select("record_id", "initial", "rest", _value(k, c).alias("__c"))
-        else:
-            limit = max(MAX_HOLDERS, COMMON_DAY * born // DAYS) if k == "d" else MAX_HOLDERS
-            most = broadcast_small(crowded.where((F.col("kind") == k) & (F.col("n") > limit)).select(F.col("context").alias("__c")))
-            wide = full.where(F.col(c).isNotNull()).select("record_id", "initial", "rest", _value(k, c).alias("__c")).join(most, "__c")
-        limit = MAX_HOLDERS if k == "m" else limit
-        held = wide.groupBy("__c").agg(F.count_distinct("record_id").alias("__n"), F.count_distinct(F.xxhash64("initial", "rest")).alias("__names"))
-        held = area.table(held.where(F.col("__n") > limit).select("__c", (F.col("__names") <= MAX_HOLDERS).alias("__few")), "busy")
-        full = full.withColumn("__c", _value(k, c)).join(broadcast_small(held), "__c", "left").drop("__c")
-        full = full.withColumn(f"{c}_b", F.when(F.col("__few").isNotNull(), F.col(c))).withColumn(c, F.when(F.col("__few").isNull(), F.col(c)))
-        full = full.withColumn("few", F.concat("few", F.when(F.col("__few"), k).otherwise(""))).drop("__few")
-    people = area.table(full.select("record_id", *FIELDS), "profiles")
-    # busy values that many names hold make contexts by initial, which are counted as such
-    many = contexts(people.where(" or ".join(f"{c}_b is not null" for c in KINDS.values())), []).where("kind = upper(kind) or kind = 'm'")
-    more = many.groupBy("context", "kind").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > least)
-    crowded = area.table(crowded.unionByName(more), "crowded")
+    own = ["record_id", "a", "who", "nm", "local", "email", "phone", "dob"]
+    parsed = area.table(done.select(*own, "house", "street", "town", "zip"), "parsed")
+    placed = resolve(parsed, [*own, "house"])
+    there = F.col("block").isNotNull()
+    people = area.table(placed.select(*own, F.when(there, F.xxhash64("block", "street", "house")).alias("place"), F.when(there, F.hash("block")).alias("town")), "profiles")
     area.drop(parsed)
-    area.sweep()
-    return people, crowded
+    return people
 
 
+def marked(people: DataFrame, gather: int) -> DataFrame:
+    """people with ``bits`` and the contexts c_e, c_m, c_p, c_l and c_d of their values.
+
+    A value is busy where more distinct records hold it than its limit: bits 2k and 2k + 1 of kind k have 1 where few
+    names hold it and 2 where many do, whose contexts are divided by the initial.  Bit 10 + k is set where more than
+    ``gather`` rows hold the context.  A whole e-mail address makes one where its part before the @ is busy.
+    """
+    area = scratch(people.sparkSession)
+    each = lambda *cols: people.select("record_id", F.xxhash64("who").alias("named"), F.explode(F.array(*cols)).alias("context"))
+    count = lambda df, least: df.groupBy("context").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > least)
+    crowded = area.table(count(each(*(context(k) for k in "epld")).where("context is not null"), min(MAX_HOLDERS, gather)), "crowded")
+    born = people.agg(F.count("dob")).first()[0]
+    is_day = F.col("context").bitwiseAND(F.lit(7).cast("long")) == list(KINDS).index("d")
+    limit = F.when(is_day, F.lit(max(MAX_HOLDERS, COMMON_DAY * born // DAYS))).otherwise(F.lit(MAX_HOLDERS))
+
+    def busy(rows: DataFrame) -> DataFrame:
+        """(context, level) of the contexts that more distinct records than their limit hold."""
+        held = rows.groupBy("context").agg(F.count_distinct("record_id").alias("n"), F.count_distinct("named").alias("names")).where(F.col("n") > limit)
+        return area.table(held.select("context", F.when(F.col("names") <= MAX_HOLDERS, 1).otherwise(2).alias("level")), "busy")
+
+    held = busy(each(*(context(k) for k in "epld")).join(broadcast_small(crowded.where(F.col("n") > limit).select("context")), "context"))
+    whole = people.withColumn("c_e", context("e")).join(broadcast_small(held.select(F.col("context").alias("c_e"))), "c_e").select("record_id", F.xxhash64("who").alias("named"), context("m").alias("context")).where("context is not null")
+    held = broadcast_small(held.unionByName(busy(whole)))
+    out = people
+    for i, k in enumerate(KINDS):
+        out = out.withColumn(f"c_{k}", context(k)).join(held.select(F.col("context").alias(f"c_{k}"), F.col("level").alias(f"v_{k}")), f"c_{k}", "left")
+    whole = F.when(F.col("v_e").isNotNull(), F.col("c_m"))  # counts by itself where its part before the @ is busy
+    out = out.withColumn("v_m", F.when(whole.isNotNull(), F.col("v_m"))).withColumn("c_m", whole)
+    for k in KINDS:
+        out = out.withColumn(f"c_{k}", F.when(F.col(f"v_{k}") == 2, by_initial(F.col(f"c_{k}"))).otherwise(F.col(f"c_{k}")))
+    levels = sum((F.shiftleft(F.coalesce(f"v_{k}", F.lit(0)), 2 * i) for i, k in enumerate(KINDS)), F.lit(0))
+    out = out.withColumn("bits", levels)
+    # contexts of more than `gather` rows: quiet ones are counted above, busy ones, which may be divided, here
+    loud = out.where("bits > 0").select(F.explode(F.array(*(F.when(F.col(f"v_{k}").isNotNull() | F.lit(k == "m"), F.col(f"c_{k}")) for k in KINDS))).alias("context")).where("context is not null")
+    vast = area.table(count(loud, gather).unionByName(crowded.where(F.col("n") > gather)).select("context").distinct(), "vast")
+    vast = broadcast_small(vast)
+    for i, k in enumerate(KINDS):
+        out = out.join(vast.select(F.col("context").alias(f"c_{k}"), F.lit(1 << (10 + i)).alias(f"w_{k}")), f"c_{k}", "left")
+    return out.withColumn("bits", F.col("bits") + sum((F.coalesce(f"w_{k}", F.lit(0)) for k in KINDS), F.lit(0))).drop(*(f"{x}_{k}" for k in KINDS for x in "vw"))
+
+
+@lru_cache(50_000)
+def _flipped(day: int) -> int:
+    """A date without regard to day and month exchanged."""
+    m, d = day // 100 % 100, day % 100
+    return day // 10000 * 10000 + min(m, d) * 100 + max(m, d)
+
+
+@lru_cache(50_000)
 def _born_like(x: int, y: int) -> str:
     """E equal, S day and month exchanged, T one digit typed otherwise, X different."""
     if x == y:
@@ -368,25 +410,28 @@ def _born_like(x: int, y: int) -> str:
     return "T" if sum(p != q for p, q in zip(a, b)) == 1 else "X"
 
 
-def name_codes(cols: list[list]) -> tuple[list[str], list[str], list[str]]:
-    """How given names (g) and surnames or firms' words (s) agree, and whether persons or firms are compared (f)."""
-    gs, ss, fs = [], [], []
-    for f1, g1, i1, s1, f2, g2, i2, s2 in zip(*cols):
-        if f1 and f2:
-            g, s = "M", firm_like(s1, s2)
-        elif f1 != f2:  # a firm whose legal form is missing, or a person's own firm
-            s = firm_like(" ".join(x for x in (g1, s1) if x), " ".join(x for x in (g2, s2) if x))
-            g = "M" if s in "ET" else "D"
-        else:
-            g, s = given_like(g1, i1, g2, i2), surname_like(s1, s2)
-            if (g in "DM" or s in "DM") and g1 and g2 and s1 and s2:  # given name and surname taken for each other
-                g_, s_ = alike(g1, s2), alike(s1, g2)
-                if g_ in "ETN" and s_ in "ETN":
-                    g, s = g_, "T" if s_ == "N" else s_
-        gs.append(g)
-        ss.append(s)
-        fs.append("F" if f1 and f2 else "B" if f1 != f2 else "P")
-    return gs, ss, fs
+@lru_cache(20_000)
+def named(who: str) -> tuple[bool, str, str, str]:
+    """(firm, given, initial, rest) of a profile."""
+    firm, given, initial, rest = who.split(NAME)
+    return firm == "F", given, initial, rest
+
+
+def name_code(x: tuple[bool, str, str, str], y: tuple[bool, str, str, str]) -> str:
+    """How given names and surnames or firms' words agree, and whether persons (P) or firms (F) are compared, or both (B)."""
+    f1, g1, i1, s1 = x
+    f2, g2, i2, s2 = y
+    if f1 and f2:
+        return "M" + firm_like(s1, s2) + "F"
+    if f1 != f2:  # a firm whose legal form is missing, or a person's own firm
+        s = firm_like(f"{g1} {s1}".strip(), f"{g2} {s2}".strip())
+        return ("M" if s in "ET" else "D") + s + "B"
+    g, s = given_like(g1, i1, g2, i2), surname_like(s1, s2)
+    if (g in "DM" or s in "DM") and g1 and g2 and s1 and s2:  # given name and surname taken for each other
+        g_, s_ = alike(g1, s2), alike(s1, g2)
+        if g_ in "ETN" and s_ in "ETN":
+            g, s = g_, "T" if s_ == "N" else s_
+    return g + s + "P"
 
 
 #: Prior weights, in log-odds, towards which the fit is drawn.
@@ -394,6 +439,8 @@ PRIOR = {
     "bias": -6.0, "eE": 7.0, "eL": 6.0, "eX": -1.0, "pE": 5.0, "pX": -1.2, "dE": 5.5, "dS": 4.5, "dT": 1.0, "dX": -6.0, "lE": 3.0, "lT": 0.0, "lX": -0.3,
     "gE": 2.5, "gT": 2.0, "gN": 2.0, "gI": 1.0, "gD": -6.0, "sE": 1.5, "sT": 1.2, "sC": 1.0, "sD": -3.0, "fB": -1.0, "fF": 1.0,
 }
+#: Log-odds by prior weights below which a pair is counted, not listed.
+HOPELESS = -7.0
 #: H equal on a busy value of few names, B on one of many: without prior weight, what they say is learnt.
 CODES = {"e": "ELMXHB", "p": "EMXHB", "l": "EMTXHB", "d": "ESTMXHB", "g": "ETNIMD", "s": "ETCMD", "f": "PFB"}
 CROSS = (("e", "d"), ("e", "p"), ("p", "d"), ("l", "d"), ("e", "g"), ("p", "g"), ("l", "g"), ("d", "g"), ("g", "s"), ("d", "s"), ("f", "s"), ("e", "l"), ("p", "l"))
@@ -433,42 +480,19 @@ def score(codes: pd.DataFrame, weights: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(weights[design(codes)].sum(axis=1), -30, 30)))
 
 
-def codes_of(pairs: DataFrame, people: DataFrame) -> DataFrame:
-    """(id1, id2, code, differ) of pairs(id1, id2): contact and place compared in Spark, birth and names in batches.
-
-    ``code`` has a letter for each entry of CODES, in its order.
-    """
-    side = lambda i: people.select(F.col("record_id").alias(f"id{i}"), *[F.col(c).alias(f"{c}{i}") for c in FIELDS])
-    both = pairs.join(side(1), "id1").join(side(2), "id2")
-    missing = lambda c: F.col(f"{c}1").isNull() | F.col(f"{c}2").isNull()
-    same = lambda c: F.col(f"{c}1") == F.col(f"{c}2")
-    held = lambda c, k: F.when(same(f"{c}_b"), F.when(F.col("few1").contains(k), "H").otherwise("B"))
-    either = lambda c, k, known: F.coalesce(held(c, k), F.when(missing(c), "M").otherwise(known))
-    e = either("email", "m", F.when(same("email"), "E").when(same("local"), "L").otherwise("X"))
-    p = either("phone", "p", F.when(same("phone"), "E").otherwise("X"))
-    place = either("place", "l", F.when(same("place"), "E").when(same("town"), "T").otherwise("X"))
-    d = F.coalesce(held("dob", "d"), F.lit(""))
-    names = [f"{c}{i}" for i in (1, 2) for c in ("firm", "given", "initial", "rest")]
-    ready = both.select("id1", "id2", F.concat(e, p, place, d).alias("epl"), F.coalesce("dob1", F.lit(0)).alias("dob1"), F.coalesce("dob2", F.lit(0)).alias("dob2"), *names, (F.col("nm1") != F.col("nm2")).alias("differ"))
-
-    shape = "id1 string, id2 string, code string, differ boolean"
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            got = {c: batch.column(c).to_pylist() for c in ("id1", "id2", "epl", "differ", "dob1", "dob2", *names)}
-            d = ["" if len(z) > 3 else _born_like(x, y) if x and y else "M" for x, y, z in zip(got["dob1"], got["dob2"], got["epl"])]
-            got["code"] = ["".join(x) for x in zip(got["epl"], d, *name_codes([got[n] for n in names]))]
-            yield arrow(got, shape)
-
-    return ready.mapInArrow(run, shape)
-
-
 def joined_before(golden: DataFrame) -> DataFrame:
-    """(id1, id2) of records that one golden row stems from: the weak labels."""
+    """(first, second) of records that one golden row stems from: the weak labels."""
     refs = F.concat(F.array("source_a_ref", "source_b_ref"), F.split(F.coalesce("merged_a_refs", F.lit("")), ","))
     refs = F.array_distinct(F.filter(F.transform(refs, lambda x: F.trim(x)), lambda x: x.isNotNull() & (x != "")))
     one = golden.select("golden_id", refs.alias("refs")).where(F.size("refs") > 1).select("golden_id", F.explode("refs").alias("id"))
-    return one.withColumnRenamed("id", "id1").join(one.withColumnRenamed("id", "id2"), "golden_id").where("id1 < id2").select("id1", "id2").distinct()
+    return one.withColumnRenamed("id", "id1").join(one.withColumnRenamed("id", "id2"), "golden_id").where("id1 < id2").select(F.col("id1").alias("first"), F.col("id2").alias("second")).distinct()
+
+
+@lru_cache(50_000)
+def hopeful(code: str) -> bool:
+    """Whether the prior weights leave a code a chance; pairs of other codes are only counted."""
+    letters = dict(zip(CODES, code))
+    return sum(PRIOR.get(a + x, 0.0) for a, x in letters.items()) + PRIOR["bias"] >= HOPELESS
 
 
 def learn(codes: DataFrame, labels: DataFrame) -> DataFrame:
@@ -476,11 +500,12 @@ def learn(codes: DataFrame, labels: DataFrame) -> DataFrame:
 
     Equal codes are counted together, so the driver gets at most as many rows as there are codes, some 20,000, and the
     answer is small enough to broadcast.  Pairs of the two sources train the model, as an earlier process joined records
-    of B only through A.
+    of B only through A.  Pairs that are only counted are unlabelled.
     """
-    across = F.substring("id1", 1, 1) != F.substring("id2", 1, 1)
-    marked = codes.join(labels.withColumn("y", F.lit(1)), ["id1", "id2"], "left")
-    table = marked.groupBy("code").agg(F.count(F.lit(1)).alias("all_n"), F.count(F.when(across, 1)).alias("n"), F.count(F.when(across, F.col("y"))).alias("y")).toPandas()
+    labels = broadcast_small(scratch(codes.sparkSession).table(labels, "labels")).withColumn("y", F.lit(1))
+    marked = codes.join(labels, (F.least("id1", "id2") == labels["first"]) & (F.greatest("id1", "id2") == labels["second"]), "left")
+    number = lambda c: F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0))
+    table = marked.groupBy("code").agg(number(F.col("across")).alias("n"), number(F.col("across") & F.col("y").isNotNull()).alias("y")).toPandas()
     split = pd.DataFrame([list(c) for c in table["code"]], columns=list(CODES)) if len(table) else pd.DataFrame(columns=list(CODES))
     both = pd.concat([split.assign(label=1.0, w=table["y"]), split.assign(label=0.0, w=table["n"] - table["y"])])
     both = both[both["w"] > 0]
@@ -490,6 +515,6 @@ def learn(codes: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def scored(codes: DataFrame, chances: DataFrame, threshold: float) -> DataFrame:
-    """(id1, id2, differ, probability) of candidates of at least this probability, each pair once."""
+    """(id1, id2, differ, probability) of listed candidates of at least this probability, each pair once."""
     likely = F.broadcast(chances.where(F.col("probability") >= threshold))
-    return codes.join(likely, "code").select("id1", "id2", "differ", "probability").dropDuplicates(["id1", "id2"])
+    return codes.where("id1 is not null").join(likely, "code").select("id1", "id2", "differ", "probability").dropDuplicates(["id1", "id2"])
