@@ -7,171 +7,256 @@ its words), and where a finer key is as large again, its rows are salted into ch
 block has more than some ``gather`` rows, whatever a value's share of the data is.
 
 A pair is compared in the first block of a context that both records have, in the order of KINDS; spread contexts
-come last and may meet a pair several times.
+come last and may meet a pair several times.  Whole batches of blocks are compared at once, field by field; only names
+that could be alike by their letters are looked at one by one.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tidemark.llm.people import KINDS, PROFILE, _born_like, _flipped, arrow, hopeful, marked, name_code, named
+from tidemark.llm.people import CODES, KINDS, NICKNAMED, PROFILE, SHORT_FORMS, arrow, hopeful, letters, marked, name_code, named
 from tidemark.session import broadcast_small, scratch
 
 GATHER = 1000
-#: What a row of a block holds, numbers with 0 for null; sub, asks and word are set on rows of spread contexts.
-ROW = PROFILE + ", bits int, key long, sub string, asks boolean, word string, chunk int"
+#: What a row of a block holds, numbers with 0 for null; sub, asks, word and chunk stand on rows of spread contexts.
+ROW = PROFILE + ", bits int, key long"
+SPREAD_ROW = ROW + ", sub string, asks boolean, word string, chunk int"
 OUT = "id1 string, id2 string, code string, differ boolean, across boolean, n long"
-_COLUMNS = [x.split()[0] for x in ROW.split(", ")]
-ID, A, WHO, NM, LOCAL, EMAIL, PHONE, DOB, PLACE, TOWN, BITS, KEY, SUB, ASKS, WORD, CHUNK = range(len(_COLUMNS))
-_SPREAD = 7  # the kind of rows of spread contexts
-
-Member = tuple
-
-
-def compare(x: Member, y: Member) -> str:
-    """The code of a pair: a letter for each entry of CODES, in its order."""
-    b1, b2 = x[BITS], y[BITS]
-    both = b1 | b2
-    if not x[EMAIL] or not y[EMAIL]:
-        e = "M"
-    elif x[EMAIL] == y[EMAIL]:
-        e = "EHB"[b1 >> 2 & 3]
-    elif both >> 2 & 3:
-        e = "M"
-    else:
-        e = "L" if x[LOCAL] == y[LOCAL] and not both & 3 else "X"
-    p = "M" if not x[PHONE] or not y[PHONE] else "EHB"[b1 >> 4 & 3] if x[PHONE] == y[PHONE] else "M" if both >> 4 & 3 else "X"
-    if not x[PLACE] or not y[PLACE]:
-        l = "M"  # noqa: E741
-    elif x[PLACE] == y[PLACE]:
-        l = "EHB"[b1 >> 6 & 3]  # noqa: E741
-    else:
-        l = "M" if both >> 6 & 3 else "T" if x[TOWN] == y[TOWN] else "X"  # noqa: E741
-    if not x[DOB] or not y[DOB]:
-        d = "M"
-    elif both >> 8 & 3:
-        d = "EHB"[b1 >> 8 & 3] if x[DOB] == y[DOB] else "M"
-    else:
-        d = _born_like(x[DOB], y[DOB])
-    return e + p + l + d + name_code(named(x[WHO]), named(y[WHO]))
-
-
-def _met_before(x: Member, y: Member, kind: int) -> bool:
-    """Whether a context of an earlier kind, or for spread rows any that isn't spread, brings a pair together too."""
-    for i, c in enumerate((LOCAL, EMAIL, PHONE, PLACE, DOB)):
-        if i >= kind:
-            return False
-        if not x[c] or (x[c] != y[c] and (c != DOB or _flipped(x[c]) != _flipped(y[c]))):
-            continue
-        b = x[BITS]
-        if b >> (10 + i) & 1 or y[BITS] >> (10 + i) & 1:
-            continue
-        if c == EMAIL and (x[EMAIL] == x[LOCAL] or not b & 3):
-            continue
-        if b >> 2 * i & 3 == 2 and (y[BITS] >> 2 * i & 3 != 2 or named(x[WHO])[2] != named(y[WHO])[2]):
-            continue
-        return True
-    return False
-
-
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[Member]]:
-    """The blocks of two and more rows of a partition sorted by key."""
+SPREAD = 7  # the kind of rows of spread contexts
+_WORDS, _STEP = 3, 400_000  # words of a surname that are compared by their letters; pairs that are looked at together
+
+
+@lru_cache(50_000)
+def _traits(who: str) -> tuple[int, ...]:
+    """(initial, plain, first letters and letters of given name and surnames, whether they are short forms, letters of words)."""
+    firm, given, initial, rest = named(who)
+    words = rest.split()
+    plain = not firm and 0 < len(words) <= _WORDS
+    at = lambda w: ord(w[0]) if w else 0
+    mask = lambda w: letters(w) | (len(w) < 6) << 62  # noqa: E731, whether a word is short in a bit that no letter has
+    return (at(initial), plain, at(given), at(rest), mask(given), mask(rest), given in SHORT_FORMS, rest in SHORT_FORMS, given in NICKNAMED, *map(mask, words[:_WORDS]), *[-1] * (_WORDS - len(words)))
+
+
+def all_pairs(first: np.ndarray, rows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Each of these rows with the rows from its ``first`` one on to itself, some _STEP pairs at a time."""
+    before = rows - first
+    ends = np.cumsum(before)
+    lo = 0
+    while lo < len(rows):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + _STEP)))
+        n = before[lo:hi]
+        j = np.repeat(rows[lo:hi], n)
+        yield np.arange(len(j)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[lo:hi], n), j
+        lo = hi
+
+
+def runs(sorted_values: np.ndarray) -> np.ndarray:
+    """Where the run of equal values of each place begins."""
+    new = np.append(True, sorted_values[1:] != sorted_values[:-1])[: len(sorted_values)]
+    return np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
+
+
+class Block:
+    """Rows of complete blocks as arrays: number, kind and first row of each row's block, and the rows' values."""
+
+    def __init__(self, batch: pa.RecordBatch, keys: np.ndarray):
+        self.first = runs(keys)
+        self.starts, self.group = np.unique(self.first, return_inverse=True)
+        self.sizes = np.diff(np.append(self.starts, len(keys)))
+        self.kind = keys & 7
+        self.batch = batch
+        for name in "nm local email phone dob place town bits".split():
+            setattr(self, name, batch.column(name).to_numpy())
+        self.a = batch.column("a").to_numpy(zero_copy_only=False)
+        ids = batch.column("record_id").dictionary_encode()
+        self.id = ids.indices.to_numpy()
+        order = np.argsort(np.array(ids.dictionary.to_pylist(), dtype=object))
+        self.rank = np.empty(len(order), np.int64)
+        self.rank[order] = np.arange(len(order))
+        who = batch.column("who").dictionary_encode()
+        self.names, self.who = who.dictionary.to_pylist(), who.indices.to_numpy()
+        self.traits = np.array([_traits(w) for w in self.names], dtype=np.int64)
+        month, day = self.dob // 100 % 100, self.dob % 100
+        self.flipped = self.dob // 10000 * 10000 + np.minimum(month, day) * 100 + np.maximum(month, day)
+
+    def wide(self, row: int) -> bool:
+        """Whether a row's context is a busy value divided by the initial."""
+        return bool(self.bits[row] >> 2 * self.kind[row] & 3 == 2)
+
+    def met_before(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Whether a context of an earlier kind, or for spread rows any that isn't spread, brings a pair together too."""
+        out, b1, b2, kind = np.zeros(len(i), bool), self.bits[i], self.bits[j], self.kind[i]
+        initial = self.traits[self.who, 0]
+        for n, c in enumerate((self.local, self.email, self.phone, self.place, self.flipped)):
+            same = (kind > n) & (c[i] == c[j]) & (c[i] != 0) & ((b1 | b2) >> (10 + n) & 1 == 0)
+            if n == 1:
+                same &= (self.email[i] != self.local[i]) & (b1 & 3 != 0)
+            divided = b1 >> 2 * n & 3 == 2
+            out |= same & (~divided | ((b2 >> 2 * n & 3 == 2) & (initial[i] == initial[j])))
+        return out
+
+    def values(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """The first four letters of the pairs' codes as one number each, see ``letters_of``."""
+        b1, b2 = self.bits[i], self.bits[j]
+
+        def code(c: np.ndarray, n: int, kind: str, otherwise: np.ndarray) -> np.ndarray:
+            at = {x: CODES[kind].index(x) for x in CODES[kind]}
+            busy = np.array([at["E"], at["H"], at["B"], at["B"]])
+            known = np.where(c[i] == c[j], busy[b1 >> 2 * n & 3], np.where((b1 | b2) >> 2 * n & 3 != 0, at["M"], otherwise))
+            return np.where((c[i] == 0) | (c[j] == 0), at["M"], known)
+
+        at = lambda kind, x: CODES[kind].index(x)
+        e = code(self.email, 1, "e", np.where((self.local[i] == self.local[j]) & ((b1 | b2) & 3 == 0), at("e", "L"), at("e", "X")))
+        p = code(self.phone, 2, "p", at("p", "X"))
+        place = code(self.place, 3, "l", np.where(self.town[i] == self.town[j], at("l", "T"), at("l", "X")))
+        x, y = self.dob[i], self.dob[j]
+        wrong = sum((x // 10**k % 10 != y // 10**k % 10).astype(np.int8) for k in range(8))
+        turned = (x // 10000 == y // 10000) & (x // 100 % 100 == y % 100) & (x % 100 == y // 100 % 100)
+        d = code(self.dob, 4, "d", np.where(turned, at("d", "S"), np.where(wrong == 1, at("d", "T"), at("d", "X"))))
+        return ((e * 8 + p) * 8 + place) * 8 + d
+
+    def unlike(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Pairs of persons whose given names and surnames are different by their letters alone, also if exchanged."""
+        x, y = self.traits[self.who[i]].T, self.traits[self.who[j]].T
+        short, bits = 1 << 62, (1 << 62) - 1
+        # more letters that only one has than typing errors can explain, one for an umlaut
+        far = lambda p, q: np.bitwise_count((p ^ q) & bits) > np.where((p | q) & short != 0, 3, 5)
+        apart = lambda g, h, p, q, s, t: (g != h) & far(p, q) & (s == 0) & (t == 0)
+        both = (x[2] != 0) & (y[2] != 0)
+        given = np.where(both, apart(x[2], y[2], x[4], y[4], x[6], y[6]), (x[0] != 0) & (y[0] != 0) & (x[0] != y[0]) & (x[8] == 0) & (y[8] == 0))
+        turned = apart(x[2], y[3], x[4], y[5], x[6], y[7]) | apart(x[3], y[2], x[5], y[4], x[7], y[6])
+        out = (x[1] == 1) & (y[1] == 1) & given & (turned | ~both)
+        for v in range(9, 9 + _WORDS):
+            for w in range(9, 9 + _WORDS):
+                out &= (x[v] < 0) | (y[w] < 0) | far(x[v], y[w])
+        return out
+
+
+@lru_cache(5_000)
+def letters_of(number: int) -> str:
+    e, p, place, d = number >> 9, number >> 6 & 7, number >> 3 & 7, number & 7
+    return CODES["e"][e] + CODES["p"][p] + CODES["l"][place] + CODES["d"][d]
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """The rows of complete blocks of two and more rows, of a partition sorted by key."""
     rest = None
+
+    def several(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+        keys = batch.column("key").to_numpy()
+        same = keys[1:] == keys[:-1]
+        kept = np.flatnonzero(np.append(same, False) | np.insert(same, 0, False)) if len(keys) > 1 else []
+        if len(kept):
+            yield batch.take(pa.array(kept)), keys[kept]
+
     for batch in batches:
         if rest is not None and rest.num_rows:
             batch = pa.Table.from_batches([rest, batch]).combine_chunks().to_batches()[0]
-        keys = batch.column(KEY).to_numpy()
-        cut = int(np.searchsorted(keys, keys[-1])) if len(keys) else 0
-        yield from _groups(batch.slice(0, cut), keys[:cut])
-        rest = batch.slice(cut)
+        if batch.num_rows:
+            keys = batch.column("key").to_numpy()
+            cut = int(np.searchsorted(keys, keys[-1]))
+            yield from several(batch.slice(0, cut))
+            rest = batch.slice(cut)
     if rest is not None:
-        yield from _groups(rest, rest.column(KEY).to_numpy())
-
-
-def _groups(batch: pa.RecordBatch, keys: np.ndarray) -> Iterator[list[Member]]:
-    if len(keys) < 2:
-        return
-    same = keys[1:] == keys[:-1]
-    kept = np.flatnonzero(np.append(same, False) | np.insert(same, 0, False))
-    if not len(kept):
-        return
-    rows = list(zip(*map(_listed_column, batch.take(pa.array(kept)).columns)))
-    cuts = [0, *(np.flatnonzero(np.diff(keys[kept])) + 1).tolist(), len(rows)]
-    for i, j in zip(cuts, cuts[1:]):
-        yield rows[i:j]
-
-
-def _listed_column(c: pa.Array) -> list:
-    if c.null_count == len(c):
-        return [None] * len(c)
-    return c.to_numpy().tolist() if pa.types.is_integer(c.type) and not c.null_count else c.to_pylist()
+        yield from several(rest)
 
 
-def _comparer(pairs_of: Callable[[list[Member], int], Iterable[tuple[int, int]]], across: bool):
+def _comparer(pairs_of: Callable[[Block], Iterator[tuple[np.ndarray, np.ndarray]]], across: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counted: dict[tuple[str, bool, bool], int] = defaultdict(int)
-        out: list[tuple] = []
-        for rows in _runs(batches):
-            kind = rows[0][KEY] & 7
-            if across and (all(r[A] for r in rows) or not any(r[A] for r in rows)):
+        for batch, keys in _runs(batches):
+            a = batch.column("a").to_numpy(zero_copy_only=False)
+            starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+            group = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(keys))))
+            ids = batch.column("record_id").dictionary_encode().indices.to_numpy()
+            kept = np.ones(len(keys), bool)
+            if keys[0] & 7 != SPREAD:  # rows delivered twice
+                kept = np.zeros(len(keys), bool)
+                kept[np.unique(group * (int(ids.max()) + 1) + ids, return_index=True)[1]] = True
+            if across:
+                n, own = np.add.reduceat(kept.astype(np.int64), starts), np.add.reduceat((a & kept).astype(np.int64), starts)
+                kept &= ((own > 0) & (own < n))[group]
+            if not kept.any():
                 continue
-            if len(rows) > 1 and kind != _SPREAD:
-                rows = list({r[ID]: r for r in rows}.values())
-            chunks = kind == _SPREAD and len({r[CHUNK] for r in rows}) > 1
-            seen = set()
-            for i, j in pairs_of(rows, kind):
-                x, y = rows[i], rows[j]
-                if (across and x[A] == y[A]) or (chunks and x[CHUNK] == y[CHUNK]) or (kind and _met_before(x, y, kind)):
-                    continue
-                if kind == _SPREAD:
-                    if x[ID] == y[ID] or (pair := (x[ID], y[ID]) if x[ID] < y[ID] else (y[ID], x[ID])) in seen:
-                        continue
-                    seen.add(pair)
-                if (across and y[A]) or (not across and x[ID] > y[ID]):
-                    x, y = y, x
-                code, apart, differ = compare(x, y), x[A] != y[A], x[NM] != y[NM]
-                if hopeful(code):
-                    out.append((x[ID], y[ID], code, differ, apart, 1))
-                else:
-                    counted[code, differ, apart] += 1
-            if len(out) >= 10_000:
-                yield _listed(out)
-                out = []
-        yield _listed(out + [(None, None, *key, n) for key, n in counted.items()])
+            block = Block(batch.filter(pa.array(kept)), keys[kept])
+            for i, j in pairs_of(block):
+                yield _compare(block, i, j, across, counted)
+        rows = [(None, None, *key, n) for key, n in counted.items()]
+        names = [x.split()[0] for x in OUT.split(", ")]
+        yield arrow(dict(zip(names, map(list, zip(*rows)) if rows else [[] for _ in names])), OUT)
 
     return run
 
 
-def _listed(rows: list[tuple]) -> pa.RecordBatch:
-    names = [x.split()[0] for x in OUT.split(", ")]
-    return arrow(dict(zip(names, map(list, zip(*rows)) if rows else [[] for _ in names])), OUT)
+def _compare(block: Block, i: np.ndarray, j: np.ndarray, across: bool, counted: dict) -> pa.RecordBatch:
+    """The listed pairs of some rows; the others are counted."""
+    ok = block.id[i] != block.id[j]
+    if across:
+        ok &= block.a[i] != block.a[j]
+    if "chunk" in block.batch.schema.names:
+        chunk = block.batch.column("chunk").fill_null(-1).to_numpy()
+        first, last = np.minimum.reduceat(chunk, block.starts), np.maximum.reduceat(chunk, block.starts)
+        ok &= (first == last)[block.group[i]] | (chunk[i] != chunk[j])
+    i, j = i[ok], j[ok]
+    new = ~block.met_before(i, j)
+    i, j = i[new], j[new]
+    swap = ~block.a[i] if across else block.rank[block.id[i]] > block.rank[block.id[j]]
+    i, j = np.where(swap, j, i), np.where(swap, i, j)
+    value, unlike = block.values(i, j), block.unlike(i, j)
+    apart, differ = block.a[i] != block.a[j], block.nm[i] != block.nm[j]
+    # most pairs share nothing else: counted at once
+    one = ((value << 2) + apart * 2 + differ)[unlike]
+    listed = ~unlike
+    for number, n in zip(*(x.tolist() for x in np.unique(one, return_counts=True))):
+        code = letters_of(number >> 2) + "DDP"
+        if hopeful(code):
+            listed |= unlike & ((value << 2) + apart * 2 + differ == number)
+        else:
+            counted[code, bool(number & 1), bool(number & 2)] += n
+    i, j, value, apart, differ = i[listed], j[listed], value[listed], apart[listed], differ[listed]
+    names, x, y = block.names, block.who[i].tolist(), block.who[j].tolist()
+    codes = [letters_of(v) + name_code(named(names[p]), named(names[q])) for v, p, q in zip(value.tolist(), x, y)]
+    good = np.array([hopeful(c) for c in codes], dtype=bool)
+    for k in np.flatnonzero(~good).tolist():
+        counted[codes[k], bool(differ[k]), bool(apart[k])] += 1
+    at = pa.array(good)
+    ids, n = block.batch.column("record_id"), int(good.sum())
+    return pa.RecordBatch.from_arrays(
+        [ids.take(pa.array(i[good])), ids.take(pa.array(j[good])), pa.array(codes, pa.string()).filter(at), pa.array(differ[good]), pa.array(apart[good]), pa.array(np.ones(n, np.int64))], names=[x.split()[0] for x in OUT.split(", ")]
+    )
 
 
 def compared(people: DataFrame, pairs_of: Callable, spread: Callable, across: bool = False, gather: int = GATHER) -> DataFrame:
-    """(*OUT), a written table, of the pairs of people that meet; those without hope as counts by code, without ids.
+    """(*OUT), written tables, of the pairs of people that meet; those without hope as counts by code, without ids.
 
-    ``pairs_of(rows, kind)`` gives the places of pairs in a block, ``spread(batches)`` fills sub, asks and word of rows of
-    contexts that are too large to be a block.  With ``across`` only pairs of the two sources count, A's record first.
+    ``pairs_of(block)`` gives the rows of pairs in blocks, ``spread(batches)`` fills sub, asks and word of rows of contexts
+    that are too large to be a block.  With ``across`` only pairs of the two sources count, A's record first.
     """
     area = scratch(people.sparkSession)
     own = [F.coalesce(n, F.lit(0)).alias(n) if t in ("int", "long") else F.col(n) for n, t in (x.split() for x in PROFILE.split(", "))]
-    people = marked(people, gather)
+    people, any_vast = marked(people, gather)
     vast = lambda i: F.col("bits").bitwiseAND(1 << (10 + i)) != 0
-    small = F.array(*(F.when(~vast(i), F.col(f"c_{k}")) for i, k in enumerate(KINDS)))
-    empty = [F.lit(None).cast(t).alias(n) for n, t in (x.split() for x in ROW.split(", ")[-4:])]
-    rows = people.select(*own, "bits", F.explode(small).alias("key"), *empty).where("key is not null")
-    large = people.where(F.col("bits") >= 1 << 10).select(*own, "bits", F.explode(F.array(*(F.when(vast(i), F.col(f"c_{k}")) for i, k in enumerate(KINDS)))).alias("key"), *empty).where("key is not null")
-    large = area.table(large.mapInArrow(spread, ROW).withColumn("key", F.shiftleft(F.xxhash64("key", "sub"), 3).bitwiseOR(F.lit(_SPREAD).cast("long"))), "spread")
+    contexts = lambda where: F.explode(F.array(*(F.when(where(i), F.col(f"c_{k}")) for i, k in enumerate(KINDS)))).alias("key")
+    rows = people.select(*own, "bits", contexts(lambda i: ~vast(i))).where("key is not null")
+    blocks = lambda df: df.repartition("key").sortWithinPartitions("key").mapInArrow(_comparer(pairs_of, across), OUT)
+    codes = area.table(blocks(rows), "codes")
+    if not any_vast:
+        return codes
+    empty = [F.lit(None).cast(t).alias(n) for n, t in (x.split() for x in SPREAD_ROW.split(", ")[-4:])]
+    large = people.where(F.col("bits") >= 1 << 10).select(*own, "bits", contexts(vast), *empty).where("key is not null")
+    apart = F.lit(SPREAD).cast("long")
+    large = area.table(large.mapInArrow(spread, SPREAD_ROW).withColumn("key", F.shiftleft(F.xxhash64("key", "sub"), 3).bitwiseOR(apart)), "spread")
     hot = broadcast_small(area.table(large.groupBy("key").agg(F.count(F.lit(1)).alias("many")).where(F.col("many") > gather), "hot"))
     chunks = F.ceil(F.col("many") * 2 / gather).cast("int")
     large = large.join(hot, "key", "left").withColumn("chunk", F.when(F.col("many").isNotNull(), F.pmod(F.xxhash64("record_id"), chunks).cast("int")))
     meets = F.when(F.col("many").isNotNull(), F.sequence(F.lit(0), chunks - 1)).otherwise(F.array(F.lit(None).cast("int")))
-    pair = F.shiftleft(F.xxhash64("key", F.least("chunk", "other"), F.greatest("chunk", "other")), 3).bitwiseOR(F.lit(_SPREAD).cast("long"))
-    large = large.withColumn("other", F.explode(meets)).withColumn("key", F.when(F.col("other").isNotNull(), pair).otherwise(F.col("key"))).select(_COLUMNS)
-    blocks = rows.select(_COLUMNS).unionByName(large).repartition("key").sortWithinPartitions("key")
-    return area.table(blocks.mapInArrow(_comparer(pairs_of, across), OUT), "codes")
+    pair = F.shiftleft(F.xxhash64("key", F.least("chunk", "other"), F.greatest("chunk", "other")), 3).bitwiseOR(apart)
+    large = large.withColumn("other", F.explode(meets)).withColumn("key", F.when(F.col("other").isNotNull(), pair).otherwise(F.col("key")))
+    return codes.unionByName(area.table(blocks(large.select([x.split()[0] for x in SPREAD_ROW.split(", ")])), "codes"))

@@ -52,6 +52,8 @@ for _full, _shorts in _SHORTS.items():
     for _s in _shorts:
         _FULL.setdefault(_s, []).append(_full)
 _SHORT |= {(b, a) for a, b in _SHORT}
+SHORT_FORMS = frozenset(_FULL)
+NICKNAMED = SHORT_FORMS | frozenset(NICKNAMES)
 _UMLAUT = re.compile("(?<=[aou])e")
 _DOTTED = re.compile(r"\b([a-z])\.\s?([a-z])\.(?=\W|$)")
 _WORDS = re.compile(r"[^\W\d_]+(?:['-][^\W\d_]+)*")
@@ -123,17 +125,17 @@ def split_name(name: str | None, words_of: dict[str, tuple[float, float]]) -> tu
 
 
 @lru_cache(100_000)
-def _letters(word: str) -> int:
+def letters(word: str) -> int:
     """The letters of a word as bits."""
     bits = 0
     for c in word:
-        bits |= 1 << (ord(c) & 63)
+        bits |= 1 << ord(c) % 61
     return bits
 
 
 def typed_alike(a: str, b: str, k: int) -> bool:
     """Whether two words are within k typing errors; lengths and letters rule most pairs out at once."""
-    if abs(len(a) - len(b)) > k or (_letters(a) ^ _letters(b)).bit_count() > 2 * k:
+    if abs(len(a) - len(b)) > k or (letters(a) ^ letters(b)).bit_count() > 2 * k:
         return False
     return edits(a, b) <= k
 
@@ -143,7 +145,7 @@ def alike(a: str, b: str) -> str:
     if a == b:
         return "E"
     # other first letters and many letters that only one has: neither typing errors nor a short form, but for listed ones
-    if a[:1] != b[:1] and (_letters(a) ^ _letters(b)).bit_count() > 5 and a not in _FULL and b not in _FULL:
+    if a[:1] != b[:1] and (letters(a) ^ letters(b)).bit_count() > 5 and a not in _FULL and b not in _FULL:
         return "D"
     return _alike(a, b)
 
@@ -291,9 +293,9 @@ def context(kind: str) -> Column:
     return F.shiftleft(value.cast("long"), 3).bitwiseOR(F.lit(list(KINDS).index(kind)).cast("long"))
 
 
-def by_initial(own: Column) -> Column:
+def by_initial(own: Column, initial: Column) -> Column:
     """The context of a value that many names hold, divided by the initial."""
-    return F.shiftleft(F.xxhash64(own, F.split("who", NAME)[2]), 3).bitwiseOR(own.bitwiseAND(F.lit(7).cast("long")))
+    return F.shiftleft(F.xxhash64(own, initial), 3).bitwiseOR(own.bitwiseAND(F.lit(7).cast("long")))
 
 
 def arrow(columns: dict[str, list], shape: str) -> pa.RecordBatch:
@@ -351,63 +353,50 @@ def profiles(a: DataFrame, b: DataFrame) -> DataFrame:
     return people
 
 
-def marked(people: DataFrame, gather: int) -> DataFrame:
-    """people with ``bits`` and the contexts c_e, c_m, c_p, c_l and c_d of their values.
+def marked(people: DataFrame, gather: int) -> tuple[DataFrame, bool]:
+    """people with ``bits`` and the contexts c_e, c_m, c_p, c_l and c_d of their values, and whether any is too large.
 
     A value is busy where more distinct records hold it than its limit: bits 2k and 2k + 1 of kind k have 1 where few
     names hold it and 2 where many do, whose contexts are divided by the initial.  Bit 10 + k is set where more than
     ``gather`` rows hold the context.  A whole e-mail address makes one where its part before the @ is busy.
     """
     area = scratch(people.sparkSession)
-    each = lambda *cols: people.select("record_id", F.xxhash64("who").alias("named"), F.explode(F.array(*cols)).alias("context"))
+    initial = F.split("who", NAME)[2]
     count = lambda df, least: df.groupBy("context").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > least)
-    crowded = area.table(count(each(*(context(k) for k in "epld")).where("context is not null"), min(MAX_HOLDERS, gather)), "crowded")
+    each = F.explode(F.array(*(context(k) for k in "epld"))).alias("context")
+    crowded = area.table(count(people.select(each).where("context is not null"), min(MAX_HOLDERS, gather)), "crowded")
     born = people.agg(F.count("dob")).first()[0]
     is_day = F.col("context").bitwiseAND(F.lit(7).cast("long")) == list(KINDS).index("d")
     limit = F.when(is_day, F.lit(max(MAX_HOLDERS, COMMON_DAY * born // DAYS))).otherwise(F.lit(MAX_HOLDERS))
 
-    def busy(rows: DataFrame) -> DataFrame:
-        """(context, level) of the contexts that more distinct records than their limit hold."""
+    def busy(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(context, level) of the contexts that more distinct records than their limit hold, and (context) of their rows, divided."""
+        rows = area.table(rows, "wide")
         held = rows.groupBy("context").agg(F.count_distinct("record_id").alias("n"), F.count_distinct("named").alias("names")).where(F.col("n") > limit)
-        return area.table(held.select("context", F.when(F.col("names") <= MAX_HOLDERS, 1).otherwise(2).alias("level")), "busy")
-
-    held = busy(each(*(context(k) for k in "epld")).join(broadcast_small(crowded.where(F.col("n") > limit).select("context")), "context"))
-    whole = people.withColumn("c_e", context("e")).join(broadcast_small(held.select(F.col("context").alias("c_e"))), "c_e").select("record_id", F.xxhash64("who").alias("named"), context("m").alias("context")).where("context is not null")
-    held = broadcast_small(held.unionByName(busy(whole)))
-    out = people
+        held = broadcast_small(area.table(held.select("context", F.when(F.col("names") <= MAX_HOLDERS, 1).otherwise(2).alias("level")), "busy"))
+        return held, rows.join(held, "context").select(F.when(F.col("level") == 2, by_initial(F.col("context"), F.col("initial"))).otherwise(F.col("context")).alias("context"))
+
+    own = ["record_id", F.xxhash64("who").alias("named"), initial.alias("initial")]
+    held, loud = busy(people.select(*own, each).join(broadcast_small(crowded.where(F.col("n") > limit).select("context")), "context"))
+    whole = people.withColumn("c_e", context("e")).join(held.select(F.col("context").alias("c_e")), "c_e").select(*own, context("m").alias("context")).where("context is not null")
+    whole, louder = busy(whole)
+    held = broadcast_small(area.table(held.unionByName(whole), "busy"))
+    out = people.withColumn("initial", initial)
     for i, k in enumerate(KINDS):
         out = out.withColumn(f"c_{k}", context(k)).join(held.select(F.col("context").alias(f"c_{k}"), F.col("level").alias(f"v_{k}")), f"c_{k}", "left")
-    whole = F.when(F.col("v_e").isNotNull(), F.col("c_m"))  # counts by itself where its part before the @ is busy
-    out = out.withColumn("v_m", F.when(whole.isNotNull(), F.col("v_m"))).withColumn("c_m", whole)
+    out = out.withColumn("c_m", F.when(F.col("v_e").isNotNull(), F.col("c_m")))  # counts by itself where its part before the @ is busy
+    out = out.withColumn("v_m", F.when(F.col("c_m").isNotNull(), F.col("v_m")))
     for k in KINDS:
-        out = out.withColumn(f"c_{k}", F.when(F.col(f"v_{k}") == 2, by_initial(F.col(f"c_{k}"))).otherwise(F.col(f"c_{k}")))
-    levels = sum((F.shiftleft(F.coalesce(f"v_{k}", F.lit(0)), 2 * i) for i, k in enumerate(KINDS)), F.lit(0))
-    out = out.withColumn("bits", levels)
-    # contexts of more than `gather` rows: quiet ones are counted above, busy ones, which may be divided, here
-    loud = out.where("bits > 0").select(F.explode(F.array(*(F.when(F.col(f"v_{k}").isNotNull() | F.lit(k == "m"), F.col(f"c_{k}")) for k in KINDS))).alias("context")).where("context is not null")
-    vast = area.table(count(loud, gather).unionByName(crowded.where(F.col("n") > gather)).select("context").distinct(), "vast")
+        out = out.withColumn(f"c_{k}", F.when(F.col(f"v_{k}") == 2, by_initial(F.col(f"c_{k}"), F.col("initial"))).otherwise(F.col(f"c_{k}")))
+    out = out.withColumn("bits", sum((F.shiftleft(F.coalesce(f"v_{k}", F.lit(0)), 2 * i) for i, k in enumerate(KINDS)), F.lit(0)))
+    # contexts of more than `gather` rows: quiet ones are counted above, busy ones, which may be divided, apart
+    vast = area.table(count(loud.unionByName(louder), gather).unionByName(crowded.where(F.col("n") > gather)).select("context").distinct(), "vast")
+    if vast.isEmpty():
+        return out, False
     vast = broadcast_small(vast)
     for i, k in enumerate(KINDS):
         out = out.join(vast.select(F.col("context").alias(f"c_{k}"), F.lit(1 << (10 + i)).alias(f"w_{k}")), f"c_{k}", "left")
-    return out.withColumn("bits", F.col("bits") + sum((F.coalesce(f"w_{k}", F.lit(0)) for k in KINDS), F.lit(0))).drop(*(f"{x}_{k}" for k in KINDS for x in "vw"))
-
-
-@lru_cache(50_000)
-def _flipped(day: int) -> int:
-    """A date without regard to day and month exchanged."""
-    m, d = day // 100 % 100, day % 100
-    return day // 10000 * 10000 + min(m, d) * 100 + max(m, d)
-
-
-@lru_cache(50_000)
-def _born_like(x: int, y: int) -> str:
-    """E equal, S day and month exchanged, T one digit typed otherwise, X different."""
-    if x == y:
-        return "E"
-    a, b = str(x), str(y)
-    if a[:4] == b[:4] and a[4:6] == b[6:] and a[6:] == b[4:6]:
-        return "S"
-    return "T" if sum(p != q for p, q in zip(a, b)) == 1 else "X"
+    return out.withColumn("bits", F.col("bits") + sum((F.coalesce(f"w_{k}", F.lit(0)) for k in KINDS), F.lit(0))), True
 
 
 @lru_cache(20_000)
@@ -483,9 +472,9 @@ def score(codes: pd.DataFrame, weights: np.ndarray) -> np.ndarray:
 def joined_before(golden: DataFrame) -> DataFrame:
     """(first, second) of records that one golden row stems from: the weak labels."""
     refs = F.concat(F.array("source_a_ref", "source_b_ref"), F.split(F.coalesce("merged_a_refs", F.lit("")), ","))
-    refs = F.array_distinct(F.filter(F.transform(refs, lambda x: F.trim(x)), lambda x: x.isNotNull() & (x != "")))
-    one = golden.select("golden_id", refs.alias("refs")).where(F.size("refs") > 1).select("golden_id", F.explode("refs").alias("id"))
-    return one.withColumnRenamed("id", "id1").join(one.withColumnRenamed("id", "id2"), "golden_id").where("id1 < id2").select(F.col("id1").alias("first"), F.col("id2").alias("second")).distinct()
+    refs = F.array_sort(F.array_distinct(F.filter(F.transform(refs, lambda x: F.trim(x)), lambda x: x.isNotNull() & (x != ""))))
+    one = golden.select(refs.alias("refs")).where(F.size("refs") > 1).select("refs", F.posexplode("refs").alias("at", "first"))
+    return one.select("first", F.explode(F.slice("refs", F.col("at") + 2, F.size("refs"))).alias("second")).distinct()
 
 
 @lru_cache(50_000)
