@@ -6,12 +6,12 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import address, canonical, clean, fusion, leakage, matching, names, packing, people, spans
+from tidemark.llm import address, blocks, canonical, clean, fusion, leakage, matching, names, packing, people, spans
 from tidemark.llm.address import parse_row, same_location
 from tidemark.llm.groups import connected_groups
 from tidemark.llm.leakage import align, find_leaks, words
 from tidemark.llm.matching import match, minhash_bands
-from tidemark.llm.names import link_names, lookups, segments, variant_pairs, within
+from tidemark.llm.names import link_names, lookups, segments, within
 from tidemark.llm.spans import expand_pairs, shared_amount, shared_spans
 
 A_COLS = "cust_id string, full_name string, email string, phone string, addr_line string, city string, postcode string, country string, date_of_birth date, created_at timestamp_ntz"
@@ -342,10 +342,11 @@ def test_exchanged_neighbours_are_met_in_blocks_of_any_size():
             met += 1
             assert {(s, i, t) for s, i, _, t in segments(short)} & set(lookups(long)), (a, b)
     assert met > 2000
-    row = lambda i, w: names.MARK.join((i, w, i))
-    others = [row(f"r{i}", w) for i, w in enumerate(("quarrington", "ivory", "lovelace", "dunmore"))]
-    small, large = ([tuple(sorted(x)) for x in names._join_block([row("a", "smith"), row("b", "simth"), *o])] for o in ([], others))
-    assert small == large == [("a", "b")]
+    met = lambda ws: {tuple(sorted((ws[i], ws[j]))) for i, j in zip(*names.met(ws, np.arange(len(ws)), np.zeros(len(ws), np.int64)))}
+    assert all(("simth", "smith") in met(["smith", "simth", *o]) for o in ([], ["quarrington", "ivory", "lovelace", "dunmore"]))
+    # in a spread context a pair of words meets at several segments and counts at the first of them
+    first = [i for size, i, _, text in segments("quarrington") if (size, i, text) in lookups("quarington") + lookups("quarrington") and names.meets_first("quarrington", "quarrington", i)]
+    assert first == [0]
 
 
 def brute_plain(a, b):
@@ -404,9 +405,8 @@ def test_a_default_held_by_a_third_of_the_rows_links_nobody(spark):
     a, b, g, truth = population(spark)
     crowd = [(f"B-C{i:03d}", "Ann", "Ashdown", "all@mail.example", "0555 010 0200", "1 Default Road", "Ely", "EL1 1AA", "GB", "01/01/1985", None) for i in range(130)]
     more = b.unionByName(spark.createDataFrame(crowd, B_COLS).withColumn("id1", F.lit("q")).withColumn("context", F.lit(1)))
-    p, crowded = people.profiles(a, more)
-    held = p.where(F.col("record_id").startswith("B-C")).select("local", "email", "phone", "place", "dob").distinct().collect()
-    assert [tuple(r) for r in held] == [(None,) * 5] and crowded.where("n >= 130").count() == 4
+    bits = {r["bits"] for r in people.marked(people.profiles(a, more), 1000)[0].where(F.col("record_id").startswith("B-C")).collect()}
+    assert bits == {0b0101010101}  # all five values are busy, held by few names
     got = {(r["id1"], r["id2"]) for r in match(a, more, g).collect()}
     assert len(got & truth) >= 0.97 * len(truth) and not [x for x in got if "B-C" in x[1]]
 
@@ -420,33 +420,63 @@ def test_busy_values_still_make_pairs(spark):
     two = [(f"B-M{i:03d}", "Zoe", "Quarington", "zoe.q@mail.example", "0207999001", *[None] * 6) for i in range(45)]
     more_a, more_b = a.unionByName(fill(spark.createDataFrame(firms + one, A_COLS))), b.unionByName(fill(spark.createDataFrame(same + two, B_COLS)))
     seen = g.unionByName(fill(spark.createDataFrame([(f"G-M{i}", *[None] * 8, f"A-M{i:03d}", f"B-M{i:03d}", ",".join(f"A-M{j:03d}" for j in range(45) if j != i), None, None) for i in range(45)], G_COLS)))
-    p, crowded = people.profiles(more_a, more_b)
-    held = {r["record_id"][:3]: r for r in p.collect()}
-    assert held["A-F"]["email"] is not None and held["A-F"]["local"] is None  # the whole address is judged apart
-    assert held["A-M"]["email"] is None and held["A-M"]["few"] == "emp"
-    pairs = {tuple(r) for r in matching.candidate_pairs(p, crowded).collect()}
-    assert all((f"A-F{i:03d}", f"B-F{i:03d}") in pairs for i in range(80)) and sum(x[:3] + y[:3] == "A-MB-M" for x, y in pairs) == 45 * 45
-    assert sum(x[:3] + y[:3] == "A-MB-M" for x, y in map(tuple, variant_pairs(p, crowded).collect())) == 45 * 45
+    p = people.profiles(more_a, more_b)
+    level = {r["record_id"][:3]: [r["bits"] >> 2 * k & 3 for k in range(5)] for r in people.marked(p, 1000)[0].collect()}
+    assert level["A-F"] == [1 if level["A-F"][0] == 1 else 2, 0, 0, 0, 0]  # the whole address is judged apart from its busy first part
+    assert level["A-M"][0] == level["A-M"][2] == 1
+    listed = lambda *x: {(r["id1"], r["id2"]) for r in blocks.compared(p, *x).where("id1 is not null").collect()}
+    ours = lambda pairs: sum(x[:3] + y[:3] == "A-MB-M" for x, y in pairs)
+    pairs = listed(matching.pairs_of, matching.spread, True)
+    assert all((f"A-F{i:03d}", f"B-F{i:03d}") in pairs for i in range(80)) and ours(pairs) == 45 * 45
+    # spread over bands and segments, and again into chunks, they still all meet
+    assert ours(listed(matching.pairs_of, matching.spread, True, 20)) == 45 * 45
+    assert listed(names.pairs_of, names.spread, False, 20) == listed(names.pairs_of, names.spread)
     got = {(r["id1"], r["id2"]) for r in match(more_a, more_b, seen).collect()}
     assert sum(x[:3] + y[:3] == "A-MB-M" for x, y in got) == 45 * 45 and len(got & truth) >= 0.97 * len(truth)
 
 
 def test_records_of_one_date_meet(spark):
-    shape = "record_id string, firm boolean, given string, initial string, rest string, local long, email long, phone long, dob int, place long, town long, nm long, local_b long, email_b long, phone_b long, place_b long, dob_b int, few string"
-    row = lambda i, g, s, day, n: (i, False, g, g[0], s, None, None, None, day, None, None, n, *[None] * 5, "")
+    row = lambda i, g, s, day, n: (i, i[0] == "A", people.NAME.join(("P", g, g[0], s)), n, None, None, None, day, None, None)
     rows = [row("A-1", "abigail", "margate", 19800102, 1), row("B-1", "abigail", "mragate", 19800102, 2), row("A-2", "zoe", "lee", 19800102, 3), row("B-2", "zoe", "quarrington", 19810304, 4), row("A-3", "zoe", "ashdown", 19810304, 5)]
     rows += [row(f"B-9{i}", "bert", "ivory", 19810304, 9) for i in range(40)]
-    p = spark.createDataFrame(rows, shape)
-    crowded = people.contexts(p, []).groupBy("context", "kind").agg(F.count(F.lit(1)).alias("n")).where("n > 30")
-    got = {tuple(r) for r in matching.candidate_pairs(p, crowded).collect()}
-    assert {("A-1", "B-1"), ("A-1", "A-2"), ("A-2", "B-1"), ("A-3", "B-2")} <= got and ("A-1", "A-3") not in got
+    out = blocks.compared(spark.createDataFrame(rows, people.PROFILE), matching.pairs_of, matching.spread).collect()
+    assert {("A-1", "B-1"), ("A-3", "B-2")} <= {(r["id1"], r["id2"]) for r in out}
+    # whom nothing but the date speaks for is counted: abigail and zoe; zoe and bert share no letter pair and never meet
+    assert sum(r["n"] for r in out if r["id1"] is None) == 2 and sum(r["n"] for r in out if r["id1"]) == 2 + 40 * 39 // 2
+
+
+def test_letters_never_hide_a_similar_name():
+    rnd = random.Random(3)
+    given, last = ["ann", "anne", "theodore", "ted", "jorg", "joerg", "abigail", "gail", "", "x"], ["lee", "leigh", "lee moss", "muller", "mueller", "quarrington", "quarington", "ashdown", ""]
+    typo = lambda w: (lambda p: w[:p] + rnd.choice(["", "e", "z", w[p] + w[p]]) + w[p + 1 :])(rnd.randrange(len(w))) if w and rnd.random() < 0.5 else w
+    who = []
+    for _ in range(250):
+        g, s = typo(rnd.choice(given)), typo(rnd.choice(last))
+        if rnd.random() < 0.2 and s:
+            g, s = s.split()[0], g
+        who.append(people.NAME.join((rnd.choice("PPPF"), g if len(g) > 1 else "", g[:1], s)))
+    import pyarrow as pa
+
+    n = len(who)
+    zero = pa.array(np.zeros(n, np.int64))
+    batch = pa.RecordBatch.from_arrays([pa.array([f"A-{i}" for i in range(n)]), pa.array([True] * n), pa.array(who), *[zero] * 9], names="record_id a who nm local email phone dob place town bits key".split())
+    block = blocks.Block(batch, np.zeros(n, np.int64))
+    for i, j in blocks.all_pairs(block.first, np.arange(n)):
+        for x, y, unlike in zip(i.tolist(), j.tolist(), block.unlike(i, j)):
+            assert not unlike or people.name_code(people.named(who[x]), people.named(who[y])) == "DDP", (who[x], who[y])
 
 
 def test_repeated_rows_make_no_value_busy(spark):
     a, b, g, truth = population(spark)
     again = a.where("cust_id = 'A-001'").withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(100)))).drop("k")
-    p, _ = people.profiles(a.unionByName(again), b)
-    assert p.where("record_id = 'A-001' and email is not null and phone is not null and place is not null and dob is not null").count() >= 100
+    p = people.marked(people.profiles(a.unionByName(again), b), 1000)[0].where("record_id = 'A-001'").collect()
+    assert len(p) >= 100 and all(r["bits"] >> 2 * k & 3 == 0 for r in p for k in (0, 1, 3, 4))
+
+
+def test_blank_and_single_names_in_a_batch(spark):
+    a, b = [(f"A-{i}", x, *[None] * 8) for i, x in enumerate(("", " ", None, "X", "Zoe"))], [("B-1", "", None, *[None] * 8)]
+    a, b, g = spark.createDataFrame(a, A_COLS), spark.createDataFrame(b, B_COLS), spark.createDataFrame([], G_COLS)
+    assert match(a, b, g).count() == link_names(a, b, g).count() == 0
 
 
 def test_name_variants_are_linked(spark):
@@ -455,8 +485,6 @@ def test_name_variants_are_linked(spark):
     want = {x for x in truth if name[x[0]] != name[x[1]]}
     got = {(r["id1"], r["id2"]) for r in link_names(a, b, g).collect()}
     assert len(got & want) >= 0.97 * len(want) and not got - want
-    p, crowded = people.profiles(a, b, least=1)
-    assert {tuple(r) for r in variant_pairs(p, crowded).collect()} == {tuple(r) for r in variant_pairs(p, crowded, block=2).collect()}
     assert link_names(a.limit(0), b.limit(0), g.limit(0)).count() == 0
 
 

@@ -385,7 +385,7 @@ def marked(people: DataFrame, gather: int) -> tuple[DataFrame, bool]:
     for i, k in enumerate(KINDS):
         out = out.withColumn(f"c_{k}", context(k)).join(held.select(F.col("context").alias(f"c_{k}"), F.col("level").alias(f"v_{k}")), f"c_{k}", "left")
     out = out.withColumn("c_m", F.when(F.col("v_e").isNotNull(), F.col("c_m")))  # counts by itself where its part before the @ is busy
-    out = out.withColumn("v_m", F.when(F.col("c_m").isNotNull(), F.col("v_m")))
+    out = out.withColumn("v_m", F.when(F.col("c_m").isNotNull(), F.col("v_m")).when(F.col("email") == F.col("local"), F.col("v_e")))
     for k in KINDS:
         out = out.withColumn(f"c_{k}", F.when(F.col(f"v_{k}") == 2, by_initial(F.col(f"c_{k}"), F.col("initial"))).otherwise(F.col(f"c_{k}")))
     out = out.withColumn("bits", sum((F.shiftleft(F.coalesce(f"v_{k}", F.lit(0)), 2 * i) for i, k in enumerate(KINDS)), F.lit(0)))
