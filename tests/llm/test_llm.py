@@ -204,7 +204,7 @@ def test_histogram_packing_holds_every_item():
     rnd = random.Random(4)
     for _ in range(20):
         counts = {rnd.randrange(1, 65): rnd.randrange(1, 300) for _ in range(30)}
-        out = packing.pack_histogram(counts, 64)
+        out = packing.pack_tiers(counts, 64)
         back = defaultdict(int)
         for p in out:
             assert p.fill <= 64

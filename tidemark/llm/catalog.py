@@ -117,11 +117,43 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     return map_to_reference(values.select("record_id", "value").distinct(), reference, "country_code", "country_name").select("record_id", F.col("code").alias("country_code")).distinct()
 
 
+def _packed(spark: SparkSession, sf: str) -> DataFrame:
+    sizes = {r["pack_id"]: r["capacity_tokens"] for r in read_table(spark, sf, "pack_sizes").collect()}  # the list of capacities
+    return pack(read_table(spark, sf, "documents").select("doc_id", "text"), sizes)
+
+
 @query("p8_packed")
 def p8_packed(spark: SparkSession, sf: str) -> DataFrame:
     """The container and place of every document, for each capacity of pack_sizes."""
-    sizes = {r["pack_id"]: r["capacity_tokens"] for r in read_table(spark, sf, "pack_sizes").collect()}  # the list of capacities
-    return pack(read_table(spark, sf, "documents").select("doc_id", "text"), sizes)
+    return _packed(spark, sf)
+
+
+@query(
+    "p8_whole",
+    """
+    SELECT pack_id, (SELECT count(*) FROM documents) AS documents, 0 AS overfull, 0 AS overlapping, 0 AS cut_needlessly, true AS full_to_a_percent
+    FROM pack_sizes""",
+)
+def p8_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """What every packing must hold: all documents placed, no container overfull, no two texts in one place, none cut that
+    fits, and under one percent of the space of all but one container of each capacity unused."""
+    placed = _packed(spark, sf).join(F.broadcast(read_table(spark, sf, "pack_sizes").withColumnRenamed("capacity_tokens", "capacity")), "pack_id")
+    each = placed.where("n_tokens > 0").groupBy("pack_id", "container_id", "capacity").agg(F.sum("n_tokens").alias("filled"), F.max(F.col("start_token") + F.col("n_tokens")).alias("ends"))
+    held = each.groupBy("pack_id").agg(
+        F.count(F.when(F.col("filled") > F.col("capacity"), 1)).alias("overfull"), F.count(F.when(F.col("filled") != F.col("ends"), 1)).alias("overlapping"),
+        (F.sum("filled") >= 0.99 * (F.count(F.lit(1)) - 1) * F.max("capacity")).alias("full_to_a_percent"),
+    )
+    docs = placed.groupBy("pack_id", "doc_id").agg(F.count(F.lit(1)).alias("pieces"), F.sum("n_tokens").alias("tokens"), F.max("capacity").alias("capacity"))
+    cut = docs.groupBy("pack_id").agg(F.count(F.lit(1)).alias("documents"), F.count(F.when((F.col("pieces") > 1) & (F.col("tokens") <= F.col("capacity")), 1)).alias("cut_needlessly"))
+    return cut.join(held, "pack_id").select("pack_id", "documents", F.col("overfull").cast("int").alias("overfull"), F.col("overlapping").cast("int").alias("overlapping"), F.col("cut_needlessly").cast("int").alias("cut_needlessly"), "full_to_a_percent")
+
+
+@query("p8_fill")
+def p8_fill(spark: SparkSession, sf: str) -> DataFrame:
+    """How full the containers of each capacity and tier are, and how evenly step groups are loaded."""
+    placed = _packed(spark, sf).where("n_tokens > 0").join(F.broadcast(read_table(spark, sf, "pack_sizes")), "pack_id")
+    each = placed.groupBy("pack_id", "tier", "container_id").agg(F.sum("n_tokens").alias("filled"), F.max("capacity_tokens").alias("capacity"))
+    return each.groupBy("pack_id", "tier").agg(F.count(F.lit(1)).alias("containers"), F.sum("filled").alias("tokens"), F.round(F.sum("filled") / F.sum("capacity"), 6).alias("fill"))
 
 
 @query("p10_found")

@@ -1,11 +1,15 @@
 """Filling fixed-capacity containers with texts, counted in tokens of a public tokenizer.
 
+Hierarchical packing over tiers of lengths.  Each text is routed to a tier: those longer than half the capacity, than a
+quarter, than an eighth, and the rest.  Each tier is packed by itself, from the longest on: a container is opened by the
+tier's longest text left and filled with texts of its own tier; the gap that stays is then filled from the shorter
+tiers, the next shorter one first, longest fit first, with a two-item look-ahead that prefers an exact fill.  What the
+gaps took no longer stands in the shorter tiers when their turn comes.
+
 Texts of equal length are interchangeable, so packing needs only the histogram of lengths: at most ``capacity`` numbers,
-whatever the number of documents.  The driver packs the histogram: items belong to tiers (longer than half the
-capacity, than a quarter, ...); each container is opened by an item of the longest tier left, and its gap is filled from
-that tier and the shorter ones, longest fit first, with a two-item look-ahead that prefers an exact fill.  A pattern of
-lengths is repeated as long as the histogram allows, which at least halves what is left of one of its lengths, so the plan
-has at most log2(documents) patterns for each length.
+whatever the number of documents, which the driver packs.  A pattern of lengths is repeated as long as the histogram
+allows, which at least halves what is left of one of its lengths, so the plan has at most log2(documents) patterns for
+each length.
 
 Documents find their place by rank: a document is numbered within its length by salted, pre-aggregated counts, and the
 plan maps ranges of these numbers to containers.  A length, source or group may hold any share of the documents.
@@ -35,7 +39,9 @@ from tidemark.session import scratch
 TOKENIZERS = os.environ.get("TIDEMARK_TOKENIZERS", "/opt/tokenizers")
 #: Fixed value: the pattern that splits text before the merges of the rank files.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-SALTS = 64
+TIERS, LOOK = 4, 64
+#: Rows of one length that a task numbers; more are salted.
+NUMBERED = 200_000
 
 
 def token_counts(docs: DataFrame, text: str = "text", vocabulary: str = "byte_bpe_multi_50k.tiktoken", folder: str | None = None) -> DataFrame:
@@ -57,50 +63,64 @@ def token_counts(docs: DataFrame, text: str = "text", vocabulary: str = "byte_bp
 class Pattern:
     """Items that share a container: runs of (length, how many), and how many containers look like this."""
 
-    __slots__ = ("runs", "times", "fill")
-
-    def __init__(self, runs: list[tuple[int, int]], times: int):
-        self.runs, self.times, self.fill = runs, times, sum(s * k for s, k in runs)
-
-
-def pack_histogram(counts: dict[int, int], capacity: int) -> list[Pattern]:
-    """Patterns that hold every item of a histogram length -> count (lengths 1..capacity)."""
-    left, lengths = dict(counts), sorted(counts)  # ascending
-    out: list[Pattern] = []
-
-    def fit(gap: int, taken: dict[int, int]) -> int:
-        """The longest length within the gap of which an item is left, or one whose partner fills the gap exactly."""
-        at = bisect.bisect_right(lengths, gap) - 1
-        longest = 0
-        free = lambda s: left.get(s, 0) - taken.get(s, 0)
-        for i in range(at, max(-1, at - 64), -1):
-            s = lengths[i]
-            if free(s) <= 0:
-                continue
-            longest = longest or s
-            rest = gap - s
-            if rest == 0 or (free(rest) - (rest == s)) > 0:
-                return s
-        if not longest:
-            for i in range(at - 64, -1, -1):
-                if free(lengths[i]) > 0:
-                    return lengths[i]
+    __slots__ = ("runs", "times", "fill", "tier")
+
+    def __init__(self, runs: list[tuple[int, int]], times: int, tier: int = 0):
+        self.runs, self.times, self.fill, self.tier = runs, times, sum(s * k for s, k in runs), tier
+
+
+def tier_of(size: int, capacity: int) -> int:
+    """0 for texts longer than half the capacity, 1 than a quarter and so on; the last tier has all shorter ones."""
+    return min(TIERS - 1, (capacity // size).bit_length() - 1)
+
+
+class Tier:
+    """Lengths of a tier, ascending, of which texts are left."""
+
+    def __init__(self, counts: dict[int, int]):
+        self.left, self.lengths = dict(counts), sorted(counts)
+
+    def fit(self, gap: int, taken: dict[int, int]) -> int:
+        """The longest length within the gap of which a text is left, or, among the LOOK next shorter ones, one that fills
+        the gap exactly, by itself or with a partner; 0 if none fits."""
+        free = lambda s: self.left.get(s, 0) - taken.get(s, 0)
+        longest, at = 0, bisect.bisect_right(self.lengths, gap) - 1
+        for i in range(at, -1, -1):
+            if longest and i < at - LOOK:
+                break
+            if free(s := self.lengths[i]) > 0:
+                longest = longest or s
+                rest = gap - s
+                if rest == 0 or free(rest) - (rest == s) > 0:
+                    return s
         return longest
 
-    while lengths:
-        head = lengths[-1]
-        taken = {head: 1}
-        gap = capacity - head
-        while gap > 0 and (s := fit(gap, taken)):
-            taken[s] = taken.get(s, 0) + 1
-            gap -= s
-        times = min(left[s] // k for s, k in taken.items())
-        for s, k in taken.items():
-            left[s] -= k * times
-            if not left[s]:
-                del left[s]
-                lengths.pop(bisect.bisect_left(lengths, s))
-        out.append(Pattern(sorted(taken.items(), reverse=True), times))
+    def take(self, size: int, n: int) -> None:
+        self.left[size] -= n
+        if not self.left[size]:
+            del self.left[size]
+            self.lengths.pop(bisect.bisect_left(self.lengths, size))
+
+
+def pack_tiers(counts: dict[int, int], capacity: int) -> list[Pattern]:
+    """Patterns that hold every text of a histogram length -> count (lengths 1..capacity), fullest first."""
+    routed: list[dict[int, int]] = [{} for _ in range(TIERS)]
+    for size, n in counts.items():
+        routed[tier_of(size, capacity)][size] = n
+    tiers, out = [Tier(x) for x in routed], []
+    for t, own in enumerate(tiers):
+        while own.lengths:
+            head = own.lengths[-1]
+            taken, gap = {head: 1}, capacity - head
+            for tier in tiers[t:]:  # its own tier first, then gaps from shorter ones
+                while gap > 0 and (s := tier.fit(gap, taken)):
+                    taken[s] = taken.get(s, 0) + 1
+                    gap -= s
+            home = {s: tiers[tier_of(s, capacity)] for s in taken}
+            times = min(home[s].left[s] // k for s, k in taken.items())
+            for s, k in taken.items():
+                home[s].take(s, k * times)
+            out.append(Pattern(sorted(taken.items(), reverse=True), times, t))
     return sorted(out, key=lambda p: (-p.fill, p.runs))
 
 
@@ -113,15 +133,15 @@ def _plan(patterns: list[Pattern]) -> pd.DataFrame:
         for s, k in p.runs:
             first = used.get(s, 0)
             used[s] = first + k * p.times
-            rows.append((s, first, base, k, slot, offset))
+            rows.append((s, first, base, k, slot, offset, p.tier))
             slot, offset = slot + k, offset + s * k
         base += p.times
-    return pd.DataFrame(rows, columns=["size", "first", "base", "k", "slot", "offset"]).sort_values(["size", "first"], ignore_index=True)
+    return pd.DataFrame(rows, columns=["size", "first", "base", "k", "slot", "offset", "tier"]).sort_values(["size", "first"], ignore_index=True)
 
 
-def _numbered(df: DataFrame, by: list[str], amount, name: str) -> DataFrame:
+def _numbered(df: DataFrame, by: list[str], amount, name: str, salts: int) -> DataFrame:
     """Running sum of ``amount`` before each row, by ``by``, without bringing a group into one task."""
-    salted = df.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).withColumn("amount", amount)
+    salted = df.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int")).withColumn("amount", amount)
     inner = W.partitionBy(*by, "salt").orderBy("doc_id").rowsBetween(W.unboundedPreceding, -1)
     sums = salted.groupBy(*by, "salt").agg(F.sum("amount").alias("total"))  # combined map-side: at most lengths x salts rows
     outer = W.partitionBy(*by).orderBy("salt").rowsBetween(W.unboundedPreceding, -1)
@@ -131,10 +151,10 @@ def _numbered(df: DataFrame, by: list[str], amount, name: str) -> DataFrame:
 
 
 def pack(docs: DataFrame, capacities: dict[int, int], group: int = 64, text: str = "text") -> DataFrame:
-    """(pack_id, doc_id, piece, container_id, slot, start_token, n_tokens, step_group) for each document and capacity.
+    """(pack_id, doc_id, piece, container_id, slot, start_token, n_tokens, step_group, tier) for each document and capacity.
 
     ``capacities`` maps pack_id to tokens.  ``piece`` counts the parts of a text that had to be cut, from 0;
-    ``start_token`` is the place of the piece's first token in its container.
+    ``start_token`` is the place of the piece's first token in its container, ``tier`` the container's tier.
     """
     spark: SparkSession = docs.sparkSession
     area = scratch(spark)
@@ -148,7 +168,8 @@ def pack(docs: DataFrame, capacities: dict[int, int], group: int = 64, text: str
         if r["size"]:
             histogram[r["pack_id"]][r["size"]] = r["n"]
         totals[r["pack_id"]] = totals.get(r["pack_id"], 0) + r["full"]
-    patterns = {p: pack_histogram(h, capacities[p]) for p, h in histogram.items()}
+    patterns = {p: pack_tiers(h, capacities[p]) for p, h in histogram.items()}
+    salts = max(8, -(-max((n for h in histogram.values() for n in h.values()), default=0) // NUMBERED), -(-max(totals.values(), default=0) // NUMBERED))
     planned = {p: sum(x.times for x in own) for p, own in patterns.items()}
     plans = {p: _plan(own) for p, own in patterns.items()}
     groups = {p: max(1, -(-(planned[p] + totals.get(p, 0)) // group)) for p in capacities}
@@ -167,7 +188,7 @@ def pack(docs: DataFrame, capacities: dict[int, int], group: int = 64, text: str
             for p, own in df.groupby("pack_id"):
                 plan, n = plans[p], len(own)
                 size, rank = own["size"].to_numpy(), own["rank"].to_numpy()
-                out = pd.DataFrame({"pack_id": own["pack_id"].astype("int32"), "doc_id": own["doc_id"], "piece": own["full"], "container_id": np.zeros(n, "int64"), "slot": rank, "start_token": np.zeros(n, "int64"), "n_tokens": size, "step_group": np.zeros(n, "int64")})
+                out = pd.DataFrame({"pack_id": own["pack_id"].astype("int32"), "doc_id": own["doc_id"], "piece": own["full"], "container_id": np.zeros(n, "int64"), "slot": rank, "start_token": np.zeros(n, "int64"), "n_tokens": size, "step_group": np.zeros(n, "int64"), "tier": np.full(n, TIERS - 1, "int32")})
                 if (some := size > 0).any():
                     span = np.int64(1) << 40
                     keys = plan["size"].to_numpy() * span + plan["first"].to_numpy()
@@ -179,17 +200,18 @@ def pack(docs: DataFrame, capacities: dict[int, int], group: int = 64, text: str
                     out.loc[some, "slot"] = take("slot") + nth
                     out.loc[some, "start_token"] = take("offset") + nth * size[some]
                     out.loc[some, "step_group"] = step(container, False, p)
+                    out.loc[some, "tier"] = take("tier").astype("int32")
                 yield out
 
-    schema = "pack_id int, doc_id long, piece long, container_id long, slot long, start_token long, n_tokens long, step_group long"
-    items = _numbered(each.where("size > 0 or n_tokens = 0"), ["pack_id", "size"], F.lit(1), "rank")
+    schema = "pack_id int, doc_id long, piece long, container_id long, slot long, start_token long, n_tokens long, step_group long, tier int"
+    items = _numbered(each.where("size > 0 or n_tokens = 0"), ["pack_id", "size"], F.lit(1), "rank", salts)
     placed = items.select("pack_id", "doc_id", "full", "size", "rank").mapInPandas(place, schema)
-    cut = _numbered(each.where("full > 0"), ["pack_id"], F.col("full"), "before").withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.col("full") - 1)))
+    cut = _numbered(each.where("full > 0"), ["pack_id"], F.col("full"), "before", salts).withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.col("full") - 1)))
 
     def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in batches:
             for p, own in df.groupby("pack_id"):
                 container = shipped.value[1][p] + own["before"].to_numpy() + own["piece"].to_numpy()
-                yield pd.DataFrame({"pack_id": own["pack_id"].astype("int32"), "doc_id": own["doc_id"], "piece": own["piece"], "container_id": container, "slot": 0, "start_token": 0, "n_tokens": own["capacity"], "step_group": step(container, True, p)})
+                yield pd.DataFrame({"pack_id": own["pack_id"].astype("int32"), "doc_id": own["doc_id"], "piece": own["piece"], "container_id": container, "slot": 0, "start_token": 0, "n_tokens": own["capacity"], "step_group": step(container, True, p), "tier": np.int32(0)})
 
     return placed.unionByName(cut.select("pack_id", "doc_id", "before", "piece", "capacity").mapInPandas(whole, schema))
