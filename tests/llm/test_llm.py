@@ -157,6 +157,18 @@ def brute_align(p, t, cost=2):
     return best
 
 
+def test_short_contained_and_very_long_passages(spark):
+    word = lambda i: "".join(chr(97 + int(c)) for c in str(i))
+    inner = "seven brass kettles sang along the quiet harbour wall"
+    long = " ".join(word(10_000 + i) for i in range(5_000))
+    items = spark.createDataFrame([(1, inner), (2, f"{inner} while gulls"), (3, long), (4, "Xylophone"), (5, "amber ledger"), (6, None)], "item_id long, passage string")
+    docs = spark.createDataFrame([(1, f"note {inner} end"), (2, f"so {inner} while gulls slept"), (3, "x " + long), (4, "one xylophone and amber"), (5, "the AMBER ledger"), (6, "")], "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in find_leaks(docs, items).collect()}
+    assert got == {(1, 1), (1, 2), (2, 1), (2, 2), (3, 3), (4, 4), (5, 5)}
+    row = np.arange(1, 5_001)
+    assert align(row, row) == (5_000, 0)
+
+
 def test_alignment_equals_full_tables():
     rnd = random.Random(3)
     for _ in range(60):

@@ -1,19 +1,19 @@
 """Evaluation texts leaking into training text: rare n-gram seeds, then Smith-Waterman alignment.
 
-Every passage gives word n-grams.  Those that stand in one passage only are its seeds; a record that holds a seed is a
-candidate for the passage, with the words around its seeds.  Every candidate is aligned word by word, however many
-records hold its seeds; equal windows of a batch are aligned once.  Matches gain, altered, dropped and added words cost,
-and one insertion of other text of any length is free.  A pair counts when the aligned stretch covers the wanted share of
-the passage with few enough edits.
+Every passage gives word n-grams.  Its seeds are its rarest ones: those that at most COMMON passages hold and, where these
+cover less than COVER of its n-grams, the next rarer ones up to that share, so that every passage has seeds in every part
+of it, also one that is contained in others.  A record that holds a seed is a candidate for each passage that has it, with
+the words around its seeds.  Every candidate is aligned word by word, however many records hold its seeds; equal windows
+of a batch are aligned once.  Matches gain, altered, dropped and added words cost, and one insertion of other text of any
+length is free.  A pair counts when the aligned stretch covers the wanted share of the passage with few enough edits.
 
 Words are compared without letter case, accents, punctuation and layout; words that a line end divides are joined.
 
 The passages are shipped to the tasks in parts of at most PART items, so their size in memory has a bound whatever the
 number of passages; records are scanned where they lie and only candidates are shuffled.
 
-Edge cases: null and empty texts and passages match nothing; passages shorter than a seed are compared by their whole
-word row; repeated records and items count once; a passage that is equal to another one shares its seeds and both are
-reported.
+Edge cases: null and empty texts and passages match nothing; passages shorter than a seed are found where their whole
+word row stands; repeated records and items count once; equal passages are all reported.
 """
 
 from __future__ import annotations
@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame, functions as F
 from tidemark.session import scratch
 
 GRAM, PART = 3, 20_000
+COMMON, COVER = 8, 0.7
 _DIVIDED = re.compile(r"(?<=[^\W\d_])[-­‐]\s*\n[\s#>|*/]*(?=[^\W\d_])")
 _WORD = re.compile(r"[^\W_]+")
 _MARKS = re.compile(r"[̀-ͯ­​-‍﻿]+")
@@ -62,13 +63,22 @@ class Seeds:
         rows = {tuple(p): [] for p in self.passages.values()}
         for i, p in self.passages.items():
             rows[tuple(p)].append(i)
-        first = {ids[0]: ids for ids in rows.values()}  # equal passages share seeds
-        keys = [np.unique(self.keys(self.passages[i])) for i in first]
-        owner = [np.full(len(k), i, dtype=np.int64) for i, k in zip(first, keys)]
-        key, own = (np.concatenate(keys), np.concatenate(owner)) if keys else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        _, at, count = np.unique(key, return_index=True, return_counts=True)
-        alone = at[count == 1]
-        self.key, self.owner, self.first = key[alone], own[alone], first
+        self.first = {ids[0]: ids for ids in rows.values()}  # equal passages share seeds
+        # passages of fewer words than a seed by their length, whole
+        self.short = {n: {row: ids[0] for row, ids in rows.items() if len(row) == n} for n in {len(r) for r in rows} if n < gram}
+        own = {i: np.unique(self.keys(self.passages[i])) for i in self.first if len(self.passages[i]) >= gram}
+        every, held = np.unique(np.concatenate([*own.values(), np.zeros(0, np.uint64)]), return_counts=True)
+        seeds = []
+        for i, keys in own.items():
+            n = held[np.searchsorted(every, keys)]
+            order = np.argsort(n, kind="stable")
+            few = max(int((n <= COMMON).sum()), -(-int(COVER * 100) * len(keys) // 100))
+            seeds.append((keys[order[:few]], i))
+        key = np.concatenate([*(k for k, _ in seeds), np.zeros(0, np.uint64)])
+        owner = np.concatenate([*(np.full(len(k), i, np.int64) for k, i in seeds), np.zeros(0, np.int64)])
+        order = np.argsort(key, kind="stable")
+        self.owner = owner[order]
+        self.key, self.start, self.count = np.unique(key[order], return_index=True, return_counts=True)
 
     def keys(self, row: np.ndarray) -> np.ndarray:
         """The number of every n-gram of a row; 0 where a word is unknown."""
@@ -86,13 +96,21 @@ class Seeds:
         return np.fromiter(map(self.vocabulary.get, w := words(text), repeat(0)), dtype=np.int64, count=len(w))
 
     def hits(self, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(place in the row, number of the seed) of the seeds in it."""
+        """(place in the row, passage) of the seeds in it."""
+        places, owners = [], []
         key = self.keys(row)
-        if not len(key) or not len(self.key):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        at = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
-        place = np.flatnonzero((self.key[at] == key) & (key > 0))
-        return place, at[place]
+        if len(key) and len(self.key):
+            at = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
+            place = np.flatnonzero((self.key[at] == key) & (key > 0))
+            at = at[place]
+            n = self.count[at]
+            places.append(np.repeat(place, n))
+            owners.append(self.owner[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.start[at], n)])
+        for n, passages in self.short.items():
+            found = [(i, passages[w]) for i in range(len(row) - n + 1) if (w := tuple(row[i : i + n].tolist())) in passages]
+            places.append(np.array([i for i, _ in found], np.int64))
+            owners.append(np.array([p for _, p in found], np.int64))
+        return (np.concatenate(places), np.concatenate(owners)) if places else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
 def align(passage: np.ndarray, text: np.ndarray, cost: int = 2) -> tuple[int, int]:
@@ -101,7 +119,7 @@ def align(passage: np.ndarray, text: np.ndarray, cost: int = 2) -> tuple[int, in
     A match gains 1, an altered, dropped or added word costs ``cost``, the free insertion costs ``cost`` once and counts
     as one edit.  Scores hold the matches in their low bits, so that no trace has to be kept.
     """
-    unit = 1 << 12
+    unit = 1 << 24
     gain, lose = unit + 1, cost * unit
     n = len(text)
     steps = np.arange(n + 1, dtype=np.int64) * lose
@@ -119,7 +137,7 @@ def align(passage: np.ndarray, text: np.ndarray, cost: int = 2) -> tuple[int, in
         h, g = new, jump
         best = max(best, int(h.max()), int(g.max()))
     matched = best & (unit - 1)
-    return matched, (matched - (best >> 12)) // cost
+    return matched, (matched - (best >> 24)) // cost
 
 
 def _candidates(seeds_of):
@@ -129,15 +147,15 @@ def _candidates(seeds_of):
             out = []
             for d, text in zip(df["doc_id"], df["text"]):
                 row = seeds.rows(text)
-                place, seed = seeds.hits(row)
+                place, owner = seeds.hits(row)
                 if not len(place):
                     continue
-                owner = seeds.owner[seed]
-                for i in np.unique(owner):
-                    own = owner == i
+                order = np.argsort(owner, kind="stable")
+                place, owner = place[order], owner[order]
+                begin = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
+                for i, first, last in zip(owner[begin].tolist(), np.minimum.reduceat(place, begin).tolist(), np.maximum.reduceat(place, begin).tolist()):
                     size = 2 * len(seeds.passages[i])
-                    lo, hi = max(0, int(place[own].min()) - size), int(place[own].max()) + size
-                    out.append((d, int(i), row[lo:hi].astype(np.int32).tolist()))
+                    out.append((d, i, row[max(0, first - size) : last + size].astype(np.int32).tolist()))
             yield pd.DataFrame(out, columns=["doc_id", "item", "row"])
 
     return run
