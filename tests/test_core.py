@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions.hashing import Fingerprint, fingerprint, hashed
+from tidemark.operators.diff import keyed_diff
 from tidemark.operators import browse, diff, gate, linkage, review
 from tidemark.operators.checksum_diff import checksum_diff
 from tidemark.plans import playbook
@@ -406,3 +407,123 @@ def test_review_of_cards_and_precedents(spark):
     assert [tuple(r) for r in review.standing_precedents(log).select("precedent_id", "context", "note", "times_cited").collect()] == [(1, "c", "n", 1)]
     pairs = spark.createDataFrame([("k", "d")], "keep_golden_id string, drop_golden_id string")
     assert rows(review.closed_keys(spark.createDataFrame([("d",), ("x",)], "key_value string"), pairs)) == [("d",), ("k",), ("x",)]
+
+
+# what a double, an id and a call are worth
+
+
+def test_doubles_are_hashed_whole(spark):
+    one = spark.createDataFrame([(1, 1.001), (2, 1e16), (3, float("nan")), (4, 0.1 + 0.2), (5, None)], "k int, v double")
+    two = spark.createDataFrame([(1, 1.004), (2, 1e16), (3, float("nan")), (4, 0.3), (5, None)], "k int, v double")
+    assert {r["key_value"]: r["cols_mask"] for r in keyed_diff(one, two, "k").collect()} == {"1": 2, "4": 2}
+    assert keyed_diff(one, one, "k").count() == 0
+
+
+def test_a_mask_refuses_columns_it_cannot_hold(spark):
+    wide = spark.range(1).select("id", *[F.lit(1).alias(f"c{i}") for i in range(60)])
+    with pytest.raises(ValueError, match="60 columns"):
+        keyed_diff(wide, wide, "id")
+
+
+def test_equal_ids_of_both_sources_are_two_records(spark):
+    v = spark.createDataFrame([("2", "3", "UNANIMOUS_MERGE", "AB"), ("4", "2", "UNANIMOUS_MERGE", "AB"), ("5", "6", "UNANIMOUS_MERGE", "AA"), ("6", "9", "UNANIMOUS_MERGE", "AB")], "a_id string, b_id string, panel_result string, kind string")
+    out = {(r["a_id"], r["b_id"]): r["verdict"] for r in linkage.flag_clusters(linkage.verdicts(v)).collect()}
+    assert out == {("2", "3"): "MERGE", ("4", "2"): "MERGE", ("5", "6"): "FLAG", ("6", "9"): "FLAG"}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_components_equal_union_find(spark, seed):
+    import random
+
+    rnd = random.Random(seed)
+    edges = [(f"n{rnd.randrange(60):02d}", f"n{rnd.randrange(60):02d}") for _ in range(45)] + [(f"p{i:02d}", f"p{i + 1:02d}") for i in range(40)] + [(None, "z"), ("z", "z")]
+    up = {}
+
+    def root(x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    for x, y in edges:
+        if x and x != y:
+            a, b = sorted((root(x), root(y)))
+            up[b] = a
+    groups = {x: root(x) for x in up}
+    want = {(x, g, sum(h == g for h in groups.values())) for x, g in groups.items()}
+    df = spark.createDataFrame(edges, "x string, y string")
+    assert {tuple(r) for r in linkage.components(df).collect()} == want
+    assert linkage.components(df.limit(0)).count() == 0
+
+
+def test_an_undone_version_survives_recovery_and_inserts_are_counted(spark, tmp_path):
+    s = Store(spark, str(tmp_path))
+    s.create("GOLDEN.T", spark.range(3).toDF("ID"))
+    later = s.insert("GOLDEN.T", spark.range(5).toDF("ID"), 5)["version"]
+    s.rollback("GOLDEN.T", 1)
+    assert s.recover() == [] and s.read("GOLDEN.T", later).count() == 5
+    with pytest.raises(StoreError, match="ROW_COUNT_MISMATCH"):
+        s.insert("GOLDEN.T", spark.range(4).toDF("ID"), 5)
+    assert s.read("GOLDEN.T").count() == 3
+    assert s.reseed("GOLDEN.T", spark.range(7).toDF("ID")).n == 7
+    s.log("ops", {"a": 1})
+    s.log("precedents", {"a": 1})
+    assert s.clear_run_state() == 1 and s.rows("precedents") and not s.rows("ops")
+
+
+def test_two_callers_make_one_call(spark, tmp_path):
+    import threading
+    import time
+
+    s, calls, got = Store(spark, str(tmp_path)), [], []
+    slow = lambda: (time.sleep(0.3), calls.append(1), {"n": len(calls)})[2]
+    both = [threading.Thread(target=lambda: got.append(s.once("k", slow))) for _ in range(2)]
+    [t.start() for t in both]
+    [t.join() for t in both]
+    assert calls == [1] and sorted(x.get("replayed", False) for x in got) == [False, True] and {x["n"] for x in got} == {1}
+
+
+def test_unapproved_rows_need_review_and_another_process_goes_on(spark, tmp_path):
+    from tidemark.plans.branch import Engine
+
+    s = Store(spark, str(tmp_path))
+    s.create("GOLDEN.CUSTOMERS", spark.range(20).selectExpr("id as K", "'x' as V"), "K")
+    refuse = lambda _, d: d.withColumn("approved", F.when(F.col("default_reason") == "DEFAULT", F.col("key_value") != "3").otherwise(F.col("approved"))).withColumn("default_reason", F.when((F.col("key_value") == "3") & (F.col("default_reason") == "DEFAULT"), "UNEXPLAINED").otherwise(F.col("default_reason")))
+    e = Engine(spark, s, defaults=refuse, enrich=lambda _, c: c.withColumn("seen", F.lit(1)))
+    b = e.open_branch("x")
+    e.run(b, "UPDATE GOLDEN.CUSTOMERS SET V = 'y' WHERE K < 5")
+    m = e.request_merge(b, 0.99)
+    assert (m["status"], m["reason"], m["facts"]["needs_review"]) == ("PENDING", "ROWS_NEED_REVIEW", 1)
+    assert not e.base_drift(b, "GOLDEN.CUSTOMERS") and e.cards(b, "GOLDEN.CUSTOMERS").where("seen = 1").count() == 5
+    other = Engine(spark, s, defaults=refuse)
+    assert [x["merge_id"] for x in other.pending()] == [1] and other.pending(run_id="no") == []
+    other.set_approval(b, "GOLDEN.CUSTOMERS", ["3"], False)
+    assert other.apply(1)["status"] == "MERGED" and s.read("GOLDEN.CUSTOMERS").where("V = 'y'").count() == 4
+    assert Engine(spark, s).merges[0]["refused"] == 1
+    assert other.pending() == [] and len(other.pending(include_resolved=True)) == 1
+    c = other.open_branch("y")
+    other.run(c, "UPDATE GOLDEN.CUSTOMERS SET V = 'z' WHERE K = 9")
+    first, again = (other.request_merge(c, 0.99, call="r1") for _ in range(2))
+    assert again["replayed"] and first["merge_id"] == again["merge_id"] == 2 and len(other.merges) == 2
+
+
+def test_rows_are_numbered_by_ranges(spark):
+    from tidemark.sources.delimited import numbered
+
+    df = spark.range(1000).selectExpr("id * 7 % 1000 as o", "id as v").repartition(5)
+    assert [r["n"] for r in numbered(df, "o", "n").orderBy("o").collect()] == list(range(1, 1001))
+    assert numbered(df.limit(0), "o", "n").count() == 0
+
+
+def test_exports_and_labels(spark, tmp_path):
+    from tidemark.functions import labels
+    from tidemark.operators import browse, export
+
+    df = spark.createDataFrame([(1, True, "a,b", None), (2, None, 'q"', datetime.datetime(2026, 1, 2, 3, 4, 5))], "k int, ok boolean, t string, at timestamp_ntz")
+    assert "".join(export.csv_chunks(df, 1)) == '\ufeffk,ok,t,at\r\n1,yes,"a,b",\r\n2,,"q""",2026-01-02T03:04:05\r\n'
+    assert "".join(export.csv_chunks(df.limit(0))) == "\ufeffk,ok,t,at\r\n"
+    assert export.dataset({"x": df}, str(tmp_path)) and spark.read.option("header", True).csv(f"{tmp_path}/x").count() == 2
+    got = spark.createDataFrame([(0.0, 0), (10.0, 1), (100.0, 2), (None, None)], "s double, n int").select(labels.risk(F.col("s")).alias("r"), labels.chip(F.col("n"), "row").alias("c")).collect()
+    assert [tuple(r) for r in got] == [("none", ""), ("low", "1 row"), ("medium", "2 rows"), (None, "")]
+    same = spark.createDataFrame([("A@x ", "a@X", "+44 20 7946 0018", "020 7946 0018")], "a string, b string, p string, q string")
+    assert tuple(same.select(labels.same_field("email", F.col("a"), F.col("b")), labels.same_field("text", F.col("p"), F.col("q"))).first()) == (True, False)
+    assert browse.filtered(df, k=1, t=None).count() == 1

@@ -13,6 +13,7 @@ from tidemark.operators import browse, diff, gate, linkage, merge, review
 from tidemark.operators.checksum_diff import checksum_diff
 from tidemark.plans import dml, playbook
 from tidemark.sources import delimited, synthetic
+from tidemark.session import scratch
 from tidemark.sources.tables import read_table
 from tidemark.streaming import events as ev
 
@@ -76,7 +77,7 @@ def _part(v: str) -> str:
     return f"coalesce(cast(length({v}) AS VARCHAR) || ':' || {v}, ':')"
 
 
-_TEXT = {"c_custkey": "cast(c_custkey AS VARCHAR)", "c_name": "nullif(c_name, '')", "c_nationkey": "cast(c_nationkey AS VARCHAR)", "c_acctbal": "cast(cast(c_acctbal AS DECIMAL(18,2)) AS VARCHAR)", "c_mktsegment": "nullif(c_mktsegment, '')"}
+_TEXT = {"c_custkey": "cast(c_custkey AS VARCHAR)", "c_name": "nullif(c_name, '')", "c_nationkey": "cast(c_nationkey AS VARCHAR)", "c_acctbal": "CASE WHEN cast(try_cast(c_acctbal AS DECIMAL(38,6)) AS DOUBLE) = c_acctbal THEN cast(try_cast(c_acctbal AS DECIMAL(38,6)) AS VARCHAR) ELSE cast(c_acctbal AS VARCHAR) END", "c_mktsegment": "nullif(c_mktsegment, '')"}
 _HASH = "sha256(" + " || '|' || ".join(_part(v) for v in _TEXT.values()) + ")"
 _SLICES = "count(h) AS n, coalesce(sum(('0x' || substr(h, 1, 15))::UBIGINT::HUGEINT), 0) AS s1, coalesce(sum(('0x' || substr(h, 16, 15))::UBIGINT::HUGEINT), 0) AS s2"
 _BRANCH_SQL = f"""
@@ -285,7 +286,21 @@ def normalise_contact(spark, sf):
     return a.select(*columns).unionByName(b.select(*columns))
 
 
+
+
+def _soundex_sql(c: str) -> str:
+    """American Soundex as the engine's function defines it: H and W are passed over, other signs without code divide."""
+    first, rest = f"substr({c}, 1, 1)", f"regexp_replace(substr({c}, 2), '[HW]', '', 'g')"
+    codes = f"translate({first} || {rest}, 'BFPVCGJKQSXZDTLMNRAEIOUYHW', '11112222222233455600000077')"
+    runs = f"regexp_replace({codes}, '[^0-7]', '0', 'g')"
+    for d in "01234567":
+        runs = f"regexp_replace({runs}, '{d}+', '{d}', 'g')"
+    return f"(CASE WHEN {c} IS NULL THEN NULL WHEN NOT regexp_matches({c}, '^[A-Z]') THEN {c} ELSE {first} || rpad(substr(replace(substr({runs}, 2), '0', ''), 1, 3), 3, '0') END)"
+
+
 _RULES_SQL = {
+    "SOUNDEX_CITY": f"SELECT DISTINCT a.id AS a_id, b.id AS b_id FROM (SELECT *, {_soundex_sql('family_n')} AS sx FROM na) a JOIN (SELECT *, {_soundex_sql('family_n')} AS sx FROM nb) b ON a.city_n = b.city_n AND a.sx = b.sx",
+    "DOB_SOUNDEX": f"SELECT DISTINCT a.id AS a_id, b.id AS b_id FROM (SELECT *, {_soundex_sql('family_n')} AS sx FROM na) a JOIN (SELECT *, {_soundex_sql('family_n')} AS sx FROM nb) b ON a.dob = b.dob AND a.sx = b.sx",
     "EXACT_EMAIL": "SELECT DISTINCT a.id AS a_id, b.id AS b_id FROM na a JOIN nb b ON a.email_n = b.email_n",
     "PHONE7": "SELECT DISTINCT a.id AS a_id, b.id AS b_id FROM na a JOIN nb b ON a.phone7 = b.phone7",
     "POSTCODE_SN3": "SELECT DISTINCT a.id AS a_id, b.id AS b_id FROM na a JOIN nb b ON a.postcode_n = b.postcode_n AND substr(a.family_n, 1, 3) = substr(b.family_n, 1, 3)",
@@ -304,14 +319,15 @@ def _rule(name: str):
 for _name, _q in (("EXACT_EMAIL", "block_email"), ("PHONE7", "block_phone7"), ("POSTCODE_SN3", "block_postcode_prefix"), ("SELF_EMAIL", "block_self_inequality"), ("SOUNDEX_CITY", "block_soundex_city"), ("DOB_SOUNDEX", "block_dob_soundex")):
     query(_q, f"WITH {_LINK_SQL} {_RULES_SQL[_name]}" if _name in _RULES_SQL else None)(_rule(_name))
 
-_AB = ("EXACT_EMAIL", "PHONE7", "POSTCODE_SN3")
+_AB = ("EXACT_EMAIL", "PHONE7", "POSTCODE_SN3", "SOUNDEX_CITY", "DOB_SOUNDEX")
 _CAND_SQL = "cand AS (SELECT a_id, b_id, string_agg(DISTINCT rule, ',' ORDER BY rule) AS block_rules, 'AB' AS kind FROM (" + " UNION ALL ".join(f"SELECT *, '{r}' AS rule FROM ({_RULES_SQL[r]})" for r in _AB) + ") GROUP BY a_id, b_id)"
 
 
 def _candidates(spark, sf):
     a, b = _linked(spark, sf)
     rules = linkage.standard_rules(a, b)
-    return a, b, linkage.candidates([rules[r] for r in _AB], "AB")
+    # written once: the steps behind it read the pairs several times
+    return a, b, scratch(spark).table(linkage.candidates([rules[r] for r in _AB], "AB"), "pairs")
 
 
 @query("candidates_rules", f"WITH {_LINK_SQL}, {_CAND_SQL} SELECT kind, a_id, b_id, block_rules FROM cand")
@@ -446,15 +462,6 @@ def survivorship(spark, sf):
 # ---- closure on a table of edges, approvals, exports
 
 
-@query("closure_components", """WITH RECURSIVE e AS (SELECT DISTINCT c_custkey AS x, c_custkey + 1 AS y FROM customer WHERE c_custkey % 4 < 2), n AS (SELECT x, y FROM e UNION SELECT y, x FROM e),
-    r(v, m) AS (SELECT x, x FROM n UNION SELECT n.y, r.m FROM r JOIN n ON n.x = r.v WHERE r.m < n.y) SELECT v AS node, min(m) AS component FROM r GROUP BY v""")
-def closure_components(spark, sf):
-    """Components of short chains by a recursive query in the engine itself."""
-    read_table(spark, sf, "customer").createOrReplaceTempView("q__nodes")
-    return spark.sql("""WITH RECURSIVE e AS (SELECT DISTINCT c_custkey AS x, c_custkey + 1 AS y FROM q__nodes WHERE c_custkey % 4 < 2), n AS (SELECT x, y FROM e UNION SELECT y, x FROM e),
-        r(v, m) AS (SELECT x, x FROM n UNION ALL SELECT n.y, r.m FROM r JOIN n ON n.x = r.v WHERE r.m < n.y AND n.y <= r.m + 4 AND r.v < n.y) SELECT v AS node, min(m) AS component FROM r GROUP BY v""")
-
-
 @query("default_approvals", """WITH d AS (SELECT *, row_number() OVER () AS rn FROM diff_rows), e AS (SELECT DISTINCT golden_id FROM golden_seed), s AS (SELECT DISTINCT 'G-' || a_id AS k FROM candidates WHERE panel_result = 'SPLIT' AND a_id IS NOT NULL)
     SELECT branch_id, key_value, class, CASE WHEN r IN ('UNEXPLAINED', 'PANEL_SPLIT') THEN false ELSE approved END AS approved, r AS default_reason FROM (SELECT d.*, CASE WHEN default_reason = 'DEFAULT' AND (key_value IS NULL OR key_value NOT IN (SELECT golden_id FROM e)) THEN 'UNEXPLAINED' WHEN default_reason = 'DEFAULT' AND key_value IN (SELECT k FROM s) THEN 'PANEL_SPLIT' ELSE default_reason END AS r FROM d)""")
 def default_approvals(spark, sf):
@@ -693,3 +700,5 @@ def mapping_projection(spark, sf):
     for e in m.values():
         playbook.check_expression(spark, e, b)
     return playbook.mapped(b, m).select("client_ref", *[f"B_{f}" for f in m])
+
+from tidemark import catalog_plans  # noqa: E402, F401, registers the queries of engine, publishing and exports

@@ -21,7 +21,9 @@ def canonical_text(field: T.StructField, alias: str = "") -> Column:
     if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
         return F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSS")
     if isinstance(kind, (T.DoubleType, T.FloatType)):
-        return c.cast("decimal(18,2)").cast("string")
+        # six decimals where they are the whole value, else the shortest text that reads back as the same number
+        fixed = c.try_cast("decimal(38,6)")
+        return F.when(fixed.cast(kind) == c, fixed.cast("string")).otherwise(c.cast("string"))
     if isinstance(kind, (T.ArrayType, T.MapType, T.StructType)):
         return F.to_json(c)
     return F.nullif(c.cast("string"), F.lit(""))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
 from tidemark.operators.diff import touched_names
 
@@ -17,6 +17,17 @@ def matches(df: DataFrame, needle: str) -> Column:
     return F.coalesce(reduce(Column.__or__, [F.coalesce(c, F.lit(False)) for c in cols]), F.lit(False)) if cols else F.lit(False)
 
 
+def by(*columns: str) -> WindowSpec:
+    return Window.partitionBy(*columns)
+
+
+def filtered(df: DataFrame, **wanted) -> DataFrame:
+    """Rows whose columns have the wanted values; a value that is None asks nothing."""
+    for c, v in wanted.items():
+        df = df.where(F.col(f"`{c}`") == v) if v is not None else df
+    return df
+
+
 def page(df: DataFrame, order: str | None = None, descending: bool = False, limit: int = PAGE, offset: int = 0, needle: str | None = None) -> DataFrame:
     """One page of a table; ties of the ordering column are broken by all others, so pages are stable."""
     order = order or df.columns[0]

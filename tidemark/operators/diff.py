@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidemark.functions.hashing import canonical_text, hashed
+from tidemark.functions.hashing import canonical_text, hashed, row_hash
 
 #: A bigint mask holds this many columns.
 MASK_COLUMNS = 60
@@ -15,19 +15,18 @@ MASK_COLUMNS = 60
 def keyed_diff(base: DataFrame, head: DataFrame, key: str) -> DataFrame:
     """(key_value, class, cols_mask, base_hash, head_hash) of rows ADDED, CHANGED or DELETED in ``head``.
 
-    Hashes of both sides are joined by key; only changed keys are read again for the mask, whose bit i stands for
-    column i of ``base``.  The mask is 0 for added and deleted rows.
+    One full outer join by key carries the hashes and the texts of both sides, so each side is read and shuffled once.
+    Bit i of the mask stands for column i of ``base``; it is 0 for added and deleted rows.
     """
-    b, h = hashed(base, key).toDF("k", "base_hash"), hashed(head, key).toDF("k", "head_hash")
+    fields = base.schema.fields
+    if len(fields) > MASK_COLUMNS:
+        raise ValueError(f"a mask holds {MASK_COLUMNS} columns, the table has {len(fields)}")
+    side = lambda df, tag: df.select(canonical_text(df.schema[key]).alias("k"), row_hash(df.schema.fields).alias(f"{tag}_hash"), *[canonical_text(df.schema[f.name]).alias(f"{tag}{i}") for i, f in enumerate(fields)])
     kind = F.when(F.col("base_hash").isNull(), "ADDED").when(F.col("head_hash").isNull(), "DELETED").otherwise("CHANGED")
-    rows = b.join(h, "k", "full_outer").where(~F.col("base_hash").eqNullSafe(F.col("head_hash"))).withColumn("class", kind)
-    fields = base.schema.fields[:MASK_COLUMNS]
-    text = lambda df, tag: df.select(canonical_text(df.schema[key]).alias("k"), *[canonical_text(df.schema[f.name]).alias(f"{tag}{i}") for i, f in enumerate(fields)])
-    changed = rows.where("class = 'CHANGED'").select("k")
-    both = changed.join(text(base, "b"), "k").join(text(head, "h"), "k")
-    bits = [F.when(F.col(f"b{i}").eqNullSafe(F.col(f"h{i}")), F.lit(0)).otherwise(F.lit(1 << i)).cast("bigint") for i in range(len(fields))]
-    masks = both.select("k", reduce(Column.__add__, bits).alias("m"))
-    return rows.join(masks, "k", "left").select(F.col("k").alias("key_value"), "class", F.coalesce("m", F.lit(0)).cast("bigint").alias("cols_mask"), "base_hash", "head_hash")
+    both = side(base, "base").join(side(head, "head"), "k", "full_outer").where(~F.col("base_hash").eqNullSafe(F.col("head_hash"))).withColumn("class", kind)
+    bits = [F.when(F.col(f"base{i}").eqNullSafe(F.col(f"head{i}")), F.lit(0)).otherwise(F.lit(1 << i)).cast("bigint") for i in range(len(fields))]
+    mask = F.when(F.col("class") == "CHANGED", reduce(Column.__add__, bits)).otherwise(F.lit(0)).cast("bigint")
+    return both.select(F.col("k").alias("key_value"), "class", mask.alias("cols_mask"), "base_hash", "head_hash")
 
 
 def keyless_diff(base: DataFrame, head: DataFrame) -> DataFrame:

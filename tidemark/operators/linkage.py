@@ -6,6 +6,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from tidemark.session import scratch
+
 #: Legal forms and generations at the end of a name, and the weights of the five signals.
 BUSINESS = r" (LTD|LIMITED|PLC|INC|LLC|GMBH|BV|SL|CO)$"
 SUFFIX = r" (JR|SR|JNR|SNR|II|III)$"
@@ -160,12 +162,45 @@ def verdicts(df: DataFrame, adjudicated: DataFrame | None = None) -> DataFrame:
 
 def flag_clusters(df: DataFrame) -> DataFrame:
     """MERGE becomes FLAG in groups of more than two records: exactly the links one of whose ends has two or more."""
+    df = named_nodes(scratch(df.sparkSession).table(df, "decided"))  # written once: both the degrees and the pairs read it
     merged = df.where("verdict = 'MERGE'")
-    ends = merged.select(F.explode(F.array("a_id", "b_id")).alias("node"), F.struct(F.least("a_id", "b_id"), F.greatest("a_id", "b_id")).alias("edge")).distinct()
+    ends = merged.select(F.explode(F.array("x", "y")).alias("node"), F.struct(F.least("x", "y"), F.greatest("x", "y")).alias("edge")).distinct()
     many = ends.groupBy("node").count().where("count >= 2").select("node", F.lit(True).alias("many"))
-    x, y = many.toDF("a_id", "ma"), many.toDF("b_id", "mb")
-    out = df.join(x, "a_id", "left").join(y, "b_id", "left")
-    return out.withColumn("verdict", F.when((F.col("verdict") == "MERGE") & (F.coalesce("ma", F.lit(False)) | F.coalesce("mb", F.lit(False))), "FLAG").otherwise(F.col("verdict"))).drop("ma", "mb")
+    out = df.join(many.toDF("x", "mx"), "x", "left").join(many.toDF("y", "my"), "y", "left")
+    return out.withColumn("verdict", F.when((F.col("verdict") == "MERGE") & (F.coalesce("mx", F.lit(False)) | F.coalesce("my", F.lit(False))), "FLAG").otherwise(F.col("verdict"))).drop("x", "y", "mx", "my")
+
+
+def named_nodes(pairs: DataFrame) -> DataFrame:
+    """pairs with x and y, their ends as nodes: an id of A and the same id of B are two records."""
+    side = F.lit("B:") if "kind" not in pairs.columns else F.when(F.col("kind") == "AA", "A:").otherwise("B:")
+    return pairs.withColumn("x", F.concat(F.lit("A:"), "a_id")).withColumn("y", F.concat(side, "b_id"))
+
+
+def components(pairs: DataFrame) -> DataFrame:
+    """(node, component, size) of the ends of pairs(x, y): the least node that is reachable, and how many are.
+
+    Large and small stars take turns: every node hands its larger neighbours to its least one, then its smaller ones,
+    until all edges lead to the least node of their group.  Each round is written to the shared folder; only whether
+    anything changed reaches the driver.
+    """
+    area = scratch(pairs.sparkSession)
+    edges = area.table(pairs.where("x is not null and y is not null and x <> y").select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).distinct(), "edges")
+    seen = None
+    while True:
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        root = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(root, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(root.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
+        after = area.table(small, "edges")
+        mark = after.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
+        area.drop(edges)
+        edges = after
+        if mark == seen:
+            break
+        seen = mark
+    nodes = edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    return nodes.join(nodes.groupBy("component").agg(F.count(F.lit(1)).alias("size")), "component").select("node", "component", "size")
 
 
 def match_class(df: DataFrame) -> DataFrame:
@@ -212,6 +247,55 @@ def survive(golden: DataFrame, matches: DataFrame, now: Column) -> DataFrame:
     return x.select(*[values.get(c, F.col(c)).alias(c) for c in golden.columns])
 
 
+def publish(decided: DataFrame, a: DataFrame, b: DataFrame) -> dict[str, DataFrame]:
+    """The decision tables: matches (golden_id, a_id, b_id, match_class, panel_result), new_customers (new_golden_id,
+    b_id) and dedup (keep_golden_id, drop_golden_id, a_id, a_dup_id, panel_result)."""
+    golden = lambda c: F.concat(F.lit("G-"), c)
+    merged = decided.where("verdict = 'MERGE'")
+    across, within = merged.where("kind = 'AB'"), merged.where("kind = 'AA'")
+    return {
+        "matches": across.join(a.select(F.col("id").alias("a_id")).distinct(), "a_id", "left_semi").select(golden("a_id").alias("golden_id"), "a_id", "b_id", "match_class", "panel_result"),
+        "new_customers": new_records(b, decided.where("kind = 'AB'")).select(golden("b_id").alias("new_golden_id"), "b_id").distinct(),
+        "dedup": within.select(golden("a_id").alias("keep_golden_id"), golden("b_id").alias("drop_golden_id"), "a_id", F.col("b_id").alias("a_dup_id"), "panel_result"),
+    }
+
+
+#: The classes of a matching run, in the order in which they are applied.
+CLASSES = ("EXACT_EMAIL", "PHONE_ADDRESS", "NEW_CUSTOMERS", "INTERNAL_DEDUP", "FUZZY_NAME")
+
+
+def expected_keys(published: dict[str, DataFrame], cls: str, split_only: bool = False) -> DataFrame:
+    """(key_value): the golden keys that a class may touch; with ``split_only`` those of pairs the panel was split on."""
+    if cls == "NEW_CUSTOMERS":
+        keys = published["new_customers"].select(F.col("new_golden_id").alias("key_value"))
+        return keys.limit(0) if split_only else keys
+    rows = published["dedup"] if cls == "INTERNAL_DEDUP" else published["matches"].where(F.col("match_class") == cls)
+    rows = rows.where("panel_result = 'SPLIT'") if split_only else rows
+    named = ("keep_golden_id", "drop_golden_id") if cls == "INTERNAL_DEDUP" else ("golden_id",)
+    return rows.select(F.explode(F.array(*named)).alias("key_value"))
+
+
+def insert_new(golden: DataFrame, new: DataFrame, values: DataFrame, now: Column) -> DataFrame:
+    """Golden rows and those of new customers, new(new_golden_id, b_id), with the fields of values(b_id, ...)."""
+    own = {"golden_id": F.col("new_golden_id"), "source_b_ref": F.col("b_id"), "merged_at": now, "survivorship": F.lit('{"ALL":"B"}')}
+    x = new.join(values, "b_id")
+    fields = [own.get(c, F.col(c) if c in values.columns else F.lit(None)).cast(golden.schema[c].dataType).alias(c) for c in golden.columns]
+    return golden.unionByName(x.select(*fields))
+
+
+def absorb(golden: DataFrame, dedup: DataFrame, now: Column) -> DataFrame:
+    """Golden rows after duplicates within A: the kept row names the records it absorbed, the dropped rows are gone.
+
+    A row that is itself dropped absorbs nobody; several duplicates of a row are named in order.
+    """
+    dropped = dedup.select(F.col("drop_golden_id").alias("golden_id")).distinct()
+    taken = dedup.groupBy(F.col("keep_golden_id").alias("golden_id")).agg(F.array_join(F.array_sort(F.collect_set("a_dup_id")), ",").alias("__refs"))
+    x = golden.join(dropped, "golden_id", "left_anti").join(taken, "golden_id", "left")
+    hit = F.col("__refs").isNotNull()
+    values = {"merged_a_refs": F.when(hit, F.col("__refs")).otherwise(F.col("merged_a_refs")), "merged_at": F.when(hit, now).otherwise(F.col("merged_at"))}
+    return x.select(*[values.get(c, F.col(c)).alias(c) for c in golden.columns])
+
+
 def precision_recall(found: DataFrame, truth: DataFrame) -> DataFrame:
     """(proposed, correct, true_pairs, precision, recall, f1) of found(a_id, b_id) against truth(a_id, b_id), pairs either way round."""
     canon = lambda df: df.select(F.least("a_id", "b_id").alias("x"), F.greatest("a_id", "b_id").alias("y")).distinct()

@@ -8,6 +8,8 @@ the hashes alone, and replaces the pointer.  Undoing goes in order of applicatio
 
 from __future__ import annotations
 
+import json
+import os
 import time
 import uuid
 from collections.abc import Callable
@@ -16,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark.functions.hashing import Fingerprint, fingerprint, signature
 from tidemark.operators import gate
-from tidemark.operators.diff import drifted_keys, keyed_diff, keyless_diff, with_decisions
+from tidemark.operators.diff import drifted_keys, keyed_diff, keyless_diff, rarity_order, sample_values, with_decisions
 from tidemark.operators.merge import expected_fingerprint, stage
 from tidemark.plans.dml import next_state
 from tidemark.plans.retarget import BranchState, Retargeted, retarget, view_name
@@ -28,11 +30,23 @@ MAX_OPEN, TTL_SECONDS, MAX_ROWS = 8, 1800, 5_000_000_000
 class Engine:
     """Branches, change-sets and undo over a store; ``clock`` gives seconds, so that tests can set it."""
 
-    def __init__(self, spark: SparkSession, store: Store, clock: Callable[[], float] = time.time):
-        self.spark, self.store, self.clock = spark, store, clock
-        self.branches: dict[str, dict] = {}
-        self.merges: list[dict] = []
-        self.min_confidence = 0.0
+    def __init__(self, spark: SparkSession, store: Store, clock: Callable[[], float] = time.time, defaults: Callable[[str, DataFrame], DataFrame] | None = None, enrich: Callable[[str, DataFrame], DataFrame] | None = None):
+        """``defaults(branch_id, diff)`` decides rows nobody has decided, ``enrich(branch_id, cards)`` adds to review cards.
+
+        What branches and change-sets have come to is kept in the store, so another process goes on where one ended.
+        """
+        self.spark, self.store, self.clock, self.defaults, self.enrich = spark, store, clock, defaults, enrich
+        self._file = store.root / "_control.json"
+        kept = json.loads(self._file.read_text()) if self._file.exists() else {}
+        self.branches: dict[str, dict] = kept.get("branches", {})
+        self.merges: list[dict] = kept.get("merges", [])
+        self.min_confidence: float = kept.get("min_confidence", 0.0)
+        self._sequence: int = kept.get("sequence", 0)
+
+    def _save(self) -> None:
+        tmp = self._file.with_suffix(".tmp")
+        tmp.write_text(json.dumps({"branches": self.branches, "merges": self.merges, "min_confidence": self.min_confidence, "sequence": self._sequence}, default=str))
+        os.replace(tmp, self._file)
 
     # branches
     def open_branch(self, purpose: str = "", run_id: str = "run") -> str:
@@ -40,6 +54,7 @@ class Engine:
             raise StoreError("TOO_MANY_BRANCHES")
         branch_id = f"BR_{uuid.uuid4().hex[:8].upper()}"
         self.branches[branch_id] = {"run_id": run_id, "purpose": purpose, "status": "OPEN", "opened": self.clock(), "base": {}, "head": {}, "created": {}, "ops": [], "errors": 0, "decisions": {}}
+        self._save()
         return branch_id
 
     def _open(self, branch_id: str) -> dict:
@@ -98,6 +113,8 @@ class Engine:
             b["errors"] += 1
             op |= {"status": "ERROR", "error": str(e)[:500]}
             raise
+        finally:
+            self._save()
 
     def _execute(self, branch_id: str, b: dict, r: Retargeted) -> DataFrame | None:
         if r.kind == "SELECT":
@@ -127,6 +144,7 @@ class Engine:
     def acknowledge_errors(self, branch_id: str) -> int:
         b = self._open(branch_id)
         n, b["errors"] = b["errors"], 0
+        self._save()
         return n
 
     def discard(self, branch_id: str, status: str = "DISCARDED") -> None:
@@ -135,6 +153,7 @@ class Engine:
         for m in self.merges:
             if m["branch_id"] == branch_id and m["status"] == "PENDING":
                 m["status"] = "BLOCKED"
+        self._save()
 
     def sweep(self) -> list[str]:
         """Expire branches that have been open too long; one that waits for a decision never expires."""
@@ -153,7 +172,26 @@ class Engine:
             raise StoreError("KEYLESS", table)
         d = keyed_diff(self.store.read(table, base["version"]), self._read_head(b, table), base["key"])
         own = self.spark.createDataFrame(list(b["decisions"].get(table, {}).items()), "key_value string, approved boolean")
-        return with_decisions(d, own)
+        out = with_decisions(d, own)
+        return self.defaults(branch_id, out) if self.defaults else out
+
+    def base_drift(self, branch_id: str, table: str) -> bool:
+        """Whether the table as a whole has moved since the branch was opened; for information, it blocks nothing."""
+        then = self._open(branch_id)["base"][table]["version"]
+        return str(self.store.fingerprint(table)) != str(fingerprint(self.store.read(table, then)))
+
+    def cards(self, branch_id: str, table: str, limit: int = 400) -> DataFrame:
+        """The rows a reviewer sees first, with both versions of each, and what ``enrich`` knows of them."""
+        b = self._open(branch_id)
+        base, head = self.store.read(table, b["base"][table]["version"]), self._read_head(b, table)
+        d = self.diff(branch_id, table)
+        first = rarity_order(d, base.columns, limit).join(d.select("key_value", "approved", "default_reason"), "key_value")
+        out = sample_values(first, base, head, b["base"][table]["key"])
+        return self.enrich(branch_id, out) if self.enrich else out
+
+    def pending(self, include_resolved: bool = False, run_id: str | None = None) -> list[dict]:
+        """Change-sets that wait for a decision, oldest first; on request also those that have one, or of one run only."""
+        return [m for m in self.merges if (include_resolved or m["status"] == "PENDING") and (run_id is None or self.branches[m["branch_id"]]["run_id"] == run_id)]
 
     def keyless_counts(self, branch_id: str, table: str) -> tuple[int, int]:
         b = self._open(branch_id)
@@ -162,6 +200,7 @@ class Engine:
 
     def set_approval(self, branch_id: str, table: str, keys: list[str], approved: bool) -> None:
         self._open(branch_id)["decisions"].setdefault(table, {}).update({k: approved for k in keys})
+        self._save()
 
     # change-sets
     def _facts(self, branch_id: str, table: str, confidence: float) -> tuple[dict, DataFrame]:
@@ -173,12 +212,17 @@ class Engine:
         if signature(current) != base["signature"]:
             blocks.append("SCHEMA_CHANGED")
         d = self.diff(branch_id, table)
-        n = d.agg(*[F.count(F.when(F.col("class") == c, 1)).alias(c.lower()) for c in ("ADDED", "CHANGED", "DELETED")], F.count(F.when(~F.col("approved") & (F.col("default_reason") == "PANEL_SPLIT"), 1)).alias("needs_review")).first()
+        n = d.agg(*[F.count(F.when(F.col("class") == c, 1)).alias(c.lower()) for c in ("ADDED", "CHANGED", "DELETED")], F.count(F.when(~F.col("approved") & (F.col("default_reason") != "HUMAN"), 1)).alias("needs_review")).first()
         if self.store.pointer(table)["version"] != base["version"] and drifted_keys(d, self.store.read(table, base["version"]), current, base["key"]).limit(1).count():
             blocks.append("BASE_DRIFT")
         return {"added": n["added"], "changed": n["changed"], "deleted": n["deleted"], "table_rows": base["rows"], "needs_review": n["needs_review"], "hard_blocks": ",".join(blocks), "confidence": float(confidence)}, d
 
-    def request_merge(self, branch_id: str, confidence: float, tier: int = 2, gate_enabled: bool = True) -> dict:
+    def request_merge(self, branch_id: str, confidence: float, tier: int = 2, gate_enabled: bool = True, call: str | None = None) -> dict:
+        """Decide on a branch's change-set and apply it where the gate allows.  ``call`` names a request that, whoever
+        repeats it, is made once."""
+        if call:
+            key = self.store.call_key(call, "request_merge", {"branch_id": branch_id, "confidence": confidence, "tier": tier})
+            return self.store.once(key, lambda: self.request_merge(branch_id, confidence, tier, gate_enabled))
         b = self._open(branch_id)
         if not b["head"]:
             raise StoreError("NO_DIFF", branch_id)
@@ -188,15 +232,22 @@ class Engine:
         r = gate.decide(self.spark.createDataFrame([tuple(facts.values())], schema), gate.TIERS[tier], gate_enabled, self.min_confidence).first()
         m = {"merge_id": len(self.merges) + 1, "branch_id": branch_id, "table": table, "status": {"MERGE": "APPLYING"}.get(r["decision"], r["decision"]), "decision": r["decision"], "reason": r["reason"], "risk": r["risk"], "facts": facts, "unmerged_at": None, "resolved_at": None}
         self.merges.append(m)
+        self._save()
         return self.apply(m["merge_id"]) if r["decision"] == "MERGE" else m
 
     def apply(self, merge_id: int) -> dict:
         """Re-diff, re-check, stage, verify, swap."""
+        try:
+            return self._apply(merge_id)
+        finally:
+            self._save()
+
+    def _apply(self, merge_id: int) -> dict:
         m = self.merges[merge_id - 1]
         if m["status"] not in ("PENDING", "APPLYING"):
             raise StoreError("MERGE_NOT_PENDING", m["status"])
         b, table = self._open(m["branch_id"]), m["table"]
-        with self.store.lock("apply"):
+        with self.store.lock():
             facts, d = self._facts(m["branch_id"], table, m["facts"]["confidence"])
             if facts["hard_blocks"]:
                 m |= {"status": "BLOCKED", "reason": facts["hard_blocks"]}
@@ -212,7 +263,7 @@ class Engine:
                 m |= {"status": "BLOCKED", "reason": "STAGING_FINGERPRINT_MISMATCH"}
                 return m
             self.store.publish(table, version, mark=staged)
-        self._sequence = getattr(self, "_sequence", 0) + 1
+        self._sequence += 1
         m |= {"status": "MERGED", "pre_version": before["version"], "post_version": version, "pre": str(pre), "post": str(staged), "resolved_at": self._sequence, "applied": d.where("approved").count(), "refused": d.where("not approved").count()}
         b["status"] = "MERGED"
         self.store.log("merges", {k: v for k, v in m.items() if k != "facts"})
@@ -225,6 +276,7 @@ class Engine:
             raise StoreError("MERGE_NOT_PENDING", m["status"])
         m |= {"status": "REJECTED", "reason": code}
         self.min_confidence = gate.tightened(self.min_confidence, code)
+        self._save()
         return self.min_confidence
 
     def unmerge(self, merge_id: int) -> dict:
@@ -235,11 +287,12 @@ class Engine:
         later = [x for x in self.merges if x["table"] == m["table"] and x["status"] == "MERGED" and x["unmerged_at"] is None and x["resolved_at"] > m["resolved_at"]]
         if later:
             raise StoreError("UNMERGE_SUPERSEDED", ",".join(str(x["merge_id"]) for x in later))
-        with self.store.lock("apply"):
+        with self.store.lock():
             if str(fingerprint(self.store.read(m["table"]))) != m["post"]:
                 raise StoreError("GOLDEN_CHANGED_SINCE_MERGE", m["table"])
             if str(fingerprint(self.store.read(m["table"], m["pre_version"]))) != m["pre"]:
                 raise StoreError("STAGING_FINGERPRINT_MISMATCH", m["table"])
             self.store.rollback(m["table"], m["pre_version"])
         m["unmerged_at"] = self.clock()
+        self._save()
         return m

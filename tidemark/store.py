@@ -85,6 +85,7 @@ class Store:
             json.dump(entry, f)
             f.flush()
             os.fsync(f.fileno())
+        (path.parent / f"v={version}" / "_PUBLISHED").touch()  # a version once in force is kept, also when undone
         os.replace(tmp, path)
         return entry
 
@@ -101,6 +102,29 @@ class Store:
             raise StoreError("NO_SUCH_VERSION", f"{table} v={version}")
         return self.publish(table, version)
 
+    def insert(self, table: str, df: DataFrame, expected: int) -> dict:
+        """Publish ``df`` as the table's next version if it has the expected number of rows; else nothing changes."""
+        with self.lock():
+            version = self.write_version(table, df)
+            if (n := self.read(table, version).count()) != expected:
+                shutil.rmtree(self._dir(table) / f"v={version}")
+                raise StoreError("ROW_COUNT_MISMATCH", f"{table}: {n} of {expected}")
+            return self.publish(table, version)
+
+    def reseed(self, table: str, seed: DataFrame, key: str | None = None) -> Fingerprint:
+        """Put a seed in force as a new version; earlier versions stay."""
+        with self.lock():
+            self.publish(table, self.write_version(table, seed), key)
+        return self.fingerprint(table)
+
+    def clear_run_state(self, keep: tuple[str, ...] = ("precedents",)) -> int:
+        """Forget logs, stored calls and branches, as a switch of datasets does; returns how many files went."""
+        gone = [p for p in [*self.root.glob("*.jsonl"), *self.root.glob("_calls/*.json"), *self.root.glob("_control.json")] if p.stem not in keep]
+        for p in gone:
+            p.unlink()
+        shutil.rmtree(self.root / "_branches", ignore_errors=True)
+        return len(gone)
+
     def drop(self, table: str) -> None:
         shutil.rmtree(self._dir(table), ignore_errors=True)
 
@@ -125,14 +149,15 @@ class Store:
     def once(self, key: str, call: Callable[[], dict]) -> dict:
         """The stored result of an earlier call with this key, or the call's own, stored."""
         path = self.root / "_calls" / f"{key}.json"
-        with self.lock("calls"):
+        path.parent.mkdir(exist_ok=True)
+        with self.lock(f"call-{key}"):  # claimed before the call: who comes meanwhile waits and gets the result
             if path.exists():
                 return json.loads(path.read_text()) | {"replayed": True}
-        result = call()
-        with self.lock("calls"):
-            path.parent.mkdir(exist_ok=True)
-            path.write_text(json.dumps(result, default=str))
-        return result
+            result = call()
+            tmp = path.with_suffix(".tmp")
+            tmp.write_text(json.dumps(result, default=str))
+            os.replace(tmp, path)
+            return result
 
     def log(self, name: str, row: dict) -> None:
         """Append a row to a control log; a sink that fails never breaks the caller."""
