@@ -277,6 +277,37 @@ def test_survivors_by_declared_policy(spark):
     assert votes["G1", "ADDRESS"]["value"] in ("1 Elm St", "1 Elm Street")
 
 
+def test_copiers_are_found_and_discounted(spark):
+    rnd = random.Random(12)
+    rows, truth = [], {}
+    for g in range(400):
+        right = f"v{g}"
+        truth[f"G{g}"] = right
+        states = {"good": right if rnd.random() < 0.9 else f"x{rnd.randrange(40)}", "fair": right if rnd.random() < 0.8 else f"y{rnd.randrange(40)}", **{f"s{n}": right if rnd.random() < acc else f"{n}{rnd.randrange(40)}" for n, acc in (("t", 0.75), ("u", 0.7), ("v", 0.7))}, "poor": right if rnd.random() < 0.45 else f"z{rnd.randrange(40)}"}
+        states["copy1"] = states["poor"] if rnd.random() < 0.9 else right
+        states["copy2"] = states["poor"] if rnd.random() < 0.9 else right
+        rows += [(f"G{g}", "EMAIL", f"{s}-{g}", s, v, v, False, None) for s, v in states.items()]
+    said = spark.createDataFrame(rows, "golden_id string, field_name string, record_id string, src string, k string, value string, named boolean, at timestamp")
+    best, accuracy, copying = fusion.fused(said, rounds=5)
+    got = {r["golden_id"]: r["value"] for r in fusion.survivors(said, best, "votes").collect()}
+    plain = 0
+    for g, right in truth.items():
+        votes = defaultdict(int)
+        for r in rows:
+            if r[0] == g:
+                votes[r[4]] += 1
+        plain += max(votes, key=votes.get) == right
+    mine = sum(got[g] == v for g, v in truth.items())
+    assert copying["EMAIL", "copy1", "poor"] > 0.9 and copying["EMAIL", "fair", "good"] < 0.2, (copying, accuracy)
+    assert accuracy["EMAIL", "good"] > accuracy["EMAIL", "poor"] and mine > plain + 5 and mine >= 0.97 * len(truth), (mine, plain)
+    # a declared prior outweighs the votes; ties go to the smaller id
+    ruled = said.withColumn("named", F.col("src") == "poor")
+    assert {r["record_id"].split("-")[0] for r in fusion.survivors(ruled, best).collect()} == {"poor"}
+    late = said.withColumn("at", F.when(F.col("src") == "fair", F.lit("2026-01-01 00:00:00.000001")).otherwise("2026-01-01 00:00:00").cast("timestamp"))
+    assert {r["record_id"].split("-")[0] for r in fusion.survivors(late, best).collect()} == {"fair"}
+    assert {r["record_id"].split("-")[0] for r in fusion.survivors(said, best).collect()} == {"copy1"}
+
+
 # 1 addresses
 
 
