@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import address, blocks, canonical, clean, fusion, leakage, matching, names, packing, people, spans
+from tidemark.llm import address, blocks, canonical, clean, countries, fusion, leakage, matching, names, packing, people, spans
 from tidemark.llm.address import parse_row, same_location
 from tidemark.llm.groups import connected_groups
 from tidemark.llm.leakage import align, find_leaks, words
@@ -237,11 +237,20 @@ def test_typed_countries(spark):
         "P.R. China": "CN", "People's Republic of China": "CN", "Chiile": "CL", "日本": "JP", "Irland": "IE", "Qarrbeth": "UNMATCHED", "n/a": "UNMATCHED", "??": "UNMATCHED", " ": "UNMATCHED", "x" * 5000: "UNMATCHED", "Republic of Ireland": "IE",
     }
     values = spark.createDataFrame([(f"r{i}", v, 1) for i, v in enumerate(typed)], "record_id string, value string, c int").select("record_id", "value")
-    got = {r["record_id"]: r["code"] for r in canonical.map_to_reference(values, ref, "country_code", "country_name").collect()}
+    got = {r["record_id"]: r["code"] for r in canonical.map_to_reference(values, ref, "country_code", "country_name", countries.country_names(spark, ["GB", "DE", "ES", "CN", "CL", "IE", "IS", "JP"]), countries.FORMAL, countries.SHORT).collect()}
     assert {v: got[f"r{i}"] for i, v in enumerate(typed)} == typed
     assert canonical.map_to_reference(values.limit(0), ref, "country_code", "country_name").count() == 0
 
 
+def test_a_list_of_anything_shipped_or_joined(spark):
+    ref = spark.createDataFrame([(1, "Software Engineer"), (2, "Accountant"), (3, "Civil Engineer"), (4, "Nurse"), (5, None), (6, "A very long title " * 5)], "id int, title string")
+    typed = {"software enginer": "1", "ACCOUNTANT": "2", "acountnat": "2", "Nurs": "4", "3": "3", "pilot": "UNMATCHED", "": "UNMATCHED", "A very long titel " + "a very long title " * 4: "6", "y" * 4000: "UNMATCHED", "n/a": "UNMATCHED"}
+    values = spark.createDataFrame([(f"r{i}", v) for i, v in enumerate(typed)] + [("n", None), ("r1", "ACCOUNTANT")], "record_id string, value string")
+    shipped, joined = ({r["record_id"]: r["code"] for r in canonical.map_to_reference(values.where("value is not null"), ref, "id", "title", max_texts=n).collect()} for n in (10**6, 10))
+    assert shipped == joined == {f"r{i}": c for i, c in enumerate(typed.values())}
+    assert canonical.map_to_reference(values.limit(0), ref, "id", "title", max_texts=10).count() == 0 == canonical.map_to_reference(values.limit(0), ref.limit(0), "id", "title").count()
+
+
 def test_symmetric_delete_finds_all_within_bound():
     rnd = random.Random(1)
     listed = ["".join(rnd.choice("abcd") for _ in range(rnd.randrange(5, 8))) for _ in range(40)]

@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark.llm.address import same_location
-from tidemark.llm.canonical import map_to_reference
+from tidemark.llm.canonical import MAX_ENTRIES, map_to_reference
 from tidemark.llm.clean import STAND_INS
+from tidemark.llm.countries import FORMAL, SHORT, country_names
 from tidemark.llm.fusion import fuse
 from tidemark.llm.groups import connected_groups
 from tidemark.llm.leakage import find_leaks
@@ -16,6 +17,7 @@ from tidemark.llm.matching import match
 from tidemark.llm.names import link_names
 from tidemark.llm.packing import pack
 from tidemark.llm.spans import expand_pairs, shared_amount, shared_spans
+from tidemark.session import broadcast_small
 from tidemark.sources.tables import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -112,9 +114,10 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     values = None
     for table, key, column, entry in typed:
         own = read_table(spark, sf, table).select(F.col(key).alias("record_id"), F.col(column).alias("value")).where("value <> ''")
-        own = own.join(F.broadcast(reference.select(F.col(entry).alias("value"))), "value", "left_anti")
+        own = own.join(broadcast_small(reference.select(F.col(entry).alias("value"))), "value", "left_anti")
         values = own if values is None else values.unionByName(own)
-    return map_to_reference(values.select("record_id", "value").distinct(), reference, "country_code", "country_name").select("record_id", F.col("code").alias("country_code")).distinct()
+    codes = [r[0] for r in reference.select("country_code").where("country_code is not null").limit(MAX_ENTRIES).collect()]
+    return map_to_reference(values.select("record_id", "value").distinct(), reference, "country_code", "country_name", country_names(spark, codes), FORMAL, SHORT).select("record_id", F.col("code").alias("country_code")).distinct()
 
 
 def _packed(spark: SparkSession, sf: str) -> DataFrame:
@@ -122,6 +125,14 @@ def _packed(spark: SparkSession, sf: str) -> DataFrame:
     return pack(read_table(spark, sf, "documents").select("doc_id", "text"), sizes)
 
 
+@query("p4_towns")
+def p4_towns(spark: SparkSession, sf: str) -> DataFrame:
+    """The town meant by every town of source_b; the list are those towns that ten or more golden rows hold."""
+    listed = read_table(spark, sf, "golden_seed").where("trim(city) <> ''").groupBy(F.trim("city").alias("town")).agg(F.count(F.lit(1)).alias("n")).where("n >= 10").select("town", F.col("town").alias("code"))
+    values = read_table(spark, sf, "source_b").where("town <> ''").select(F.col("client_ref").alias("record_id"), F.col("town").alias("value")).distinct()
+    return map_to_reference(values, listed, "code", "town").select("record_id", F.col("code").alias("town"))
+
+
 @query("p8_packed")
 def p8_packed(spark: SparkSession, sf: str) -> DataFrame:
     """The container and place of every document, for each capacity of pack_sizes."""
