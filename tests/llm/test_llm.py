@@ -343,6 +343,15 @@ def test_same_location(spark):
     assert same_location(df.limit(0)).count() == 0
 
 
+def test_words_in_any_order_and_records_in_no_place(spark):
+    keys = lambda a, b: set(address.name_keys(a)) & set(address.name_keys(b))
+    assert keys("cedar dale", "dale eedar") and keys("larkspur", "lurkspor") and not keys("elm", "oak")
+    r = [("1", "12 High Street", None, None), ("2", "12 High St", "", "n/a"), ("3", "12 High Street", "Ely", "EL1 1AA"), ("4", "12 High St", None, "EL1 1AA")]
+    r += [(f"c{i}", f"{i} Cedar Dale Road", "Ely", "EL1 1AA") for i in range(20, 50)] + [("5", "20 Eedar Dale Road", "Ely", "EL1 1AA")]
+    got = {tuple(x) for x in same_location(spark.createDataFrame(r, "record_id string, line string, town string, zip string")).collect()}
+    assert got == {("3", "4"), ("5", "c20")}
+
+
 def test_assigned_edits():
     assert address.assigned_edits("upper mill", "mill uper") == 1 and address.assigned_edits("mill", "mill") == 0 and address.assigned_edits("a b", "a") == 1
 

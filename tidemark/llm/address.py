@@ -2,16 +2,17 @@
 
 A line is taken apart into house number with letter, unit, street and, where it stands in the line, town and postcode.
 Number, letter and unit must agree exactly: they are vetoes, never evidence.  Spellings of street names are brought
-together by a deletion-neighbourhood index inside locality blocks: two spellings of one postcode, or of one town where a
-record has no postcode, meet when they share a text with at most one letter left out of each, and a rare spelling is
-taken for a misspelling of a common one when an optimal assignment of their words, in any order, leaves few edits.
+together by a deletion-neighbourhood index of their words inside locality blocks: two spellings of one postcode, or of one
+town where a record has no postcode, meet when a word of the one and a word of the other share a text with one or, in
+longer words, two letters left out of each, and a rare spelling is taken for a misspelling of a common one when an optimal
+assignment of their words, in any order, leaves few edits.
 Spellings of towns are brought together in the same way, so that a record without postcode finds the block of its street.
 The index holds distinct spellings, not records: a street or an address that very many records share costs no more.
 Records of one block, street, number, letter and unit whose kinds of street do not contradict each other are one
 location.
 
 Edge cases: records without a usable line, or whose line has no number or no street, take no part; repeated rows count
-once; a record without town and postcode is placed only by what its line says; a missing kind of street agrees with any;
+once; a record without town and postcode, also in its line, is in no known place and takes no part; a missing kind of street agrees with any;
 missing letters and units differ from given ones.
 """
 
@@ -226,11 +227,21 @@ def assigned_edits(a: str, b: str) -> int:
     return best[0] + sum(map(len, y)) - best[1]
 
 
-def leave_out(word: str) -> list[str]:
-    """The word and what is left of it without one letter."""
-    return list(dict.fromkeys([word, *(word[:i] + word[i + 1 :] for i in range(len(word)) if len(word) > 3)]))
+@lru_cache(50_000)
+def leave_out(word: str) -> tuple[str, ...]:
+    """The word and what is left of it without one letter, of words of DEEP letters and more also without two."""
+    one = [word[:i] + word[i + 1 :] for i in range(len(word))] if len(word) > 3 else []
+    two = [x[:i] + x[i + 1 :] for j, x in enumerate(one) for i in range(j, len(x))] if len(word) >= DEEP else []
+    return tuple(dict.fromkeys([word, *one, *two]))
+
+
+def name_keys(name: str) -> list[str]:
+    """The keys of a street in the index: those of each of its words, whatever their order."""
+    return list(dict.fromkeys(k for w in name.split() for k in leave_out(w)))
 
 
+#: Letters from which a word is indexed without two of them.
+DEEP = 7
 PARSED = ["number", "letter", "unit", "street", "kinds", "town", "zip"]
 
 
@@ -248,7 +259,7 @@ def _parsed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _variants(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for df in batches:
-        df["key"] = df["name"].map(leave_out)
+        df["key"] = df["name"].map(name_keys)
         yield df.explode("key")
 
 
@@ -317,7 +328,7 @@ def resolve(parsed: DataFrame, keep: list[str]) -> DataFrame:
     found = broadcast_small(area.table(found.select(F.col("block").alias("place"), F.col("name").alias("street"), "f", F.lit("").alias("zip")), "found"))
     rows = parsed.join(streets, ["zip", "street"], "left").join(towns, "town", "left").select(*keep, "zip", F.coalesce(place, F.lit("?")).alias("place"), F.coalesce("true_street", "street").alias("street"))
     out = rows.join(found, ["place", "street", "zip"], "left")
-    block = F.when(F.col("zip") != "", F.col("zip")).otherwise(F.coalesce("f.zip", F.concat(F.lit("t:"), "place")))
+    block = F.when(F.col("zip") != "", F.col("zip")).otherwise(F.coalesce("f.zip", F.when(F.col("place") != "?", F.concat(F.lit("t:"), "place"))))
     return out.select(*keep, F.when(F.col("street").isNotNull(), block).alias("block"), F.coalesce("f.other", "street").alias("street"))
 
 

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, functions as F
 from tidemark.session import scratch
 
 GRAM, PART = 3, 20_000
-COMMON, COVER = 8, 0.7
+COMMON, COVER = 1, 0.5
 _DIVIDED = re.compile(r"(?<=[^\W\d_])[-­‐]\s*\n[\s#>|*/]*(?=[^\W\d_])")
 _WORD = re.compile(r"[^\W_]+")
 _MARKS = re.compile(r"[̀-ͯ­​-‍﻿]+")
