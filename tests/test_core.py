@@ -527,3 +527,16 @@ def test_exports_and_labels(spark, tmp_path):
     same = spark.createDataFrame([("A@x ", "a@X", "+44 20 7946 0018", "020 7946 0018")], "a string, b string, p string, q string")
     assert tuple(same.select(labels.same_field("email", F.col("a"), F.col("b")), labels.same_field("text", F.col("p"), F.col("q"))).first()) == (True, False)
     assert browse.filtered(df, k=1, t=None).count() == 1
+
+
+def test_crowded_buckets_are_made_finer(spark, monkeypatch):
+    from tidemark.operators import checksum_diff as module
+
+    asked = []
+    whole = module.unequal_buckets
+    monkeypatch.setattr(module, "unequal_buckets", lambda *a: asked.append(a[-1]) or whole(*a))
+    one = spark.range(4000).selectExpr("id as k", "'x' as same", "id % 7 as v")
+    two = one.withColumn("v", F.when(F.col("k") % 20 == 0, F.lit(99)).otherwise(F.col("v"))).where("k <> 5")
+    got = {(r["key_value"], r["class"], r["cols_mask"]) for r in module.checksum_diff(one, two, "k", buckets=64).collect()}
+    assert got == {(str(k), "CHANGED", 4) for k in range(0, 4000, 20)} | {("5", "DELETED", 7)}
+    assert asked[0] == 64 and 512 <= asked[1] <= 2048

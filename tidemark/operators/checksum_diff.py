@@ -6,6 +6,10 @@ and the shuffle carries at most one row per bucket and task, whatever the table'
 are equal up to a chance of about 2**-128; only rows of unequal buckets are read again, with the values of equal
 columns left out, and joined by key.
 
+How many rows differ shows in how many buckets do.  Where a first matrix leaves more than CROWDED of its buckets unequal,
+a second one is made of four times as many buckets as rows are estimated to differ, but of no more than a quarter of the
+rows, beyond which a matrix would be no smaller than the table.  Columns that are equal in all buckets aren't read again.
+
 Values are compared in canonical text: null equals the empty string, times are cut to the millisecond.
 
 Edge cases: rows repeated in all columns count once; a null key counts as the empty key; if a copy holds several
@@ -15,12 +19,17 @@ empty copy makes every row of the other one ADDED or DELETED; extra columns that
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from tidemark.session import broadcast_small, scratch
+
 #: Bucket lists of at most this many entries (some 2 MB) are broadcast; larger ones are joined by shuffle.
 MAX_BROADCAST_BUCKETS = 1 << 17
+#: Buckets of the first matrix, and the share of unequal ones from which a finer matrix is made.
+BUCKETS, CROWDED = 1 << 16, 0.4
 
 
 def canonical(df: DataFrame, name: str) -> Column:
@@ -73,29 +82,40 @@ def unequal_buckets(left: DataFrame, right: DataFrame, columns: list[str], key:
     )
 
 
-def checksum_diff(left: DataFrame, right: DataFrame, key: str, columns: list[str] | None = None, buckets: int = 1 << 16) -> DataFrame:
+def checksum_diff(left: DataFrame, right: DataFrame, key: str, columns: list[str] | None = None, buckets: int = BUCKETS) -> DataFrame:
     """(key_value, class, cols_mask) of every key that is ADDED (only right), DELETED (only left) or CHANGED.
 
-    ``buckets`` should be of the order of the rows expected to differ; memory and shuffle of the matrix are bounded by
-    it.  Bit i of ``cols_mask`` stands for column i of ``columns``; ADDED and DELETED have all bits set.
+    ``buckets`` are those of the first matrix.  Bit i of ``cols_mask`` stands for column i of ``columns``; ADDED and DELETED have all bits set.
     """
     columns = columns or left.columns
     if len(columns) > 62:
         raise ValueError("a mask holds at most 62 columns")
-    todo = unequal_buckets(left, right, columns, key, buckets)
-    todo = F.broadcast(todo) if buckets <= MAX_BROADCAST_BUCKETS else todo
     ki, n = columns.index(key), len(columns)
+    area = scratch(left.sparkSession)
+    todo = area.table(unequal_buckets(left, right, columns, key, buckets), "buckets")
+    seen = todo.agg(F.count(F.lit(1)).alias("n"), F.bit_or("unequal").alias("bits")).first()
+    if seen["n"] > CROWDED * buckets:
+        share = min(seen["n"], buckets - 1) / buckets
+        finer = 1 << max(0, round(-buckets * math.log(1 - share) * 4) - 1).bit_length()
+        finer = min(finer, 1 << max(1, (left.count() + right.count()) // 8).bit_length(), 1 << 30)
+        if finer > buckets:
+            buckets = finer
+            todo = area.table(unequal_buckets(left, right, columns, key, buckets), "buckets")
+            seen = todo.agg(F.count(F.lit(1)).alias("n"), F.bit_or("unequal").alias("bits")).first()
+    todo = broadcast_small(todo, MAX_BROADCAST_BUCKETS)
+    read = [i for i in range(n) if i != ki and (seen["bits"] or 0) >> i & 1]  # the others are equal everywhere
 
     def side(df: DataFrame, tag: str) -> DataFrame:
-        rows = _prepared(df, columns, key, buckets).join(todo, "bucket")
-        needed = [F.when(F.col("unequal").bitwiseAND(F.lit(1 << i)) != 0, F.col(f"v{i}")).alias(f"v{i}") for i in range(n) if i != ki]
-        rows = rows.select(F.col(f"v{ki}").alias("k"), *needed)
-        bounds = [f(f"v{i}").alias(f"{tag}{x}{i}") for i in range(n) if i != ki for f, x in ((F.min, "a"), (F.max, "z"))]
-        return rows.groupBy("k").agg(F.lit(1).alias(f"{tag}here"), *bounds)
+        rows = _prepared(df, [columns[i] for i in [ki, *read]], key, buckets)  # v0 is the key
+        rows = rows.join(todo, "bucket")
+        needed = [F.when(F.col("unequal").bitwiseAND(F.lit(1 << i)) != 0, F.col(f"v{at}")).alias(f"w{i}") for at, i in enumerate(read, 1)]
+        rows = rows.select(F.col("v0").alias("k"), *needed)
+        bounds = [f(f"w{i}").alias(f"{tag}{x}{i}") for i in read for f, x in ((F.min, "a"), (F.max, "z"))]
+        return rows.groupBy("k").agg(F.first(F.lit(1)).alias(f"{tag}here"), *bounds)
 
     both = side(left, "l").join(side(right, "r"), "k", "full_outer")
     differs = lambda i: ~(F.col(f"la{i}").eqNullSafe(F.col(f"ra{i}")) & F.col(f"lz{i}").eqNullSafe(F.col(f"rz{i}")))
-    mask = reduce(lambda a, b: a + b, [F.when(differs(i), F.lit(1 << i)).otherwise(F.lit(0)).cast("bigint") for i in range(n) if i != ki], F.lit(0).cast("bigint"))
+    mask = reduce(lambda a, b: a + b, [F.when(differs(i), F.lit(1 << i)).otherwise(F.lit(0)).cast("bigint") for i in read], F.lit(0).cast("bigint"))
     whole = F.lit((1 << n) - 1).cast("bigint")
     return (
         both.withColumn("class", F.when(F.col("lhere").isNull(), "ADDED").when(F.col("rhere").isNull(), "DELETED").otherwise("CHANGED"))
