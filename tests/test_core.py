@@ -540,3 +540,38 @@ def test_crowded_buckets_are_made_finer(spark, monkeypatch):
     got = {(r["key_value"], r["class"], r["cols_mask"]) for r in module.checksum_diff(one, two, "k", buckets=64).collect()}
     assert got == {(str(k), "CHANGED", 4) for k in range(0, 4000, 20)} | {("5", "DELETED", 7)}
     assert asked[0] == 64 and 512 <= asked[1] <= 2048
+
+
+def test_dirty_dataset_and_its_score(spark):
+    from tidemark.operators.score import score
+
+    d = synthetic.dataset(spark, 3000)
+    assert d["a"].groupBy("cust_id").count().where("count > 1").count() == 0 and d["true_dups"].count() > 30 and d["true_pairs"].where("is_decoy").count() > 40
+    assert d["true_pairs"].join(d["b"], d["true_pairs"].b_id == d["b"].client_ref, "left_anti").count() == 0
+    merged = d["true_pairs"].select(F.lit("AB").alias("kind"), "a_id", "b_id", F.lit("MERGE").alias("verdict"))
+    golden = d["true_pairs"].select(F.col("a_id").alias("source_a_ref"), F.col("b_id").alias("source_b_ref"), F.lit(None).cast("string").alias("merged_a_refs"))
+    r = score(merged, golden, d["true_pairs"], d["true_dups"]).first()
+    decoys = d["true_pairs"].where("is_decoy").count()
+    assert r["fp"] == r["decoys_merged"] == r["decoy_false_merges"] == r["false_merges_ab"] == decoys and r["fn"] == 0 and r["recall"] == 1.0
+    none = score(merged.limit(0), golden.limit(0), d["true_pairs"], d["true_dups"]).first()
+    assert (none["precision"], none["recall"], none["f1"], none["flagged_pairs"]) == (0.0, 0.0, 0.0, 0)
+
+
+def test_ragged_blank_and_limited_files(spark, tmp_path):
+    p = tmp_path / "x.csv"
+    p.write_text("id,name\n1,a\n\n2\n3,b,c\n4,d\x00\n")
+    rows, facts = delimited.read_delimited(spark, str(p))
+    assert {k: facts[k] for k in ("rows", "ragged", "blank")} == {"rows": 4, "ragged": 2, "blank": 1}
+    assert [(r["id"], r["name"]) for r in rows.orderBy("id").collect()] == [("1", "a"), ("2", None), ("3", "b"), ("4", "d")]
+    for limits in ({"max_bytes": 10}, {"max_rows": 3}):
+        with pytest.raises(delimited.FileError):
+            delimited.read_delimited(spark, str(p), **limits)
+
+
+def test_a_failing_sink_breaks_no_other(spark):
+    got = []
+    sink = ev.fan_out(lambda df, i: 1 / 0, lambda df, i: got.append(df.count()))
+    sink(spark.range(3), 7)
+    assert got == [3] and sink.failures[0][:2] == (7, 0)
+    log = spark.createDataFrame([("agent.note", "2", "r", None, '{"text": "hello"}'), ("db.snapshot", "3", "r", None, "{}")], ev.ENVELOPE)
+    assert [tuple(r) for r in ev.narrative(log).collect()] == [("2", None, "agent.note hello")]

@@ -517,12 +517,11 @@ def audit_join(spark, sf):
 _NEEDLE = "Case mails about REQUEST 1190 and what became of it"
 
 
-@query("precedent_topk", f"SELECT doc_id AS precedent_id, levenshtein(substr(regexp_replace(translate(text, '{linkage.MARKED}', '{linkage.PLAIN}'), '[^\\x00-\\x7F]', '', 'g'), 1, 200), '{_NEEDLE}') AS distance FROM documents WHERE text IS NOT NULL ORDER BY distance, doc_id DESC LIMIT 3")
+@query("precedent_topk", f"SELECT doc_id AS precedent_id, levenshtein(regexp_replace(translate(text, '{linkage.MARKED}', '{linkage.PLAIN}'), '[^\\x00-\\x7F]', '', 'g'), '{_NEEDLE}') AS distance FROM documents WHERE text IS NOT NULL ORDER BY distance, doc_id DESC LIMIT 3")
 def precedent_topk(spark, sf):
-    """The three precedents whose heading reads most like a context, marks on letters left aside."""
+    """The three precedents that read most like a context, whole texts compared, marks on letters left aside."""
     d = read_table(spark, sf, "documents").where("text is not null")
-    plain = F.regexp_replace(F.translate("text", linkage.MARKED, linkage.PLAIN), r"[^\x00-\x7F]", "")
-    p = d.select(F.col("doc_id").alias("precedent_id"), F.substring(plain, 1, 200).alias("context"))
+    p = d.select(F.col("doc_id").alias("precedent_id"), F.regexp_replace(F.translate("text", linkage.MARKED, linkage.PLAIN), r"[^\x00-\x7F]", "").alias("context"))
     return browse.nearest(p, _NEEDLE, 3).select("precedent_id", F.col("distance").cast("bigint").alias("distance"))
 
 

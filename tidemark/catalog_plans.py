@@ -8,12 +8,13 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark.catalog import _ALL_SQL, _COLS, _decided, _linked, query
 from tidemark.functions import labels
-from tidemark.operators import browse, export, linkage
+from tidemark.operators import browse, export, linkage, score
 from tidemark.plans.branch import Engine
 from tidemark.session import shared_dir
 from tidemark.sources import upload
 from tidemark.sources.tables import read_table
 from tidemark.store import Store
+from tidemark.streaming import events as ev
 
 
 # ---- the engine: a recorded plan replayed in a branch, applied, and undone
@@ -204,3 +205,52 @@ def uploaded_golden(spark, sf):
     engine = _engine(spark, sf, read_table(spark, sf, "customer").limit(0).select(*_COLS))
     upload.load(engine.store, newest.drop("__n"), read_table(spark, sf, "source_b").dropDuplicates(["client_ref"]))
     return engine.store.read("GOLDEN.UPLOADED").select("golden_id", "full_name", "email", "source_a_ref")
+
+
+# ---- scoring and the event log's folds
+
+
+_KEY_SQL = """k AS (SELECT a_id, b_id, max(m) AS m, max(d) AS d FROM (SELECT DISTINCT source_a_ref AS a_id, source_b_ref AS b_id, 1 AS m, 0 AS d FROM branch_customers WHERE source_a_ref <> '' AND source_b_ref <> ''
+      UNION ALL SELECT DISTINCT a_id, b_id, 0, 1 FROM candidates WHERE verdict = 'REJECT' AND kind = 'AB' AND a_id IS NOT NULL AND b_id IS NOT NULL) GROUP BY a_id, b_id),
+    c AS (SELECT DISTINCT a_id, b_id FROM candidates WHERE kind = 'AB' AND verdict = 'MERGE'), g AS (SELECT source_a_ref AS a_id, source_b_ref AS b_id FROM golden_seed WHERE source_a_ref <> '' AND source_b_ref <> '')"""
+
+
+@query("score_run", f"""WITH {_KEY_SQL} SELECT (SELECT count(*) FROM c) AS merged_pairs, (SELECT count(*) FROM c JOIN k USING (a_id, b_id) WHERE m = 1) AS tp, (SELECT count(*) FROM c JOIN k USING (a_id, b_id) WHERE d = 1) AS decoys_merged,
+    (SELECT sum(m) FROM k) AS true_pairs, (SELECT count(*) FROM g LEFT JOIN k USING (a_id, b_id) WHERE coalesce(m, 0) = 0) AS false_merges_ab, (SELECT count(*) FROM g JOIN k USING (a_id, b_id) WHERE d = 1) AS decoy_false_merges, (SELECT count(*) FROM g) AS enriched""")
+def score_run(spark, sf):
+    """A recorded run against the other system's copy as answer key, pairs it refused as decoys."""
+    other = read_table(spark, sf, "branch_customers").where("source_a_ref <> '' and source_b_ref <> ''").select(F.col("source_a_ref").alias("a_id"), F.col("source_b_ref").alias("b_id")).distinct()
+    c = read_table(spark, sf, "candidates")
+    refused = c.where("verdict = 'REJECT' and kind = 'AB' and a_id is not null and b_id is not null").select("a_id", "b_id").distinct()
+    key = other.select("a_id", "b_id", F.lit(True).alias("is_match"), F.lit(False).alias("is_decoy")).unionByName(refused.select("a_id", "b_id", F.lit(False).alias("is_match"), F.lit(True).alias("is_decoy")))
+    dups = other.select("a_id", F.col("b_id").alias("a_dup_id")).limit(0)
+    return score.score(c, read_table(spark, sf, "golden_seed"), key, dups).select("merged_pairs", "tp", "decoys_merged", "true_pairs", "false_merges_ab", "decoy_false_merges", "enriched")
+
+
+def _log(spark: SparkSession, sf: str) -> DataFrame:
+    o = read_table(spark, sf, "orders")
+    kind = F.when(F.col("o_orderkey") % 5 == 0, "run.started").when(F.col("o_orderkey") % 5 == 1, "run.ended").when(F.col("o_orderkey") % 5 == 2, "policy.adapted").otherwise("golden.fingerprint")
+    payload = F.to_json(F.struct(F.lit("m").alias("mode"), (F.col("o_orderkey") % 4).alias("tier"), (F.col("o_orderkey") % 2 == 0).alias("gate_enabled"), ((F.col("o_orderkey") % 9) / 10).alias("min_confidence"), ((F.col("o_orderkey") % 7) / 10).alias("min_confidence_after"), F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("table"), F.col("o_orderstatus").alias("fingerprint")))
+    return o.select(kind.alias("type"), F.format_string("%012d", "o_orderkey").alias("ts"), (F.col("o_custkey") % 50).cast("string").alias("run_id"), F.lit(None).cast("string").alias("branch_id"), payload.alias("payload"))
+
+
+@query("event_runs", """WITH o AS (SELECT *, o_orderkey % 5 AS k, printf('%012d', o_orderkey) AS ts, cast(o_custkey % 50 AS VARCHAR) AS run_id FROM orders)
+    SELECT run_id, max_by(o_orderkey % 4, ts) FILTER (k = 0) AS tier, max_by(CASE WHEN k = 0 THEN (o_orderkey % 9) / 10.0 ELSE (o_orderkey % 7) / 10.0 END, ts) FILTER (k IN (0, 2)) AS min_confidence,
+      min(ts) FILTER (k = 0) AS started, max_by(o_orderstatus, ts) FILTER (k = 1) AS status, max(ts) FILTER (k = 1) AS ended FROM o GROUP BY run_id""")
+def event_runs(spark, sf):
+    """What became of every run in the log."""
+    return ev.run_states(_log(spark, sf)).select("run_id", "tier", "min_confidence", "started", "status", "ended")
+
+
+@query("event_golden_history", """WITH o AS (SELECT o_orderpriority AS "table", printf('%012d', o_orderkey) AS ts, o_orderstatus AS fingerprint FROM orders WHERE o_orderkey % 5 > 2)
+    SELECT *, CASE WHEN lag(fingerprint) OVER (PARTITION BY "table" ORDER BY ts, fingerprint) <> fingerprint THEN 'merge' ELSE 'observed' END AS cause FROM o""")
+def event_golden_history(spark, sf):
+    """Observed fingerprints of each table and what changed them."""
+    return ev.golden_history(_log(spark, sf))
+
+
+@query("event_throttled", "SELECT max_by(user_id, (ts, event_id)) AS user_id, max(ts) AS ts FROM events GROUP BY time_bucket(INTERVAL '1 hour', ts)")
+def event_throttled(spark, sf):
+    """The newest event of every hour."""
+    e = read_table(spark, sf, "events").select("ts", "event_id", "user_id")
+    return ev.throttled(e, "ts", "1 hour").select("user_id", "ts")

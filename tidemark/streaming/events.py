@@ -121,3 +121,56 @@ def emit(kind: str, ts: str, run_id: str, branch_id: str | None, **payload) -> s
     if missing:
         raise ValueError(f"{kind}: missing {missing}")
     return json.dumps({"type": kind, "ts": ts, "run_id": run_id, "branch_id": branch_id, "payload": json.dumps(payload)})
+
+
+def _field(name: str, kind: str = "string") -> Column:
+    return F.get_json_object("payload", f"$.{name}").cast(kind)
+
+
+def run_states(events: DataFrame) -> DataFrame:
+    """(run_id, mode, tier, gate_enabled, min_confidence, started, status, ended) of every run: how it began, the policy it
+    came to, and how it ended."""
+    of = lambda kind, value: F.max_by(value, F.when(F.col("type") == kind, F.col("ts")))
+    policy = F.coalesce(F.when(F.col("type") == "run.started", _field("min_confidence", "double")), F.when(F.col("type") == "policy.adapted", _field("min_confidence_after", "double")))
+    return events.where("run_id is not null").groupBy("run_id").agg(
+        of("run.started", _field("mode")).alias("mode"), of("run.started", _field("tier", "int")).alias("tier"), of("run.started", _field("gate_enabled", "boolean")).alias("gate_enabled"),
+        F.max_by(policy, F.when(policy.isNotNull(), F.col("ts"))).alias("min_confidence"), F.min(F.when(F.col("type") == "run.started", F.col("ts"))).alias("started"),
+        of("run.ended", _field("status")).alias("status"), F.max(F.when(F.col("type") == "run.ended", F.col("ts"))).alias("ended"),
+    )
+
+
+def golden_history(events: DataFrame) -> DataFrame:
+    """(table, ts, fingerprint, cause): every observed fingerprint of a table; a merge where it differs from the one before."""
+    seen = events.where("type = 'golden.fingerprint'").select(_field("table").alias("table"), "ts", _field("fingerprint").alias("fingerprint"))
+    before = F.lag("fingerprint").over(W.partitionBy("table").orderBy("ts", "fingerprint"))
+    return seen.withColumn("cause", F.when(before.isNotNull() & (before != F.col("fingerprint")), "merge").otherwise("observed"))
+
+
+def narrative(events: DataFrame, n: int = 40) -> DataFrame:
+    """(ts, branch_id, text): the last n events in words."""
+    said = F.coalesce(_field("text"), _field("finding"), _field("rationale"), _field("message"), _field("reason"), _field("status"), _field("decision"), F.lit(""))
+    return recent(events.where("type <> 'db.snapshot'"), n, ["ts"]).select("ts", "branch_id", F.trim(F.concat_ws(" ", "type", said)).alias("text"))
+
+
+def throttled(events: DataFrame, at: str = "ts", width: str = "800 milliseconds") -> DataFrame:
+    """The newest event of every stretch of time: a snapshot follows events at most that often.  For batches and streams."""
+    return events.groupBy(F.window(at, width).alias("w")).agg(F.max(F.struct(at, *[c for c in events.columns if c != at])).alias("e")).select("e.*")
+
+
+def fan_out(*sinks):
+    """One sink for ``foreachBatch`` out of several; one that fails keeps no other from its batch.  Returns the sink; its
+    ``failures`` lists (batch, number of the sink, error)."""
+
+    def sink(df: DataFrame, batch_id: int) -> None:
+        df.persist()
+        try:
+            for i, one in enumerate(sinks):
+                try:
+                    one(df, batch_id)
+                except Exception as e:  # a sink must not break its neighbours
+                    sink.failures.append((batch_id, i, str(e)[:300]))
+        finally:
+            df.unpersist()
+
+    sink.failures = []
+    return sink
