@@ -67,6 +67,18 @@ def fold(text: str | None) -> str:
     return " ".join("".join(c for c in text if not unicodedata.combining(c)).split())
 
 
+def apart(a: str, b: str) -> tuple[str, str]:
+    """What is left of two words without their common beginning and end; it has as many edits as they have."""
+    n = min(len(a), len(b))
+    i = 0
+    while i < n and a[i] == b[i]:
+        i += 1
+    j = 0
+    while j < n - i and a[-1 - j] == b[-1 - j]:
+        j += 1
+    return a[i : len(a) - j], b[i : len(b) - j]
+
+
 @lru_cache(50_000)
 def near(a: str, b: str) -> float:
     """Likeness of two words, 1 for equal ones: one minus the share of Damerau-Levenshtein edits."""
@@ -75,6 +87,9 @@ def near(a: str, b: str) -> float:
     n, m = len(a), len(b)
     if not n or not m or abs(n - m) > 3 or len(set(a) ^ set(b)) > 8:
         return 0.0
+    longest = max(n, m)
+    a, b = apart(a, b)
+    n, m = len(a), len(b)
     before, row = None, list(range(m + 1))
     for i in range(1, n + 1):
         last, before, row = before, row, [i] + [0] * m
@@ -82,7 +97,7 @@ def near(a: str, b: str) -> float:
             row[j] = min(before[j] + 1, row[j - 1] + 1, before[j - 1] + (a[i - 1] != b[j - 1]))
             if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
                 row[j] = min(row[j], last[j - 2] + 1)
-    return 1 - row[m] / max(n, m)
+    return 1 - row[m] / longest
 
 
 def edits(a: str, b: str) -> int:

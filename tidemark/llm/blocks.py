@@ -38,10 +38,17 @@ def _traits(who: str) -> tuple[int, ...]:
     """(initial, plain, first letters and letters of given name and surnames, whether they are short forms, letters of words)."""
     firm, given, initial, rest = named(who)
     words = rest.split()
+    masks = [_mask(w) for w in words[:_WORDS]]
     plain = not firm and 0 < len(words) <= _WORDS
-    at = lambda w: ord(w[0]) if w else 0
-    mask = lambda w: letters(w) | (len(w) < 6) << 62  # noqa: E731, whether a word is short in a bit that no letter has
-    return (at(initial), plain, at(given), at(rest), mask(given), mask(rest), given in SHORT_FORMS, rest in SHORT_FORMS, given in NICKNAMED, *map(mask, words[:_WORDS]), *[-1] * (_WORDS - len(words)))
+    whole = masks[0] if len(words) == 1 else _mask(rest)
+    at = (ord(initial[0]) if initial else 0, plain, ord(given[0]) if given else 0, ord(rest[0]) if rest else 0)
+    return (*at, _mask(given), whole, given in SHORT_FORMS, rest in SHORT_FORMS, given in NICKNAMED, *masks, *[-1] * (_WORDS - len(masks)))
+
+
+@lru_cache(50_000)
+def _mask(word: str) -> int:
+    """The letters of a word, and whether it is short in a bit that no letter has."""
+    return letters(word) | (len(word) < 6) << 62
 
 
 def all_pairs(first: np.ndarray, rows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
