@@ -30,7 +30,7 @@ ROW = PROFILE + ", bits int, key long"
 SPREAD_ROW = ROW + ", sub string, asks boolean, word string, chunk int"
 OUT = "id1 string, id2 string, code string, differ boolean, across boolean, n long"
 SPREAD = 7  # the kind of rows of spread contexts
-_WORDS, _STEP = 3, 400_000  # words of a surname that are compared by their letters; pairs that are looked at together
+_WORDS, _STEP = 3, 60_000  # words of a surname that are compared by their letters; pairs that are looked at together
 
 
 @lru_cache(50_000)
@@ -194,7 +194,8 @@ def _comparer(pairs_of: Callable[[Block], Iterator[tuple[np.ndarray, np.ndarray]
                 continue
             block = Block(batch.filter(pa.array(kept)), keys[kept])
             for i, j in pairs_of(block):
-                yield _compare(block, i, j, across, counted)
+                for lo in range(0, len(i), _STEP):
+                    yield _compare(block, i[lo : lo + _STEP], j[lo : lo + _STEP], across, counted)
         rows = [(None, None, *key, n) for key, n in counted.items()]
         names = [x.split()[0] for x in OUT.split(", ")]
         yield arrow(dict(zip(names, map(list, zip(*rows)) if rows else [[] for _ in names])), OUT)
