@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.catalog import _ALL_SQL, _COLS, _decided, _linked, query
+from tidemark.catalog import _ALL_SQL, _CAND_SQL, _COLS, _LINK_SQL, _candidates, _decided, _linked, query
 from tidemark.functions import labels
 from tidemark.operators import browse, export, linkage, score
 from tidemark.plans.branch import Engine
@@ -254,3 +254,16 @@ def event_throttled(spark, sf):
     """The newest event of every hour."""
     e = read_table(spark, sf, "events").select("ts", "event_id", "user_id")
     return ev.throttled(e, "ts", "1 hour").select("user_id", "ts")
+
+
+@query("candidate_rule_counts", f"WITH {_LINK_SQL}, {_CAND_SQL}, e AS (SELECT unnest(string_split(block_rules, ',')) AS rule, block_rules FROM cand) SELECT rule, count(*) AS pairs, count(*) FILTER (block_rules = rule) AS alone FROM e GROUP BY rule")
+def candidate_rule_counts(spark, sf):
+    """How many candidates each blocking rule finds, and how many no other rule does."""
+    each = _candidates(spark, sf)[2].select("block_rules", F.explode(F.split("block_rules", ",")).alias("rule"))
+    return each.groupBy("rule").agg(F.count(F.lit(1)).alias("pairs"), F.count(F.when(F.col("block_rules") == F.col("rule"), 1)).alias("alone"))
+
+
+@query("event_narrative", "SELECT printf('%012d', o_orderkey) AS ts, CASE o_orderkey % 5 WHEN 0 THEN 'run.started' WHEN 1 THEN 'run.ended' WHEN 2 THEN 'policy.adapted' ELSE 'golden.fingerprint' END || ' ' || o_orderstatus AS text FROM orders ORDER BY ts DESC LIMIT 40")
+def event_narrative(spark, sf):
+    """The last forty events in words."""
+    return ev.narrative(_log(spark, sf)).select("ts", "text")

@@ -8,9 +8,7 @@ is a folder of our own used.
 from __future__ import annotations
 
 import atexit
-import gc
 import tempfile
-import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -67,13 +65,6 @@ class Scratch:
             if path := getattr(df, "_tidemark_path", None):
                 _delete(self.spark, path)
 
-    def sweep(self) -> None:
-        """Let Spark's cleaner, which works beside us, remove shuffle files that only finished steps have read."""
-        for _ in range(2):
-            gc.collect()
-            self.spark.sparkContext._jvm.System.gc()
-            time.sleep(0.4)
-
     def close(self) -> None:
         _delete(self.spark, self.root)
 
