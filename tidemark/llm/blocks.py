@@ -1,14 +1,14 @@
 """Candidate blocks: records that share a context are compared where the shuffle brings them together.
 
 A record goes, with its whole profile, to each of its contexts (see ``people``); a block is compared in one task, so no
-list of pairs is shuffled or joined with profiles again.  Contexts of at most ``gather`` rows are blocks by themselves,
-whose pairs an index inside the block finds.  Those of more rows are spread over finer keys (bands of a name, segments of
-its words), and where a finer key is as large again, its rows are salted into chunks that meet two by two, so that no
-block has more than some ``gather`` rows, whatever a value's share of the data is.
+list of pairs is shuffled or joined with profiles again.  Contexts of at most ``gather`` rows are blocks by themselves.
+Those of more rows are spread over finer keys where there are any (words of names), and where a key is as
+large again, its rows are salted into chunks that meet two by two, so that no block has more than some ``gather`` rows,
+whatever a value's share of the data is.  How large a context is decides where its pairs meet, not which.
 
 A pair is compared in the first block of a context that both records have, in the order of KINDS; spread contexts
-come last and may meet a pair several times.  Whole batches of blocks are compared at once, field by field; only names
-that could be alike by their letters are looked at one by one.
+come last and may meet a pair several times, of which one is kept.  Whole batches of blocks are compared at once, field by
+field; only names that could make a candidate of a pair are looked at one by one.
 """
 
 from __future__ import annotations
@@ -19,15 +19,18 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from tidemark.llm.people import CODES, KINDS, NICKNAMED, PROFILE, SHORT_FORMS, arrow, hopeful, letters, marked, name_code, named
+from tidemark.llm.people import CODES, HOPELESS, KINDS, NICKNAMED, PRIOR, PROFILE, SHORT_FORMS, arrow, hopeful, letters, marked, name_code, named
 from tidemark.session import broadcast_small, scratch
 
-GATHER = 1000
-#: What a row of a block holds, numbers with 0 for null; sub, asks, word and chunk stand on rows of spread contexts.
+GATHER = 5000
+#: Of blocks of at most so many rows, the pairs that differ in all letters are counted by code, as information.
+COUNTED = 30
+#: What a row of a block holds, numbers with 0 for null; sub, asks and chunk stand on rows of spread contexts.
 ROW = PROFILE + ", bits int, key long"
-SPREAD_ROW = ROW + ", sub string, asks boolean, word string, chunk int"
+SPREAD_ROW = ROW + ", sub string, asks boolean, chunk int"
 OUT = "id1 string, id2 string, code string, differ boolean, across boolean, n long"
 SPREAD = 7  # the kind of rows of spread contexts
 _WORDS, _STEP = 3, 60_000  # words of a surname that are compared by their letters; pairs that are looked at together
@@ -84,29 +87,21 @@ class Block:
         self.a = batch.column("a").to_numpy(zero_copy_only=False)
         ids = batch.column("record_id").dictionary_encode()
         self.id = ids.indices.to_numpy()
-        order = np.argsort(np.array(ids.dictionary.to_pylist(), dtype=object))
-        self.rank = np.empty(len(order), np.int64)
-        self.rank[order] = np.arange(len(order))
         who = batch.column("who").dictionary_encode()
         self.names, self.who = who.dictionary.to_pylist(), who.indices.to_numpy()
         self.traits = np.array([_traits(w) for w in self.names], dtype=np.int64)
+        self.chunk = None
+        if "chunk" in batch.schema.names:
+            self.chunk = batch.column("chunk").fill_null(-1).to_numpy()
+            self.chunk_first, self.chunk_last = np.minimum.reduceat(self.chunk, self.starts), np.maximum.reduceat(self.chunk, self.starts)
         month, day = self.dob // 100 % 100, self.dob % 100
         self.flipped = self.dob // 10000 * 10000 + np.minimum(month, day) * 100 + np.maximum(month, day)
 
-    def wide(self, row: int) -> bool:
-        """Whether a row's context is a busy value divided by the initial."""
-        return bool(self.bits[row] >> 2 * self.kind[row] & 3 == 2)
-
     def met_before(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         """Whether a context of an earlier kind, or for spread rows any that isn't spread, brings a pair together too."""
-        out, b1, b2, kind = np.zeros(len(i), bool), self.bits[i], self.bits[j], self.kind[i]
-        initial = self.traits[self.who, 0]
-        for n, c in enumerate((self.local, self.email, self.phone, self.place, self.flipped)):
-            same = (kind > n) & (c[i] == c[j]) & (c[i] != 0) & ((b1 | b2) >> (10 + n) & 1 == 0)
-            if n == 1:
-                same &= (self.email[i] != self.local[i]) & (b1 & 3 != 0)
-            divided = b1 >> 2 * n & 3 == 2
-            out |= same & (~divided | ((b2 >> 2 * n & 3 == 2) & (initial[i] == initial[j])))
+        out, spread, kind = np.zeros(len(i), bool), (self.bits[i] | self.bits[j]) >> 10, self.kind[i]
+        for n, c in ((0, self.local), (2, self.phone), (3, self.place), (4, self.flipped)):
+            out |= (kind > n) & (c[i] == c[j]) & (c[i] != 0) & (spread >> n & 1 == 0)
         return out
 
     def values(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -129,21 +124,44 @@ class Block:
         d = code(self.dob, 4, "d", np.where(turned, at("d", "S"), np.where(wrong == 1, at("d", "T"), at("d", "X"))))
         return ((e * 8 + p) * 8 + place) * 8 + d
 
-    def unlike(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        """Pairs of persons whose given names and surnames are different by their letters alone, also if exchanged."""
+    def apart(self, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of pairs of persons, whether given names, and whether surnames, are different by their letters alone, and whether
+        they can't be exchanged."""
         x, y = self.traits[self.who[i]].T, self.traits[self.who[j]].T
         short, bits = 1 << 62, (1 << 62) - 1
         # more letters that only one has than typing errors can explain, one for an umlaut
         far = lambda p, q: np.bitwise_count((p ^ q) & bits) > np.where((p | q) & short != 0, 3, 5)
         apart = lambda g, h, p, q, s, t: (g != h) & far(p, q) & (s == 0) & (t == 0)
-        both = (x[2] != 0) & (y[2] != 0)
+        both, plain = (x[2] != 0) & (y[2] != 0), (x[1] == 1) & (y[1] == 1)
         given = np.where(both, apart(x[2], y[2], x[4], y[4], x[6], y[6]), (x[0] != 0) & (y[0] != 0) & (x[0] != y[0]) & (x[8] == 0) & (y[8] == 0))
         turned = apart(x[2], y[3], x[4], y[5], x[6], y[7]) | apart(x[3], y[2], x[5], y[4], x[7], y[6])
-        out = (x[1] == 1) & (y[1] == 1) & given & (turned | ~both)
+        surname = plain.copy()
         for v in range(9, 9 + _WORDS):
             for w in range(9, 9 + _WORDS):
-                out &= (x[v] < 0) | (y[w] < 0) | far(x[v], y[w])
-        return out
+                surname &= (x[v] < 0) | (y[w] < 0) | far(x[v], y[w])
+        return plain & given, surname, plain & (turned | ~both)
+
+    def unlike(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Pairs of persons whose given names and surnames are different by their letters alone, also if exchanged."""
+        given, surname, unturned = self.apart(i, j)
+        return given & surname & unturned
+
+    def possible(self, i: np.ndarray, j: np.ndarray, across: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, dict[int, int]]:
+        """(rows, rows, values) of the pairs that are met first here and may be candidates, and counts of pairs by value."""
+        ok = self.id[i] != self.id[j]
+        if across:
+            ok &= self.a[i] != self.a[j]
+        i, j = i[ok], j[ok]
+        new = ~self.met_before(i, j)
+        i, j = i[new], j[new]
+        value = self.values(i, j)
+        given, surname, unturned = self.apart(i, j)
+        unlike = given & surname & unturned
+        told = unlike & (self.sizes[self.group[i]] <= COUNTED)
+        number = ((value << 2) + (self.a[i] != self.a[j]) * 2 + (self.nm[i] != self.nm[j]))[told]
+        names = np.where(unturned, np.where(given, PRIOR["gD"], _GIVEN) + np.where(surname, PRIOR["sD"], _SURNAME), _GIVEN + _SURNAME)
+        ok = _VALUES[value] + names >= HOPELESS - 1e-9
+        return i[ok], j[ok], value[ok], dict(zip(*(x.tolist() for x in np.unique(number, return_counts=True))))
 
 
 @lru_cache(5_000)
@@ -152,6 +170,12 @@ def letters_of(number: int) -> str:
     return CODES["e"][e] + CODES["p"][p] + CODES["l"][place] + CODES["d"][d]
 
 
+#: Prior log-odds of the values of pairs by their number, without names, and the most that names add.
+_VALUES = np.array([PRIOR["bias"] + sum(PRIOR.get(k + CODES[k][x], 0.0) if x < len(CODES[k]) else -99.0 for k, x in zip("epld", (v >> 9, v >> 6 & 7, v >> 3 & 7, v & 7))) for v in range(8**4)])
+_GIVEN, _SURNAME = (max(PRIOR.get(k + x, 0.0) for x in CODES[k]) for k in "gs")
+assert max(PRIOR["f" + x] for x in "FB") + _SURNAME <= _GIVEN + _SURNAME  # so firms add no more than persons
+
+
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
     """The rows of complete blocks of two and more rows, of a partition sorted by key."""
     rest = None
@@ -175,21 +199,24 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, n
         yield from several(rest)
 
 
-def _comparer(pairs_of: Callable[[Block], Iterator[tuple[np.ndarray, np.ndarray]]], across: bool):
+def _comparer(pairs_of: Callable[[Block], Iterator[tuple[np.ndarray, np.ndarray]]], across: bool, differ: bool = False):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counted: dict[tuple[str, bool, bool], int] = defaultdict(int)
         for batch, keys in _runs(batches):
             a = batch.column("a").to_numpy(zero_copy_only=False)
             starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
             group = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(keys))))
-            ids = batch.column("record_id").dictionary_encode().indices.to_numpy()
             kept = np.ones(len(keys), bool)
             if keys[0] & 7 != SPREAD:  # rows delivered twice
+                ids = batch.column("record_id").dictionary_encode().indices.to_numpy()
                 kept = np.zeros(len(keys), bool)
                 kept[np.unique(group * (int(ids.max()) + 1) + ids, return_index=True)[1]] = True
             if across:
                 n, own = np.add.reduceat(kept.astype(np.int64), starts), np.add.reduceat((a & kept).astype(np.int64), starts)
                 kept &= ((own > 0) & (own < n))[group]
+            if differ:  # blocks of one name
+                nm = batch.column("nm").to_numpy()
+                kept &= (np.minimum.reduceat(nm, starts) != np.maximum.reduceat(nm, starts))[group]
             if not kept.any():
                 continue
             block = Block(batch.filter(pa.array(kept)), keys[kept])
@@ -204,67 +231,55 @@ def _comparer(pairs_of: Callable[[Block], Iterator[tuple[np.ndarray, np.ndarray]
 
 
 def _compare(block: Block, i: np.ndarray, j: np.ndarray, across: bool, counted: dict) -> pa.RecordBatch:
-    """The listed pairs of some rows; the others are counted."""
-    ok = block.id[i] != block.id[j]
-    if across:
-        ok &= block.a[i] != block.a[j]
-    if "chunk" in block.batch.schema.names:
-        chunk = block.batch.column("chunk").fill_null(-1).to_numpy()
-        first, last = np.minimum.reduceat(chunk, block.starts), np.maximum.reduceat(chunk, block.starts)
-        ok &= (first == last)[block.group[i]] | (chunk[i] != chunk[j])
-    i, j = i[ok], j[ok]
-    new = ~block.met_before(i, j)
-    i, j = i[new], j[new]
-    swap = ~block.a[i] if across else block.rank[block.id[i]] > block.rank[block.id[j]]
-    i, j = np.where(swap, j, i), np.where(swap, i, j)
-    value, unlike = block.values(i, j), block.unlike(i, j)
-    apart, differ = block.a[i] != block.a[j], block.nm[i] != block.nm[j]
-    # most pairs share nothing else: counted at once
-    one = ((value << 2) + apart * 2 + differ)[unlike]
-    listed = ~unlike
-    for number, n in zip(*(x.tolist() for x in np.unique(one, return_counts=True))):
-        code = letters_of(number >> 2) + "DDP"
-        if hopeful(code):
-            listed |= unlike & ((value << 2) + apart * 2 + differ == number)
-        else:
+    """The candidates among some pairs of rows; the others are left, or counted where they differ in all letters."""
+    if block.chunk is not None:
+        ok = (block.chunk_first == block.chunk_last)[block.group[i]] | (block.chunk[i] != block.chunk[j])
+        i, j = i[ok], j[ok]
+    i, j, value, told = block.possible(i, j, across)
+    for number, n in told.items():
+        if not hopeful(code := letters_of(number >> 2) + "DDP"):
             counted[code, bool(number & 1), bool(number & 2)] += n
-    i, j, value, apart, differ = i[listed], j[listed], value[listed], apart[listed], differ[listed]
+    ids = block.batch.column("record_id")
+    swap = ~block.a[i] if across else pc.greater(ids.take(pa.array(i)), ids.take(pa.array(j))).to_numpy(zero_copy_only=False)
+    i, j = np.where(swap, j, i), np.where(swap, i, j)
     names, x, y = block.names, block.who[i].tolist(), block.who[j].tolist()
     codes = [letters_of(v) + name_code(named(names[p]), named(names[q])) for v, p, q in zip(value.tolist(), x, y)]
     good = np.array([hopeful(c) for c in codes], dtype=bool)
-    for k in np.flatnonzero(~good).tolist():
-        counted[codes[k], bool(differ[k]), bool(apart[k])] += 1
-    at = pa.array(good)
-    ids, n = block.batch.column("record_id"), int(good.sum())
+    i, j = i[good], j[good]
     return pa.RecordBatch.from_arrays(
-        [ids.take(pa.array(i[good])), ids.take(pa.array(j[good])), pa.array(codes, pa.string()).filter(at), pa.array(differ[good]), pa.array(apart[good]), pa.array(np.ones(n, np.int64))], names=[x.split()[0] for x in OUT.split(", ")]
+        [ids.take(pa.array(i)), ids.take(pa.array(j)), pa.array(codes, pa.string()).filter(pa.array(good)), pa.array(block.nm[i] != block.nm[j]), pa.array(block.a[i] != block.a[j]), pa.array(np.ones(len(i), np.int64))], names=[x.split()[0] for x in OUT.split(", ")]
     )
 
 
-def compared(people: DataFrame, pairs_of: Callable, spread: Callable, across: bool = False, gather: int = GATHER) -> DataFrame:
-    """(*OUT), written tables, of the pairs of people that meet; those without hope as counts by code, without ids.
+def compared(people: DataFrame, pairs_of: Callable, spread: Callable, across: bool = False, gather: int = GATHER, differ: bool = False) -> DataFrame:
+    """(*OUT), written tables, of the candidates among people that meet, each pair once, besides counts of others.
 
-    ``pairs_of(block)`` gives the rows of pairs in blocks, ``spread(batches)`` fills sub, asks and word of rows of contexts
-    that are too large to be a block.  With ``across`` only pairs of the two sources count, A's record first.
+    ``pairs_of(block)`` gives the rows of pairs in blocks, ``spread(rows)`` fills sub and asks of rows of contexts that
+    are too large to be a block.  With ``across`` only pairs of the two sources count, A's record first; with
+    ``differ`` only pairs of different names.
     """
     area = scratch(people.sparkSession)
     own = [F.coalesce(n, F.lit(0)).alias(n) if t in ("int", "long") else F.col(n) for n, t in (x.split() for x in PROFILE.split(", "))]
-    people, any_vast = marked(people, gather)
+    people, large = marked(people, gather)
+    kinds = [(i, k) for i, k in enumerate(KINDS) if k != "m"]
     vast = lambda i: F.col("bits").bitwiseAND(1 << (10 + i)) != 0
-    contexts = lambda where: F.explode(F.array(*(F.when(where(i), F.col(f"c_{k}")) for i, k in enumerate(KINDS)))).alias("key")
+    contexts = lambda where: F.explode(F.array(*(F.when(where(i), F.col(f"c_{k}")) for i, k in kinds))).alias("key")
     rows = people.select(*own, "bits", contexts(lambda i: ~vast(i))).where("key is not null")
-    blocks = lambda df: df.repartition("key").sortWithinPartitions("key").mapInArrow(_comparer(pairs_of, across), OUT)
+    blocks = lambda df: df.repartition("key").sortWithinPartitions("key").mapInArrow(_comparer(pairs_of, across, differ), OUT)
     codes = area.table(blocks(rows), "codes")
-    if not any_vast:
+    if large is None:
         return codes
-    empty = [F.lit(None).cast(t).alias(n) for n, t in (x.split() for x in SPREAD_ROW.split(", ")[-4:])]
-    large = people.where(F.col("bits") >= 1 << 10).select(*own, "bits", contexts(vast), *empty).where("key is not null")
+    empty = [F.lit(None).cast(t).alias(n) for n, t in (x.split() for x in SPREAD_ROW.split(", ")[-3:])]
+    rows = people.where(F.col("bits") >= 1 << 10).select(*own, "bits", contexts(vast), *empty).where("key is not null")
+    if across:  # contexts that one source alone holds make no pairs
+        rows = rows.join(large.where("both").select(F.col("context").alias("key")), "key", "left_semi").select([x.split()[0] for x in SPREAD_ROW.split(", ")])
     apart = F.lit(SPREAD).cast("long")
-    large = area.table(large.mapInArrow(spread, SPREAD_ROW).withColumn("key", F.shiftleft(F.xxhash64("key", "sub"), 3).bitwiseOR(apart)), "spread")
-    hot = broadcast_small(area.table(large.groupBy("key").agg(F.count(F.lit(1)).alias("many")).where(F.col("many") > gather), "hot"))
+    rows = area.table(spread(rows).withColumn("key", F.shiftleft(F.xxhash64("key", "sub"), 3).bitwiseOR(apart)), "spread")
+    hot = broadcast_small(area.table(rows.groupBy("key").agg(F.count(F.lit(1)).alias("many")).where(F.col("many") > gather), "hot"))
     chunks = F.ceil(F.col("many") * 2 / gather).cast("int")
-    large = large.join(hot, "key", "left").withColumn("chunk", F.when(F.col("many").isNotNull(), F.pmod(F.xxhash64("record_id"), chunks).cast("int")))
+    rows = rows.join(hot, "key", "left").withColumn("chunk", F.when(F.col("many").isNotNull(), F.pmod(F.xxhash64("record_id"), chunks).cast("int")))
     meets = F.when(F.col("many").isNotNull(), F.sequence(F.lit(0), chunks - 1)).otherwise(F.array(F.lit(None).cast("int")))
     pair = F.shiftleft(F.xxhash64("key", F.least("chunk", "other"), F.greatest("chunk", "other")), 3).bitwiseOR(apart)
-    large = large.withColumn("other", F.explode(meets)).withColumn("key", F.when(F.col("other").isNotNull(), pair).otherwise(F.col("key")))
-    return codes.unionByName(area.table(blocks(large.select([x.split()[0] for x in SPREAD_ROW.split(", ")])), "codes"))
+    rows = rows.withColumn("other", F.explode(meets)).withColumn("key", F.when(F.col("other").isNotNull(), pair).otherwise(F.col("key")))
+    met = blocks(rows.select([x.split()[0] for x in SPREAD_ROW.split(", ")])).where("id1 is not null").distinct()
+    return codes.unionByName(area.table(met, "codes"))

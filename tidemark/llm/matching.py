@@ -1,9 +1,9 @@
 """Matching entities across sources without keys: MinHash blocking, pairwise features, a calibrated classifier.
 
-Blocks are made across attributes.  Of the records that share a contact value, a place or a date of birth, up to CROWD
-are all compared; among more, those that agree in a MinHash band of the letter pairs of the surname or of the given name
-(two bands at once where a busy value of many names is divided by the initial).  Candidates are compared field by field,
-and a logistic model trained on weak labels (see ``people``) gives each pair its probability.
+Blocks are made across attributes.  Of the records that share a contact value, a place or a date of birth all are compared,
+however many they are; pairs that the values and letters of names leave no chance are dropped by whole arrays.  What is
+left is compared field by field, and a logistic model trained on weak labels (see ``people``) gives each pair its
+probability.
 
 Edge cases: records without any usable attribute meet nobody; repeated records count once; missing attributes are
 neither for nor against a pair; a date of birth with day and month exchanged counts as nearly the same.
@@ -15,13 +15,11 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
-from tidemark.llm.blocks import SPREAD, Block, all_pairs, compared, runs
+from tidemark.llm.blocks import Block, all_pairs, compared
 from tidemark.llm.people import joined_before, learn, named, profiles, scored
 
-CROWD = 30
 BANDS, ROWS, PRIME = 6, 1, (1 << 31) - 1
 _RNG = np.random.default_rng(11)
 _A, _B = _RNG.integers(1, PRIME, BANDS * ROWS), _RNG.integers(0, PRIME, BANDS * ROWS)
@@ -42,44 +40,14 @@ def hash_pair(pair: str) -> int:
     return sum((i * 1_000_003 + 17) * ord(c) for i, c in enumerate(pair, 1)) % PRIME
 
 
-def bands_of(who: str, wide: bool) -> list[tuple[int, int]]:
-    """(number, value) of the bands of a profile's name; ``wide`` where the given name's initial is the same already."""
-    _, given, initial, rest = named(who)
-    last = minhash_bands(rest or initial)
-    if wide:
-        return [(i, last[2 * i] * PRIME + last[2 * i + 1]) for i in range(len(last) // 2)]
-    return [*enumerate(last), *enumerate(minhash_bands(given), BANDS)]
+def pairs_of(block: Block) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows of all pairs of blocks."""
+    yield from all_pairs(block.first, np.arange(len(block.group)))
 
 
-def pairs_of(block: Block) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Rows of the pairs of blocks: all of a small block and of a band, those of one band in a larger block."""
-    large = (block.sizes > CROWD) & (block.kind[block.starts] != SPREAD)
-    rows = np.flatnonzero(~large[block.group])
-    yield from all_pairs(block.first[rows], rows)
-    for g in np.flatnonzero(large).tolist():
-        rows, bands, number = [], [], {}
-        for r in range(block.starts[g], block.starts[g] + block.sizes[g]):
-            for band in bands_of(block.names[block.who[r]], block.wide(r)):
-                rows.append(r)
-                bands.append(number.setdefault(band, len(number)))
-        order = np.argsort(bands, kind="stable")
-        rows = np.array(rows, np.int64)[order]
-        met = np.zeros(0, np.int64)
-        for i, j in all_pairs(runs(np.array(bands)[order]), np.arange(len(rows))):
-            met = np.unique(np.append(met, rows[i] << 32 | rows[j]))
-        yield met >> 32, met & ((1 << 32) - 1)
-
-
-def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of contexts too large for a block, once for each band of their name."""
-    for batch in batches:
-        at, subs = [], []
-        for i, (who, bits, key) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("who", "bits", "key")))):
-            for band in bands_of(who, bits >> 2 * (key & 7) & 3 == 2):
-                at.append(i)
-                subs.append("%d:%d" % band)
-        out = batch.take(pa.array(at, pa.int64()))
-        yield out.set_column(out.schema.get_field_index("sub"), "sub", pa.array(subs, pa.string()))
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows of contexts too large for a block: they have no finer key, so their chunks meet two by two."""
+    return rows.withColumn("sub", F.lit(""))
 
 
 def match(a: DataFrame, b: DataFrame, golden: DataFrame, threshold: float = 0.5, across: bool = False) -> DataFrame:

@@ -6,8 +6,9 @@ names (given names, surnames, words of firms) are cut into k + 1 segments that f
 shifted substrings of other words are looked up in it, and what meets is verified by an edit distance that only fills a
 band of the table.  Index and lookups live inside contexts - a contact value, a place, a date of birth that two records
 have in common - since in a large population a name alone says little.  The index is keyed by context and segment: the
-part of a context that fits one block is kept in that block, the parts of larger contexts are spread over the segments by
-a shuffle (see ``blocks``); index, lookups and verification are the same.
+part of a context that fits one block is kept in that block; larger contexts are spread by a shuffle over their words and
+the similar ones, which an index of all their distinct words finds (see ``blocks``).  Index, lookups and verification are
+the same, and so are the pairs.
 
 Which of the linked names are one entity is told by the comparison and the calibrated model of ``people``, which also
 knows initials, short names, changed surnames and namesakes.
@@ -23,13 +24,14 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from tidemark.llm.address import apart
 from tidemark.llm.blocks import SPREAD, Block, all_pairs, compared
-from tidemark.llm.people import joined_before, learn, named, profiles, scored
+from tidemark.llm.people import arrow, joined_before, learn, letters, named, profiles, scored
+from tidemark.session import broadcast_small, scratch
 
-FEW = 30  # rows of a block whose pairs are all looked up among those met before
+FEW = 30  # rows of a block whose pairs are looked at one by one; the index finds the same
 
 def bound(size: int) -> int:
     """Edits allowed for a word of a length."""
@@ -100,14 +102,30 @@ def within(a: str, b: str, k: int) -> bool:
 
 
 def similar(a: str, b: str) -> bool:
-    return within(a, b, bound(min(len(a), len(b))))
+    """Whether two words are within the edits of the shorter; lengths and letters rule most pairs out at once."""
+    k = 1 if len(a) < 6 or len(b) < 6 else 2
+    return -k <= len(a) - len(b) <= k and (letters(a) ^ letters(b)).bit_count() <= 2 * k and within(a, b, k)
 
 
 @lru_cache(50_000)
-def words_of(who: str, wide: bool) -> list[str]:
-    """The words of a name that are looked up; where a busy value is divided by the initial, the given name says no more."""
+def words_of(who: str) -> list[str]:
+    """The words of a name that are looked up."""
     _, given, _, rest = named(who)
-    return [w for w in dict.fromkeys(rest.split() if wide else [given, *rest.split()]) if len(w) > 2]
+    return [w for w in dict.fromkeys([given, *rest.split()]) if len(w) > 2]
+
+
+@lru_cache(50_000)
+def share_a_word(who: str, other: str) -> bool:
+    """Whether a word of the one name is similar to one of the other."""
+    x, y = words_of(who), words_of(other)
+    for v in x:
+        if v in y:
+            return True
+    for v in x:
+        for w in y:
+            if similar(v, w):
+                return True
+    return False
 
 
 @lru_cache(50_000)
@@ -142,28 +160,20 @@ def meets_first(v: str, w: str, number: int) -> bool:
 
 def pairs_of(block: Block) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Rows of the pairs of blocks that have different names and a similar word in them."""
-    if block.kind[0] == SPREAD:  # one segment of a spread context: who looks it up meets whose word holds it
-        word, asks = block.batch.column("word").to_pylist(), block.batch.column("asks").to_numpy(zero_copy_only=False)
-        at = [int(x.split(":")[1]) for x in block.batch.column("sub").to_pylist()]
+    if block.kind[0] == SPREAD:  # one word of a spread context: who has it meets whose name has it or a similar one
+        asks = block.batch.column("asks").to_numpy(zero_copy_only=False)
         for i, j in all_pairs(block.first, np.arange(len(block.group))):
-            ok = (asks[i] != asks[j]) & (block.nm[i] != block.nm[j])
-            i, j = i[ok], j[ok]
-            i, j = np.where(asks[i], j, i), np.where(asks[i], i, j)
-            ok = np.array([meets_first(word[x], word[y], at[x]) and similar(word[x], word[y]) for x, y in zip(i.tolist(), j.tolist())], dtype=bool)
-            pairs = np.unique(np.minimum(i, j)[ok] << 32 | np.maximum(i, j)[ok])
-            yield pairs >> 32, pairs & ((1 << 32) - 1)
+            ok = ~(asks[i] & asks[j]) & (block.nm[i] != block.nm[j])
+            yield i[ok], j[ok]
         return
-    least, most = np.minimum.reduceat(block.nm, block.starts), np.maximum.reduceat(block.nm, block.starts)
-    kept = (least != most)[block.group]
-    few = np.flatnonzero(kept & (block.sizes <= FEW)[block.group])
-    kept[few] = False  # of small blocks only the rows that some pair still needs
-    for i, j in all_pairs(block.first[few], few):
-        new = block.nm[i] != block.nm[j]
-        i, j = i[new], j[new]
-        new = ~block.met_before(i, j)
-        kept[i[new]] = kept[j[new]] = True
-    rows = np.flatnonzero(kept)
-    wide = block.bits >> 2 * block.kind & 3 == 2
+    large = (block.sizes > FEW)[block.group]
+    few = np.flatnonzero(~large)
+    for i, j in all_pairs(block.first[few], few):  # each pair by itself
+        ok = block.nm[i] != block.nm[j]
+        i, j, _, _ = block.possible(i[ok], j[ok], False)
+        ok = np.array([share_a_word(block.names[x], block.names[y]) for x, y in zip(block.who[i].tolist(), block.who[j].tolist())], dtype=bool)
+        yield i[ok], j[ok]
+    rows = np.flatnonzero(large)
     for lo in range(0, len(rows), 5_000):  # blocks that begin in this part of the rows
         part = rows[lo : lo + 5_000]
         first, last = block.group[part[0]], block.group[part[-1]]
@@ -171,8 +181,8 @@ def pairs_of(block: Block) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         if not len(own):
             continue
         number: dict[str, int] = {}
-        name, which = np.unique(block.who[own] * 2 + wide[own], return_inverse=True)
-        held = [[number.setdefault(w, len(number)) for w in words_of(block.names[x >> 1], bool(x & 1))] for x in name.tolist()]
+        name, which = np.unique(block.who[own], return_inverse=True)
+        held = [[number.setdefault(w, len(number)) for w in words_of(block.names[x])] for x in name.tolist()]
         size = np.array([len(x) for x in held])
         flat, begin, n = np.array([p for x in held for p in x], np.int64), (np.cumsum(size) - size)[which], size[which]
         row = np.repeat(own, n)
@@ -202,25 +212,38 @@ def pairs_of(block: Block) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield pairs >> 32, pairs & ((1 << 32) - 1)
 
 
-def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of contexts too large for a block, once for each segment of their words and for each lookup."""
-    for batch in batches:
-        at, subs, asks, held = [], [], [], []
-        for i, (who, bits, key) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("who", "bits", "key")))):
-            for w in words_of(who, bits >> 2 * (key & 7) & 3 == 2):
-                own = [(f"{size}:{number}:{text}", False) for size, number, _, text in segments(w)]
-                for sub, ask in own + [(f"{size}:{number}:{text}", True) for size, number, text in lookups(w)]:
-                    at.append(i)
-                    subs.append(sub)
-                    asks.append(ask)
-                    held.append(w)
-        out = batch.take(pa.array(at, pa.int64()))
-        for name, values in (("sub", pa.array(subs, pa.string())), ("asks", pa.array(asks, pa.bool_())), ("word", pa.array(held, pa.string()))):
-            out = out.set_column(out.schema.get_field_index(name), name, values)
-        yield out
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows of contexts too large for a block, once for each word of their names, and once more for each similar word of
+    others, of which the later asks.  The index of segments is joined over the distinct words."""
+    area, shape = scratch(rows.sparkSession), "word string, number int, part string, mask long"
+
+    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = [words_of(who) for who in batch.column("who").to_pylist()]
+            out = batch.take(pa.array(np.repeat(np.arange(len(words)), [len(x) for x in words])))
+            yield out.set_column(out.schema.get_field_index("sub"), "sub", pa.array([w for x in words for w in x], pa.string()))
+
+    def indexed(batches: Iterator[pa.RecordBatch], keys_of) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            each = [(w, i, f"{size}:{i}:{text}", letters(w)) for w in batch.column("sub").to_pylist() for size, i, text in keys_of(w)]
+            yield arrow(dict(zip(("word", "number", "part", "mask"), zip(*each) if each else ((), (), (), ()))), shape)
+
+    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([similar(v, w) and meets_first(v, w, i) for v, w, i in zip(*(x.to_pylist() for x in batch.columns))], pa.bool_()))
+
+    own = area.table(rows.mapInArrow(held, rows.schema).withColumn("asks", F.lit(False)), "held")
+    words = area.table(own.select("sub").distinct(), "words")
+    entries = words.mapInArrow(lambda b: indexed(b, lambda w: ((n, i, text) for n, i, _, text in segments(w))), shape)
+    asked = words.mapInArrow(lambda b: indexed(b, lookups), shape).select(F.col("word").alias("other"), "part", F.col("mask").alias("letters"))
+    few = F.bit_count(F.col("mask").bitwiseXOR(F.col("letters"))) <= F.when(F.least(F.length("word"), F.length("other")) < 6, 2).otherwise(4)
+    near = entries.join(asked, "part").where(few & (F.col("word") != F.col("other"))).select("word", "other", "number").mapInArrow(close, "word string, other string, number int")
+    near = area.table(near.select(F.least("word", "other").alias("first"), F.greatest("word", "other").alias("sub")).distinct(), "near")
+    asks = own.join(broadcast_small(near), "sub").withColumns({"sub": F.col("first"), "asks": F.lit(True)})
+    return own.unionByName(asks.select(own.columns))
 
 
 def link_names(a: DataFrame, b: DataFrame, golden: DataFrame, threshold: float = 0.5) -> DataFrame:
     """(id1, id2, probability) of records that name one entity differently."""
-    codes = compared(profiles(a, b), pairs_of, spread).where("differ")
+    codes = compared(profiles(a, b), pairs_of, spread, differ=True).where("differ")
     return scored(codes, learn(codes, joined_before(golden)), threshold).select("id1", "id2", "probability")
