@@ -251,6 +251,16 @@ def test_a_list_of_anything_shipped_or_joined(spark):
     assert canonical.map_to_reference(values.limit(0), ref, "id", "title", max_texts=10).count() == 0 == canonical.map_to_reference(values.limit(0), ref.limit(0), "id", "title").count()
 
 
+def test_a_joined_list_knows_further_names_forms_and_parts(spark):
+    ref = spark.createDataFrame([("GB", "United Kingdom"), ("DE", "Germany"), ("ES", "Spain"), ("IE", "Ireland"), ("ZZ", "Ireland"), ("DE", "Germania")], "code string, name string")
+    also, formal, short = {"GB": {"Great Britain", "U.K.", "isle"}, "DE": {"Deutschland"}, "IE": {"isle"}}, frozenset({"republic", "of"}), {"utd": "united", "kgdm": "kingdom"}
+    typed = ["U.K.", "Great Britian", "Deutschlnad", "Republic of Irelnd", "Utd Kgdm", "Utd Kingdon", "GB - United Kingdom", "Spain (ES)", "Spain / Germany", "isle", "none", "?", "gb", "Germania", "Spian", "", "u k", "Republic of", "Ireland"]
+    values = spark.createDataFrame([(f"r{i}", v) for i, v in enumerate(typed)], "record_id string, value string")
+    shipped, joined = ({typed[int(r["record_id"][1:])]: r["code"] for r in canonical.map_to_reference(values, ref, "code", "name", also, formal, short, max_texts=n).collect()} for n in (10**6, 10))
+    assert shipped == joined
+    assert [joined[x] for x in typed[:8]] == ["GB", "GB", "DE", "IE", "GB", "GB", "GB", "ES"] and joined["isle"] == joined["none"] == joined["Spain / Germany"] == "UNMATCHED"
+
+
 def test_symmetric_delete_finds_all_within_bound():
     rnd = random.Random(1)
     listed = ["".join(rnd.choice("abcd") for _ in range(rnd.randrange(5, 8))) for _ in range(40)]
