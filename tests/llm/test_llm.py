@@ -516,6 +516,28 @@ def test_records_of_one_date_meet(spark):
     assert sum(r["n"] for r in out if r["id1"] is None) == 2 and sum(r["n"] for r in out if r["id1"]) == 2 + 40 * 39 // 2
 
 
+def person(i, given, surname, n, phone=None, day=None, initial=None):
+    return (i, i[0] == "A", people.NAME.join(("P", given, initial or given[:1], surname)), n, None, None, phone, day, None, None)
+
+
+@pytest.mark.parametrize("gather", [5000, 20])
+def test_names_of_a_busy_value_meet_across_initials(spark, gather):
+    rows = [person("A-1", "zoe", "quarrington", 1, 555), person("B-1", "xoe", "quarington", 2, 555), person("B-2", "theodora", "ivory", 3, 555), person("A-2", "dora", "ivory", 4, 555)]
+    rows += [person(f"B-9{i}", f"{chr(97 + i % 26)}{chr(97 + i // 26)}bcd", f"f{i:03d}", 100 + i, 555) for i in range(70)]
+    people_ = spark.createDataFrame(rows, people.PROFILE)
+    assert {r["bits"] >> 4 & 3 for r in people.marked(people_, gather)[0].collect()} == {2}  # busy, of many names
+    got = [(r["id1"], r["id2"]) for r in blocks.compared(people_, names.pairs_of, names.spread, gather=gather, differ=True).where("id1 is not null").collect()]
+    assert len(got) == len(set(got)) and {("A-1", "B-1"), ("A-2", "B-2")} <= set(got)
+
+
+@pytest.mark.parametrize("others, gather", [(2, 5000), (50, 5000), (50, 20)])
+def test_candidates_do_not_depend_on_how_many_share_a_value(spark, others, gather):
+    rows = [person("A-1", "", "", 1, None, 19800102, "z"), person("B-1", "zoe", "quarrington", 2, None, 19800102)]
+    rows += [person(f"B-9{i}", "bert", "ivory", 9, None, 19800102) for i in range(others)]
+    got = [(r["id1"], r["id2"]) for r in blocks.compared(spark.createDataFrame(rows, people.PROFILE), matching.pairs_of, matching.spread, True, gather).where("id1 is not null").collect()]
+    assert sorted(got) == sorted([("A-1", "B-1"), *(("A-1", f"B-9{i}") for i in range(others))])
+
+
 def test_letters_never_hide_a_similar_name():
     rnd = random.Random(3)
     given, last = ["ann", "anne", "theodore", "ted", "jorg", "joerg", "abigail", "gail", "", "x"], ["lee", "leigh", "lee moss", "muller", "mueller", "quarrington", "quarington", "ashdown", ""]
