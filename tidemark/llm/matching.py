@@ -1,4 +1,4 @@
-"""Matching entities across sources without keys: MinHash blocking, pairwise features, a calibrated classifier.
+"""Matching entities across sources without keys: blocks across attributes, pairwise features, a calibrated classifier.
 
 Blocks are made across attributes.  Of the records that share a contact value, a place or a date of birth all are compared,
 however many they are; pairs that the values and letters of names leave no chance are dropped by whole arrays.  What is
@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from tidemark.llm.blocks import Block, all_pairs, compared
-from tidemark.llm.people import joined_before, learn, named, profiles, scored
+from tidemark.llm.people import joined_before, learn, profiles, scored
 
 BANDS, ROWS, PRIME = 6, 1, (1 << 31) - 1
 _RNG = np.random.default_rng(11)
