@@ -559,6 +559,42 @@ def test_letters_never_hide_a_similar_name():
             assert not unlike or people.name_code(people.named(who[x]), people.named(who[y])) == "DDP", (who[x], who[y])
 
 
+def block_of(who):
+    import pyarrow as pa
+
+    zero = pa.array(np.zeros(len(who), np.int64))
+    nm = pa.array([names_.index(w) for names_ in [sorted(set(who))] for w in who], pa.int64())
+    columns = [pa.array([f"A-{i}" for i in range(len(who))]), pa.array([True] * len(who)), pa.array(who), nm, *[zero] * 8]
+    return blocks.Block(pa.RecordBatch.from_arrays(columns, names="record_id a who nm local email phone dob place town bits key".split()), np.zeros(len(who), np.int64))
+
+
+def test_given_names_of_one_initial_are_told_apart_by_their_letters():
+    name = lambda g, s: people.NAME.join(("P", g, g[0], s))
+    who = [name("velma", "ashdown"), name("victor", "quarrington"), name("vic", "ivory"), name("vicky", "ivory"), name("veronica", "ivory")]
+    block, of = block_of(who), lambda i, j: (np.array([i]), np.array([j]))
+    assert block.unlike(*of(0, 1))[0]
+    assert not any(block.apart(*of(i, j))[0][0] for i, j in ((1, 2), (2, 3), (3, 4)))  # a beginning, another ending, one of the list
+
+
+def test_each_two_names_of_a_block_are_compared_once(monkeypatch):
+    asked = []
+    monkeypatch.setattr(blocks, "name_code", lambda x, y: asked.append((x, y)) or people.name_code(x, y))
+    block = block_of([people.NAME.join(("P", g, g[0], "ivory")) for g in ("theodora", "dora") for _ in range(30)])
+    i, j = next(blocks.all_pairs(block.first, np.arange(60)))
+    values = lambda b, i, j, across: (i, j, np.full(len(i), next(v for v in range(8**4) if blocks._VALUES[v] > 5)), {})
+    monkeypatch.setattr(blocks.Block, "possible", values)
+    assert blocks._compare(block, i, j, False, {}).num_rows == 60 * 59 // 2 and len(asked) <= 4
+
+
+def test_letters_allow_every_shared_word():
+    rnd, words = random.Random(4), ["ann", "anne", "theodore", "jorg", "joerg", "lee", "leigh", "quarrington", "quarington", "ashdown", "ahsdown", "al"]
+    who = [people.NAME.join((rnd.choice("PPF"), g, g[:1], " ".join(rnd.choices(words, k=rnd.randrange(5))))) for g in rnd.choices([*words, ""], k=200)]
+    block = block_of(who)
+    for i, j in blocks.all_pairs(block.first, np.arange(len(who))):
+        ok = block.alike(i, j)
+        assert not ok.all() and all(o or not names.share_a_word(who[x], who[y]) for x, y, o in zip(i.tolist(), j.tolist(), ok))
+
+
 def test_repeated_rows_make_no_value_busy(spark):
     a, b, g, truth = population(spark)
     again = a.where("cust_id = 'A-001'").withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(100)))).drop("k")

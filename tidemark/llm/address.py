@@ -144,6 +144,34 @@ def split_ending(word: str) -> tuple[str, frozenset[str]]:
     return word, frozenset()
 
 
+@lru_cache(20_000)
+def _street(words: tuple[str, ...]) -> tuple[tuple[str, ...], tuple[str, ...], str]:
+    """Names, kinds and compass of the words of a street."""
+    compass, kinds, names = "", frozenset(), []
+    for i, w in enumerate(words):
+        if w in COMPASS and len(words) > 1 and not (len(w) > 1 and i == len(words) - 1):
+            compass = COMPASS[w]
+        elif (own := kinds_of(w)) and len(words) > 1 and not kinds:
+            kinds = own
+        elif w in ("de", "del", "la", "el", "los", "las", "der", "den", "van"):
+            continue
+        elif w in _ENDING_WORDS and names and not kinds:
+            kinds = frozenset(k for k, ws in ENDINGS.items() if w in ws)
+        else:
+            names.append(w)
+    if not kinds and len(names) > 1:  # a misspelt kind
+        for w in (names[-1], names[0]):
+            if len(w) >= 4 and (own := frozenset(k for k in KINDS if len(k) >= 4 and edits(w, k) <= (1 if len(k) < 7 else 2))):
+                kinds = own
+                names.remove(w)
+                break
+    if not kinds and len(names) == 1:
+        stem, own = split_ending(names[0])
+        if own:
+            names, kinds = [stem], own
+    return tuple(names or words[:1]), tuple(sorted(kinds)) if names else (), compass
+
+
 def parse(line: str | None, town: str | None, code: str | None) -> dict | None:
     """number, letter, unit, street words, kinds, compass, town, zip of an address; None without number and street."""
     s = fold(line)
@@ -152,7 +180,7 @@ def parse(line: str | None, town: str | None, code: str | None) -> dict | None:
     z, t = zip_key(code), town_key(town)
     if m := _UK.search(s):
         z, s = z or m[1] + m[2], s[: m.start()] + " , " + s[m.end() :]
-    elif (m := _NL.search(s)) and re.search(r"\d", s[: m.start()]) and len(re.findall(r"\d+", s)) > 1:
+    elif s[-1].isalpha() and (m := _NL.search(s)) and re.search(r"\d", s[: m.start()]) and len(re.findall(r"\d+", s)) > 1:
         z, s = z or m[1] + m[2], s[: m.start()]
     elif (m := _FIVE.search(s)) and re.search(r"\d", s[: m.start()]):
         z, s = z or m[1], s[: m.start()]
@@ -196,33 +224,10 @@ def parse(line: str | None, town: str | None, code: str | None) -> dict | None:
             if len(words) > k and near(town_key(" ".join(words[-k:])), t) >= 0.8:
                 words = words[:-k]
                 break
-    compass, kinds, names = "", frozenset(), []
-    for i, w in enumerate(words):
-        if w in COMPASS and len(words) > 1 and not (len(w) > 1 and i == len(words) - 1):
-            compass = COMPASS[w]
-        elif (own := kinds_of(w)) and len(words) > 1 and not kinds:
-            kinds = own
-        elif w in ("de", "del", "la", "el", "los", "las", "der", "den", "van"):
-            continue
-        elif w in _ENDING_WORDS and names and not kinds:
-            kinds = frozenset(k for k, ws in ENDINGS.items() if w in ws)
-        else:
-            names.append(w)
-    if not kinds and len(names) > 1:  # a misspelt kind
-        for w in (names[-1], names[0]):
-            if len(w) >= 4 and (own := frozenset(k for k in KINDS if len(k) >= 4 and edits(w, k) <= (1 if len(k) < 7 else 2))):
-                kinds = own
-                names.remove(w)
-                break
-    if not kinds and len(names) == 1:
-        stem, own = split_ending(names[0])
-        if own:
-            names, kinds = [stem], own
-    if not names:
-        names, kinds = (list(words[:1]), frozenset()) if words else ([], kinds)
+    names, kinds, compass = _street(tuple(words))
     if not names:
         return None
-    return {"number": number, "letter": letter, "unit": unit, "names": names, "kinds": sorted(kinds), "compass": compass, "town": t, "zip": z}
+    return {"number": number, "letter": letter, "unit": unit, "names": list(names), "kinds": list(kinds), "compass": compass, "town": t, "zip": z}
 
 
 def _street_follows(rest: str) -> bool:

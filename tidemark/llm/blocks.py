@@ -22,7 +22,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from tidemark.llm.people import CODES, HOPELESS, KINDS, NICKNAMED, PRIOR, PROFILE, SHORT_FORMS, arrow, hopeful, letters, marked, name_code, named
+from tidemark.llm.people import CODES, HOPELESS, KINDS, NICKNAMED, PRIOR, PROFILE, SHORT_FORMS, arrow, hopeful, letters, marked, name_code, named, texts
 from tidemark.session import broadcast_small, scratch
 
 GATHER = 5000
@@ -38,14 +38,15 @@ _WORDS, _STEP = 3, 60_000  # words of a surname that are compared by their lette
 
 @lru_cache(50_000)
 def _traits(who: str) -> tuple[int, ...]:
-    """(initial, plain, first letters and letters of given name and surnames, whether they are short forms, letters of words)."""
+    """(initial, plain, first letters and letters of given name and surnames, whether they are short forms, letters of words,
+    whether there are further words)."""
     firm, given, initial, rest = named(who)
     words = rest.split()
     masks = [_mask(w) for w in words[:_WORDS]]
     plain = not firm and 0 < len(words) <= _WORDS
     whole = masks[0] if len(words) == 1 else _mask(rest)
     at = (ord(initial[0]) if initial else 0, plain, ord(given[0]) if given else 0, ord(rest[0]) if rest else 0)
-    return (*at, _mask(given), whole, given in SHORT_FORMS, rest in SHORT_FORMS, given in NICKNAMED, *masks, *[-1] * (_WORDS - len(masks)))
+    return (*at, _mask(given), whole, given in SHORT_FORMS, rest in SHORT_FORMS, given in NICKNAMED, *masks, *[-1] * (_WORDS - len(masks)), len(words) > _WORDS)
 
 
 @lru_cache(50_000)
@@ -54,6 +55,10 @@ def _mask(word: str) -> int:
     return letters(word) | (len(word) < 6) << 62
 
 
+#: The letters that a short form has for itself, in its ending, are left out of these bits.
+_STEM = (1 << 62) - 1 & ~letters("iey")
+
+
 def all_pairs(first: np.ndarray, rows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Each of these rows with the rows from its ``first`` one on to itself, some _STEP pairs at a time."""
     before = rows - first
@@ -88,7 +93,7 @@ class Block:
         ids = batch.column("record_id").dictionary_encode()
         self.id = ids.indices.to_numpy()
         who = batch.column("who").dictionary_encode()
-        self.names, self.who = who.dictionary.to_pylist(), who.indices.to_numpy()
+        self.names, self.who = texts(who.dictionary), who.indices.to_numpy()
         self.traits = np.array([_traits(w) for w in self.names], dtype=np.int64)
         self.chunk = None
         if "chunk" in batch.schema.names:
@@ -131,7 +136,9 @@ class Block:
         short, bits = 1 << 62, (1 << 62) - 1
         # more letters that only one has than typing errors can explain, one for an umlaut
         far = lambda p, q: np.bitwise_count((p ^ q) & bits) > np.where((p | q) & short != 0, 3, 5)
-        apart = lambda g, h, p, q, s, t: (g != h) & far(p, q) & (s == 0) & (t == 0)
+        # a short form has no letters of its own but for its ending
+        cut = lambda p, q: (p & ~q & _STEM == 0) | (q & ~p & _STEM == 0)
+        apart = lambda g, h, p, q, s, t: far(p, q) & (s == 0) & (t == 0) & ((g != h) | ~cut(p, q))
         both, plain = (x[2] != 0) & (y[2] != 0), (x[1] == 1) & (y[1] == 1)
         given = np.where(both, apart(x[2], y[2], x[4], y[4], x[6], y[6]), (x[0] != 0) & (y[0] != 0) & (x[0] != y[0]) & (x[8] == 0) & (y[8] == 0))
         turned = apart(x[2], y[3], x[4], y[5], x[6], y[7]) | apart(x[3], y[2], x[5], y[4], x[7], y[6])
@@ -146,6 +153,16 @@ class Block:
         given, surname, unturned = self.apart(i, j)
         return given & surname & unturned
 
+    def alike(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Whether the letters allow that a word of the one name is similar to a word of the other."""
+        x, y = self.traits[self.who[i]].T, self.traits[self.who[j]].T
+        short, bits, words = 1 << 62, (1 << 62) - 1, range(9, 9 + _WORDS)
+        ok = (x[-1] | y[-1]) != 0
+        for v in (4, *words):
+            for w in (4, *words):
+                ok |= (np.bitwise_count((x[v] ^ y[w]) & bits) <= np.where((x[v] | y[w]) & short != 0, 2, 4)) & (x[v] >= 0) & (y[w] >= 0)
+        return ok
+
     def possible(self, i: np.ndarray, j: np.ndarray, across: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, dict[int, int]]:
         """(rows, rows, values) of the pairs that are met first here and may be candidates, and counts of pairs by value."""
         ok = self.id[i] != self.id[j]
@@ -242,8 +259,10 @@ def _compare(block: Block, i: np.ndarray, j: np.ndarray, across: bool, counted:
     ids = block.batch.column("record_id")
     swap = ~block.a[i] if across else pc.greater(ids.take(pa.array(i)), ids.take(pa.array(j))).to_numpy(zero_copy_only=False)
     i, j = np.where(swap, j, i), np.where(swap, i, j)
-    names, x, y = block.names, block.who[i].tolist(), block.who[j].tolist()
-    codes = [letters_of(v) + name_code(named(names[p]), named(names[q])) for v, p, q in zip(value.tolist(), x, y)]
+    names, pair = block.names, block.who[i].astype(np.int64) << 32 | block.who[j]
+    pair, which = np.unique(pair, return_inverse=True)  # each two names are compared once
+    told = [name_code(named(names[p]), named(names[q])) for p, q in zip((pair >> 32).tolist(), (pair & (1 << 32) - 1).tolist())]
+    codes = [letters_of(v) + told[k] for v, k in zip(value.tolist(), which.tolist())]
     good = np.array([hopeful(c) for c in codes], dtype=bool)
     i, j = i[good], j[good]
     return pa.RecordBatch.from_arrays(
@@ -260,7 +279,7 @@ def compared(people: DataFrame, pairs_of: Callable, spread: Callable, across: bo
     """
     area = scratch(people.sparkSession)
     own = [F.coalesce(n, F.lit(0)).alias(n) if t in ("int", "long") else F.col(n) for n, t in (x.split() for x in PROFILE.split(", "))]
-    people, large = marked(people, gather)
+    people, held, large = marked(people, gather)
     kinds = [(i, k) for i, k in enumerate(KINDS) if k != "m"]
     vast = lambda i: F.col("bits").bitwiseAND(1 << (10 + i)) != 0
     contexts = lambda where: F.explode(F.array(*(F.when(where(i), F.col(f"c_{k}")) for i, k in kinds))).alias("key")
@@ -270,7 +289,7 @@ def compared(people: DataFrame, pairs_of: Callable, spread: Callable, across: bo
     if large is None:
         return codes
     empty = [F.lit(None).cast(t).alias(n) for n, t in (x.split() for x in SPREAD_ROW.split(", ")[-3:])]
-    rows = people.where(F.col("bits") >= 1 << 10).select(*own, "bits", contexts(vast), *empty).where("key is not null")
+    rows = held.select(*own, "bits", contexts(vast), *empty).where("key is not null")
     if across:  # contexts that one source alone holds make no pairs
         rows = rows.join(large.where("both").select(F.col("context").alias("key")), "key", "left_semi").select([x.split()[0] for x in SPREAD_ROW.split(", ")])
     apart = F.lit(SPREAD).cast("long")

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tidemark.llm.address import apart
 from tidemark.llm.blocks import SPREAD, Block, all_pairs, compared
-from tidemark.llm.people import arrow, joined_before, learn, letters, named, profiles, scored
+from tidemark.llm.people import arrow, joined_before, learn, letters, named, profiles, scored, texts
 from tidemark.session import broadcast_small, scratch
 
 FEW = 30  # rows of a block whose pairs are looked at one by one; the index finds the same
@@ -171,6 +171,8 @@ def pairs_of(block: Block) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     for i, j in all_pairs(block.first[few], few):  # each pair by itself
         ok = block.nm[i] != block.nm[j]
         i, j, _, _ = block.possible(i[ok], j[ok], False)
+        ok = block.alike(i, j)
+        i, j = i[ok], j[ok]
         ok = np.array([share_a_word(block.names[x], block.names[y]) for x, y in zip(block.who[i].tolist(), block.who[j].tolist())], dtype=bool)
         yield i[ok], j[ok]
     rows = np.flatnonzero(large)
@@ -219,18 +221,19 @@ def spread(rows: DataFrame) -> DataFrame:
 
     def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words = [words_of(who) for who in batch.column("who").to_pylist()]
+            words = [words_of(who) for who in texts(batch.column("who"))]
             out = batch.take(pa.array(np.repeat(np.arange(len(words)), [len(x) for x in words])))
             yield out.set_column(out.schema.get_field_index("sub"), "sub", pa.array([w for x in words for w in x], pa.string()))
 
     def indexed(batches: Iterator[pa.RecordBatch], keys_of) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            each = [(w, i, f"{size}:{i}:{text}", letters(w)) for w in batch.column("sub").to_pylist() for size, i, text in keys_of(w)]
+            each = [(w, i, f"{size}:{i}:{text}", mask) for w, mask in ((w, letters(w)) for w in texts(batch.column("sub"))) for size, i, text in keys_of(w)]
             yield arrow(dict(zip(("word", "number", "part", "mask"), zip(*each) if each else ((), (), (), ()))), shape)
 
     def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array([similar(v, w) and meets_first(v, w, i) for v, w, i in zip(*(x.to_pylist() for x in batch.columns))], pa.bool_()))
+            pairs = zip(texts(batch.column("word")), texts(batch.column("other")), batch.column("number").to_numpy().tolist())
+            yield batch.filter(pa.array([similar(v, w) and meets_first(v, w, i) for v, w, i in pairs], pa.bool_()))
 
     own = area.table(rows.mapInArrow(held, rows.schema).withColumn("asks", F.lit(False)), "held")
     words = area.table(own.select("sub").distinct(), "words")
