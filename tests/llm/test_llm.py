@@ -595,6 +595,26 @@ def test_letters_allow_every_shared_word():
         assert not ok.all() and all(o or not names.share_a_word(who[x], who[y]) for x, y, o in zip(i.tolist(), j.tolist(), ok))
 
 
+def test_dates_leave_out_only_pairs_without_a_chance():
+    import pyarrow as pa
+
+    rnd, n = random.Random(8), 400
+    names_ = [people.NAME.join(("P", g, g[0], s)) for g in ("ann", "anne", "victor") for s in ("ashdown", "ahsdown", "lee")]
+    days = [y * 10000 + m * 100 + d for y in range(1950, 1990, 3) for m in (1, 2, 11) for d in (1, 2, 11, 28)]
+    who, dob, mail = rnd.choices(names_, k=n), rnd.choices([*days, 0], k=n), rnd.choices(range(60), k=n)
+    # one busy number and one busy part before the @, both spread, and dates that are busy or spread
+    bits = [1 << 12 | 2 << 4 | 1 << 10 | 2 | (2 << 8 if d == 19500101 else 0) | (1 << 14 if d % 100 == 28 else 0) for d in dob]
+    columns = {"nm": range(n), "local": [3] * n, "email": mail, "phone": [5] * n, "dob": dob, "place": [0] * n, "town": [0] * n, "bits": bits}
+    key = np.sort(np.array([k << 3 | blocks.SPREAD for k in rnd.choices(range(3), k=n)], np.int64))
+    arrays = [pa.array([f"A-{i}" for i in range(n)]), pa.array([i % 2 == 0 for i in range(n)]), pa.array(who), *[pa.array(list(x), pa.int64()) for x in columns.values()], pa.array([False] * n)]
+    block = blocks.Block(pa.RecordBatch.from_arrays(arrays, names=["record_id", "a", "who", *columns, "asks"]), key)
+    found = lambda pairs: {tuple(r.values()) for i, j in pairs for r in blocks._compare(block, i, j, False, defaultdict(int)).to_pylist()}
+    want = found(blocks.all_pairs(block.first, np.arange(n)))
+    assert len(want) > 500 and {r[2][3] for r in want} >= set("ETMX")
+    looked = {(*x,) for i, j in names.pairs_of(block) for x in zip(np.minimum(i, j).tolist(), np.maximum(i, j).tolist())}
+    assert found(names.pairs_of(block)) == found(matching.pairs_of(block)) == want and len(looked) < 0.5 * sum(m * (m - 1) // 2 for m in block.sizes.tolist())
+
+
 def test_repeated_rows_make_no_value_busy(spark):
     a, b, g, truth = population(spark)
     again = a.where("cust_id = 'A-001'").withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(100)))).drop("k")

@@ -59,9 +59,9 @@ def _mask(word: str) -> int:
 _STEM = (1 << 62) - 1 & ~letters("iey")
 
 
-def all_pairs(first: np.ndarray, rows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Each of these rows with the rows from its ``first`` one on to itself, some _STEP pairs at a time."""
-    before = rows - first
+def all_pairs(first: np.ndarray, rows: np.ndarray, most: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Each of these rows with the rows from its ``first`` one on to itself, or ``most`` of them, some _STEP pairs at a time."""
+    before = rows - first if most is None else np.minimum(rows - first, most)
     ends = np.cumsum(before)
     lo = 0
     while lo < len(rows):
@@ -193,6 +193,43 @@ _GIVEN, _SURNAME = (max(PRIOR.get(k + x, 0.0) for x in CODES[k]) for k in "gs")
 assert max(PRIOR["f" + x] for x in "FB") + _SURNAME <= _GIVEN + _SURNAME  # so firms add no more than persons
 
 
+#: Two different dates that are no misspelling of each other leave no chance to a pair without an equal value that isn't busy.
+assert PRIOR["bias"] + PRIOR["dX"] + sum(max(PRIOR.get(k + x, 0.0) for x in CODES[k] if x not in "EL") for k in "epl") + _GIVEN + _SURNAME < HOPELESS
+
+
+def hopeful_pairs(block: Block) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows of all pairs of spread blocks but of some whose dates leave them no chance; a few pairs come several times.
+
+    A pair has a chance where a date is missing or busy, where dates are equal but for one digit or for day and month, or
+    where a whole address is equal; other values that are equal and not busy have brought it together elsewhere, unless
+    their contexts are spread too.
+    """
+    bits, dob = block.bits, block.dob.astype(np.int64)
+    loose = (dob == 0) | (bits >> 8 & 3 != 0)
+    for n in (0, 2, 3):
+        loose |= (bits >> (10 + n) & 1 != 0) & (bits >> 2 * n & 3 == 0)
+    # rows that may meet any other stand first in their block
+    order = np.lexsort((~loose, block.group))
+    held = np.add.reduceat(loose.astype(np.int64), block.starts)[block.group]
+    for i, j in all_pairs(block.first, np.arange(len(order)), held):
+        yield order[i], order[j]
+    rows = np.flatnonzero(~loose)
+    if len(rows) < 2:
+        return
+    day, block_of = dob[rows], block.group[rows].astype(np.int64) << 32
+    keys = [block_of | (day - day // 10**p % 10 * 10**p) * 9 + p for p in range(8)]
+    keys.append(block_of | block.flipped[rows].astype(np.int64) * 9 + 8)
+    mail = np.unique(block.email[rows], return_inverse=True)[1]
+    mailed = block.email[rows] != 0
+    key, row = np.concatenate([*keys, (block_of | 9 * 10**8 + 9 + mail)[mailed]]), np.concatenate([*[rows] * 9, rows[mailed]])
+    order = np.argsort(key, kind="stable")
+    row, first = row[order], runs(key[order])
+    for i, j in all_pairs(first, np.arange(len(row))):
+        i, j = row[i], row[j]
+        pair = np.unique(np.minimum(i, j) << 32 | np.maximum(i, j))
+        yield pair >> 32, pair & (1 << 32) - 1
+
+
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
     """The rows of complete blocks of two and more rows, of a partition sorted by key."""
     rest = None

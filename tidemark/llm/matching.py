@@ -17,7 +17,7 @@ from functools import lru_cache
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from tidemark.llm.blocks import Block, all_pairs, compared
+from tidemark.llm.blocks import SPREAD, Block, all_pairs, compared, hopeful_pairs
 from tidemark.llm.people import joined_before, learn, profiles, scored
 
 BANDS, ROWS, PRIME = 6, 1, (1 << 31) - 1
@@ -41,8 +41,8 @@ def hash_pair(pair: str) -> int:
 
 
 def pairs_of(block: Block) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Rows of all pairs of blocks."""
-    yield from all_pairs(block.first, np.arange(len(block.group)))
+    """Rows of all pairs of blocks, of spread ones without those that dates leave no chance."""
+    yield from hopeful_pairs(block) if block.kind[0] == SPREAD else all_pairs(block.first, np.arange(len(block.group)))
 
 
 def spread(rows: DataFrame) -> DataFrame:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tidemark.llm.address import apart
-from tidemark.llm.blocks import SPREAD, Block, all_pairs, compared
+from tidemark.llm.blocks import SPREAD, Block, all_pairs, compared, hopeful_pairs
 from tidemark.llm.people import arrow, joined_before, learn, letters, named, profiles, scored, texts
 from tidemark.session import broadcast_small, scratch
 
@@ -162,7 +162,7 @@ def pairs_of(block: Block) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Rows of the pairs of blocks that have different names and a similar word in them."""
     if block.kind[0] == SPREAD:  # one word of a spread context: who has it meets whose name has it or a similar one
         asks = block.batch.column("asks").to_numpy(zero_copy_only=False)
-        for i, j in all_pairs(block.first, np.arange(len(block.group))):
+        for i, j in hopeful_pairs(block):
             ok = ~(asks[i] & asks[j]) & (block.nm[i] != block.nm[j])
             yield i[ok], j[ok]
         return
