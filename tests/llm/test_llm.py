@@ -628,6 +628,15 @@ def test_blank_and_single_names_in_a_batch(spark):
     assert match(a, b, g).count() == link_names(a, b, g).count() == 0
 
 
+def test_words_are_counted_in_arrow_batches():
+    import pyarrow as pa
+
+    batch = lambda *x: pa.RecordBatch.from_arrays([pa.array(x, pa.string())], names=["name"])
+    one, none = people._count_words(iter([batch("Ann Lee", "LEE, Anne", "O'Neil Ltd", "Ann  de León"), batch("", "X")]))
+    assert {r["word"]: (r["f"], r["l"], r["c"]) for r in one.to_pylist()} == {"ann": (2, 0, 0), "anne": (1, 0, 0), "lee": (0, 2, 0), "leon": (0, 1, 0), "o'neil": (0, 0, 1)}
+    assert none.num_rows == 0 and none.schema == one.schema
+
+
 def test_name_variants_are_linked(spark):
     a, b, g, truth = population(spark)
     name = {r["cust_id"]: r["full_name"] for r in a.collect()} | {r["client_ref"]: " ".join(x for x in (r["first_name"], r["last_name"]) if x) for r in b.collect()}

@@ -76,10 +76,13 @@ def name_words(name: str | None) -> list[str]:
     return _WORDS.findall(_DOTTED.sub(r"\1\2", text) if "." in text else text)
 
 
-def _count_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for df in batches:
+COUNTED_WORDS = "word string, f long, l long, c long"
+
+
+def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
         first, last, firm = Counter(), Counter(), Counter()
-        for name in df["name"]:
+        for name in texts(batch.column("name")):
             words = [w for w in name_words(name) if w not in TITLES]
             if any(w in LEGAL for w in words):
                 firm.update(w for w in words if w not in LEGAL and w not in DESK)
@@ -90,13 +93,13 @@ def _count_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     first[long[-1 if reverse else 0]] += 1
                     last[long[0 if reverse else -1]] += 1
         words = list(first.keys() | last.keys() | firm.keys())
-        yield pd.DataFrame({"word": pd.Series(words, dtype=str), **{n: pd.Series([c[w] for w in words], dtype="int64") for n, c in (("f", first), ("l", last), ("c", firm))}})
+        yield arrow({"word": words, **{n: [c[w] for w in words] for n, c in (("f", first), ("l", last), ("c", firm))}}, COUNTED_WORDS)
 
 
 def lexicon(records: DataFrame) -> dict[str, tuple[float, float]]:
     """word -> (share of places where it stands as a given name, share of places in firms' names), of words that stand in
     at least three places and one in LEXICON_PLACES; names of rarer words are split by place alone."""
-    counts = records.select("name").mapInPandas(_count_words, "word string, f long, l long, c long").groupBy("word").agg(F.sum("f").alias("f"), F.sum("l").alias("l"), F.sum("c").alias("c"))
+    counts = records.select("name").mapInArrow(_count_words, COUNTED_WORDS).groupBy("word").agg(F.sum("f").alias("f"), F.sum("l").alias("l"), F.sum("c").alias("c"))
     total = F.col("f") + F.col("l") + F.col("c")
     counts = scratch(records.sparkSession).table(counts.withColumn("places", total), "words")
     places = counts.agg(F.sum("places")).first()[0] or 0
