@@ -652,3 +652,65 @@ def test_usable_values(spark):
     assert [r[0] for r in df.select(clean.usable(F.col("v"))).collect()] == [True, False, False, False, False, False, False, False, False, False, True]
     d = spark.createDataFrame([("31/02/1975",), ("1/2/1975",), ("1975-02-01",), ("01.02.1975",), ("x",), (None,)], "v string")
     assert [str(r[0]) for r in d.select(clean.date_of(F.col("v"))).collect()] == ["None", "1975-02-01", "1975-02-01", "1975-02-01", "None", "None"]
+
+
+def _block(names):
+    from tidemark.llm.people import NAME, arrow
+
+    n, zero = len(names), [0] * len(names)
+    rows = {"record_id": [f"A-{i}" for i in range(n)], "a": [True] * n, "who": [NAME.join(x) for x in names], "nm": list(range(n)), "bits": [1 << 4] * n, "key": [8] * n, "phone": [77] * n}
+    batch = arrow({x.split()[0]: rows.get(x.split()[0], zero) for x in blocks.ROW.split(", ")}, blocks.ROW)
+    return blocks.Block(batch, np.full(n, 8, np.int64))
+
+
+def test_letters_of_names_leave_out_only_pairs_without_a_chance():
+    from itertools import combinations
+
+    from tidemark.llm.people import PRIOR, letters, name_code, named, NAME
+
+    rng = np.random.default_rng(4)
+    words = "ann anne joe muller mueller moller smith smyth simth tallow freight fright max maximilian bill william lee jurgen juergen o'neil garcia betty elizabeth haze joanne li weissenbach".split()
+    pick = lambda most: " ".join(rng.choice(words, rng.integers(0, most + 1)))
+    names = []
+    for _ in range(220):
+        given = str(rng.choice(["", *words]))
+        names.append(("F", "", "", pick(4)) if rng.random() < 0.4 else ("P", given, given[:1] or str(rng.choice(["", "a", "b"])), pick(4)))
+    block = _block(names)
+    i, j = np.array(list(combinations(range(len(names)), 2))).T
+    given, surname, unturned = block.apart(i, j)
+    most = block.most(i, j, given & unturned, surname & unturned)
+    firm = np.array([names[p][0] == "F" or names[q][0] == "F" for p, q in zip(i, j)])
+    most[firm] = np.minimum(most[firm], block.firms_most(i[firm], j[firm]))
+    says = [name_code(named(NAME.join(names[p])), named(NAME.join(names[q]))) for p, q in zip(i, j)]
+    added = np.array([sum(PRIOR.get(k + x, 0.0) for k, x in zip("gsf", c)) for c in says])
+    assert (added <= most + 1e-9).all() and (added < most).any()
+    # letters and lengths of words are those of the texts
+    for k, (_, first, _, rest) in enumerate(names):
+        parts, at = rest.split(), block.who[k]
+        for n, w in enumerate(parts[:3]):
+            assert block.traits[9 + n][at] == letters(w) | (len(w) < 6) << 62
+        assert block.further[at] == (len(parts) > 3) and [block.words[x] for x in block.numbers[:, at] if x >= 0] == [w for w in [first, *parts[:3]] if len(w) > 2]
+
+
+def test_firms_and_persons_of_other_words_are_not_compared_word_by_word():
+    names = [("F", "", "", "tallow freight"), ("P", "ann", "a", "lee"), ("F", "", "", "birch joinery"), ("F", "", "", "talow freight")]
+    i, j, _, _ = _block(names).possible(np.array([0, 0, 0, 1]), np.array([1, 2, 3, 2]), False)
+    assert list(zip(i.tolist(), j.tolist())) == [(0, 3)]  # all four before
+
+
+def test_words_that_names_share_are_found_for_all_pairs_at_once():
+    from tidemark.llm.names import share_a_word, shared_word
+
+    names = [("P", "ann", "a", "lee"), ("P", "anne", "a", "smith"), ("P", "", "j", "smyth"), ("F", "", "", "a b c smith"), ("P", "", "", ""), ("P", "li", "l", "li"), ("F", "", "", "weissenbach tallow")]
+    block = _block(names)
+    i, j = (x.ravel() for x in np.meshgrid(range(7), range(7)))
+    assert shared_word(block, i, j).tolist() == [share_a_word(block.names[block.who[p]], block.names[block.who[q]]) for p, q in zip(i, j)]
+
+
+def test_lines_that_differ_in_one_number_alone_are_parsed_once():
+    address._around.cache_clear()
+    rows = [address.parse_row(f"{n} Nuttall Avenue", "Lamthorpe", "LA80 6DT") for n in ("7", "0097", "54321", "0")]
+    assert [r[0] for r in rows] == ["7", "97", "54321", "0"] and len({r[1:] for r in rows}) == 1
+    assert address._around.cache_info().misses == 1
+    assert address.parse_row("Flat 12 Nuttall Avenue", "Lamthorpe", None) == (None,) * 7
+    assert address.parse_row("12 Nuttall Avenue LA80 6DT", None, None)[6] == "la806dt"

@@ -172,12 +172,8 @@ def _street(words: tuple[str, ...]) -> tuple[tuple[str, ...], tuple[str, ...], s
     return tuple(names or words[:1]), tuple(sorted(kinds)) if names else (), compass
 
 
-def parse(line: str | None, town: str | None, code: str | None) -> dict | None:
-    """number, letter, unit, street words, kinds, compass, town, zip of an address; None without number and street."""
-    s = fold(line)
-    if not s or s in _NO_VALUE:
-        return None
-    z, t = zip_key(code), town_key(town)
+def _taken(s: str, z: str) -> tuple[str, str, str, str, tuple[tuple[str, ...], ...]] | None:
+    """Number, letter, unit, postcode and parts of words of a folded line; None without number or words."""
     if m := _UK.search(s):
         z, s = z or m[1] + m[2], s[: m.start()] + " , " + s[m.end() :]
     elif s[-1].isalpha() and (m := _NL.search(s)) and re.search(r"\d", s[: m.start()]) and len(re.findall(r"\d+", s)) > 1:
@@ -204,30 +200,28 @@ def parse(line: str | None, town: str | None, code: str | None) -> dict | None:
     s = s[: m.start()] + " , " + s[end:]
     if "." in s:
         s = _DOTTED.sub(lambda x: _DOTTED_FULL[x[1]], s)
-    parts = [p for p in (_LETTERS.findall(x) for x in s.split(",")) if p]
-    if not parts:
-        return None
-    # a part that is the town, or stands after the street
-    if len(parts) > 1:
-        keep = []
-        for p in parts:
-            name = town_key(" ".join(p))
-            if t and len(name) > 4 and near(name, t) >= 0.75:
-                continue
-            keep.append(p)
-        if not t and len(keep) > 1:
-            t = town_key(" ".join(keep.pop()))
-        parts = keep or parts
-    words = [w for p in parts for w in p]
-    if t and len(words) > 1 and not kinds_of(words[-1]):  # the town at the end without a comma
-        for k in (1, 2, 3):
-            if len(words) > k and near(town_key(" ".join(words[-k:])), t) >= 0.8:
-                words = words[:-k]
-                break
-    names, kinds, compass = _street(tuple(words))
-    if not names:
-        return None
-    return {"number": number, "letter": letter, "unit": unit, "names": list(names), "kinds": list(kinds), "compass": compass, "town": t, "zip": z}
+    parts = tuple(tuple(p) for p in (_LETTERS.findall(x) for x in s.split(",")) if p)
+    return (number, letter, unit, z, parts) if parts else None
+
+
+@lru_cache(50_000)
+def _around(before: str, after: str, digits: bool) -> tuple | None:
+    """What ``_taken`` takes from a line with a number between these texts, whatever its digits are: a number that stands by
+    itself is neither a postcode nor part of one where it is the only one. () if there are other digits in the texts."""
+    return () if _DIGIT.search(before) or _DIGIT.search(after) else _taken(f"{before}1{after}", "0" if digits else "")
+
+
+@lru_cache(20_000)
+def _tails(words: tuple[str, ...]) -> tuple[tuple[int, str], ...]:
+    """(words, key) of the ends of a line that may be the town without a comma before it."""
+    return tuple((k, town_key(" ".join(words[-k:]))) for k in (1, 2, 3) if len(words) > k) if len(words) > 1 and not kinds_of(words[-1]) else ()
+
+
+@lru_cache(20_000)
+def _street_row(words: tuple[str, ...]) -> tuple[str, str] | None:
+    """Street and kinds of the words of a street as texts."""
+    names, kinds, _ = _street(words)
+    return (" ".join(sorted(names)), ",".join(kinds)) if names else None
 
 
 def _street_follows(rest: str) -> bool:
@@ -263,12 +257,44 @@ def name_keys(name: str) -> list[str]:
 #: Letters from which a word is indexed without two of them.
 DEEP = 7
 PARSED = ["number", "letter", "unit", "street", "kinds", "town", "zip"]
+_NOTHING = (None,) * len(PARSED)
+_NUMBER, _DIGIT = re.compile(r"(?<!\w)(\d+)(?!\w)"), re.compile(r"\d")
 
 
 def parse_row(line: str | None, town: str | None, code: str | None) -> tuple[str | None, ...]:
     """The values of PARSED; nulls for a line without number and street."""
-    p = parse(line, town, code)
-    return (p["number"], p["letter"], p["unit"], " ".join(sorted(p["names"])), ",".join(p["kinds"]), p["town"], p["zip"]) if p else (None,) * len(PARSED)
+    s = fold(line)
+    if not s or s in _NO_VALUE:
+        return _NOTHING
+    z, t = zip_key(code), town_key(town)
+    text = _NUMBER.split(s)
+    taken = _around(text[0], text[2], z[:1].isdigit()) if len(text) == 3 else ()
+    if taken == ():
+        taken = _taken(s, z)
+    elif taken:
+        taken = (text[1].lstrip("0") or "0", taken[1], "", z, taken[4])
+    if not taken:
+        return _NOTHING
+    number, letter, unit, z, parts = taken
+    # a part that is the town, or stands after the street
+    if len(parts) > 1:
+        keep = []
+        for p in parts:
+            name = town_key(" ".join(p))
+            if t and len(name) > 4 and near(name, t) >= 0.75:
+                continue
+            keep.append(p)
+        if not t and len(keep) > 1:
+            t = town_key(" ".join(keep.pop()))
+        parts = keep or parts
+    words = parts[0] if len(parts) == 1 else tuple(w for p in parts for w in p)
+    if t:
+        for k, tail in _tails(words):
+            if near(tail, t) >= 0.8:
+                words = words[:-k]
+                break
+    street = _street_row(words)
+    return (number, letter, unit, *street, t, z) if street else _NOTHING
 
 
 def _parsed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

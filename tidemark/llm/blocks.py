@@ -22,7 +22,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from tidemark.llm.people import CODES, HOPELESS, KINDS, NICKNAMED, PRIOR, PROFILE, SHORT_FORMS, arrow, hopeful, letters, marked, name_code, named, texts
+from tidemark.llm.people import CODES, HOPELESS, KINDS, NAME, NICKNAMED, PRIOR, PROFILE, SHORT_FORMS, arrow, hopeful, letters, marked, name_code, named, texts
 from tidemark.session import broadcast_small, scratch
 
 GATHER = 5000
@@ -34,25 +34,56 @@ SPREAD_ROW = ROW + ", sub string, asks boolean, chunk int"
 OUT = "id1 string, id2 string, code string, differ boolean, across boolean, n long"
 SPREAD = 7  # the kind of rows of spread contexts
 _WORDS, _STEP = 3, 60_000  # words of a surname that are compared by their letters; pairs that are looked at together
-
-
-@lru_cache(50_000)
-def _traits(who: str) -> tuple[int, ...]:
-    """(initial, plain, first letters and letters of given name and surnames, whether they are short forms, letters of words,
-    whether there are further words)."""
-    firm, given, initial, rest = named(who)
-    words = rest.split()
-    masks = [_mask(w) for w in words[:_WORDS]]
-    plain = not firm and 0 < len(words) <= _WORDS
-    whole = masks[0] if len(words) == 1 else _mask(rest)
-    at = (ord(initial[0]) if initial else 0, plain, ord(given[0]) if given else 0, ord(rest[0]) if rest else 0)
-    return (*at, _mask(given), whole, given in SHORT_FORMS, rest in SHORT_FORMS, given in NICKNAMED, *masks, *[-1] * (_WORDS - len(masks)), len(words) > _WORDS)
-
-
-@lru_cache(50_000)
-def _mask(word: str) -> int:
-    """The letters of a word, and whether it is short in a bit that no letter has."""
-    return letters(word) | (len(word) < 6) << 62
+_LONG = 12 + 2 * _WORDS  # where traits have lengths
+
+
+def traits(names: pa.Array) -> tuple[np.ndarray, list[str]]:
+    """Of each name, in a column of its own: initial, whether it is a person's with some words, first letters and letters of given
+    name and surnames, whether they are short forms, letters of its words, whether there are further words, whether any is a
+    short form, numbers of given name and words in the list that is returned too, lengths of given name, surnames and words,
+    whether it may have an umlaut written with e, whether it is a firm's. Letters are those of ``letters``, with a bit that no
+    letter has for words under six; -1 where there is no word, or none of three letters."""
+    n = len(names)
+    codes = np.frombuffer((NAME.join([*texts(names), ""])).encode("utf-32-le"), np.uint32)
+    cut, blank = codes == ord(NAME), codes == ord(" ")
+    ends = np.flatnonzero(cut)
+    starts = np.append(0, ends[:-1] + 1)[: len(ends)]
+    size = (ends - starts).reshape(n, 4).T
+    head = np.where(size > 0, codes[starts].reshape(n, 4).T, 0).astype(np.int64)
+    bits = np.where(cut, 0, np.int64(1) << (codes % 61).astype(np.int64))
+    short = lambda k: (k < 6).astype(np.int64) << 62
+    field = np.bitwise_or.reduceat(bits, starts).reshape(n, 4).T if n else np.zeros((4, 0), np.int64)
+    # words of the surnames: what stands between blanks
+    part = np.cumsum(cut) - cut
+    inside = (part & 3 == 3) & ~cut & ~blank
+    begin = np.flatnonzero(inside & ~np.append(False, inside[:-1])[: len(inside)])
+    of = part[begin] >> 2
+    many = np.bincount(of, minlength=n)
+    rank = np.arange(len(of)) - np.repeat(np.cumsum(many) - many, many)
+    words, long = np.full((_WORDS, n), -1, np.int64), np.zeros((_WORDS, n), np.int64)
+    umlaut = (codes == ord("e")) & np.append(False, np.isin(codes[:-1], [ord(c) for c in "aou"]))[: len(codes)]
+    umlaut = np.bincount(part[umlaut] >> 2, minlength=n) > 0
+    if len(begin):
+        kept = rank < _WORDS
+        length = np.add.reduceat(inside.astype(np.int64), begin)
+        mask = np.bitwise_or.reduceat(np.where(inside, bits, 0), begin) | short(length)
+        words[rank[kept], of[kept]], long[rank[kept], of[kept]] = mask[kept], length[kept]
+    firm = head[0] == ord("F")
+    fields = pc.list_flatten(pc.split_pattern(names, NAME))
+    known = lambda k, values: pc.is_in(fields.take(pa.array(np.arange(n) * 4 + k)), value_set=pa.array(sorted(values))).to_numpy(zero_copy_only=False)
+    plain = ~firm & (many > 0) & (many <= _WORDS)
+    whole = np.where(many == 1, words[0], field[3] | short(size[3]))
+    listed = (known(1, SHORT_FORMS), known(3, SHORT_FORMS), known(1, NICKNAMED))
+    each = pc.list_flatten(pc.split_pattern(fields.take(pa.array(np.arange(n) * 4 + 3)), " "))
+    each = pa.concat_arrays([fields.take(pa.array(np.arange(n) * 4 + 1)), each.filter(pc.not_equal(each, ""))]).dictionary_encode()
+    number, short_form = each.indices.to_numpy().astype(np.int64), pc.is_in(each.dictionary, value_set=pa.array(sorted(SHORT_FORMS))).to_numpy(zero_copy_only=False)
+    any_short = short_form[number[:n]] | (np.bincount(of, short_form[number[n:]], minlength=n) > 0)
+    number = np.where(pc.utf8_length(each.dictionary).to_numpy()[number] > 2, number, -1)
+    numbers = np.full((_WORDS, n), -1, np.int64)
+    if len(begin):
+        numbers[rank[kept], of[kept]] = number[n:][kept]
+    columns = (head[2], plain, head[1], head[3], field[1] | short(size[1]), whole, *listed, *words, many > _WORDS, any_short, number[:n], *numbers, size[1], size[3], *long, umlaut, firm)
+    return np.stack([x.astype(np.int64) for x in columns]), texts(each.dictionary)
 
 
 #: The letters that a short form has for itself, in its ending, are left out of these bits.
@@ -78,6 +109,15 @@ def runs(sorted_values: np.ndarray) -> np.ndarray:
     return np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
 
 
+class _Gathered(dict):
+    def __init__(self, values: np.ndarray, at: np.ndarray):
+        self.values_, self.at = values, at
+
+    def __missing__(self, k: int) -> np.ndarray:
+        self[k] = self.values_[k][self.at]
+        return self[k]
+
+
 class Block:
     """Rows of complete blocks as arrays: number, kind and first row of each row's block, and the rows' values."""
 
@@ -94,7 +134,9 @@ class Block:
         self.id = ids.indices.to_numpy()
         who = batch.column("who").dictionary_encode()
         self.names, self.who = texts(who.dictionary), who.indices.to_numpy()
-        self.traits = np.array([_traits(w) for w in self.names], dtype=np.int64)
+        self.traits, self.words = traits(who.dictionary)
+        self.further, self.numbers = self.traits[9 + _WORDS] != 0, self.traits[11 + _WORDS : 12 + 2 * _WORDS]
+        self.length, self.mask = np.array([len(w) for w in self.words]), np.array([letters(w) for w in self.words], np.int64)
         self.chunk = None
         if "chunk" in batch.schema.names:
             self.chunk = batch.column("chunk").fill_null(-1).to_numpy()
@@ -102,6 +144,10 @@ class Block:
         month, day = self.dob // 100 % 100, self.dob % 100
         self.flipped = self.dob // 10000 * 10000 + np.minimum(month, day) * 100 + np.maximum(month, day)
 
+    def traits_of(self, i: np.ndarray) -> dict[int, np.ndarray]:
+        """The traits of rows' names by their number, each gathered when asked for."""
+        return _Gathered(self.traits, self.who[i])
+
     def met_before(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         """Whether a context of an earlier kind, or for spread rows any that isn't spread, brings a pair together too."""
         out, spread, kind = np.zeros(len(i), bool), (self.bits[i] | self.bits[j]) >> 10, self.kind[i]
@@ -132,20 +178,25 @@ class Block:
     def apart(self, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of pairs of persons, whether given names, and whether surnames, are different by their letters alone, and whether
         they can't be exchanged."""
-        x, y = self.traits[self.who[i]].T, self.traits[self.who[j]].T
+        x, y = self.traits_of(i), self.traits_of(j)
         short, bits = 1 << 62, (1 << 62) - 1
-        # more letters that only one has than typing errors can explain, one for an umlaut
-        far = lambda p, q: np.bitwise_count((p ^ q) & bits) > np.where((p | q) & short != 0, 3, 5)
+        # more letters that only one has than typing errors can explain, one for an umlaut, or other lengths where there is none
+        umlaut = (x[-2] | y[-2]) != 0
+
+        def far(p: np.ndarray, q: np.ndarray, m: np.ndarray, n: np.ndarray) -> np.ndarray:
+            some = (p | q) & short != 0
+            return (np.bitwise_count((p ^ q) & bits) > np.where(some, 2, 4) + umlaut) | (~umlaut & (np.abs(m - n) > np.where(some, 1, 2)))
+
         # a short form has no letters of its own but for its ending
         cut = lambda p, q: (p & ~q & _STEM == 0) | (q & ~p & _STEM == 0)
-        apart = lambda g, h, p, q, s, t: far(p, q) & (s == 0) & (t == 0) & ((g != h) | ~cut(p, q))
+        apart = lambda g, h, p, q, s, t, m, n: far(p, q, m, n) & (s == 0) & (t == 0) & ((g != h) | ~cut(p, q))
         both, plain = (x[2] != 0) & (y[2] != 0), (x[1] == 1) & (y[1] == 1)
-        given = np.where(both, apart(x[2], y[2], x[4], y[4], x[6], y[6]), (x[0] != 0) & (y[0] != 0) & (x[0] != y[0]) & (x[8] == 0) & (y[8] == 0))
-        turned = apart(x[2], y[3], x[4], y[5], x[6], y[7]) | apart(x[3], y[2], x[5], y[4], x[7], y[6])
+        given = np.where(both, apart(x[2], y[2], x[4], y[4], x[6], y[6], x[_LONG], y[_LONG]), (x[0] != 0) & (y[0] != 0) & (x[0] != y[0]) & (x[8] == 0) & (y[8] == 0))
+        turned = apart(x[2], y[3], x[4], y[5], x[6], y[7], x[_LONG], y[_LONG + 1]) | apart(x[3], y[2], x[5], y[4], x[7], y[6], x[_LONG + 1], y[_LONG])
         surname = plain.copy()
-        for v in range(9, 9 + _WORDS):
-            for w in range(9, 9 + _WORDS):
-                surname &= (x[v] < 0) | (y[w] < 0) | far(x[v], y[w])
+        for v in range(_WORDS):
+            for w in range(_WORDS):
+                surname &= (x[9 + v] < 0) | (y[9 + w] < 0) | far(x[9 + v], y[9 + w], x[_LONG + 2 + v], y[_LONG + 2 + w])
         return plain & given, surname, plain & (turned | ~both)
 
     def unlike(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -153,15 +204,38 @@ class Block:
         given, surname, unturned = self.apart(i, j)
         return given & surname & unturned
 
-    def alike(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        """Whether the letters allow that a word of the one name is similar to a word of the other."""
-        x, y = self.traits[self.who[i]].T, self.traits[self.who[j]].T
-        short, bits, words = 1 << 62, (1 << 62) - 1, range(9, 9 + _WORDS)
-        ok = (x[-1] | y[-1]) != 0
-        for v in (4, *words):
-            for w in (4, *words):
-                ok |= (np.bitwise_count((x[v] ^ y[w]) & bits) <= np.where((x[v] | y[w]) & short != 0, 2, 4)) & (x[v] >= 0) & (y[w] >= 0)
-        return ok
+    def firms_apart(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Of pairs with a firm, whether so few words are alike by their letters that the names are different, or for a firm and
+        a person no more than partly the same."""
+        x, y = self.traits_of(i), self.traits_of(j)
+        short, bits, given = 1 << 62, (1 << 62) - 1, (x[-1] & y[-1]) == 0
+        columns = (4, *range(9, 9 + _WORDS))
+        held = [[(z[2] != 0) & given if v == 4 else z[v] >= 0 for v in columns] for z in (x, y)]
+        met = [[np.zeros(len(i), bool) for _ in columns] for _ in "xy"]
+        for a, v in enumerate(columns):
+            for b, w in enumerate(columns):
+                p, q = x[v], y[w]
+                ok = np.bitwise_count((p ^ q) & bits) <= np.where((p | q) & short != 0, 3, 5)
+                ok |= (p & ~q & _STEM == 0) | (q & ~p & _STEM == 0)
+                ok &= held[0][a] & held[1][b]
+                met[0][a] |= ok
+                met[1][b] |= ok
+        (nx, ny), (mx, my) = (sum(z.astype(np.int64) for z in one) for one in held), (sum(z.astype(np.int64) for z in one) for one in met)
+        enough = np.where(given, (mx == nx) & (my == ny) & (nx == ny), np.minimum(mx, my) >= 0.6 * np.maximum(nx, ny))
+        unsure = (x[9 + _WORDS] | y[9 + _WORDS] | x[10 + _WORDS] | y[10 + _WORDS]) != 0
+        return ~enough & ~unsure & (nx > 0) & (ny > 0)
+
+    def most(self, i: np.ndarray, j: np.ndarray, given: np.ndarray, surname: np.ndarray) -> np.ndarray:
+        """The most that the names of pairs add to their log-odds, where it is known which given names and surnames differ."""
+        x, y = self.traits_of(i), self.traits_of(j)
+        known, held = (x[2] != 0) & (y[2] != 0), (x[3] != 0) & (y[3] != 0)
+        persons = np.where(given, PRIOR["gD"], np.where(known, _GIVEN, _INITIAL)) + np.where(surname, PRIOR["sD"], np.where(held, _SURNAME, PRIOR.get("sM", 0.0)))
+        return np.where(x[-1] & y[-1], _FIRMS, np.where(x[-1] | y[-1], _BOTH, persons))
+
+    def firms_most(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """The same for pairs with a firm, by the letters of all words."""
+        both = (self.traits[-1][self.who[i]] & self.traits[-1][self.who[j]]) != 0
+        return np.where(self.firms_apart(i, j), np.where(both, _FIRMS_APART, _BOTH_APART), np.where(both, _FIRMS, _BOTH))
 
     def possible(self, i: np.ndarray, j: np.ndarray, across: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, dict[int, int]]:
         """(rows, rows, values) of the pairs that are met first here and may be candidates, and counts of pairs by value."""
@@ -176,8 +250,11 @@ class Block:
         unlike = given & surname & unturned
         told = unlike & (self.sizes[self.group[i]] <= COUNTED)
         number = ((value << 2) + (self.a[i] != self.a[j]) * 2 + (self.nm[i] != self.nm[j]))[told]
-        names = np.where(unturned, np.where(given, PRIOR["gD"], _GIVEN) + np.where(surname, PRIOR["sD"], _SURNAME), _GIVEN + _SURNAME)
-        ok = _VALUES[value] + names >= HOPELESS - 1e-9
+        ok = _VALUES[value] + self.most(i, j, given & unturned, surname & unturned) >= HOPELESS - 1e-9
+        i, j, value = i[ok], j[ok], value[ok]
+        firm = np.flatnonzero(self.traits[-1][self.who[i]] | self.traits[-1][self.who[j]])
+        ok = np.ones(len(i), bool)
+        ok[firm] = _VALUES[value[firm]] + self.firms_most(i[firm], j[firm]) >= HOPELESS - 1e-9
         return i[ok], j[ok], value[ok], dict(zip(*(x.tolist() for x in np.unique(number, return_counts=True))))
 
 
@@ -190,7 +267,13 @@ def letters_of(number: int) -> str:
 #: Prior log-odds of the values of pairs by their number, without names, and the most that names add.
 _VALUES = np.array([PRIOR["bias"] + sum(PRIOR.get(k + CODES[k][x], 0.0) if x < len(CODES[k]) else -99.0 for k, x in zip("epld", (v >> 9, v >> 6 & 7, v >> 3 & 7, v & 7))) for v in range(8**4)])
 _GIVEN, _SURNAME = (max(PRIOR.get(k + x, 0.0) for x in CODES[k]) for k in "gs")
-assert max(PRIOR["f" + x] for x in "FB") + _SURNAME <= _GIVEN + _SURNAME  # so firms add no more than persons
+#: The same where a given name is missing, of two firms, and of a firm and a person, see ``name_code``.
+_INITIAL = max(PRIOR.get("g" + x, 0.0) for x in "IMD")
+_FIRMS = PRIOR.get("gM", 0.0) + _SURNAME + PRIOR["fF"]
+_BOTH = max(PRIOR.get("gM", 0.0), PRIOR["gD"]) + _SURNAME + PRIOR["fB"]
+_FIRMS_APART = PRIOR.get("gM", 0.0) + PRIOR["sD"] + PRIOR["fF"]
+_BOTH_APART = PRIOR["gD"] + max(PRIOR["sC"], PRIOR["sD"]) + PRIOR["fB"]
+assert max(_FIRMS, _BOTH) <= _GIVEN + _SURNAME  # so firms add no more than persons
 
 
 #: Two different dates that are no misspelling of each other leave no chance to a pair without an equal value that isn't busy.

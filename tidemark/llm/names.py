@@ -107,6 +107,32 @@ def similar(a: str, b: str) -> bool:
     return -k <= len(a) - len(b) <= k and (letters(a) ^ letters(b)).bit_count() <= 2 * k and within(a, b, k)
 
 
+def alike(words: list[str], length: np.ndarray, mask: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Whether words are equal or ``similar``, by their numbers: lengths and letters of all at once, edits of what is left."""
+    ok = p == q
+    k = np.where(np.minimum(length[p], length[q]) < 6, 1, 2)
+    near = np.flatnonzero(~ok & (np.abs(length[p] - length[q]) <= k) & (np.bitwise_count(mask[p] ^ mask[q]) <= 2 * k))
+    pair, which = np.unique(np.minimum(p, q)[near] << 32 | np.maximum(p, q)[near], return_inverse=True)
+    ok[near] = np.array([similar(words[v], words[w]) for v, w in zip((pair >> 32).tolist(), (pair & (1 << 32) - 1).tolist())], dtype=bool)[which]
+    return ok
+
+
+def shared_word(block: Block, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Whether a word of the one name of each pair is similar to one of the other, as ``share_a_word`` says."""
+    x, y = block.numbers[:, block.who[i]], block.numbers[:, block.who[j]]
+    ok = np.zeros(len(i), bool)
+    for v in x:
+        for w in y:
+            ok |= (v == w) & (v >= 0)
+    for v in x:
+        for w in y:
+            left = np.flatnonzero(~ok & (v >= 0) & (w >= 0))
+            ok[left] = alike(block.words, block.length, block.mask, v[left], w[left])
+    left = np.flatnonzero(~ok & (block.further[block.who[i]] | block.further[block.who[j]]))
+    ok[left] = [share_a_word(block.names[p], block.names[q]) for p, q in zip(block.who[i[left]].tolist(), block.who[j[left]].tolist())]
+    return ok
+
+
 @lru_cache(50_000)
 def words_of(who: str) -> list[str]:
     """The words of a name that are looked up."""
@@ -171,9 +197,7 @@ def pairs_of(block: Block) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     for i, j in all_pairs(block.first[few], few):  # each pair by itself
         ok = block.nm[i] != block.nm[j]
         i, j, _, _ = block.possible(i[ok], j[ok], False)
-        ok = block.alike(i, j)
-        i, j = i[ok], j[ok]
-        ok = np.array([share_a_word(block.names[x], block.names[y]) for x, y in zip(block.who[i].tolist(), block.who[j].tolist())], dtype=bool)
+        ok = shared_word(block, i, j)
         yield i[ok], j[ok]
     rows = np.flatnonzero(large)
     for lo in range(0, len(rows), 5_000):  # blocks that begin in this part of the rows
@@ -198,7 +222,7 @@ def pairs_of(block: Block) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         pair = np.unique(np.minimum(i, j) << 32 | np.maximum(i, j))
         i, j = pair >> 32, pair & ((1 << 32) - 1)
         p, q = (entry % len(number))[i], (entry % len(number))[j]
-        ok = np.array([v == w or similar(words[v], words[w]) for v, w in zip(p.tolist(), q.tolist())], dtype=bool)
+        ok = alike(words, np.array([len(w) for w in words]), np.array([letters(w) for w in words], np.int64), p, q)
         i, j = i[ok], j[ok]
         order = np.argsort(which, kind="stable")
         begin, end = np.searchsorted(which[order], np.arange(len(entry))), np.searchsorted(which[order], np.arange(len(entry)), "right")
